@@ -10,6 +10,7 @@ import importlib
 
 PACKS = (
     "normalize_pack",
+    "generate_pack",
 )
 
 

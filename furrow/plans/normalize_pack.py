@@ -72,6 +72,12 @@ def _metrics(one_row: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- oracles
 
+
+def _gen_oracle(schema: str, source: str) -> str:
+    from furrow.sources.generate import oracle_sql
+    return oracle_sql(schema, source, 42, "2024-01-01", "2024-12-31")
+
+
 F1 = """f1 AS (
   SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority,
          c.c_name AS customer_name,
@@ -114,6 +120,7 @@ ORACLES = {
                cdim.id AS customer_id
         FROM f3 LEFT JOIN cdim ON f3.customer_email = cdim.email""",
     "dim_merge": f"WITH {F1}, {CUST_DIM.format(feed='f1')} SELECT * FROM cdim",
+    "norm_passthrough": _gen_oracle("contacts", "SELECT c_custkey AS row_id FROM customer"),
     "seed_normalized_report": f"""WITH {F1}, {CUST_DIM.format(feed='f1')},
         fact AS (SELECT cdim.id AS customer_id FROM f1 LEFT JOIN cdim ON f1.customer_email = cdim.email)
         SELECT 'facts_offered' AS metric, CAST(count(*) AS BIGINT) AS value FROM fact
