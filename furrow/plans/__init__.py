@@ -11,6 +11,7 @@ import importlib
 PACKS = (
     "normalize_pack",
     "generate_pack",
+    "sink_pack",
 )
 
 
