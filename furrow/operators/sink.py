@@ -270,6 +270,18 @@ class TableStore:
         self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"])
         return {"offered": None, "inserted": inserted, "total": self.count(table)}
 
+    def replace(self, table: str, df: DataFrame) -> dict:
+        """Full refresh: the new data becomes the only segment in one publish."""
+        meta = self._meta(table)
+        if meta is None:
+            self.create_if_absent(table, df.schema)
+            meta = self._meta(table)
+        target = T.StructType.fromDDL(meta["schema"])
+        seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType) for f in target.fields]).write.parquet(seg)
+        self._publish(table, [seg], meta["schema"], meta["version"])
+        return {"inserted": self.spark.read.parquet(seg).count(), "total": self.count(table)}
+
     # -- K4
     def count(self, table: str) -> int:
         if not self.exists(table):

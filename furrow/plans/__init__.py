@@ -12,6 +12,8 @@ PACKS = (
     "normalize_pack",
     "generate_pack",
     "sink_pack",
+    "quality_pack",
+    "analytics_pack",
 )
 
 
