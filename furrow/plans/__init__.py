@@ -15,6 +15,7 @@ PACKS = (
     "quality_pack",
     "analytics_pack",
     "search_pack",
+    "stream_pack",
 )
 
 
