@@ -16,6 +16,7 @@ PACKS = (
     "analytics_pack",
     "search_pack",
     "stream_pack",
+    "sql_pack",
 )
 
 
