@@ -7,7 +7,8 @@ BM25 (k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5))): for a
 query of a few terms the per-document term frequencies are array functions on
 the row's token array, so scoring is a narrow projection. Corpus statistics
 (N, average length, document frequency per query term) come from one
-aggregation pass; the top ``k`` is Spark's TakeOrderedAndProject (``k`` rows
+aggregation pass over a checkpointed per-document table (one tokenisation
+pass over the text); the top ``k`` is Spark's TakeOrderedAndProject (``k`` rows
 per partition, then a merge) - no full sort, no per-document shuffle.
 
 ``term_index`` builds the general inverted index (term, doc, tf) for workloads
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import ensure_checkpoint_dir
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -45,8 +48,12 @@ def bm25(docs: DataFrame, terms: list[str], k: int = 20, id_col: str = "doc_id",
     """Top ``k`` documents for the query terms: ``doc_id, score`` (ties by id)."""
     terms = sorted({t.lower() for t in terms})
     scored = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
+    # Tokenise once: the per-document (length, tf...) table is tiny next to
+    # the text, and a reliable checkpoint lets both passes below reuse it.
     scored = scored.select(id_col, F.size("_t").alias("_dl"),
                            *[_tf(F.col("_t"), t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    ensure_checkpoint_dir(docs.sparkSession)
+    scored = scored.checkpoint(eager=True)
     stats = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"),
                        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 0.0

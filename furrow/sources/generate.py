@@ -69,7 +69,10 @@ class Dialect:
 
     def draw(self, key_sql: str, k: int) -> str:
         """k-th unsigned 32-bit slice (k = 0..3) of md5(key_sql)."""
-        sl = f"substr(md5({key_sql}), {1 + 8 * k}, 8)"
+        return self.draw_hex(f"md5({key_sql})", k)
+
+    def draw_hex(self, hex_sql: str, k: int) -> str:
+        sl = f"substr({hex_sql}, {1 + 8 * k}, 8)"
         if self.name == "spark":
             return f"cast(conv({sl}, 16, 10) as bigint)"
         return f"CAST(('0x' || {sl}) AS BIGINT)"
@@ -134,9 +137,15 @@ def _resolve_range(start, end) -> tuple[dt.datetime, dt.datetime]:
 
 
 class _Ctx:
-    def __init__(self, schema: TableSchema, d: Dialect, seed: int, start, end, row_id: str):
+    def __init__(self, schema: TableSchema, d: Dialect, seed: int, start, end, row_id: str,
+                 shared: bool = False):
         self.schema, self.d, self.seed, self.row_id = schema, d, seed, row_id
         self.start, self.end = _resolve_range(start, end)
+        # shared=True: every distinct md5 key becomes one column of a first
+        # projection (``_m0``, ``_m1``, ...) and draws read slices of it.
+        self.shared = shared
+        self.hashes: dict[str, str] = {}
+        self.slots: dict[tuple[str, int], int] = {}
 
     def key(self, group: str, extra: str | None = None) -> str:
         base = f"'{self.seed}|{self.schema.name}|{group}|'"
@@ -145,7 +154,17 @@ class _Ctx:
         return f"{base} || {self.d.s(self.row_id)}"
 
     def h(self, group: str, k: int = 0, extra: str | None = None) -> str:
-        return self.d.draw(self.key(group, extra), k)
+        """Draw ``k`` of ``group``. Plain draws are handed out in order from a
+        per-row pool (md5 of ``pool#n`` gives four), so a row costs one md5
+        per four draws; draws keyed by an item number keep their own md5."""
+        if extra is None:
+            slot = self.slots.setdefault((group, k), len(self.slots))
+            group, k = f"pool#{slot // 4}", slot % 4
+        key = self.key(group, extra)
+        if self.shared and (extra is None or extra.isdigit()):
+            col = self.hashes.setdefault(key, f"_m{len(self.hashes)}")
+            return self.d.draw_hex(col, k)
+        return self.d.draw(key, k)
 
     def time(self) -> str:
         span = int((self.end - self.start).total_seconds())
@@ -192,7 +211,8 @@ def _value(c: _Ctx, name: str, gen: tuple) -> str:
         prefix, length = gen[1], gen[2]
         hx = f"hex({c.row_id})"
         idp = f"lpad({hx}, cast(greatest(8, length({hx})) as int), '0')"
-        return f"'{prefix}' || upper(substr(md5({c.key(name)}), 1, {length - 8})) || {idp}"
+        r = length - 8
+        return f"'{prefix}' || lpad(hex({h} % {16 ** r}), {r}, '0') || {idp}"
     if kind == "first_name":
         return d.pick(FIRST_NAMES, h)
     if kind == "last_name":
@@ -232,24 +252,31 @@ def _value(c: _Ctx, name: str, gen: tuple) -> str:
         k = f"({lo} + {h} % {hi - lo + 1})"
         qlo, qhi = LINE_QUANTITY
         plo, phi = LINE_UNIT_PRICE
-        hi_ = c.h(f"{name}.item", 0, "i")
-        desc = f"{d.pick(ADJECTIVES, hi_)} || ' ' || {d.pick(NOUNS, c.h(f'{name}.item', 1, 'i'))}"
-        qty = f"cast({qlo} + {c.h(f'{name}.item', 2, 'i')} % {qhi - qlo + 1} as int)"
-        price = f"({plo * 100} + {c.h(f'{name}.item', 3, 'i')} % {(phi - plo) * 100 + 1}) / 100"
-        body = d.struct([("description", desc), ("quantity", qty), ("unit_price", price)])
-        return f"to_json({d.items(k, 'i', body)})"
+        g = f"{name}.item"
+
+        def item(i):
+            desc = f"{d.pick(ADJECTIVES, c.h(g, 0, i))} || ' ' || {d.pick(NOUNS, c.h(g, 1, i))}"
+            qty = f"cast({qlo} + {c.h(g, 2, i)} % {qhi - qlo + 1} as int)"
+            price = f"({plo * 100} + {c.h(g, 3, i)} % {(phi - plo) * 100 + 1}) / 100"
+            return d.struct([("description", desc), ("quantity", qty), ("unit_price", price)])
+        if c.shared:
+            # At most ``hi`` items: build all of them from precomputed hashes and
+            # keep the first k (no per-row lambda, stays in generated code).
+            arr = "array(" + ", ".join(item(str(i)) for i in range(1, hi + 1)) + ")"
+            return f"to_json(slice({arr}, 1, cast({k} as int)))"
+        return f"to_json({d.items(k, 'i', item('i'))})"
     raise ValueError(f"unknown generator {kind}")
 
 
 def field_exprs(schema_name: str, dialect: Dialect, seed: int = 42, start=None, end=None,
-                row_id: str = "row_id") -> list[tuple[str, str]]:
+                row_id: str = "row_id", ctx: "_Ctx | None" = None) -> list[tuple[str, str]]:
     """(name, SQL expression) for every generated field, in declared order.
 
     G4: nullable fields are null when draw 3 of the field's md5 % 10 < 2.
     G9: the time field is rendered first by construction (D9).
     """
     schema = get_schema(schema_name)
-    c = _Ctx(schema, dialect, seed, start, end, row_id)
+    c = ctx or _Ctx(schema, dialect, seed, start, end, row_id)
     out = []
     for f in schema.generated_fields():
         v = _value(c, f.name, f.gen)
@@ -261,9 +288,17 @@ def field_exprs(schema_name: str, dialect: Dialect, seed: int = 42, start=None,
 
 def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: int = 42,
                  start="2024-01-01", end="2024-12-31", row_id: str = "row_id") -> DataFrame:
-    """G1 over given row ids: one generated row per input row (narrow, no shuffle)."""
-    exprs = [F.expr(e).alias(n) for n, e in field_exprs(schema_name, SPARK, seed, start, end, row_id)]
-    return ids.select(F.col(row_id).cast("bigint").alias("row_id"), *exprs)
+    """G1 over given row ids: one generated row per input row (narrow, no shuffle).
+
+    Two projections: the first computes each distinct md5 once per row, the
+    second slices draws out of them. Catalyst keeps them apart because md5 is
+    not a cheap expression to duplicate.
+    """
+    ctx = _Ctx(get_schema(schema_name), SPARK, seed, start, end, "row_id", shared=True)
+    fields = field_exprs(schema_name, SPARK, seed, start, end, "row_id", ctx=ctx)
+    hashed = ids.select(F.col(row_id).cast("bigint").alias("row_id"),
+                        *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
+    return hashed.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
 
 
 def generate(spark: SparkSession, schema_name: str, n: int, seed: int = 42, start=None, end=None,
