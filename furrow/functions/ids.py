@@ -10,6 +10,8 @@ is cut into fixed-width buckets instead:
    bound, so it is broadcast) gives each bucket its id offset;
 4. ``row_number`` within each bucket plus the offset is the id.
 
+The input is checkpointed first (it is read three times).
+
 Each bucket holds at most ``width`` distinct values of the bucket column, so no
 task sees more than that many rows times the column's multiplicity.
 """
@@ -27,24 +29,30 @@ MAX_BUCKETS = 1 << 20
 
 
 def dense_ids(df: DataFrame, order_cols: list[str | Column], id_col: str = "id",
-              start: int | Column = 1, bucket_col: str | None = None) -> DataFrame:
+              start: int | Column = 1, bucket_col: str | None = None,
+              materialize: bool = True) -> DataFrame:
     """Return ``df`` plus ``id_col`` = start, start+1, ... in ``order_cols`` order.
 
-    ``bucket_col`` (default: the first order column) must be numeric and be the
-    leading sort key. ``order_cols`` should form a total order; ties get ids
-    in an unspecified but deterministic-per-input order.
+    ``bucket_col`` (default: the first order column) must be integral and be
+    the leading sort key. ``order_cols`` should form a total order; ties get
+    ids in an unspecified but deterministic-per-input order. The input is
+    checkpointed once (it is read three times) unless ``materialize=False``.
     """
     if bucket_col is None:
         first = order_cols[0]
         if not isinstance(first, str):
             raise ValueError("bucket_col is required when the first order column is an expression")
         bucket_col = first
+    if materialize:
+        from furrow.session import materialize as _materialize
+        df = _materialize(df)
     lo, hi, n = df.agg(F.min(bucket_col), F.max(bucket_col), F.count(F.lit(1))).first()
     if n == 0 or lo is None:
         return df.withColumn(id_col, F.lit(None).cast("bigint"))
     target = min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_PER_BUCKET + 1))
     width = max(1, math.ceil((int(hi) - int(lo) + 1) / target))
-    bucket = F.floor((F.col(bucket_col) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
+    # Integer division: exact for any bigint (a double division is not).
+    bucket = F.expr(f"(`{bucket_col}` - {int(lo)}) div {width}").cast("bigint")
 
     keyed = df.withColumn("_bkt", bucket)
     counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))

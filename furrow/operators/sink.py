@@ -72,6 +72,16 @@ def _all_present(keys: list[str]) -> Column:
     return c
 
 
+def _first_seen_parts(df: DataFrame, keys: list[str], order_cols: list[str]):
+    others = [c for c in df.columns if c not in keys]
+    rank = F.struct(*[F.col(c) for c in order_cols + [o for o in others if o not in order_cols]])
+    packed = F.struct(*[F.col(c) for c in others])
+    best = (df.where(_all_present(keys)).groupBy(*keys).agg(F.min_by(packed, rank).alias("_r"))
+            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+            .select(*df.columns))
+    return best, df.where(~_all_present(keys))
+
+
 def first_seen(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """In-load dedup: per non-null key the row that comes first in
     ``order_cols`` (then by the remaining columns); null-key rows all pass.
@@ -79,14 +89,8 @@ def first_seen(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFra
     ``min_by`` aggregates partially before the shuffle, so a key holding a
     third of the load costs one row per map task, not one task of rows.
     """
-    others = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in order_cols + [o for o in others if o not in order_cols]])
-    packed = F.struct(*[F.col(c) for c in others])
-    keyed = df.where(_all_present(keys))
-    best = (keyed.groupBy(*keys).agg(F.min_by(packed, rank).alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
-            .select(*df.columns))
-    return best.unionByName(df.where(~_all_present(keys)))
+    best, null_keyed = _first_seen_parts(df, keys, order_cols)
+    return best.unionByName(null_keyed)
 
 
 def insert_ignore(existing: DataFrame | None, incoming: DataFrame, keys: list[str] | str,
@@ -95,18 +99,19 @@ def insert_ignore(existing: DataFrame | None, incoming: DataFrame, keys: list[st
 
     Exactly one unique key per call: with several, the sequential result is a
     greedy process (a skipped row must not block later ones), not a set
-    operation, so it is rejected rather than approximated.
+    operation, so it is rejected rather than approximated. The anti-join
+    reads only the key columns of ``existing``; AQE broadcasts them when their
+    measured size is small and keeps a sort-merge join otherwise.
     """
     if isinstance(keys, str):
         keys = [keys]
     if not keys:
         raise ValueError("insert_ignore needs the unique key columns")
-    fresh = first_seen(incoming, keys, order_cols)
-    if existing is None:
-        return fresh
-    taken = existing.select(*keys).where(_all_present(keys))
-    return (fresh.where(_all_present(keys)).join(taken, keys, "left_anti")
-            .unionByName(fresh.where(~_all_present(keys))))
+    best, null_keyed = _first_seen_parts(incoming, keys, order_cols)
+    if existing is not None:
+        taken = existing.select(*keys).where(_all_present(keys))
+        best = best.join(taken, keys, "left_anti")
+    return best.unionByName(null_keyed)
 
 
 def reject_multi_key(unique_keys: list[list[str]]) -> None:
