@@ -22,6 +22,7 @@ import json
 from pyspark.sql import SparkSession
 
 from furrow.operators import normalize as N
+from furrow.session import GENERATION_CONF, conf_scope
 from furrow.operators.sink import TableStore, get_flavour, resolve_normalize
 from furrow.sources.generate import generate
 from furrow.sources.schemas import get_schema
@@ -31,6 +32,13 @@ def seed(spark: SparkSession, root: str, backend: str, schema_name: str, count:
          batch_size: int = 100, start=None, end=None, normalize: bool = False,
          clear: bool = False, seed_value: int = 42) -> dict:
     """Run one seed load; returns the load report."""
+    with conf_scope(spark, GENERATION_CONF):
+        return _seed(spark, root, backend, schema_name, count, batch_size, start, end,
+                     normalize, clear, seed_value)
+
+
+def _seed(spark, root, backend, schema_name, count, batch_size, start, end, normalize, clear,
+          seed_value) -> dict:
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
     if count < 0:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
-    # Fall back from whole-stage codegen for a subtree whose fused method would
-    # be too large for the JIT to compile (wide generated projections).
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -79,3 +77,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def conf_scope(spark: SparkSession, settings: dict[str, str]):
+    """Temporarily set session confs around actions run inside the block."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+# Wide generated projections fuse into one method too large for the JIT; with
+# this limit Spark drops whole-stage codegen just for such subtrees. Scoped to
+# generation-heavy jobs (the seed pipeline), not set session-wide.
+GENERATION_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
