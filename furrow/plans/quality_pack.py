@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.operators import profile as P
-from furrow.operators.quality import Expect, failing_key_rows, run_suite
+from furrow.operators.quality import (Expect, failing_key_rows, run_suite, schema_expectations,
+                                     suite_sql)
+from furrow.sources.schemas import get_schema
 from furrow.sources.tables import load
 
 
@@ -22,6 +24,21 @@ def dq_suite(spark: SparkSession, sf: str) -> DataFrame:
     ])
 
 
+def _schema_suite() -> list[Expect]:
+    return schema_expectations(get_schema("sales_orders")) + [
+        Expect("between", "subtotal", (10, 1000)),
+        Expect("matches_regex", "order_number", ("^ORD-[0-9A-F]{12,}$",)),
+        Expect("row_count_between", "", (1, 10 ** 12)),
+    ]
+
+
+def dq_schema_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The schema's declared constraints (and the generator's time rule) as an
+    expectation suite over the generated sales orders (one per order)."""
+    from furrow.plans.generate_pack import generated
+    return run_suite(generated(spark, sf, "sales_orders"), _schema_suite())
+
+
 def dq_failing_rows(spark: SparkSession, sf: str) -> DataFrame:
     return failing_key_rows(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -46,6 +63,7 @@ def profile_corr(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "dq_suite": dq_suite,
     "dq_failing_rows": dq_failing_rows,
+    "dq_schema_rules": dq_schema_rules,
     "profile_numeric": profile_numeric,
     "profile_topk": profile_topk,
     "profile_corr": profile_corr,
@@ -71,7 +89,14 @@ def _topk_sql(table: str, col: str) -> str:
 
 _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+
+def _schema_rules_sql() -> str:
+    from furrow.plans.generate_pack import _oracle_gen
+    return f"WITH so AS ({_oracle_gen('sales_orders')}) " + suite_sql(_schema_suite(), "so")
+
+
 ORACLES = {
+    "dq_schema_rules": _schema_rules_sql(),
     "dq_suite": """
         WITH r AS (
           SELECT 'not_null(o_orderkey)' AS rule, count(*) AS evaluated, count_if(o_orderkey IS NULL) AS unexpected FROM orders
