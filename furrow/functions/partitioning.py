@@ -1,0 +1,22 @@
+"""Spread CPU-heavy narrow work over the cluster when the input is coarse.
+
+A scan yields one task per file split (row group); a small or single-row-group
+table therefore feeds a whole CPU-heavy projection (generation, tokenising,
+JSON parsing) through one task. ``spread`` hash-partitions on a key into
+``defaultParallelism`` partitions only when the input has fewer partitions
+than that; on large inputs (many splits) it is a no-op. Hash partitioning on
+a key is deterministic, so a recomputed task gets the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    cols = [F.col(k) for k in keys] if keys else [F.col(c) for c in df.columns[:1]]
+    return df.repartition(target, *cols)

@@ -20,8 +20,9 @@ def line_item_totals(df: DataFrame, key: str, json_col: str) -> DataFrame:
     Computed with higher-order array functions on each row's parsed array, so
     it is a narrow projection: no explode, no shuffle, no grouping.
     """
+    # No row filter here: a filter would be pushed below any repartition of
+    # the input and evaluate the whole upstream projection a second time.
     return (df.select(key, F.from_json(json_col, LINE_ITEM_SCHEMA).alias("_items"))
-            .where(F.size("_items") > 0)
             .select(key, F.size("_items").cast("bigint").alias("items"),
                     F.aggregate("_items", F.lit(0).cast("bigint"),
                                 lambda acc, x: acc + x["quantity"]).alias("quantity"),

@@ -19,6 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.functions.partitioning import spread
 from furrow.sources.schemas import (DAYS_AFTER_MAX, LINE_ITEMS, LINE_QUANTITY, LINE_UNIT_PRICE,
                                     TableSchema, get_schema)
 
@@ -288,7 +289,9 @@ def field_exprs(schema_name: str, dialect: Dialect, seed: int = 42, start=None,
 
 def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: int = 42,
                  start="2024-01-01", end="2024-12-31", row_id: str = "row_id") -> DataFrame:
-    """G1 over given row ids: one generated row per input row (narrow, no shuffle).
+    """G1 over given row ids: one generated row per input row (a narrow
+    projection; coarse inputs are first spread over the cluster, see
+    :func:`furrow.functions.partitioning.spread`).
 
     Two projections: the first computes each distinct md5 once per row, the
     second slices draws out of them. Catalyst keeps them apart because md5 is
@@ -296,7 +299,8 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     """
     ctx = _Ctx(get_schema(schema_name), SPARK, seed, start, end, "row_id", shared=True)
     fields = field_exprs(schema_name, SPARK, seed, start, end, "row_id", ctx=ctx)
-    hashed = ids.select(F.col(row_id).cast("bigint").alias("row_id"),
+    ids = spread(ids.select(F.col(row_id).cast("bigint").alias("row_id")), "row_id")
+    hashed = ids.select("row_id",
                         *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
     return hashed.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
 
