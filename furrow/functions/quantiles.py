@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.session import materialize
+
 BUCKETS = 256
 
 
@@ -28,14 +30,18 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, probs: l
     cut_probs = [i / buckets for i in range(1, buckets)]
     cuts = hist.groupBy(g).agg(F.percentile_approx(v, cut_probs, 10 * buckets).alias("_cuts"),
                                F.sum("_w").alias("_n"))
-    binned = (hist.join(cuts, g)
-              .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v))))
-              .drop("_cuts"))
+    # The bucketed histogram feeds three branches below: materialise it once
+    # (reliable checkpoint) instead of re-aggregating the input three times.
+    binned = materialize(hist.join(cuts, g)
+                         .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v))))
+                         .drop("_cuts"))
     btot = binned.groupBy(g, "_b").agg(F.sum("_w").alias("_bw"), F.first("_n").alias("_n"))
     wb = Window.partitionBy(g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    btot = btot.withColumn("_bend", F.sum("_bw").over(wb)).withColumn("_bstart", F.col("_bend") - F.col("_bw"))
+    btot = (btot.withColumn("_bend", F.sum("_bw").over(wb))
+            .withColumn("_bstart", F.col("_bend") - F.col("_bw")))
 
-    targets = (cuts.select(g, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    probs_col = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    targets = (binned.groupBy(g).agg(F.first("_n").alias("_n")).select(g, "_n", probs_col)
                .withColumn("_pos", (F.col("_n") - 1) * F.col("p"))
                .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
                .select(g, "p", "_frac",

@@ -1,22 +1,26 @@
 """Streaming ingest (R8): the generate -> insert batch loop as Structured Streaming.
 
-* ``land_in_slices`` appends a table to a landing folder in ``n`` slices
-  ordered by a time column, one ``availableNow`` run per slice, which is how
+* ``SliceFeed`` appends a table to a landing folder in ``n`` slices ordered
+  by a time column, one ``availableNow`` run per slice, which is how
   scheduled incremental ingestion sees arrivals; micro-batch boundaries are
   then deterministic, so results can be compared with an oracle.
 * sinks are ``foreachBatch`` writers keyed by batch id: a replayed batch
   (after a driver or executor loss) finds its segment already published and
   does nothing, so every sink is idempotent / exactly-once.
-* ``insert_ignore_sink``: per micro-batch, first-seen rows per key that are
+* ``insert_ignore_stream``: per micro-batch, first-seen rows per key that are
   not in the table yet (in-batch ``min_by`` + anti-join against the keys
-  already written, pruned to the key columns).
+  already written, pruned to the key columns). Exact for unbounded history;
+  the cost per batch grows with the keys written so far (the state-store
+  alternative, ``dropDuplicates``, is cheaper per batch but keeps an
+  arbitrary row per key inside a batch).
 * ``tumbling_counts``: ``window`` aggregation in ``complete`` mode.
 * ``sessions``: ``session_window`` with a watermark in ``append`` mode; only
   closed sessions (end <= watermark) are emitted.
 
-Event-time columns are TIMESTAMP_NTZ in the data; watermarks need TIMESTAMP,
-so they are cast (the session time zone is UTC, so wall-clock is unchanged)
-and cast back on output.
+Event-time columns are TIMESTAMP_NTZ in the data. Tumbling windows run on
+them directly (wall-clock windows in any session time zone); watermarks need
+TIMESTAMP, so sessions cast to it and back (a constant zone offset does not
+change gap-based sessions).
 """
 
 from __future__ import annotations
@@ -134,8 +138,10 @@ def tumbling_counts(feed: SliceFeed, ts: str, keys: list[str], width: str = "1 d
     ckpt = scratch_path(spark, "ckpt-tumbling")
 
     def build(s: DataFrame):
-        agg = (s.withColumn("_ts", F.col(ts).cast("timestamp"))
-               .groupBy(F.window("_ts", width).alias("w"), *keys)
+        # Windows over the wall-clock (TIMESTAMP_NTZ) column, so day windows
+        # start at midnight whatever the session time zone; complete mode
+        # needs no watermark.
+        agg = (s.groupBy(F.window(ts, width).alias("w"), *keys)
                .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
         return (agg.writeStream.outputMode("complete")
                 .foreachBatch(lambda b, i: publish_batch(b, out, i))
