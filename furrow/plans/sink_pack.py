@@ -57,6 +57,20 @@ def append_all(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("lineitem")
 
 
+def create_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: creating an existing table is a no-op and never clobbers its rows:
+    create, create again, load orders, create once more, read back."""
+    store = K.TableStore(spark, scratch_path(spark, "store-k1"), "postgres")
+    o = load(spark, sf, "orders")
+    if not store.create_if_absent("orders", o.schema) or store.create_if_absent("orders", o.schema):
+        raise AssertionError("create_if_absent must create once")
+    store.insert("orders", o, unique_key=["o_orderkey"],
+                 order_cols=[c for c in o.columns if c != "o_orderkey"])
+    if store.create_if_absent("orders", o.schema):
+        raise AssertionError("create_if_absent recreated an existing table")
+    return store.read("orders")
+
+
 def table_counts(spark: SparkSession, sf: str) -> DataFrame:
     """K1 + K2a + K4: create, load with insert-ignore, count per table."""
     store = K.TableStore(spark, scratch_path(spark, "store-duck"), "duckdb")
@@ -96,6 +110,7 @@ QUERIES = {
     "seed_report": seed_report,
     "assign_ids": assign_ids,
     "append_all": append_all,
+    "create_if_absent": create_if_absent,
     "table_counts": table_counts,
     "truncate_seconds": truncate_seconds,
     "check_constraints": check_constraints,
@@ -118,6 +133,7 @@ ORACLES = {
     "assign_ids": f"""SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS BIGINT) AS id, *
         FROM ({_FIRST.format(src='lineitem')})""",
     "append_all": "SELECT * FROM lineitem",
+    "create_if_absent": "SELECT * FROM orders",
     "table_counts": f"""SELECT 'orders' AS "table", CAST(count(DISTINCT o_orderkey) AS BIGINT) AS rows FROM orders
         UNION ALL SELECT 'customer', CAST(count(DISTINCT c_custkey) AS BIGINT) FROM customer
         UNION ALL SELECT 'lineitem', CAST(count(*) AS BIGINT)
