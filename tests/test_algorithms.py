@@ -77,3 +77,15 @@ def test_range_join_matches_nested_loop(spark):
     got = range_join(pts, rng, "ts", "s", "e", 1800).select("pid", "rid")
     want = pts.join(rng, (pts.ts >= rng.s) & (pts.ts < rng.e)).select("pid", "rid")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_ordered_window_null_keys_and_single_chunk_keys(spark):
+    rows = [(None if i % 5 == 0 else i % 7, i, float(i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g int, t int, v double")
+    got = ordered_window(df, ["g"], ["t"], row_number="rn", running_sums={"rs": "v"},
+                         lags={"pv": "v"}, leads={"nv": "v"}, chunks=5)
+    w = Window.partitionBy("g").orderBy("t")
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("rn"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"),
+                     F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
