@@ -312,7 +312,10 @@ def generate(spark: SparkSession, schema_name: str, n: int, seed: int = 42, star
         raise ValueError("count must be >= 0")
     if rows_per_partition <= 0:
         raise ValueError("rows_per_partition must be > 0")
-    parts = max(1, math.ceil(n / rows_per_partition))
+    # Enough partitions for the cluster (at least ~10k rows each) so that no
+    # repartition is needed before the CPU-heavy projection.
+    floor_parts = min(spark.sparkContext.defaultParallelism, max(1, n // 10_000))
+    parts = max(1, math.ceil(n / rows_per_partition), floor_parts)
     ids = spark.range(0, n, 1, parts).withColumnRenamed("id", "row_id")
     return generate_for(spark, schema_name, ids, seed, start, end)
 
