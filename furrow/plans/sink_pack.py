@@ -80,8 +80,11 @@ def table_counts(spark: SparkSession, sf: str) -> DataFrame:
         store.create_if_absent(name, df.schema)
         rest = [c for c in df.columns if c not in key]
         store.insert(name, df, unique_key=key, order_cols=rest)
-    rows = [(n, store.count(n)) for n in loads]
-    return spark.createDataFrame(rows, "table string, rows bigint")
+    out = None
+    for n in loads:
+        c = store.read(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows")
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 def truncate_seconds(spark: SparkSession, sf: str) -> DataFrame:
