@@ -175,3 +175,22 @@ def sessions(feed: SliceFeed, ts: str, user: str, gap: str = "30 minutes",
                                          "session_end timestamp_ntz, events bigint")
     return res.select(user, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
                       F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events")
+
+
+def dedup_within_watermark(feed: SliceFeed, keys: list[str], ts: str, delay: str) -> DataFrame:
+    """Drop repeats of a key that arrive within ``delay`` of its first
+    occurrence (``dropDuplicatesWithinWatermark``): bounded state, exact only
+    within the delay; use ``insert_ignore_stream`` for unbounded history."""
+    spark = feed.spark
+    out = scratch_path(spark, "sink-dedup")
+    ckpt = scratch_path(spark, "ckpt-dedup")
+
+    def build(s: DataFrame):
+        d = (s.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+             .dropDuplicatesWithinWatermark(keys).drop("_ts"))
+        return (d.writeStream.outputMode("append")
+                .foreachBatch(lambda b, i: publish_batch(b, out, i))
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+
+    feed.run(build)
+    return read_published(spark, out, feed.df.schema)
