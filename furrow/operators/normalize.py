@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.ids import dense_ids
+from furrow.functions.partitioning import spread
 
 CUSTOMER_SCHEMAS = ("sales_orders", "invoices")
 PRODUCT_SCHEMAS = ("manufacturing_orders",)
@@ -64,9 +65,9 @@ def product_key(feed: DataFrame) -> Column:
 def _first_seen(feed: DataFrame, key: Column, attrs: dict[str, Column], seq: str) -> DataFrame:
     """One row per present key: first-seen attributes and the first ``seq``."""
     packed = F.struct(*[c.alias(n) for n, c in attrs.items()])
-    return (feed.select(key.alias("_key"), packed.alias("_a"), F.col(seq).alias("_seq"))
-            .where(_present(F.col("_key")))
-            .groupBy("_key")
+    rows = (feed.select(key.alias("_key"), packed.alias("_a"), F.col(seq).alias("_seq"))
+            .where(_present(F.col("_key"))))
+    return (spread(rows, "_key").groupBy("_key")
             .agg(F.min_by("_a", "_seq").alias("_a"), F.min("_seq").alias("first_seq")))
 
 
