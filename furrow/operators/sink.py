@@ -226,11 +226,13 @@ class TableStore:
         meta["version"] = vs[-1]
         return meta
 
-    def _publish(self, table: str, segments: list[str], ddl: str, expect: int | None) -> int:
+    def _publish(self, table: str, segments: list[str], ddl: str, expect: int | None,
+                 max_id: int | None = None) -> int:
         nxt = (expect or 0) + 1
         out = self._fs.create(self._Path(f"{self._vdir(table)}/{nxt:08d}.json"), False)
+        body = {"segments": segments, "schema": ddl, "max_id": max_id}
         try:
-            out.write(bytearray(json.dumps({"segments": segments, "schema": ddl}).encode()))
+            out.write(bytearray(json.dumps(body).encode()))
         finally:
             out.close()
         return nxt
@@ -268,15 +270,24 @@ class TableStore:
             rows = truncate_seconds(rows)
         if self.flavour.on_conflict == "ignore" and unique_key:
             rows = insert_ignore(existing, rows, unique_key, order_cols or unique_key)
+        top = meta.get("max_id")
         if id_col:
-            top = existing.agg(F.max(id_col)).first()[0] if existing is not None else None
+            # The table's max id is kept in its version metadata, so a load
+            # never scans the existing rows for it (only older versions lack it).
+            if top is None and existing is not None:
+                top = existing.agg(F.max(id_col)).first()[0]
             rows = assign_ids(rows, order_cols or unique_key or rows.columns[:1], int(top or 0), id_col)
         target = T.StructType.fromDDL(meta["schema"])
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in target.fields])
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
         rows.write.mode("errorifexists").parquet(seg)
-        inserted = self.spark.read.parquet(seg).count()
-        self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"])
+        written = self.spark.read.parquet(seg)
+        if id_col:
+            inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(id_col)).first()
+            top = max(int(top or 0), int(seg_max or 0))
+        else:
+            inserted = written.count()
+        self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top)
         return {"offered": None, "inserted": inserted, "total": self.count(table)}
 
     def replace(self, table: str, df: DataFrame) -> dict:
@@ -288,7 +299,7 @@ class TableStore:
         target = T.StructType.fromDDL(meta["schema"])
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
         df.select(*[F.col(f.name).cast(f.dataType) for f in target.fields]).write.parquet(seg)
-        self._publish(table, [seg], meta["schema"], meta["version"])
+        self._publish(table, [seg], meta["schema"], meta["version"], None)
         return {"inserted": self.spark.read.parquet(seg).count(), "total": self.count(table)}
 
     # -- K4
