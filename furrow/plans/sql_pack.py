@@ -79,7 +79,7 @@ SQL: dict[str, tuple[str, str | None]] = {
                regexp_replace(p_name, '[aeiou]', '') AS consonants,
                split_part(p_name, ' ', 2) AS second_word
         FROM part""", """
-        SELECT p_partkey, upper(p_name) AS name_upper, length(p_name) AS name_len,
+        SELECT p_partkey, upper(p_name) AS name_upper, CAST(length(p_name) AS INTEGER) AS name_len,
                substr(p_name, 1, 4) AS name_head, concat(p_brand, '-', p_type) AS brand_type,
                replace(p_brand, 'Brand#', 'B') AS brand_short,
                lpad(CAST(p_size AS VARCHAR), 3, '0') AS size_padded,
@@ -94,12 +94,13 @@ SQL: dict[str, tuple[str, str | None]] = {
                last_day(to_date(o_orderdate)) AS month_end, date_format(o_orderdate, 'yyyy-MM') AS ym,
                quarter(o_orderdate) AS q
         FROM orders""", """
-        SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
-               dayofweek(o_orderdate) + 1 AS dow, CAST(o_orderdate AS DATE) AS order_day,
+        SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m,
+               CAST(day(o_orderdate) AS INTEGER) AS d, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS dow,
+               CAST(o_orderdate AS DATE) AS order_day,
                CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS due_day,
                CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS INTEGER) AS age_days,
                last_day(CAST(o_orderdate AS DATE)) AS month_end, strftime(o_orderdate, '%Y-%m') AS ym,
-               quarter(o_orderdate) AS q
+               CAST(quarter(o_orderdate) AS INTEGER) AS q
         FROM orders"""),
     "fn_math": ("""
         SELECT l_orderkey, l_linenumber,
@@ -110,7 +111,16 @@ SQL: dict[str, tuple[str, str | None]] = {
                round(sqrt(l_quantity), 6) AS qty_sqrt, round(ln(l_extendedprice), 6) AS price_ln,
                round(power(l_discount, 2), 6) AS disc_sq, abs(l_quantity - 25) AS qty_dev,
                l_orderkey % 7 AS bucket7, sign(l_tax - 0.04) AS tax_sign
-        FROM lineitem""", None),
+        FROM lineitem""", """
+        SELECT l_orderkey, l_linenumber,
+               CAST(round(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))
+                     * (1 + CAST(l_tax AS DECIMAL(15,2))), 2) AS DECIMAL(18,2)) AS charge,
+               CAST(ceil(l_extendedprice) AS BIGINT) AS price_ceil,
+               CAST(floor(l_extendedprice) AS BIGINT) AS price_floor,
+               round(sqrt(l_quantity), 6) AS qty_sqrt, round(ln(l_extendedprice), 6) AS price_ln,
+               round(power(l_discount, 2), 6) AS disc_sq, abs(l_quantity - 25) AS qty_dev,
+               l_orderkey % 7 AS bucket7, CAST(sign(l_tax - 0.04) AS DOUBLE) AS tax_sign
+        FROM lineitem"""),
     "fn_json": ("""
         SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k,
                get_json_object(props, '$.missing') IS NULL AS no_missing,
@@ -118,7 +128,7 @@ SQL: dict[str, tuple[str, str | None]] = {
         FROM events""", """
         SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
                json_extract(props, '$.missing') IS NULL AS no_missing,
-               to_json({'id': event_id, 'type': event_type}) AS as_json
+               CAST(to_json({'id': event_id, 'type': event_type}) AS VARCHAR) AS as_json
         FROM events"""),
     "fn_array": ("""
         SELECT p_partkey, size(split(p_name, ' ')) AS words, element_at(split(p_name, ' '), 1) AS first_word,
@@ -126,7 +136,7 @@ SQL: dict[str, tuple[str, str | None]] = {
                array_join(array_sort(split(p_name, ' ')), ',') AS sorted_words,
                array_join(transform(split(p_name, ' '), w -> upper(w)), ' ') AS upper_words
         FROM part""", """
-        SELECT p_partkey, len(string_split(p_name, ' ')) AS words, string_split(p_name, ' ')[1] AS first_word,
+        SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS words, string_split(p_name, ' ')[1] AS first_word,
                list_contains(string_split(p_name, ' '), 'widget') AS is_widget,
                array_to_string(list_sort(string_split(p_name, ' ')), ',') AS sorted_words,
                array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), ' ') AS upper_words

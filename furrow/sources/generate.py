@@ -265,7 +265,8 @@ def _value(c: _Ctx, name: str, gen: tuple) -> str:
             # keep the first k (no per-row lambda, stays in generated code).
             arr = "array(" + ", ".join(item(str(i)) for i in range(1, hi + 1)) + ")"
             return f"to_json(slice({arr}, 1, cast({k} as int)))"
-        return f"to_json({d.items(k, 'i', item('i'))})"
+        out = f"to_json({d.items(k, 'i', item('i'))})"
+        return out if d.name == "spark" else f"CAST({out} AS VARCHAR)"
     raise ValueError(f"unknown generator {kind}")
 
 

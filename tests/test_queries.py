@@ -11,6 +11,8 @@ from furrow.sources.tables import TABLES, table_path
 SF_SMALL = "/root/testdata/sf0.001"
 
 ORACLES = E.oracle_sql()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,11 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLES[key])
+    types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert types[f.name] == SPARK_TO_DUCK.get(t, t.upper()), (f.name, t, types[f.name])
     cur = duck.execute(ORACLES[key])
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
