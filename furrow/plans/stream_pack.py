@@ -19,6 +19,12 @@ def stream_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return S.insert_ignore_stream(_feed(spark, sf), ["user_id", "event_type"], ["event_id"])
 
 
+def stream_insert_ignore_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Same result as ``stream_insert_ignore``, with the seen keys kept in
+    streaming state instead of re-read from the sink each batch."""
+    return S.insert_ignore_stateful(_feed(spark, sf), ["user_id", "event_type"], "event_id")
+
+
 def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     r = S.tumbling_counts(_feed(spark, sf), "ts", ["event_type"], "1 day")
     return r.select(F.to_date("window_start").alias("day"), "event_type",
@@ -32,6 +38,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "stream_insert_ignore": stream_insert_ignore,
+    "stream_insert_ignore_state": stream_insert_ignore_state,
     "stream_tumbling_counts": stream_tumbling_counts,
     "stream_sessions": stream_sessions,
 }
@@ -39,6 +46,8 @@ QUERIES = {
 ORACLES = {
     "stream_insert_ignore": """SELECT * FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""",
+    "stream_insert_ignore_state": """SELECT * FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""",
     "stream_tumbling_counts": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
         round(sum(value), 2) AS value_sum FROM events GROUP BY 1, 2""",
     "stream_sessions": """WITH e AS (

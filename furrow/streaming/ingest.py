@@ -194,3 +194,52 @@ def dedup_within_watermark(feed: SliceFeed, keys: list[str], ts: str, delay: str
 
     feed.run(build)
     return read_published(spark, out, feed.df.schema)
+
+
+def insert_ignore_stateful(feed: SliceFeed, keys: list[str], order_col: str) -> DataFrame:
+    """Insert-ignore with the key set held in Structured Streaming state.
+
+    ``groupBy(keys).applyInPandasWithState``: per key and micro-batch the
+    rows arrive as one pandas frame; if the key has no state yet, the row
+    with the smallest ``order_col`` is emitted and the state is set, otherwise
+    nothing is. Each batch costs work proportional to the batch (state-store
+    lookups per key), not to the history; the state is checkpointed with the
+    query, so a restarted or replayed batch gives the same answer.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    spark = feed.spark
+    out = scratch_path(spark, "sink-insert-ignore-state")
+    ckpt = scratch_path(spark, "ckpt-insert-ignore-state")
+    schema = feed.df.schema
+
+    def first_unseen(key, frames, state):
+        if state.exists:
+            for _ in frames:
+                pass
+            return
+        best = None
+        for pdf in frames:
+            cand = pdf.nsmallest(1, order_col)
+            if best is None or cand[order_col].iloc[0] < best[order_col].iloc[0]:
+                best = cand
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+
+    def build(s: DataFrame):
+        # NULL keys never conflict (SQL UNIQUE), so those rows bypass the state.
+        q = (s.where(present).groupBy(*keys)
+             .applyInPandasWithState(first_unseen, schema, "seen boolean", "append",
+                                     GroupStateTimeout.NoTimeout)
+             .unionByName(s.where(~present)))
+        return (q.writeStream.outputMode("append")
+                .foreachBatch(lambda b, i: publish_batch(b, out, i))
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+
+    feed.run(build)
+    return read_published(spark, out, schema)

@@ -22,3 +22,17 @@ def test_publish_batch_is_idempotent(spark, tmp_path):
     S.publish_batch(spark.range(100), root, 0)      # a replay of batch 0 is ignored
     S.publish_batch(df, root, 1)
     assert S.read_published(spark, root).agg(F.count("*")).first()[0] == 10
+
+
+def test_stateful_insert_ignore_keeps_null_keys(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=i), None if i % 4 == 0 else i % 3, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double")
+    out = S.insert_ignore_stateful(S.SliceFeed(spark, df, "ts", 2), ["user_id"], "event_id")
+    def order(t):
+        return (t[0] is not None, t[0] or 0, t[1])
+    got = sorted(((r.user_id, r.event_id) for r in out.collect()), key=order)
+    nulls = [(None, i) for i in range(0, 40, 4)]
+    firsts = [(k, min(i for i in range(40) if i % 4 and i % 3 == k)) for k in range(3)]
+    assert got == sorted(nulls + firsts, key=order)
