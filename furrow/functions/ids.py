@@ -1,65 +1,49 @@
 """Dense sequential ids without a global single-partition window.
 
 A plain ``row_number() over (order by seq)`` plans an ``Exchange
-SinglePartition``: every row passes through one task. Here the ordering column
-is cut into fixed-width buckets instead:
-
-1. one tiny action reads ``min``, ``max`` and ``count`` of the bucket column;
-2. rows per bucket are counted (partial aggregation, one row per bucket);
-3. a prefix sum over that bucket table (at most ``MAX_BUCKETS`` rows, a proven
-   bound, so it is broadcast) gives each bucket its id offset;
-4. ``row_number`` within each bucket plus the offset is the id.
-
-The input is checkpointed first (it is read three times).
-
-Each bucket holds at most ``width`` distinct values of the bucket column, so no
-task sees more than that many rows times the column's multiplicity.
+SinglePartition``: every row passes through one task. Here:
+
+1. rows are range-partitioned on the full order key (Spark samples the key,
+   so chunks are balanced even when a value is frequent) and sorted within
+   each chunk;
+2. the chunks are pinned with a reliable checkpoint, so partition number and
+   row order stay fixed if a task is recomputed;
+3. ``monotonically_increasing_id()`` gives each row its chunk (upper 31 bits)
+   and its position inside the chunk (lower 33 bits) - no window, no shuffle;
+4. rows per chunk are counted (one row per chunk) and a prefix sum over that
+   table - at most as many rows as chunks, a proven bound, so it is broadcast -
+   gives each chunk its id offset.
+
+Ties in the order key get consecutive ids in an unspecified order.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
-MIN_BUCKETS = 64
-MAX_BUCKETS = 1 << 20
+from furrow.session import ensure_checkpoint_dir
 
+ROW_BITS = 33
 
-def dense_ids(df: DataFrame, order_cols: list[str | Column], id_col: str = "id",
-              start: int | Column = 1, bucket_col: str | None = None,
-              materialize: bool = True) -> DataFrame:
-    """Return ``df`` plus ``id_col`` = start, start+1, ... in ``order_cols`` order.
-
-    ``bucket_col`` (default: the first order column) must be integral and be
-    the leading sort key. ``order_cols`` should form a total order; ties get
-    ids in an unspecified but deterministic-per-input order. The input is
-    checkpointed once (it is read three times) unless ``materialize=False``.
-    """
-    if bucket_col is None:
-        first = order_cols[0]
-        if not isinstance(first, str):
-            raise ValueError("bucket_col is required when the first order column is an expression")
-        bucket_col = first
-    if materialize:
-        from furrow.session import materialize as _materialize
-        df = _materialize(df)
-    lo, hi, n = df.agg(F.min(bucket_col), F.max(bucket_col), F.count(F.lit(1))).first()
-    if n == 0 or lo is None:
-        return df.withColumn(id_col, F.lit(None).cast("bigint"))
-    target = min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_PER_BUCKET + 1))
-    width = max(1, math.ceil((int(hi) - int(lo) + 1) / target))
-    # Integer division: exact for any bigint (a double division is not).
-    bucket = F.expr(f"(`{bucket_col}` - {int(lo)}) div {width}").cast("bigint")
 
-    keyed = df.withColumn("_bkt", bucket)
-    counts = keyed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+def dense_ids(df: DataFrame, order_cols: list[str | Column], id_col: str = "id",
+              start: int | Column = 1, chunks: int | None = None) -> DataFrame:
+    """Return ``df`` plus ``id_col`` = start, start+1, ... in ``order_cols`` order."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    pinned = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .checkpoint(eager=True))
+    mid = F.monotonically_increasing_id()
+    placed = (pinned.withColumn("_mid", mid)
+              .withColumn("_chunk", F.shiftright("_mid", ROW_BITS))
+              .withColumn("_pos", F.col("_mid") - F.shiftleft("_chunk", ROW_BITS)))
+    counts = placed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     start_col = start if isinstance(start, Column) else F.lit(int(start))
-    within = Window.partitionBy("_bkt").orderBy(*order_cols)
-    return (keyed.join(F.broadcast(offsets), "_bkt")
-            .withColumn(id_col, (start_col + F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
-            .drop("_bkt", "_off"))
+    return (placed.join(F.broadcast(offsets), "_chunk")
+            .withColumn(id_col, (start_col + F.col("_off") + F.col("_pos")).cast("bigint"))
+            .drop("_mid", "_chunk", "_pos", "_off"))

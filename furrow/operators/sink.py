@@ -125,10 +125,9 @@ def reject_multi_key(unique_keys: list[list[str]]) -> None:
 
 
 def assign_ids(accepted: DataFrame, order_cols: list[str], start_after: int = 0,
-               id_col: str = "id", bucket_col: str | None = None) -> DataFrame:
+               id_col: str = "id") -> DataFrame:
     """K3: ids ``start_after + 1 ..`` in arrival order, first column."""
-    with_id = dense_ids(accepted, order_cols, id_col=id_col, start=start_after + 1,
-                        bucket_col=bucket_col)
+    with_id = dense_ids(accepted, order_cols, id_col=id_col, start=start_after + 1)
     return with_id.select(id_col, *accepted.columns)
 
 

@@ -89,3 +89,13 @@ def test_ordered_window_null_keys_and_single_chunk_keys(spark):
                      F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"),
                      F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_dense_ids_hot_leading_value_and_string_keys(spark):
+    rows = [(0 if i % 3 == 0 else i, f"k{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, s string").repartition(5)
+    got = dense_ids(df, ["a", "s"], "rid", start=100, chunks=6).select("a", "s", "rid")
+    want = df.select("a", "s", (F.row_number().over(Window.orderBy("a", "s")) + 99).alias("rid"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    only_strings = dense_ids(df.select("s"), ["s"], "rid", chunks=4)
+    assert only_strings.agg(F.min("rid"), F.max("rid"), F.countDistinct("rid")).first() == (1, 3000, 3000)
