@@ -301,6 +301,19 @@ class TableStore:
         self._publish(table, [seg], meta["schema"], meta["version"], None)
         return {"inserted": self.spark.read.parquet(seg).count(), "total": self.count(table)}
 
+    def compact(self, table: str, files: int | None = None) -> int:
+        """Rewrite all segments as one (many small loads leave many small
+        segments); published atomically like any load. Returns the version."""
+        meta = self._meta(table)
+        if meta is None or len(meta["segments"]) <= 1:
+            return meta["version"] if meta else 0
+        df = self.read(table)
+        if files:
+            df = df.repartition(files)
+        seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
+        df.write.parquet(seg)
+        return self._publish(table, [seg], meta["schema"], meta["version"], meta.get("max_id"))
+
     # -- K4
     def count(self, table: str) -> int:
         if not self.exists(table):

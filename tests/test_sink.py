@@ -102,3 +102,17 @@ def test_jdbc_round_trip_embedded_derby(spark):
     K.write_jdbc(df, url, "T1", mode="overwrite", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     back = K.read_jdbc(spark, url, "T1", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_compact_keeps_rows_and_ids(spark):
+    st = K.TableStore(spark, tempfile.mkdtemp(prefix="furrow-compact-"), "duckdb")
+    schema = "id bigint, k string"
+    st.create_if_absent("t", spark.createDataFrame([], schema).schema)
+    for i in range(3):
+        st.insert("t", spark.createDataFrame([(None, f"k{i}")], schema), unique_key=["k"], id_col="id")
+    before = sorted(tuple(r) for r in st.read("t").collect())
+    st.compact("t", files=1)
+    assert st._meta("t")["segments"].__len__() == 1
+    assert sorted(tuple(r) for r in st.read("t").collect()) == before == [(1, "k0"), (2, "k1"), (3, "k2")]
+    st.insert("t", spark.createDataFrame([(None, "k9")], schema), unique_key=["k"], id_col="id")
+    assert st.read("t").where("k = 'k9'").first().id == 4
