@@ -195,8 +195,15 @@ class TableStore:
     half-written one, and a lost writer leaves only an unreferenced segment.
     """
 
-    def __init__(self, spark: SparkSession, root: str, flavour: str = "duckdb"):
+    def __init__(self, spark: SparkSession, root: str, flavour: str = "duckdb",
+                 id_mode: str = "dense"):
+        """``id_mode``: ``dense`` numbers the accepted rows (no gaps);
+        ``sequence`` behaves like the stores' sequences, where every offered
+        row consumes an id and a skipped row leaves a gap."""
+        if id_mode not in ("dense", "sequence"):
+            raise ValueError("id_mode must be 'dense' or 'sequence'")
         self.spark, self.root, self.flavour = spark, root.rstrip("/"), get_flavour(flavour)
+        self.id_mode = id_mode
         jvm = spark._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -267,15 +274,23 @@ class TableStore:
         rows = df
         if self.flavour.whole_seconds:
             rows = truncate_seconds(rows)
-        if self.flavour.on_conflict == "ignore" and unique_key:
-            rows = insert_ignore(existing, rows, unique_key, order_cols or unique_key)
         top = meta.get("max_id")
-        if id_col:
+        if id_col and top is None and existing is not None:
             # The table's max id is kept in its version metadata, so a load
             # never scans the existing rows for it (only older versions lack it).
-            if top is None and existing is not None:
-                top = existing.agg(F.max(id_col)).first()[0]
-            rows = assign_ids(rows, order_cols or unique_key or rows.columns[:1], int(top or 0), id_col)
+            top = existing.agg(F.max(id_col)).first()[0]
+        arrival = order_cols or unique_key or rows.columns[:1]
+        consumed = None
+        if id_col and self.id_mode == "sequence":
+            # every offered row takes the next sequence value, kept or not
+            rows = assign_ids(rows.drop(id_col) if id_col in rows.columns else rows,
+                              arrival, int(top or 0), id_col)
+            consumed = rows.count()
+        if self.flavour.on_conflict == "ignore" and unique_key:
+            rows = insert_ignore(existing, rows, unique_key, arrival)
+        if id_col and self.id_mode == "dense":
+            rows = assign_ids(rows.drop(id_col) if id_col in rows.columns else rows,
+                              arrival, int(top or 0), id_col)
         target = T.StructType.fromDDL(meta["schema"])
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in target.fields])
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
@@ -283,7 +298,10 @@ class TableStore:
         written = self.spark.read.parquet(seg)
         if id_col:
             inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(id_col)).first()
-            top = max(int(top or 0), int(seg_max or 0))
+            base = int(top or 0)
+            top = max(base, int(seg_max or 0))
+            if consumed is not None:        # the sequence moved past skipped rows too
+                top = max(top, base + consumed)
         else:
             inserted = written.count()
         self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top)

@@ -30,15 +30,16 @@ from furrow.sources.schemas import get_schema
 
 def seed(spark: SparkSession, root: str, backend: str, schema_name: str, count: int,
          batch_size: int = 100, start=None, end=None, normalize: bool = False,
-         clear: bool = False, seed_value: int = 42) -> dict:
-    """Run one seed load; returns the load report."""
+         clear: bool = False, seed_value: int = 42, id_mode: str = "dense") -> dict:
+    """Run one seed load; returns the load report. ``id_mode="sequence"``
+    numbers ids like the stores' sequences (skipped rows leave gaps)."""
     with conf_scope(spark, GENERATION_CONF):
         return _seed(spark, root, backend, schema_name, count, batch_size, start, end,
-                     normalize, clear, seed_value)
+                     normalize, clear, seed_value, id_mode)
 
 
 def _seed(spark, root, backend, schema_name, count, batch_size, start, end, normalize, clear,
-          seed_value) -> dict:
+          seed_value, id_mode) -> dict:
     if batch_size <= 0:
         raise ValueError("batch_size must be > 0")
     if count < 0:
@@ -46,7 +47,7 @@ def _seed(spark, root, backend, schema_name, count, batch_size, start, end, norm
     schema = get_schema(schema_name)
     flavour = get_flavour(backend)
     normalize, warning = resolve_normalize(flavour, normalize)
-    store = TableStore(spark, root, flavour.name)
+    store = TableStore(spark, root, flavour.name, id_mode)
     table = f"{schema.table}_normalized" if normalize else schema.table
     if clear:
         store.drop(table)
@@ -116,11 +117,12 @@ def main(argv=None) -> None:
     p.add_argument("--end")
     p.add_argument("--normalize", action="store_true")
     p.add_argument("--clear", action="store_true")
+    p.add_argument("--id-mode", default="dense", choices=["dense", "sequence"])
     a = p.parse_args(argv)
     from furrow.session import build_session
     spark = build_session()
     print(json.dumps(seed(spark, a.root, a.db, a.type, a.count, a.batch_size, a.start, a.end,
-                          a.normalize, a.clear), default=str))
+                          a.normalize, a.clear, id_mode=a.id_mode), default=str))
 
 
 if __name__ == "__main__":

@@ -116,3 +116,18 @@ def test_compact_keeps_rows_and_ids(spark):
     assert sorted(tuple(r) for r in st.read("t").collect()) == before == [(1, "k0"), (2, "k1"), (3, "k2")]
     st.insert("t", spark.createDataFrame([(None, "k9")], schema), unique_key=["k"], id_col="id")
     assert st.read("t").where("k = 'k9'").first().id == 4
+
+
+def test_sequence_ids_leave_gaps_like_store_sequences(spark):
+    """Reference stores: every offered row consumes an id; skipped rows leave gaps."""
+    st = K.TableStore(spark, tempfile.mkdtemp(prefix="furrow-seq-"), "postgres", id_mode="sequence")
+    schema = "k string, n int"
+    st.create_if_absent("t", spark.createDataFrame([], "id bigint, k string, n int").schema)
+    st.insert("t", spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], schema),
+              unique_key=["k"], order_cols=["n"], id_col="id")
+    st.insert("t", spark.createDataFrame([("c", 5), ("d", 6)], schema),
+              unique_key=["k"], order_cols=["n"], id_col="id")
+    got = sorted((r.id, r.k) for r in st.read("t").collect())
+    assert got == [(1, "a"), (2, "b"), (4, "c"), (6, "d")]
+    with pytest.raises(ValueError):
+        K.TableStore(spark, tempfile.mkdtemp(), "duckdb", id_mode="nope")
