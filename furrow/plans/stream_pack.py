@@ -32,15 +32,31 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("value_sum", 2).alias("value_sum"))
 
 
+def stream_sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Day-long windows every 12 hours per event type (``complete`` mode)."""
+    r = S.tumbling_counts(_feed(spark, sf), "ts", ["event_type"], "1 day", "12 hours")
+    return r.select("window_start", "event_type", F.col("events").cast("bigint").alias("events"))
+
+
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return S.sessions(_feed(spark, sf), "ts", "user_id", "30 minutes", "1 hour")
 
 
+def stream_late_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions as in ``stream_sessions``, but the first slice is landed a
+    second time after the last one; those rows are behind the watermark and
+    must be dropped, so the closed sessions are unchanged."""
+    feed = S.SliceFeed(spark, load(spark, sf, "events"), "ts", SLICES, late_replay=[0])
+    return S.sessions(feed, "ts", "user_id", "30 minutes", "1 hour")
+
+
 QUERIES = {
     "stream_insert_ignore": stream_insert_ignore,
     "stream_insert_ignore_state": stream_insert_ignore_state,
     "stream_tumbling_counts": stream_tumbling_counts,
+    "stream_sliding_counts": stream_sliding_counts,
     "stream_sessions": stream_sessions,
+    "stream_late_drop": stream_late_drop,
 }
 
 ORACLES = {
@@ -50,6 +66,11 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""",
     "stream_tumbling_counts": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
         round(sum(value), 2) AS value_sum FROM events GROUP BY 1, 2""",
+    "stream_sliding_counts": """WITH b AS (
+          SELECT event_type, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS s FROM events)
+        SELECT w AS window_start, event_type, count(*) AS events
+        FROM (SELECT event_type, s AS w FROM b UNION ALL SELECT event_type, s - INTERVAL 12 HOUR FROM b)
+        GROUP BY 1, 2""",
     "stream_sessions": """WITH e AS (
           SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE
                                    THEN 1 ELSE 0 END AS new_session
@@ -61,3 +82,5 @@ ORACLES = {
         FROM s GROUP BY user_id, sid
         HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 }
+
+ORACLES["stream_late_drop"] = ORACLES["stream_sessions"]

@@ -86,8 +86,13 @@ def latest_published(spark: SparkSession, root: str) -> DataFrame | None:
 class SliceFeed:
     """A landing folder fed in time-ordered slices, with a streaming reader."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, time_col: str, slices: int = 4):
+    def __init__(self, spark: SparkSession, df: DataFrame, time_col: str, slices: int = 4,
+                 late_replay: list[int] = ()):
+        """``late_replay``: slice numbers landed once more after the last
+        slice - rows far behind the watermark, which event-time operators
+        must drop."""
         self.spark, self.df, self.time_col, self.slices = spark, df, time_col, slices
+        self.late_replay = list(late_replay)
         self.landing = scratch_path(spark, "landing")
         lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
         self.bounds = [lo + (hi - lo) * i / slices for i in range(1, slices)] if lo is not None else []
@@ -108,7 +113,7 @@ class SliceFeed:
         """For each slice: land it, then drain the landing folder with one
         ``availableNow`` run of the query built by ``start_query(stream)``
         (which must return a started ``StreamingQuery``)."""
-        for i in range(self.slices):
+        for i in list(range(self.slices)) + self.late_replay:
             self._slice(i).write.mode("append").parquet(self.landing)
             q = start_query(self.stream())
             q.awaitTermination()
@@ -132,7 +137,10 @@ def insert_ignore_stream(feed: SliceFeed, keys: list[str], order_cols: list[str]
     return read_published(spark, out, schema)
 
 
-def tumbling_counts(feed: SliceFeed, ts: str, keys: list[str], width: str = "1 day") -> DataFrame:
+def tumbling_counts(feed: SliceFeed, ts: str, keys: list[str], width: str = "1 day",
+                    slide: str | None = None) -> DataFrame:
+    """Counts per time window and key (``complete`` mode). With ``slide``
+    the windows are sliding (each event counts in width / slide windows)."""
     spark = feed.spark
     out = scratch_path(spark, "sink-tumbling")
     ckpt = scratch_path(spark, "ckpt-tumbling")
@@ -141,7 +149,8 @@ def tumbling_counts(feed: SliceFeed, ts: str, keys: list[str], width: str = "1 d
         # Windows over the wall-clock (TIMESTAMP_NTZ) column, so day windows
         # start at midnight whatever the session time zone; complete mode
         # needs no watermark.
-        agg = (s.groupBy(F.window(ts, width).alias("w"), *keys)
+        win = F.window(ts, width, slide) if slide else F.window(ts, width)
+        agg = (s.groupBy(win.alias("w"), *keys)
                .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
         return (agg.writeStream.outputMode("complete")
                 .foreachBatch(lambda b, i: publish_batch(b, out, i))
