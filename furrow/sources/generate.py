@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.partitioning import spread
 from furrow.sources.schemas import (DAYS_AFTER_MAX, LINE_ITEMS, LINE_QUANTITY, LINE_UNIT_PRICE,
-                                    TableSchema, get_schema)
+                                    NULL_SHARE, TableSchema, get_schema)
 
 # Value pools for person / company / place / phrase fields. These are our own
 # small lists; only enumerations in schemas.py must match the reference.
@@ -283,7 +283,7 @@ def field_exprs(schema_name: str, dialect: Dialect, seed: int = 42, start=None,
     for f in schema.generated_fields():
         v = _value(c, f.name, f.gen)
         if f.nullable:
-            v = f"CASE WHEN {c.h(f.name, 3)} % 10 >= 2 THEN {v} END"
+            v = f"CASE WHEN {c.h(f.name, 3)} % 10 >= {round(NULL_SHARE * 10)} THEN {v} END"
         out.append((f.name, v))
     return out
 

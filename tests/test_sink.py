@@ -131,3 +131,17 @@ def test_sequence_ids_leave_gaps_like_store_sequences(spark):
     assert got == [(1, "a"), (2, "b"), (4, "c"), (6, "d")]
     with pytest.raises(ValueError):
         K.TableStore(spark, tempfile.mkdtemp(), "duckdb", id_mode="nope")
+
+
+def test_jdbc_generated_table_with_declared_varchar_sizes(spark):
+    from furrow.sources.generate import generate
+    from furrow.sources.schemas import get_schema
+    url = "jdbc:derby:memory:furrowseed;create=true"
+    drv = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    contacts = generate(spark, "contacts", 50, start="2024-01-01", end="2024-03-01")
+    s = get_schema("contacts")
+    assert "first_name VARCHAR(100)" in s.jdbc_column_types()
+    K.write_jdbc(contacts.drop("row_id"), url, "CONTACTS", mode="overwrite",
+                 column_types=s.jdbc_column_types(), driver=drv)
+    back = K.read_jdbc(spark, url, "CONTACTS", driver=drv)
+    assert back.count() == 50
