@@ -32,7 +32,32 @@ def scan_parquet(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "lang", "n_chars").where(F.col("n_chars") > 1000))
 
 
+PRODUCT_TERMS = ["smart", "sensor"]
+
+
+def _products(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated products (one per part) with the schema's analysed text
+    fields joined into one searchable text (S3 drives what is tokenised)."""
+    from furrow.plans.generate_pack import generated
+    from furrow.sources.schemas import get_schema
+    text_cols = get_schema("products").text_fields()
+    g = generated(spark, sf, "products")
+    return g.select("row_id", "category", F.concat_ws(" ", *text_cols).alias("text"))
+
+
+def search_products(spark: SparkSession, sf: str) -> DataFrame:
+    return S.bm25(_products(spark, sf), PRODUCT_TERMS, k=20, id_col="row_id")
+
+
+def facet_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword facet (category) over the products matching any query term."""
+    hits = S.boolean_match(_products(spark, sf), should=PRODUCT_TERMS)
+    return S.facets(hits, ["category"])
+
+
 QUERIES = {
+    "search_products": search_products,
+    "facet_products": facet_products,
     "search_bm25": search_bm25,
     "search_bool": search_bool,
     "facet_terms": facet_terms,
@@ -65,3 +90,34 @@ ORACLES = {
       UNION ALL SELECT 'source', source, count(*) FROM hits GROUP BY source""",
     "scan_parquet": "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000",
 }
+
+
+def _bm25_sql(source: str, id_col: str, terms: list[str], k: int = 20) -> str:
+    """DuckDB BM25 (k1 1.2, b 0.75) over ``source`` (columns id, text)."""
+    tfs = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
+    dfs = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / "
+                       f"(tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return f"""WITH src AS ({source}),
+      toks AS (SELECT {id_col}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                                          lambda w: w <> '') AS t FROM src),
+      tf AS (SELECT {id_col}, len(t) AS dl, {tfs} FROM toks),
+      st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM tf),
+      sc AS (SELECT {id_col}, {score} AS s FROM tf, st WHERE {hit})
+      SELECT {id_col}, round(s, 6) AS score FROM sc ORDER BY round(s, 6) DESC, {id_col} LIMIT {k}"""
+
+
+def _products_sql() -> str:
+    from furrow.plans.generate_pack import _oracle_gen
+    from furrow.sources.schemas import get_schema
+    text = " || ' ' || ".join(get_schema("products").text_fields())
+    return f"SELECT row_id, category, {text} AS text FROM ({_oracle_gen('products')}) g"
+
+
+ORACLES["search_products"] = _bm25_sql(_products_sql(), "row_id", sorted(PRODUCT_TERMS))
+ORACLES["facet_products"] = f"""WITH p AS ({_products_sql()}),
+    toks AS (SELECT category, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                                         lambda w: w <> '') AS t FROM p)
+    SELECT 'category' AS facet, category AS value, count(*) AS count FROM toks
+    WHERE list_has_any(t, ['smart', 'sensor']) GROUP BY category"""
