@@ -41,7 +41,8 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, probs: l
             .withColumn("_bstart", F.col("_bend") - F.col("_bw")))
 
     probs_col = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    targets = (binned.groupBy(g).agg(F.first("_n").alias("_n")).select(g, "_n", probs_col)
+    # group sizes come from the small bucket table, not another pass over binned
+    targets = (btot.groupBy(g).agg(F.first("_n").alias("_n")).select(g, "_n", probs_col)
                .withColumn("_pos", (F.col("_n") - 1) * F.col("p"))
                .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
                .select(g, "p", "_frac",

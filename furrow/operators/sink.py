@@ -56,6 +56,11 @@ def get_flavour(name: str) -> Flavour:
     return FLAVOURS[n]
 
 
+def list_flavours() -> list[tuple[str, bool]]:
+    """(name, supports_normalization) per store flavour."""
+    return [(f.name, f.supports_normalization) for f in FLAVOURS.values()]
+
+
 def resolve_normalize(flavour: Flavour, normalize: bool) -> tuple[bool, str | None]:
     """Normalising into a store without it falls back to a flat load, with a warning."""
     if normalize and not flavour.supports_normalization:

@@ -51,6 +51,10 @@ def test_validation(spark):
         seed(spark, tempfile.mkdtemp(), "duckdb", "nope", 10, 10)
     with pytest.raises(ValueError):
         seed(spark, tempfile.mkdtemp(), "oracle", "contacts", 10, 10)
+    with pytest.raises(ValueError):        # malformed date, as the CLI rejects it
+        seed(spark, tempfile.mkdtemp(), "duckdb", "contacts", 10, 10, start="2024/01/01")
+    with pytest.raises(ValueError):        # start after end
+        seed(spark, tempfile.mkdtemp(), "duckdb", "contacts", 10, 10, "2024-02-01", "2024-01-01")
 
 
 def test_cli(spark, capsys):

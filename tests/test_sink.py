@@ -22,6 +22,11 @@ def test_flavours_and_aliases():
     assert K.resolve_normalize(K.get_flavour("mysql"), True) == (True, None)
 
 
+def test_list_flavours():
+    assert K.list_flavours() == [("postgres", True), ("mysql", True), ("duckdb", True),
+                                 ("elasticsearch", False)]
+
+
 def test_insert_ignore_batch_and_existing(spark):
     existing = spark.createDataFrame([("A", 1), ("B", 2)], ["k", "seq"])
     incoming = spark.createDataFrame([("A", 3), ("C", 5), ("C", 4), (None, 6), (None, 7)], ["k", "seq"])
