@@ -289,7 +289,8 @@ def field_exprs(schema_name: str, dialect: Dialect, seed: int = 42, start=None,
 
 
 def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: int = 42,
-                 start="2024-01-01", end="2024-12-31", row_id: str = "row_id") -> DataFrame:
+                 start="2024-01-01", end="2024-12-31", row_id: str = "row_id",
+                 overrides: dict | None = None) -> DataFrame:
     """G1 over given row ids: one generated row per input row (a narrow
     projection; coarse inputs are first spread over the cluster, see
     :func:`furrow.functions.partitioning.spread`).
@@ -303,11 +304,22 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     ids = spread(ids.select(F.col(row_id).cast("bigint").alias("row_id")), "row_id")
     hashed = ids.select("row_id",
                         *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
-    return hashed.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
+    out = hashed.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
+    if overrides:
+        # Caller-supplied field generators: any Column (or SQL text) over
+        # row_id and the generated fields, cast to the declared type.
+        types = {f.name: f.spark_type for f in get_schema(schema_name).generated_fields()}
+        unknown = set(overrides) - set(types)
+        if unknown:
+            raise ValueError(f"unknown fields {sorted(unknown)} for {schema_name}")
+        out = out.select("row_id", *[
+            ((F.expr(overrides[n]) if isinstance(overrides[n], str) else overrides[n])
+             .cast(types[n]).alias(n) if n in overrides else F.col(n)) for n, _ in fields])
+    return out
 
 
 def generate(spark: SparkSession, schema_name: str, n: int, seed: int = 42, start=None, end=None,
-             rows_per_partition: int = 1_000_000) -> DataFrame:
+             rows_per_partition: int = 1_000_000, overrides: dict | None = None) -> DataFrame:
     """G1 from ``spark.range``: ``n`` rows in ``ceil(n / rows_per_partition)`` partitions."""
     if n < 0:
         raise ValueError("count must be >= 0")
@@ -318,7 +330,7 @@ def generate(spark: SparkSession, schema_name: str, n: int, seed: int = 42, star
     floor_parts = min(spark.sparkContext.defaultParallelism, max(1, n // 10_000))
     parts = max(1, math.ceil(n / rows_per_partition), floor_parts)
     ids = spark.range(0, n, 1, parts).withColumnRenamed("id", "row_id")
-    return generate_for(spark, schema_name, ids, seed, start, end)
+    return generate_for(spark, schema_name, ids, seed, start, end, overrides=overrides)
 
 
 def oracle_sql(schema_name: str, source_sql: str, seed: int = 42, start="2024-01-01",

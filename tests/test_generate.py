@@ -69,3 +69,13 @@ def test_line_items_parse(spark):
     assert per[0] >= 1 and per[1] <= 5
     q = items.agg(F.min("quantity"), F.max("quantity"), F.min("unit_price"), F.max("unit_price")).first()
     assert q[0] >= 1 and q[1] <= 10 and float(q[2]) >= 10 and float(q[3]) <= 500
+
+
+def test_field_overrides(spark):
+    df = G.generate(spark, "sales_orders", 50, start="2024-01-01", end="2024-12-31",
+                    overrides={"status": F.lit("pending"), "total": "subtotal + tax + shipping"})
+    assert {r.status for r in df.select("status").distinct().collect()} == {"pending"}
+    assert df.where("total != subtotal + tax + shipping").count() == 0
+    assert df.schema["total"].dataType.simpleString() == "decimal(12,2)"
+    with pytest.raises(ValueError):
+        G.generate(spark, "contacts", 5, overrides={"nope": F.lit(1)})
