@@ -38,3 +38,42 @@ def test_quantiles_edge_cases(spark):
     got = {(r.g, r.p): r.q for r in exact_quantiles(df, "g", "v", [0.0, 0.5, 0.95, 1.0]).collect()}
     assert all(got[("const", p)] == 5.0 for p in [0.0, 0.5, 0.95, 1.0])
     assert all(got[("one", p)] == 2.5 for p in [0.0, 0.5, 0.95, 1.0])
+
+
+GROUPS = st.lists(st.tuples(st.one_of(st.none(), st.sampled_from([0, 0, 0, 1, 2])),
+                            st.integers(0, 6), st.integers(-5, 5)),
+                  min_size=1, max_size=60)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=GROUPS, chunks=st.integers(1, 5))
+def test_ordered_window_equals_window(spark, rows, chunks):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from furrow.functions.ordered_window import ordered_window
+    df = spark.createDataFrame([(g, t, i, float(v)) for i, (g, t, v) in enumerate(rows)],
+                               "g int, t int, i int, v double")
+    got = ordered_window(df, ["g"], ["t", "i"], row_number="rn", rank="rk",
+                         running_sums={"rs": "v"}, lags={"pv": "v"}, leads={"nv": "v"}, chunks=chunks)
+    w = Window.partitionBy("g").orderBy("t", "i")
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("rn"),
+                     F.rank().over(w).cast("bigint").alias("rk"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"),
+                     F.lag("v").over(w).alias("pv"), F.lead("v").over(w).alias("nv"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=GROUPS, k=st.integers(1, 4), salts=st.integers(1, 6))
+def test_top_k_per_group_equals_row_number(spark, rows, k, salts):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from furrow.functions.topk import top_k_per_group
+    df = spark.createDataFrame([(g, t, i) for i, (g, t, _) in enumerate(rows)], "g int, t int, i int")
+    order = [F.desc("t"), F.asc("i")]
+    got = top_k_per_group(df, ["g"], order, k, salts=salts)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))) \
+        .where(F.col("rank") <= k)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
