@@ -7,7 +7,8 @@ measures, dimensions, an optional time granularity and filters; the plan is a
 ``where`` -> ``groupBy`` -> ``agg`` that Catalyst prunes and pushes down.
 
 Re-aggregation: only additive measures (``sum``, ``count``) can be answered
-from a pre-aggregate; ``avg`` is answered as sum / count from its parts;
+from a pre-aggregate; ``avg`` is answered as sum / count from its parts and
+``ratio`` (sum of one expression over the sum of another) likewise;
 ``count_distinct`` is never re-aggregated (it raises instead of being wrong).
 """
 
@@ -24,14 +25,20 @@ from furrow.operators.timeseries import bucket
 @dataclass(frozen=True)
 class Measure:
     name: str
-    kind: str                  # sum | count | count_distinct | avg
-    expr: str | None = None    # SQL expression over the fact (None for count)
+    kind: str                  # sum | count | count_distinct | avg | ratio
+    expr: str | tuple | None = None   # SQL over the fact; ratio: (numerator, denominator)
 
     @property
     def additive(self) -> bool:
-        return self.kind in ("sum", "count", "avg")
+        return self.kind in ("sum", "count", "avg", "ratio")
+
+    def _ratio(self, num: Column, den: Column) -> Column:
+        return num.cast("double") / den.cast("double")
 
     def column(self) -> Column:
+        if self.kind == "ratio":
+            n, d = self.expr
+            return self._ratio(F.sum(F.expr(n)), F.sum(F.expr(d)))
         e = F.expr(self.expr) if self.expr else F.lit(1)
         if self.kind == "sum":
             return F.sum(e)
@@ -45,6 +52,9 @@ class Measure:
 
     def parts(self) -> list[tuple[str, Column]]:
         """Additive partial columns kept in a pre-aggregate."""
+        if self.kind == "ratio":
+            n, d = self.expr
+            return [(f"{self.name}__num", F.sum(F.expr(n))), (f"{self.name}__den", F.sum(F.expr(d)))]
         e = F.expr(self.expr) if self.expr else F.lit(1)
         if self.kind == "sum":
             return [(self.name, F.sum(e))]
@@ -59,6 +69,8 @@ class Measure:
             return F.sum(self.name)
         if self.kind == "avg":
             return F.sum(f"{self.name}__sum") / F.sum(f"{self.name}__n")
+        if self.kind == "ratio":
+            return self._ratio(F.sum(f"{self.name}__num"), F.sum(f"{self.name}__den"))
         raise ValueError(f"measure {self.name} ({self.kind}) is not re-aggregable")
 
 

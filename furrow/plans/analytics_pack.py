@@ -80,6 +80,7 @@ def sales_cube(spark: SparkSession, sf: str) -> M.Cube:
         "revenue": M.Measure("revenue", "sum", "rev"),
         "lines": M.Measure("lines", "sum", "n_lines"),
         "customers": M.Measure("customers", "count_distinct", "o_custkey"),
+        "revenue_per_line": M.Measure("revenue_per_line", "ratio", ("rev", "n_lines")),
     }, {"n_name": "n_name", "r_name": "r_name"}, time_dimension="o_orderdate")
 
 
@@ -100,6 +101,20 @@ def cube_preagg_reuse(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("lines").cast("bigint").alias("lines"))
 
 
+def cube_ratio_by_region_year(spark: SparkSession, sf: str) -> DataFrame:
+    """A ratio measure (revenue per line) by region and year, answered from
+    the persisted region x nation x month pre-aggregate (ratio re-aggregated
+    from its summed parts)."""
+    store = TableStore(spark, scratch_path(spark, "preagg"), "duckdb")
+    pre = (sales_cube(spark, sf)
+           .preaggregate(["revenue_per_line", "lines"], ["r_name", "n_name"], "month")
+           .persist(store, "sales_by_region_nation_month"))
+    q = pre.answer(["revenue_per_line", "lines"], ["r_name"], "year")
+    return q.select("r_name", F.col("year").cast("int").alias("year"),
+                    F.round("revenue_per_line", 4).alias("revenue_per_line"),
+                    F.col("lines").cast("bigint").alias("lines"))
+
+
 def cube_rollup(spark: SparkSession, sf: str) -> DataFrame:
     q = sales_cube(spark, sf).rollup(["revenue", "lines", "customers"], ["r_name", "n_name"])
     return q.select("r_name", "n_name", "gid", F.round("revenue", 2).cast("decimal(18,2)").alias("revenue"),
@@ -129,6 +144,7 @@ QUERIES = {
     "cube_revenue_by_nation_month": cube_revenue_by_nation_month,
     "cube_preagg_reuse": cube_preagg_reuse,
     "cube_rollup": cube_rollup,
+    "cube_ratio_by_region_year": cube_ratio_by_region_year,
     "incremental_upsert": incremental_upsert,
 }
 
@@ -172,6 +188,11 @@ ORACLES = {
         SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(round(sum(rev), 2) AS DECIMAL(18,2)) AS revenue,
                CAST(count(*) AS BIGINT) AS lines
         FROM star GROUP BY 1, 2""",
+    "cube_ratio_by_region_year": f"""WITH {_STAR}
+        SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS year,
+               round(CAST(sum(rev) AS DOUBLE) / CAST(count(*) AS DOUBLE), 4) AS revenue_per_line,
+               CAST(count(*) AS BIGINT) AS lines
+        FROM star GROUP BY 1, 2""",
     "cube_rollup": f"""WITH {_STAR}
         SELECT r_name, n_name, CAST(grouping_id(r_name, n_name) AS BIGINT) AS gid, CAST(round(sum(rev), 2) AS DECIMAL(18,2)) AS revenue,
                CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers
