@@ -146,6 +146,7 @@ class _Ctx:
         # projection (``_m0``, ``_m1``, ...) and draws read slices of it.
         self.shared = shared
         self.hashes: dict[str, str] = {}
+        self.draws: dict[tuple[str, int], str] = {}   # (hash column, k) -> draw column
         self.slots: dict[tuple[str, int], int] = {}
 
     def key(self, group: str, extra: str | None = None) -> str:
@@ -164,7 +165,7 @@ class _Ctx:
         key = self.key(group, extra)
         if self.shared and (extra is None or extra.isdigit()):
             col = self.hashes.setdefault(key, f"_m{len(self.hashes)}")
-            return self.d.draw_hex(col, k)
+            return self.draws.setdefault((col, k), f"_d{len(self.draws)}")
         return self.d.draw(key, k)
 
     def time(self) -> str:
@@ -295,16 +296,19 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     projection; coarse inputs are first spread over the cluster, see
     :func:`furrow.functions.partitioning.spread`).
 
-    Two projections: the first computes each distinct md5 once per row, the
-    second slices draws out of them. Catalyst keeps them apart because md5 is
-    not a cheap expression to duplicate.
+    Three projections: each distinct md5 once per row, then each draw (a
+    32-bit slice of an md5, as bigint) once per row, then the fields from the
+    draws. Catalyst keeps them apart because md5 and conv are not cheap
+    expressions to duplicate, so no string-to-number conversion is repeated.
     """
     ctx = _Ctx(get_schema(schema_name), SPARK, seed, start, end, "row_id", shared=True)
     fields = field_exprs(schema_name, SPARK, seed, start, end, "row_id", ctx=ctx)
     ids = spread(ids.select(F.col(row_id).cast("bigint").alias("row_id")), "row_id")
     hashed = ids.select("row_id",
                         *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
-    out = hashed.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
+    drawn = hashed.select("row_id", *[F.expr(SPARK.draw_hex(col, k)).alias(name)
+                                      for (col, k), name in ctx.draws.items()])
+    out = drawn.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
     if overrides:
         # Caller-supplied field generators: any Column (or SQL text) over
         # row_id and the generated fields, cast to the declared type.
