@@ -124,18 +124,34 @@ def cube_rollup(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- R7
 
 
-def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Base: orders below half the key range (version 1). Change set: the upper
-    three quarters with o_orderstatus 'X' (version 2). Latest version wins."""
+def _base_and_changes(spark: SparkSession, sf: str):
     o = load(spark, sf, "orders")
     top = o.agg(F.max("o_orderkey")).first()[0] + 1
     half, quarter = top // 2, top // 4
     base = o.where(F.col("o_orderkey") < half).withColumn("version", F.lit(1))
     changes = (o.where(F.col("o_orderkey") >= quarter).withColumn("o_orderstatus", F.lit("X"))
                .withColumn("version", F.lit(2)))
+    return base, changes
+
+
+def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Base: orders below half the key range (version 1). Change set: the upper
+    three quarters with o_orderstatus 'X' (version 2). Latest version wins."""
+    base, changes = _base_and_changes(spark, sf)
     return I.upsert(base, changes, "o_orderkey", "version")
 
 
+def incremental_full_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Full refresh of a model table: the base is published first, then the
+    rebuilt model (base upserted with the changes) replaces it atomically."""
+    base, changes = _base_and_changes(spark, sf)
+    store = TableStore(spark, scratch_path(spark, "models"), "duckdb")
+    I.full_refresh(store, "orders_model", base)
+    I.full_refresh(store, "orders_model", I.upsert(store.read("orders_model"), changes,
+                                                   "o_orderkey", "version"))
+    return store.read("orders_model")
+
+
 QUERIES = {
     "ts_daily_filled": ts_daily_filled,
     "ts_moving_avg": ts_moving_avg,
@@ -146,6 +162,7 @@ QUERIES = {
     "cube_rollup": cube_rollup,
     "cube_ratio_by_region_year": cube_ratio_by_region_year,
     "incremental_upsert": incremental_upsert,
+    "incremental_full_refresh": incremental_full_refresh,
 }
 
 _DAILY = """daily AS (
@@ -205,3 +222,5 @@ ORACLES = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, v AS version
         FROM u QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) = 1""",
 }
+
+ORACLES["incremental_full_refresh"] = ORACLES["incremental_upsert"]
