@@ -190,6 +190,10 @@ def check_constraints(df: DataFrame, table: str, not_null: list[str] = (),
 # ---------------------------------------------------------------- the store
 
 
+class _VersionConflict(RuntimeError):
+    """Another writer published the version this one wanted."""
+
+
 class TableStore:
     """Parquet tables under one root folder with atomic, versioned publishes.
 
@@ -240,7 +244,13 @@ class TableStore:
     def _publish(self, table: str, segments: list[str], ddl: str, expect: int | None,
                  max_id: int | None = None) -> int:
         nxt = (expect or 0) + 1
-        out = self._fs.create(self._Path(f"{self._vdir(table)}/{nxt:08d}.json"), False)
+        path = self._Path(f"{self._vdir(table)}/{nxt:08d}.json")
+        try:
+            out = self._fs.create(path, False)
+        except Exception as e:  # noqa: BLE001 - py4j wraps FileAlreadyExistsException
+            if self._fs.exists(path):
+                raise _VersionConflict(f"{table}: version {nxt} was published concurrently") from e
+            raise
         body = {"segments": segments, "schema": ddl, "max_id": max_id}
         try:
             out.write(bytearray(json.dumps(body).encode()))
@@ -270,8 +280,24 @@ class TableStore:
 
     # -- K2a / K2b / K3
     def insert(self, table: str, df: DataFrame, unique_key: list[str] | None = None,
-               order_cols: list[str] | None = None, id_col: str | None = None) -> dict:
-        """Load ``df``; returns ``{"offered", "inserted", "total"}``."""
+               order_cols: list[str] | None = None, id_col: str | None = None,
+               attempts: int = 3) -> dict:
+        """Load ``df``; returns ``{"offered", "inserted", "total"}``.
+
+        Optimistic concurrency: if another writer published the next version
+        first, the load is recomputed against the new state (its keys may now
+        be taken) and published again, up to ``attempts`` times; a losing
+        attempt leaves only an unreferenced segment behind.
+        """
+        for attempt in range(attempts):
+            try:
+                return self._insert_once(table, df, unique_key, order_cols, id_col)
+            except _VersionConflict:
+                if attempt == attempts - 1:
+                    raise
+        raise AssertionError("unreachable")
+
+    def _insert_once(self, table: str, df: DataFrame, unique_key, order_cols, id_col) -> dict:
         meta = self._meta(table)
         if meta is None:
             raise ValueError(f"table {table} does not exist; create it first")

@@ -150,3 +150,24 @@ def test_jdbc_generated_table_with_declared_varchar_sizes(spark):
                  column_types=s.jdbc_column_types(), driver=drv)
     back = K.read_jdbc(spark, url, "CONTACTS", driver=drv)
     assert back.count() == 50
+
+
+def test_concurrent_publish_is_retried_against_new_state(spark):
+    st = K.TableStore(spark, tempfile.mkdtemp(prefix="furrow-race-"), "duckdb")
+    schema = "id bigint, k string"
+    st.create_if_absent("t", spark.createDataFrame([], schema).schema)
+    real_publish, raced = st._publish, []
+
+    def racing_publish(table, segments, ddl, expect, max_id=None):
+        if not raced:                 # a competing writer lands key "b" first
+            raced.append(1)
+            other = f"{st.root}/{table}/seg-other"
+            spark.createDataFrame([(1, "b")], schema).write.parquet(other)
+            real_publish(table, [other], ddl, expect, 1)
+        return real_publish(table, segments, ddl, expect, max_id)
+
+    st._publish = racing_publish
+    r = st.insert("t", spark.createDataFrame([(None, "a"), (None, "b")], schema),
+                  unique_key=["k"], id_col="id")
+    got = sorted((x.id, x.k) for x in st.read("t").collect())
+    assert got == [(1, "b"), (2, "a")] and r["inserted"] == 1
