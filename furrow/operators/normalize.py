@@ -100,17 +100,19 @@ def product_dimension(feed: DataFrame, seq: str) -> DataFrame:
     return _number(product_candidates(feed, seq), "sku", 1).select("id", "sku", "name")
 
 
-def merge_dimension(existing: DataFrame | None, candidates: DataFrame, key: str) -> DataFrame:
+def merge_dimension(existing: DataFrame | None, candidates: DataFrame, key: str,
+                    max_id: int | None = None) -> DataFrame:
     """Keep existing rows on key conflict; new keys get ids after ``max(id)``.
 
     ``candidates`` is the output of ``customer_candidates`` /
-    ``product_candidates`` (it carries ``first_seq``).
+    ``product_candidates`` (it carries ``first_seq``). Pass ``max_id`` when it
+    is known (e.g. from table metadata) to skip the scan of the existing ids.
     """
     cols = [c for c in candidates.columns if c != "first_seq"]
     out_cols = ["id"] + cols
     if existing is None:
         return _number(candidates, key, 1).select(*out_cols)
-    top = existing.agg(F.max("id")).first()[0] or 0
+    top = max_id if max_id is not None else (existing.agg(F.max("id")).first()[0] or 0)
     new = candidates.join(existing.select(key), key, "left_anti")
     return existing.select(*out_cols).unionByName(_number(new, key, int(top) + 1).select(*out_cols))
 

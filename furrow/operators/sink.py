@@ -258,6 +258,12 @@ class TableStore:
             out.close()
         return nxt
 
+    def max_id(self, table: str) -> int | None:
+        """The largest id recorded in the table's current version (None when
+        the version does not track one)."""
+        meta = self._meta(table)
+        return None if meta is None else meta.get("max_id")
+
     def exists(self, table: str) -> bool:
         return bool(self._versions(table))
 
@@ -281,7 +287,7 @@ class TableStore:
     # -- K2a / K2b / K3
     def insert(self, table: str, df: DataFrame, unique_key: list[str] | None = None,
                order_cols: list[str] | None = None, id_col: str | None = None,
-               attempts: int = 3) -> dict:
+               attempts: int = 3, track_max: str | None = None) -> dict:
         """Load ``df``; returns ``{"offered", "inserted", "total"}``.
 
         Optimistic concurrency: if another writer published the next version
@@ -291,13 +297,14 @@ class TableStore:
         """
         for attempt in range(attempts):
             try:
-                return self._insert_once(table, df, unique_key, order_cols, id_col)
+                return self._insert_once(table, df, unique_key, order_cols, id_col, track_max)
             except _VersionConflict:
                 if attempt == attempts - 1:
                     raise
         raise AssertionError("unreachable")
 
-    def _insert_once(self, table: str, df: DataFrame, unique_key, order_cols, id_col) -> dict:
+    def _insert_once(self, table: str, df: DataFrame, unique_key, order_cols, id_col,
+                     track_max: str | None = None) -> dict:
         meta = self._meta(table)
         if meta is None:
             raise ValueError(f"table {table} does not exist; create it first")
@@ -333,6 +340,10 @@ class TableStore:
             top = max(base, int(seg_max or 0))
             if consumed is not None:        # the sequence moved past skipped rows too
                 top = max(top, base + consumed)
+        elif track_max:
+            # ids supplied by the caller: keep their max in the metadata too
+            inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(track_max)).first()
+            top = max(int(top or 0), int(seg_max or 0))
         else:
             inserted = written.count()
         self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top)

@@ -91,11 +91,12 @@ def _insert(store: TableStore, table: str, rows, unique: list[str]) -> dict:
 
 def _merge_dim(store: TableStore, name: str, candidates, key: str, ddl: str):
     from pyspark.sql.types import StructType
-    store.create_if_absent(name, StructType.fromDDL(ddl))
+    created = store.create_if_absent(name, StructType.fromDDL(ddl))
     existing = store.read(name)
-    merged = N.merge_dimension(existing, candidates, key)
+    known = 0 if created else store.max_id(name)
+    merged = N.merge_dimension(existing, candidates, key, max_id=known)
     new = merged.join(existing.select(key), key, "left_anti")
-    store.insert(name, new)
+    store.insert(name, new, track_max="id")
     return store.read(name)
 
 

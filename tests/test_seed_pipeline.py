@@ -61,3 +61,20 @@ def test_cli(spark, capsys):
     main(["--root", tempfile.mkdtemp(prefix="furrow-cli-"), "-t", "contacts", "-n", "25", "-b", "10",
           "--start", "2024-01-01", "--end", "2024-01-31"])
     assert '"inserted": 25' in capsys.readouterr().out
+
+
+def test_second_normalised_run_continues_dimension_ids(spark):
+    from pyspark.sql import functions as F
+
+    from furrow.operators.sink import TableStore
+    root = tempfile.mkdtemp(prefix="furrow-seed-ids-")
+    seed(spark, root, "duckdb", "manufacturing_orders", 40, 20, "2024-01-01", "2024-12-31",
+         normalize=True, seed_value=1)
+    seed(spark, root, "duckdb", "manufacturing_orders", 40, 20, "2024-01-01", "2024-12-31",
+         normalize=True, seed_value=2)
+    st = TableStore(spark, root, "duckdb")
+    dim = st.read("dim_product")
+    n, top, distinct = dim.agg(F.count("*"), F.max("id"), F.countDistinct("id")).first()
+    assert n == top == distinct and st.max_id("dim_product") == top
+    fact = st.read("manufacturing_orders_normalized")
+    assert fact.join(dim, fact.product_id == dim.id, "left_anti").count() == 0
