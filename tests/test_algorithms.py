@@ -99,3 +99,14 @@ def test_dense_ids_hot_leading_value_and_string_keys(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 3000
     only_strings = dense_ids(df.select("s"), ["s"], "rid", chunks=4)
     assert only_strings.agg(F.min("rid"), F.max("rid"), F.countDistinct("rid")).first() == (1, 3000, 3000)
+
+
+def test_profile_approx_mode_close_to_exact(spark):
+    from furrow.operators.profile import profile_numeric
+    from furrow.sources.tables import load
+    ev = load(spark, "/root/testdata/sf0.01", "events")
+    exact = {r.column: r.distinct for r in profile_numeric(ev, "events", ["user_id", "value"]).collect()}
+    approx = {r.column: r.distinct for r in
+              profile_numeric(ev, "events", ["user_id", "value"], exact=False).collect()}
+    for c in exact:
+        assert abs(approx[c] - exact[c]) <= 0.1 * exact[c]
