@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
+    if df.isStreaming:          # a stream has no fixed split count to inspect
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
