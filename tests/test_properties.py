@@ -77,3 +77,24 @@ def test_top_k_per_group_equals_row_number(spark, rows, k, salts):
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))) \
         .where(F.col("rank") <= k)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+FEED = st.lists(st.tuples(st.one_of(st.none(), st.just(""), st.sampled_from(["a@x", "b@x", "c@x", "A@x"])),
+                          st.one_of(st.none(), st.sampled_from(["Ann", "Bo", ""]))),
+                min_size=0, max_size=30)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=FEED)
+def test_customer_dimension_matches_sequential_normaliser(spark, rows):
+    from furrow.operators import normalize as N
+    expected, next_id = {}, 1
+    for email, name in rows:              # the seed normaliser's loop
+        if not email or email in expected:
+            continue
+        expected[email] = (next_id, name, "")
+        next_id += 1
+    feed = spark.createDataFrame([(i, e, n) for i, (e, n) in enumerate(rows)],
+                                 "seq bigint, customer_email string, customer_name string")
+    got = {r.email: (r.id, r.name, r.phone) for r in N.customer_dimension(feed, "seq").collect()}
+    assert got == expected
