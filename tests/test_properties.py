@@ -98,3 +98,27 @@ def test_customer_dimension_matches_sequential_normaliser(spark, rows):
                                  "seq bigint, customer_email string, customer_name string")
     got = {r.email: (r.id, r.name, r.phone) for r in N.customer_dimension(feed, "seq").collect()}
     assert got == expected
+
+
+PFEED = st.lists(st.tuples(st.one_of(st.none(), st.just(""), st.sampled_from(["S1", "S2"])),
+                           st.one_of(st.none(), st.just(""), st.sampled_from(["S2", "S3"])),
+                           st.one_of(st.none(), st.just(""), st.just("Widget")),
+                           st.one_of(st.none(), st.just("Alt"))),
+                 min_size=0, max_size=25)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=PFEED)
+def test_product_dimension_fallbacks_match_sequential_normaliser(spark, rows):
+    from furrow.operators import normalize as N
+    expected, next_id = {}, 1
+    for psku, sku, pname, name in rows:   # key: product_sku or sku; name: product_name or name
+        key = psku or sku
+        if not key or key in expected:
+            continue
+        expected[key] = (next_id, pname or name)
+        next_id += 1
+    feed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                 "seq bigint, product_sku string, sku string, product_name string, name string")
+    got = {r.sku: (r.id, r.name) for r in N.product_dimension(feed, "seq").collect()}
+    assert got == expected
