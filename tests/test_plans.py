@@ -63,3 +63,10 @@ def test_dense_ids_never_funnel_rows_through_one_partition(spark):
     for m in re.finditer(r"Exchange SinglePartition", p):
         below = p[m.end():m.end() + 400]
         assert "_chunk" in below
+
+
+def test_first_seen_aggregates_partially_before_the_shuffle(spark):
+    li = load(spark, "/root/testdata/sf0.1", "lineitem")
+    # 16 input partitions >= local parallelism, so spread() adds no exchange
+    p = plan(K.first_seen(li.repartition(16), ["l_orderkey", "l_linenumber"], ["l_partkey"]))
+    assert "partial_min_by" in p                             # hot keys collapse map-side
