@@ -1,8 +1,8 @@
 """Session construction and cluster-safe scratch locations.
 
 The library never decides where a cluster keeps its shared scratch data: the
-checkpoint folder is read from ``spark.checkpoint.dir``. Only when that is
-unset (local runs, tests) do we pick a private folder under the local temp dir.
+checkpoint folder is the one set on the context or in ``spark.checkpoint.dir``.
+Only a ``local`` master without one (tests) gets a private temp folder.
 """
 
 from __future__ import annotations
@@ -56,15 +56,22 @@ def build_session(master: str | None = None, app: str = "furrow",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only if unset."""
+    """Return the shared checkpoint folder of this session.
+
+    The folder set on the context wins (Spark itself sets it from
+    ``spark.checkpoint.dir``), then the configuration key. A private temp
+    folder is chosen only for a ``local`` master; on a cluster an unset folder
+    is an error, because executors would not share it.
+    """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="furrow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            d = tempfile.mkdtemp(prefix="furrow-ckpt-")
         sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
