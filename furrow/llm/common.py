@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,24 @@ from furrow.sources.tables import load
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Let Spark send this package to its Python workers, once a session,
+    unless they find it on PYTHONPATH as the driver does."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    if sc.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="furrow-py-"), "furrow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "furrow").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing",)
+MODULES = ("chat", "mixing")
 
 
 def _modules():
