@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "fingerprints", "mixing")
+MODULES = ("bpe", "chat", "fingerprints", "mixing")
 
 
 def _modules():
