@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "chat", "fingerprints", "mixing")
+MODULES = ("bpe", "chat", "fingerprints", "html_extract", "mixing", "toxicity")
 
 
 def _modules():
