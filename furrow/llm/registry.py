@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "chat", "fingerprints", "html_extract", "mixing", "toxicity")
+import corpus_pipeline
+
+MODULES = ("bpe", "chat", "fingerprints", "html_extract", "mixing", "mtree", "ngram_join", "pii", "suffix_dedup",
+           "toxicity")
 
 
 def _modules():
@@ -12,14 +15,14 @@ def _modules():
 
 
 def queries() -> dict:
-    out = {}
+    out = {"pipeline": corpus_pipeline.run}
     for m in _modules():
         out.update(m.QUERIES)
     return out
 
 
 def oracle_sql() -> dict:
-    out = {}
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for m in _modules():
         out.update(getattr(m, "ORACLES", {}))
     return out
