@@ -81,7 +81,8 @@ def ordered_window(df: DataFrame, partition_cols: list[str], order_cols: list[st
     carry = summary.select(
         F.col("_chunk").alias("_c_chunk"), *[F.col(c).alias(f"_c_{c}") for c in partition_cols],
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_c_cnt"),
-        *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_c_sum_{o}") for o in running_sums],
+        # stays null while nothing but nulls came before, as in a plain window
+        *[F.sum(f"_sum_{o}").over(before).alias(f"_c_sum_{o}") for o in running_sums],
         *[F.lag(f"_last_{o}").over(sw).alias(f"_c_prev_{o}") for o in lags],
         *[F.lead(f"_first_{o}").over(sw).alias(f"_c_next_{o}") for o in leads])
 
@@ -92,14 +93,14 @@ def ordered_window(df: DataFrame, partition_cols: list[str], order_cols: list[st
         cond = cond & local[c].eqNullSafe(carry[f"_c_{c}"])
     out = local.join(F.broadcast(carry), cond, "left")
     out = out.withColumn("_c_cnt", F.coalesce("_c_cnt", F.lit(0)))
-    for o in running_sums:
-        out = out.withColumn(f"_c_sum_{o}", F.coalesce(f"_c_sum_{o}", F.lit(0)))
     if row_number:
         out = out.withColumn(row_number, (F.col("_rn") + F.col("_c_cnt")).cast("bigint"))
     if rank:
         out = out.withColumn(rank, (F.col("_rk") + F.col("_c_cnt")).cast("bigint"))
     for o in running_sums:
-        out = out.withColumn(o, F.col(f"_rs_{o}") + F.col(f"_c_sum_{o}"))
+        local_sum, carried = F.col(f"_rs_{o}"), F.col(f"_c_sum_{o}")
+        out = out.withColumn(o, F.when(carried.isNull(), local_sum)
+                             .otherwise(F.coalesce(local_sum, carried - carried) + carried))
     for o in lags:
         out = out.withColumn(o, F.when(F.col("_rn") == 1, F.col(f"_c_prev_{o}"))
                              .otherwise(F.col(f"_lag_{o}")))

@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.ids import dense_ids
-from furrow.functions.partitioning import spread
 
 CUSTOMER_SCHEMAS = ("sales_orders", "invoices")
 PRODUCT_SCHEMAS = ("manufacturing_orders",)
@@ -67,7 +66,7 @@ def _first_seen(feed: DataFrame, key: Column, attrs: dict[str, Column], seq: str
     packed = F.struct(*[c.alias(n) for n, c in attrs.items()])
     rows = (feed.select(key.alias("_key"), packed.alias("_a"), F.col(seq).alias("_seq"))
             .where(_present(F.col("_key"))))
-    return (spread(rows, "_key").groupBy("_key")
+    return (rows.groupBy("_key")
             .agg(F.min_by("_a", "_seq").alias("_a"), F.min("_seq").alias("first_seq")))
 
 
@@ -108,13 +107,20 @@ def merge_dimension(existing: DataFrame | None, candidates: DataFrame, key: str,
     ``product_candidates`` (it carries ``first_seq``). Pass ``max_id`` when it
     is known (e.g. from table metadata) to skip the scan of the existing ids.
     """
-    cols = [c for c in candidates.columns if c != "first_seq"]
-    out_cols = ["id"] + cols
     if existing is None:
-        return _number(candidates, key, 1).select(*out_cols)
+        return new_members(None, candidates, key, 0)
     top = max_id if max_id is not None else (existing.agg(F.max("id")).first()[0] or 0)
-    new = candidates.join(existing.select(key), key, "left_anti")
-    return existing.select(*out_cols).unionByName(_number(new, key, int(top) + 1).select(*out_cols))
+    new = new_members(existing, candidates, key, int(top))
+    return existing.select(*new.columns).unionByName(new)
+
+
+def new_members(existing: DataFrame | None, candidates: DataFrame, key: str, max_id: int) -> DataFrame:
+    """The rows that N5 adds: candidates whose key ``existing`` lacks, numbered
+    from ``max_id + 1`` on."""
+    out_cols = ["id", *[c for c in candidates.columns if c != "first_seq"]]
+    if existing is not None:
+        candidates = candidates.join(existing.select(key), key, "left_anti")
+    return _number(candidates, key, max_id + 1).select(*out_cols)
 
 
 def _rewrite(feed: DataFrame, key: Column, dim: DataFrame, dim_key: str,

@@ -23,7 +23,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.partitioning import spread
 from furrow.session import ensure_checkpoint_dir
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -48,8 +47,7 @@ def bm25(docs: DataFrame, terms: list[str], k: int = 20, id_col: str = "doc_id",
          text_col: str = "text", k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
     """Top ``k`` documents for the query terms: ``doc_id, score`` (ties by id)."""
     terms = sorted({t.lower() for t in terms})
-    scored = (spread(docs.select(id_col, text_col), id_col)
-              .select(id_col, tokens(F.col(text_col)).alias("_t")))
+    scored = (docs.select(id_col, tokens(F.col(text_col)).alias("_t")))
     # Tokenise once: the per-document (length, tf...) table is tiny next to
     # the text, and a reliable checkpoint lets both passes below reuse it.
     scored = scored.select(id_col, F.size("_t").alias("_dl"),
@@ -79,7 +77,6 @@ def boolean_match(docs: DataFrame, must: list[str] = (), must_not: list[str] = (
                   should: list[str] = (), text_col: str = "text") -> DataFrame:
     """Documents with every ``must`` term, no ``must_not`` term and (if given)
     at least one ``should`` term. A narrow filter on the token array."""
-    docs = spread(docs, docs.columns[0])
     toks = tokens(F.col(text_col))
     cond = F.lit(True)
     for t in must:

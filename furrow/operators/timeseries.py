@@ -18,16 +18,17 @@ UNITS = {"hour", "day", "week", "month"}
 def bucket(ts: Column, unit: str) -> Column:
     """Calendar bucket start; weeks start on Monday (``date_trunc('week')``).
 
-    ``date_trunc`` returns a session-zone TIMESTAMP, so hours are cast back to
-    TIMESTAMP_NTZ and coarser units to DATE.
+    Hours of a TIMESTAMP_NTZ are cut by interval arithmetic, never through the
+    session zone, whose clock changes would move them; coarser units are DATEs.
     """
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {sorted(UNITS)}")
     if unit == "hour":
-        return F.date_trunc("hour", ts).cast("timestamp_ntz")
+        wall = ts.cast("timestamp_ntz")
+        return wall - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(wall), F.date_part(F.lit("SECOND"), wall))
     if unit == "day":
         return F.to_date(ts)
-    return F.to_date(F.date_trunc(unit, ts))
+    return F.trunc(F.to_date(ts), unit)
 
 
 def _step(unit: str) -> Column:
@@ -52,7 +53,12 @@ def fill_gaps(agg: DataFrame, unit: str, series: list[str], fill: dict[str, obje
     keys = agg.select(*series).distinct()
     spine = keys.select(*series, F.explode(F.sequence(F.lit(lo).cast(typ), F.lit(hi).cast(typ),
                                                       _step(unit))).alias("bucket"))
-    out = spine.join(agg, series + ["bucket"], "left")
+    # null-safe: rows without a series value are a series of their own
+    found = agg.select(*[F.col(c).alias(f"_{c}") if c in [*series, "bucket"] else F.col(c) for c in agg.columns])
+    same = F.col("bucket") == F.col("_bucket")
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = spine.join(found, same, "left").drop("_bucket", *[f"_{c}" for c in series])
     for c, v in fill.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out
@@ -65,8 +71,10 @@ def moving_average(series_df: DataFrame, series: list[str], value: str, rows: in
     return series_df.withColumn(out, F.avg(value).over(w))
 
 
-def period_over_period(series_df: DataFrame, series: list[str], value: str) -> DataFrame:
-    """Previous bucket's value and the change against it."""
+def period_over_period(series_df: DataFrame, series: list[str], value: str, unit: str) -> DataFrame:
+    """The value one ``unit`` earlier (null when that bucket is absent) and the
+    change against it."""
     w = Window.partitionBy(*series).orderBy("bucket")
-    prev = F.lag(value).over(w)
+    due = (F.col("bucket") - _step(unit)).cast(series_df.schema["bucket"].dataType)
+    prev = F.when(F.lag("bucket").over(w) == due, F.lag(value).over(w))
     return series_df.withColumn("previous", prev).withColumn("change", F.col(value) - F.col("previous"))

@@ -36,7 +36,7 @@ def ts_moving_avg(spark: SparkSession, sf: str) -> DataFrame:
 def ts_period_over_period(spark: SparkSession, sf: str) -> DataFrame:
     ev = load(spark, sf, "events")
     wk = TS.aggregate_series(ev, "ts", "week", ["event_type"], {"value_sum": F.sum("value")})
-    p = TS.period_over_period(wk, ["event_type"], "value_sum")
+    p = TS.period_over_period(wk, ["event_type"], "value_sum", "week")
     return p.select("event_type", F.col("bucket").alias("week"),
                     F.round("value_sum", 2).alias("value_sum"), F.round("previous", 2).alias("previous"),
                     F.round("change", 2).alias("change"))
@@ -191,10 +191,10 @@ ORACLES = {
     "ts_period_over_period": """WITH w AS (
           SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, sum(value) AS value_sum
           FROM events GROUP BY 1, 2)
-        SELECT event_type, week, round(value_sum, 2) AS value_sum,
-               round(lag(value_sum) OVER (PARTITION BY event_type ORDER BY week), 2) AS previous,
-               round(value_sum - lag(value_sum) OVER (PARTITION BY event_type ORDER BY week), 2) AS change
-        FROM w""",
+        SELECT c.event_type, c.week, round(c.value_sum, 2) AS value_sum,
+               round(p.value_sum, 2) AS previous, round(c.value_sum - p.value_sum, 2) AS change
+        FROM w c LEFT JOIN w p ON p.week = c.week - INTERVAL 7 DAY
+          AND p.event_type IS NOT DISTINCT FROM c.event_type""",
     "date_histogram": """SELECT date_trunc('hour', ts) AS hour, count(*) AS events
         FROM events WHERE event_type = 'click' GROUP BY 1""",
     "cube_revenue_by_nation_month": f"""WITH {_STAR}

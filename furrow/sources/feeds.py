@@ -20,10 +20,10 @@ def customer_email(c_name) -> F.Column:
 
 
 def orders_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 (seq = o_orderkey)."""
+    """F1 (seq = o_orderkey). Orders without a customer stay, with null key."""
     o = load(spark, sf_dir, "orders")
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return (o.join(c, o.o_custkey == c.c_custkey, "inner")
+    return (o.join(c, o.o_custkey == c.c_custkey, "left")
             .select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
                     F.col("c_name").alias("customer_name"),
                     customer_email(F.col("c_name")).alias("customer_email")))

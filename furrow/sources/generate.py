@@ -19,7 +19,6 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.functions.partitioning import spread
 from furrow.sources.schemas import (DAYS_AFTER_MAX, LINE_ITEMS, LINE_QUANTITY, LINE_UNIT_PRICE,
                                     NULL_SHARE, TableSchema, get_schema)
 
@@ -293,8 +292,7 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
                  start="2024-01-01", end="2024-12-31", row_id: str = "row_id",
                  overrides: dict | None = None) -> DataFrame:
     """G1 over given row ids: one generated row per input row (a narrow
-    projection; coarse inputs are first spread over the cluster, see
-    :func:`furrow.functions.partitioning.spread`).
+    projection over the splits of ``ids``).
 
     Three projections: each distinct md5 once per row, then each draw (a
     32-bit slice of an md5, as bigint) once per row, then the fields from the
@@ -303,7 +301,7 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     """
     ctx = _Ctx(get_schema(schema_name), SPARK, seed, start, end, "row_id", shared=True)
     fields = field_exprs(schema_name, SPARK, seed, start, end, "row_id", ctx=ctx)
-    ids = spread(ids.select(F.col(row_id).cast("bigint").alias("row_id")), "row_id")
+    ids = ids.select(F.col(row_id).cast("bigint").alias("row_id"))
     hashed = ids.select("row_id",
                         *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
     drawn = hashed.select("row_id", *[F.expr(SPARK.draw_hex(col, k)).alias(name)
@@ -323,17 +321,17 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
 
 
 def generate(spark: SparkSession, schema_name: str, n: int, seed: int = 42, start=None, end=None,
-             rows_per_partition: int = 1_000_000, overrides: dict | None = None) -> DataFrame:
-    """G1 from ``spark.range``: ``n`` rows in ``ceil(n / rows_per_partition)`` partitions."""
+             rows_per_partition: int = 100_000, overrides: dict | None = None,
+             first_row: int = 0) -> DataFrame:
+    """G1 from ``spark.range``: rows ``first_row`` to ``first_row + n - 1`` in
+    ``ceil(n / rows_per_partition)`` partitions. The partitioning never changes
+    the data."""
     if n < 0:
         raise ValueError("count must be >= 0")
     if rows_per_partition <= 0:
         raise ValueError("rows_per_partition must be > 0")
-    # Enough partitions for the cluster (at least ~10k rows each) so that no
-    # repartition is needed before the CPU-heavy projection.
-    floor_parts = min(spark.sparkContext.defaultParallelism, max(1, n // 10_000))
-    parts = max(1, math.ceil(n / rows_per_partition), floor_parts)
-    ids = spark.range(0, n, 1, parts).withColumnRenamed("id", "row_id")
+    parts = max(1, math.ceil(n / rows_per_partition))
+    ids = spark.range(first_row, first_row + n, 1, parts).withColumnRenamed("id", "row_id")
     return generate_for(spark, schema_name, ids, seed, start, end, overrides=overrides)
 
 

@@ -36,10 +36,3 @@ def test_stateful_insert_ignore_keeps_null_keys(spark):
     nulls = [(None, i) for i in range(0, 40, 4)]
     firsts = [(k, min(i for i in range(40) if i % 4 and i % 3 == k)) for k in range(3)]
     assert got == sorted(nulls + firsts, key=order)
-
-
-def test_spread_leaves_streams_alone(spark, tmp_path):
-    from furrow.functions.partitioning import spread
-    spark.range(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-    assert spread(stream, "id") is stream
