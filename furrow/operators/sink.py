@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.ids import dense_ids
-from furrow.functions.partitioning import spread
 
 # ---------------------------------------------------------------- flavours
 
@@ -82,9 +81,7 @@ def _first_seen_parts(df: DataFrame, keys: list[str], order_cols: list[str]):
     others = [c for c in df.columns if c not in keys]
     rank = F.struct(*[F.col(c) for c in order_cols + [o for o in others if o not in order_cols]])
     packed = F.struct(*[F.col(c) for c in others])
-    # spread: on coarse inputs, hash-partition by the key up front (the same
-    # exchange the aggregation needs); a no-op on large inputs.
-    best = (spread(df.where(_all_present(keys)), *keys).groupBy(*keys)
+    best = (df.where(_all_present(keys)).groupBy(*keys)
             .agg(F.min_by(packed, rank).alias("_r"))
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
             .select(*df.columns))
@@ -137,12 +134,19 @@ def assign_ids(accepted: DataFrame, order_cols: list[str], start_after: int = 0,
 
 
 def truncate_seconds(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """K7 (whole-second stores): truncate timestamps, keeping TIMESTAMP_NTZ."""
+    """K7 (whole-second stores): truncate timestamps, keeping TIMESTAMP_NTZ
+    (D10). Wall-clock times lose their fraction by interval arithmetic, so a
+    session zone's clock changes cannot move them."""
     cols = cols or [f.name for f in df.schema.fields
                     if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))]
     out = df
     for c in cols:
-        out = out.withColumn(c, F.date_trunc("second", F.col(c)).cast(df.schema[c].dataType))
+        if isinstance(df.schema[c].dataType, T.TimestampNTZType):
+            second = F.date_part(F.lit("SECOND"), F.col(c))
+            cut = F.col(c) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second - F.floor(second))
+        else:
+            cut = F.date_trunc("second", F.col(c))
+        out = out.withColumn(c, cut.cast(df.schema[c].dataType))
     return out
 
 
@@ -199,9 +203,16 @@ class TableStore:
 
     ``<root>/<table>/seg-<uuid>/`` hold data segments written by Spark;
     ``<root>/<table>/_versions/<n>.json`` lists the segments of version ``n``.
-    A load writes its segment first and then creates the next version file
-    with create-if-absent, so readers see the old or the new table, never a
-    half-written one, and a lost writer leaves only an unreferenced segment.
+    A load writes its segment first, then the whole version file under another
+    name, and renames it without overwriting, so readers see the old or the new
+    table, never a half-written one, and a lost writer leaves only unreferenced
+    files. This needs a file system whose rename is atomic (HDFS and its like);
+    on a local folder two writers in the same instant may not be told apart,
+    and plain object stores are not supported.
+
+    Constraints travel with the table: NOT NULL columns and the unique key of
+    the schema are kept with each version; ``insert`` uses the unique key
+    unless told otherwise and refuses rows with a null in a NOT NULL column.
     """
 
     def __init__(self, spark: SparkSession, root: str, flavour: str = "duckdb",
@@ -242,20 +253,27 @@ class TableStore:
         return meta
 
     def _publish(self, table: str, segments: list[str], ddl: str, expect: int | None,
-                 max_id: int | None = None) -> int:
+                 max_id: int | None = None, extra: dict | None = None) -> int:
+        """``extra``: what else the version keeps (unique key, offered rows)."""
         nxt = (expect or 0) + 1
         path = self._Path(f"{self._vdir(table)}/{nxt:08d}.json")
+        draft = self._Path(f"{self._vdir(table)}/.{uuid.uuid4().hex}.draft")
+        body = {"segments": segments, "schema": ddl, "max_id": max_id, **(extra or {})}
+        out = self._fs.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps(body).encode()))
+        finally:
+            out.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
+        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(path, False)
+            files.rename(draft, path, no_overwrite)
         except Exception as e:  # noqa: BLE001 - py4j wraps FileAlreadyExistsException
+            self._fs.delete(draft, False)
             if self._fs.exists(path):
                 raise _VersionConflict(f"{table}: version {nxt} was published concurrently") from e
             raise
-        body = {"segments": segments, "schema": ddl, "max_id": max_id}
-        try:
-            out.write(bytearray(json.dumps(body).encode()))
-        finally:
-            out.close()
         return nxt
 
     def max_id(self, table: str) -> int | None:
@@ -268,12 +286,23 @@ class TableStore:
         return bool(self._versions(table))
 
     # -- K1
-    def create_if_absent(self, table: str, schema: T.StructType) -> bool:
+    def create_if_absent(self, table: str, schema: T.StructType, unique: list[list[str]] | None = None) -> bool:
+        """``unique``: the unique keys; by default each field that its schema
+        declares unique is one."""
         if self.exists(table):
             return False
-        self._publish(table, [], schema.toDDL(), None)
+        keys = unique if unique is not None else [[f.name] for f in schema.fields if f.metadata.get("unique")]
+        try:
+            self._publish(table, [], schema.toDDL(), None, extra={"unique": keys, "offered": 0})
+        except _VersionConflict:  # another writer created it meanwhile
+            return False
         return True
 
+    def offered(self, table: str) -> int:
+        """Rows offered to the table so far, as its loads recorded them."""
+        meta = self._meta(table)
+        return int((meta or {}).get("offered") or 0)
+
     # -- read
     def read(self, table: str) -> DataFrame:
         meta = self._meta(table)
@@ -287,36 +316,42 @@ class TableStore:
     # -- K2a / K2b / K3
     def insert(self, table: str, df: DataFrame, unique_key: list[str] | None = None,
                order_cols: list[str] | None = None, id_col: str | None = None,
-               attempts: int = 3, track_max: str | None = None) -> dict:
+               attempts: int = 3, track_max: str | None = None, offered: int | None = None) -> dict:
         """Load ``df``; returns ``{"offered", "inserted", "total"}``.
 
         Optimistic concurrency: if another writer published the next version
         first, the load is recomputed against the new state (its keys may now
         be taken) and published again, up to ``attempts`` times; a losing
-        attempt leaves only an unreferenced segment behind.
+        attempt leaves only an unreferenced segment behind. ``df`` may be a
+        function (existing rows or None, largest id) -> rows, called anew for
+        each attempt. ``offered`` is the caller's row count, for the report.
         """
         for attempt in range(attempts):
             try:
-                return self._insert_once(table, df, unique_key, order_cols, id_col, track_max)
+                return self._insert_once(table, df, unique_key, order_cols, id_col, track_max, offered)
             except _VersionConflict:
                 if attempt == attempts - 1:
                     raise
         raise AssertionError("unreachable")
 
-    def _insert_once(self, table: str, df: DataFrame, unique_key, order_cols, id_col,
-                     track_max: str | None = None) -> dict:
+    def _insert_once(self, table: str, df, unique_key, order_cols, id_col,
+                     track_max: str | None = None, offered: int | None = None) -> dict:
         meta = self._meta(table)
         if meta is None:
             raise ValueError(f"table {table} does not exist; create it first")
         existing = self.read(table) if meta["segments"] else None
-        rows = df
-        if self.flavour.whole_seconds:
-            rows = truncate_seconds(rows)
         top = meta.get("max_id")
-        if id_col and top is None and existing is not None:
+        if (id_col or track_max) and top is None and existing is not None:
             # The table's max id is kept in its version metadata, so a load
-            # never scans the existing rows for it (only older versions lack it).
-            top = existing.agg(F.max(id_col)).first()[0]
+            # scans the existing rows for it only where a version lacks it.
+            top = existing.agg(F.max(id_col or track_max)).first()[0]
+        rows = df(existing, int(top or 0)) if callable(df) else df
+        if self.flavour.whole_seconds:
+            rows = truncate_seconds(rows)
+        declared = [k for k in meta.get("unique") or [] if set(k) <= set(rows.columns)]
+        if unique_key is None and self.flavour.on_conflict == "ignore" and declared:
+            reject_multi_key(declared)
+            unique_key = declared[0]
         arrival = order_cols or unique_key or rows.columns[:1]
         consumed = None
         if id_col and self.id_mode == "sequence":
@@ -334,6 +369,11 @@ class TableStore:
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
         rows.write.mode("errorifexists").parquet(seg)
         written = self.spark.read.parquet(seg)
+        needed = [f.name for f in target.fields if not f.nullable]
+        if needed:
+            missing = written.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first().asDict()
+            if any(missing.values()):
+                raise ValueError(f"{table}: null in NOT NULL columns {sorted(c for c, n in missing.items() if n)}")
         if id_col:
             inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(id_col)).first()
             base = int(top or 0)
@@ -346,8 +386,13 @@ class TableStore:
             top = max(int(top or 0), int(seg_max or 0))
         else:
             inserted = written.count()
-        self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top)
-        return {"offered": None, "inserted": inserted, "total": self.count(table)}
+        self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top, self._kept(
+            meta, offered=int(meta.get("offered") or 0) + int(offered if offered is not None else inserted)))
+        return {"offered": offered, "inserted": inserted, "total": self.count(table)}
+
+    @staticmethod
+    def _kept(meta: dict, **changed) -> dict:
+        return {"unique": meta.get("unique") or [], "offered": meta.get("offered") or 0, **changed}
 
     def replace(self, table: str, df: DataFrame) -> dict:
         """Full refresh: the new data becomes the only segment in one publish."""
@@ -358,7 +403,7 @@ class TableStore:
         target = T.StructType.fromDDL(meta["schema"])
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
         df.select(*[F.col(f.name).cast(f.dataType) for f in target.fields]).write.parquet(seg)
-        self._publish(table, [seg], meta["schema"], meta["version"], None)
+        self._publish(table, [seg], meta["schema"], meta["version"], None, self._kept(meta))
         return {"inserted": self.spark.read.parquet(seg).count(), "total": self.count(table)}
 
     def compact(self, table: str, files: int | None = None) -> int:
@@ -372,7 +417,7 @@ class TableStore:
             df = df.repartition(files)
         seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
         df.write.parquet(seg)
-        return self._publish(table, [seg], meta["schema"], meta["version"], meta.get("max_id"))
+        return self._publish(table, [seg], meta["schema"], meta["version"], meta.get("max_id"), self._kept(meta))
 
     # -- K4
     def count(self, table: str) -> int:
@@ -386,7 +431,7 @@ class TableStore:
     def truncate(self, table: str) -> None:
         meta = self._meta(table)
         if meta is not None:
-            self._publish(table, [], meta["schema"], meta["version"])
+            self._publish(table, [], meta["schema"], meta["version"], extra=self._kept(meta))
 
     # -- K6
     def drop(self, table: str) -> None:

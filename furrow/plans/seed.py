@@ -10,8 +10,9 @@ dimensions when normalising) before loading.
 
 Everything is distributed: generation is a narrow projection over
 ``spark.range``, loads are Spark writes of whole segments published
-atomically. ``batch_size`` only sets how many rows one generation partition
-holds (the reference's insert batch); it never loops on the driver.
+atomically. ``batch_size`` is how many rows one generation partition holds; it
+never loops on the driver. A further run adds rows: row numbers go on after
+those that the table was offered before, so business keys do not repeat.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from furrow.sources.schemas import get_schema
 
 
 def seed(spark: SparkSession, root: str, backend: str, schema_name: str, count: int,
-         batch_size: int = 100, start=None, end=None, normalize: bool = False,
+         batch_size: int = 100_000, start=None, end=None, normalize: bool = False,
          clear: bool = False, seed_value: int = 42, id_mode: str = "dense") -> dict:
     """Run one seed load; returns the load report. ``id_mode="sequence"``
     numbers ids like the stores' sequences (skipped rows leave gaps)."""
@@ -56,13 +57,13 @@ def _seed(spark, root, backend, schema_name, count, batch_size, start, end, norm
             store.drop(N.PRODUCT_DIM)
 
     rows = generate(spark, schema_name, count, seed_value, start, end,
-                    rows_per_partition=max(batch_size, 100_000))
+                    rows_per_partition=batch_size, first_row=store.offered(table))
     unique = schema.unique_fields()
     report = {"table": table, "offered": count, "normalized": normalize, "warning": warning}
 
     if not normalize:
         store.create_if_absent(table, schema.struct())
-        loaded = _insert(store, table, rows, unique)
+        loaded = _insert(store, table, rows, unique, count)
         report.update(inserted=loaded["inserted"], total=loaded["total"])
         return report
 
@@ -77,26 +78,24 @@ def _seed(spark, root, backend, schema_name, count, batch_size, start, end, norm
     fk = [c for c in fact.columns if c in ("customer_id", "product_id")]
     fact_schema = _fact_struct(schema, fk)
     store.create_if_absent(table, fact_schema)
-    loaded = _insert(store, table, fact, unique)
+    loaded = _insert(store, table, fact, unique, count)
     report.update(inserted=loaded["inserted"], total=loaded["total"],
                   customers=store.count(N.CUSTOMER_DIM) if "customers" in dims else None,
                   products=store.count(N.PRODUCT_DIM) if "products" in dims else None)
     return report
 
 
-def _insert(store: TableStore, table: str, rows, unique: list[str]) -> dict:
+def _insert(store: TableStore, table: str, rows, unique: list[str], offered: int) -> dict:
     """Insert-ignore on the unique key in arrival (row_id) order, ids from max(id)."""
-    return store.insert(table, rows, unique_key=unique or None, order_cols=["row_id"], id_col="id")
+    return store.insert(table, rows, unique_key=unique or None, order_cols=["row_id"], id_col="id", offered=offered)
 
 
 def _merge_dim(store: TableStore, name: str, candidates, key: str, ddl: str):
     from pyspark.sql.types import StructType
-    created = store.create_if_absent(name, StructType.fromDDL(ddl))
-    existing = store.read(name)
-    known = 0 if created else store.max_id(name)
-    merged = N.merge_dimension(existing, candidates, key, max_id=known)
-    new = merged.join(existing.select(key), key, "left_anti")
-    store.insert(name, new, track_max="id")
+    store.create_if_absent(name, StructType.fromDDL(ddl))
+    # Keys and ids are worked out against the version that the load follows;
+    # if another writer was faster, they are worked out again.
+    store.insert(name, lambda existing, top: N.new_members(existing, candidates, key, top), track_max="id")
     return store.read(name)
 
 
@@ -113,7 +112,7 @@ def main(argv=None) -> None:
     p.add_argument("-d", "--db", default="duckdb", help="store flavour: postgres, mysql, duckdb, elasticsearch")
     p.add_argument("-t", "--type", default="contacts", help="schema name")
     p.add_argument("-n", "--count", type=int, default=1000)
-    p.add_argument("-b", "--batch-size", type=int, default=100)
+    p.add_argument("-b", "--batch-size", type=int, default=100_000)
     p.add_argument("--start")
     p.add_argument("--end")
     p.add_argument("--normalize", action="store_true")

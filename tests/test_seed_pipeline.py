@@ -7,13 +7,15 @@ import pytest
 from furrow.plans.seed import main, seed
 
 
-def test_flat_load_twice_keeps_unique_keys(spark):
+def test_second_run_adds_rows_with_new_keys(spark):
     root = tempfile.mkdtemp(prefix="furrow-seed-")
     r1 = seed(spark, root, "duckdb", "sales_orders", 100, 50, "2024-01-01", "2024-12-31")
     assert (r1["inserted"], r1["total"]) == (100, 100)
-    # same seed -> same order numbers -> all ignored on the second load
-    r2 = seed(spark, root, "duck", "sales_orders", 100, 50, "2024-01-01", "2024-12-31")
-    assert (r2["inserted"], r2["total"]) == (0, 100)
+    r2 = seed(spark, root, "duck", "sales_orders", 80, 50, "2024-01-01", "2024-12-31")
+    assert (r2["inserted"], r2["total"]) == (80, 180)
+    from furrow.operators.sink import TableStore
+    t = TableStore(spark, root, "duckdb").read(r2["table"])
+    assert t.select("order_number").distinct().count() == 180 and t.select("id").distinct().count() == 180
 
 
 def test_search_flavour_appends_and_refuses_normalisation(spark):
