@@ -3,7 +3,8 @@
 Column sets are turned into *long* data ``(column, value)`` first, so every
 statistic is a grouped aggregation over ``column`` and the job count does not
 grow with the number of columns. Exact distinct counts are the default (they
-match an SQL oracle); ``exact=False`` switches to HyperLogLog++ sketches.
+match an SQL oracle); ``exact=False`` switches to sketches for distinct counts
+and quantiles. ``profile_integers`` keeps wide ids in their own type.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def profile_numeric(df: DataFrame, table: str, cols: list[str] | None = None,
                     probs=(0.25, 0.5, 0.95), digits: int = 6, exact: bool = True) -> DataFrame:
     """table, column, count, nulls, distinct, min, max, mean, stddev, p25, p50, p95."""
     cols = cols or numeric_columns(df)
+    if not exact:
+        return _profile_sketched(df, table, cols, list(probs), digits)
     long = to_long(df, cols, "double", table)
-    distinct = F.count_distinct("value") if exact else F.approx_count_distinct("value")
+    distinct = F.count_distinct("value")
     base = long.groupBy("table", "column").agg(
         F.count("value").alias("count"),
         F.count_if(F.col("value").isNull()).cast("bigint").alias("nulls"),
@@ -60,6 +63,32 @@ def profile_numeric(df: DataFrame, table: str, cols: list[str] | None = None,
             .join(wide, "_g", "left").drop("_g"))
 
 
+def _profile_sketched(df: DataFrame, table: str, cols: list[str], probs: list[float], digits: int) -> DataFrame:
+    """The same columns from sketches: one aggregation pass, no histogram."""
+    long = to_long(df, cols, "double", table)
+    q = F.percentile_approx("value", probs, 10_000)
+    out = long.groupBy("table", "column").agg(
+        F.count("value").alias("count"),
+        F.count_if(F.col("value").isNull()).cast("bigint").alias("nulls"),
+        F.approx_count_distinct("value").cast("bigint").alias("distinct"),
+        F.round(F.min("value"), digits).alias("min"),
+        F.round(F.max("value"), digits).alias("max"),
+        F.round(F.avg("value"), digits).alias("mean"),
+        F.round(F.stddev_samp("value"), digits).alias("stddev"), q.alias("_q"))
+    return out.select(*[c for c in out.columns if c != "_q"],
+                      *[F.round(F.get("_q", F.lit(i)), digits).alias(f"p{int(round(p * 100))}") for i, p in enumerate(probs)])
+
+
+def profile_integers(df: DataFrame, table: str, cols: list[str] | None = None) -> DataFrame:
+    """Whole-number columns in their own type, never through double: table,
+    column, count, nulls, distinct, min, max (exact beyond 2 ** 53)."""
+    cols = cols or [f.name for f in df.schema.fields
+                    if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+    return to_long(df, cols, "bigint", table).groupBy("table", "column").agg(
+        F.count("value").alias("count"), F.count_if(F.col("value").isNull()).cast("bigint").alias("nulls"),
+        F.count_distinct("value").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
 def profile_topk(df: DataFrame, table: str, cols: list[str] | None = None, k: int = 5) -> DataFrame:
     """k most frequent values per string column, ties by value:
     table, column, value, count, rank."""

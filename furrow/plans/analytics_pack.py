@@ -42,6 +42,30 @@ def ts_period_over_period(spark: SparkSession, sf: str) -> DataFrame:
                     F.round("change", 2).alias("change"))
 
 
+def ts_filled_null_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily counts where purchases carry no series value: a series of its own."""
+    ev = load(spark, sf, "events").withColumn("kind", F.when(F.col("event_type") != "purchase", F.col("event_type")))
+    daily = TS.aggregate_series(ev, "ts", "day", ["kind"], {"events": F.count(F.lit(1))})
+    return TS.fill_gaps(daily, "day", ["kind"], {"events": 0}).select("kind", F.col("bucket").alias("day"), "events")
+
+
+def ts_previous_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Day over day for users: most have days without events."""
+    ev = load(spark, sf, "events")
+    daily = TS.aggregate_series(ev, "ts", "day", ["user_id"], {"events": F.count(F.lit(1))})
+    return TS.period_over_period(daily, ["user_id"], "events", "day").select(
+        "user_id", F.col("bucket").alias("day"), "events", "previous", "change")
+
+
+def ts_hours_over_clock_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Hour buckets of wall-clock times on a day with a clock change (the
+    events' days moved to 10 March 2024)."""
+    ev = load(spark, sf, "events")
+    moved = F.to_timestamp_ntz(F.concat(F.lit("2024-03-10 "), F.date_format(F.col("ts"), "HH:mm:ss")))
+    return TS.aggregate_series(ev.withColumn("wall", moved), "wall", "hour", [], {"events": F.count(F.lit(1))}) \
+        .select(F.col("bucket").alias("hour"), "events")
+
+
 def date_histogram(spark: SparkSession, sf: str) -> DataFrame:
     ev = load(spark, sf, "events").where(F.col("event_type") == "click")
     return TS.aggregate_series(ev, "ts", "hour", [], {"events": F.count(F.lit(1))}) \
@@ -156,6 +180,9 @@ QUERIES = {
     "ts_daily_filled": ts_daily_filled,
     "ts_moving_avg": ts_moving_avg,
     "ts_period_over_period": ts_period_over_period,
+    "ts_filled_null_series": ts_filled_null_series,
+    "ts_previous_with_gaps": ts_previous_with_gaps,
+    "ts_hours_over_clock_change": ts_hours_over_clock_change,
     "date_histogram": date_histogram,
     "cube_revenue_by_nation_month": cube_revenue_by_nation_month,
     "cube_preagg_reuse": cube_preagg_reuse,
@@ -195,6 +222,19 @@ ORACLES = {
                round(p.value_sum, 2) AS previous, round(c.value_sum - p.value_sum, 2) AS change
         FROM w c LEFT JOIN w p ON p.week = c.week - INTERVAL 7 DAY
           AND p.event_type IS NOT DISTINCT FROM c.event_type""",
+    "ts_filled_null_series": """WITH d AS (
+          SELECT CASE WHEN event_type <> 'purchase' THEN event_type END AS kind, CAST(ts AS DATE) AS day, count(*) AS n
+          FROM events GROUP BY 1, 2),
+        spine AS (SELECT k.kind, CAST(s.day AS DATE) AS day FROM (SELECT DISTINCT kind FROM d) k,
+          (SELECT unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS day) s)
+        SELECT s.kind, s.day, coalesce(d.n, 0)::BIGINT AS events
+        FROM spine s LEFT JOIN d ON d.day = s.day AND d.kind IS NOT DISTINCT FROM s.kind""",
+    "ts_previous_with_gaps": """WITH d AS (
+          SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS events FROM events GROUP BY 1, 2)
+        SELECT c.user_id, c.day, c.events, p.events AS previous, c.events - p.events AS change
+        FROM d c LEFT JOIN d p ON p.user_id IS NOT DISTINCT FROM c.user_id AND p.day = c.day - INTERVAL 1 DAY""",
+    "ts_hours_over_clock_change": """SELECT TIMESTAMP '2024-03-10 00:00:00' + to_hours(hour(ts)) AS hour, count(*) AS events
+        FROM events GROUP BY 1""",
     "date_histogram": """SELECT date_trunc('hour', ts) AS hour, count(*) AS events
         FROM events WHERE event_type = 'click' GROUP BY 1""",
     "cube_revenue_by_nation_month": f"""WITH {_STAR}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.operators import profile as P
 from furrow.operators.quality import (Expect, failing_key_rows, run_suite, schema_expectations,
@@ -43,6 +44,13 @@ def dq_failing_rows(spark: SparkSession, sf: str) -> DataFrame:
     return failing_key_rows(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def profile_wide_integers(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids above 2 ** 53, which a double cannot tell apart."""
+    o = load(spark, sf, "orders").select((F.col("o_orderkey") + (1 << 53)).alias("wide_key"),
+                                         F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey") + (1 << 60)).alias("wide_cust"))
+    return P.profile_integers(o, "orders")
+
+
 def profile_numeric(spark: SparkSession, sf: str) -> DataFrame:
     part = P.profile_numeric(load(spark, sf, "part"), "part", ["p_partkey", "p_size", "p_retailprice"])
     ev = P.profile_numeric(load(spark, sf, "events"), "events", ["event_id", "user_id", "value"])
@@ -65,6 +73,7 @@ QUERIES = {
     "dq_failing_rows": dq_failing_rows,
     "dq_schema_rules": dq_schema_rules,
     "profile_numeric": profile_numeric,
+    "profile_wide_integers": profile_wide_integers,
     "profile_topk": profile_topk,
     "profile_corr": profile_corr,
 }
@@ -122,6 +131,14 @@ ORACLES = {
     "profile_numeric": " UNION ALL ".join(
         [_num_profile_sql("part", c) for c in ["p_partkey", "p_size", "p_retailprice"]]
         + [_num_profile_sql("events", c) for c in ["event_id", "user_id", "value"]]),
+    "profile_wide_integers": """
+        WITH w AS (SELECT o_orderkey + 9007199254740992 AS wide_key,
+                          CASE WHEN o_orderkey % 5 > 0 THEN o_custkey + 1152921504606846976 END AS wide_cust FROM orders)
+        SELECT 'orders' AS "table", 'wide_key' AS "column", count(wide_key) AS "count",
+               CAST(count_if(wide_key IS NULL) AS BIGINT) AS nulls, count(DISTINCT wide_key) AS "distinct",
+               min(wide_key)::BIGINT AS "min", max(wide_key)::BIGINT AS "max" FROM w
+        UNION ALL SELECT 'orders', 'wide_cust', count(wide_cust), CAST(count_if(wide_cust IS NULL) AS BIGINT),
+               count(DISTINCT wide_cust), min(wide_cust)::BIGINT, max(wide_cust)::BIGINT FROM w""",
     "profile_topk": " UNION ALL ".join(
         [_topk_sql("orders", c) for c in ["o_orderstatus", "o_orderpriority"]]
         + [_topk_sql("part", c) for c in ["p_name", "p_brand", "p_type"]]),

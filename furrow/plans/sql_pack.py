@@ -169,6 +169,13 @@ def win_running_sum(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("running_total", F.round("running_total", 2))
 
 
+def win_running_sum_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """A measure that is null for most rows, and for the first ones of many keys."""
+    o = _orders(spark, sf).withColumn("paid", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey")))
+    return ordered_window(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], running_sums={"paid_total": "paid"}) \
+        .select("o_orderkey", "o_custkey", "paid", "paid_total")
+
+
 def win_lag_lead(spark: SparkSession, sf: str) -> DataFrame:
     return ordered_window(_orders(spark, sf), ["o_custkey"], ["o_orderdate", "o_orderkey"],
                           lags={"prev_price": "o_totalprice", "prev_date": "o_orderdate"},
@@ -200,6 +207,7 @@ QUERIES = {k: _sql_query(k) for k in SQL}
 QUERIES.update({
     "win_rank": win_rank,
     "win_running_sum": win_running_sum,
+    "win_running_sum_nulls": win_running_sum_nulls,
     "win_lag_lead": win_lag_lead,
     "topk": topk,
     "top_per_group": top_per_group,
@@ -211,6 +219,10 @@ ORACLES = {k: (duck or spark_sql) for k, (spark_sql, duck) in SQL.items()}
 ORACLES.update({
     "win_rank": f"""SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice,
         CAST(rank() OVER ({_W}) AS BIGINT) AS rank FROM orders""",
+    "win_running_sum_nulls": f"""WITH o AS (
+          SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END AS paid FROM orders)
+        SELECT o_orderkey, o_custkey, paid,
+          CAST(sum(paid) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paid_total FROM o""",
     "win_running_sum": f"""SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice,
         round(sum(o_totalprice) OVER ({_W} ROWS UNBOUNDED PRECEDING), 2) AS running_total FROM orders""",
     "win_lag_lead": f"""SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice,

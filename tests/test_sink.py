@@ -15,7 +15,7 @@ def test_flavours_and_aliases():
     assert K.get_flavour("es").name == "elasticsearch"
     assert K.get_flavour("Elastic").name == "elasticsearch"
     assert K.get_flavour("duck").name == "duckdb"
-    with pytest.raises(ValueError, match="Unknown backend"):
+    with pytest.raises(ValueError, match="no store flavour"):
         K.get_flavour("oracle")
     norm, warn = K.resolve_normalize(K.get_flavour("es"), True)
     assert norm is False and "flat" in warn
