@@ -99,7 +99,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint_texts(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Add ``fingerprint`` to any frame with a ``text`` column."""
+    """Add ``fingerprint`` (in place of a column of that name) to any frame
+    with a ``text`` column."""
+    docs = docs.drop("fingerprint")
     ship_package(docs.sparkSession)
     schema = docs.select("*", F.lit("").alias("fingerprint")).schema
 

@@ -189,7 +189,9 @@ def main_text(source: str | None, model) -> str:
 
 
 def extract(pages: DataFrame, model=None) -> DataFrame:
-    """``pages`` (all columns, ``html`` among them) plus ``text``."""
+    """``pages`` (``html`` among the columns) plus ``text``, in place of a
+    column of that name."""
+    pages = pages.drop("text")
     ship_package(pages.sparkSession)
     model = model or train()
     schema = pages.select("*", F.lit("").alias("text")).schema

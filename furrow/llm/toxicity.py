@@ -3,10 +3,13 @@
 Features are the distinct character n-grams of a text (lower case, white space
 runs as one space), hashed to ``2 ** BITS`` buckets. Over *all* labelled
 training documents the toxic and other documents per bucket are counted; the
-log-count ratio of a bucket scales its feature. A logistic regression on the
-scaled features is fitted on a bounded sample of labelled documents
-(``sample_per_class`` of each class, those with the smallest hash of the id;
-weighted back to the classes' true shares), and every whole text is scored.
+log-count ratio of a bucket scales its feature. Buckets of fewer than
+``MIN_DOCS`` labelled documents, or with a ratio below ``MIN_RATIO`` either
+way, tell the classes no better than chance and are left out. A logistic
+regression on the scaled features is fitted on a bounded sample of labelled
+documents (``sample_per_class`` of each class, those with the smallest hash of
+the id; weighted back to the classes' true shares), and every whole text is
+scored.
 
 Scale: one join of labels and documents; each task adds up its counts in one
 array and ships it as compressed slices, which are summed per slice. What is
@@ -36,12 +39,14 @@ from furrow.llm.common import documents, ship_package, staged
 from furrow.sources.tables import load
 
 BITS = 20
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
+MIN_DOCS = 6
+MIN_RATIO = 1.5
 SLICES = 16
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 6000
 THRESHOLD = 0.3
 L2 = 1.0
-ITERATIONS = 60
+ITERATIONS = 30
 _SPACE = re.compile(r"\s+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,8 +75,8 @@ def grams(text: str | None, bits: int = BITS, scratch: list | None = None) -> np
 
 
 def _count_and_sample(batches):
-    """Per task: counts by class as compressed slices, and the sampled texts'
-    buckets. Rows (slice, payload, label); slice -1 marks a sampled text."""
+    """Per task: counts by class as compressed slices, and the sampled texts.
+    Rows (slice, payload, label); slice -1 marks a sampled text."""
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
     scratch, seen = [np.empty(1 << BITS, dtype=np.int32)], False
     for b in batches:
@@ -80,7 +85,7 @@ def _count_and_sample(batches):
             g, seen = grams(text, scratch=scratch), True
             counts[toxic][g] += 1
             if sampled:
-                out.append((-1, g.astype("<i4").tobytes(), toxic))
+                out.append((-1, zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1), toxic))
         if out:
             yield _rows(out)
     if seen:
@@ -104,6 +109,25 @@ def _add_slices(batches):
         yield _rows([(i, zlib.compress(part.tobytes(), 1), None)])
 
 
+def _telling_grams(shared):
+    """Sampled texts -> their buckets that the ratios keep."""
+    def run(batches):
+        keep, scratch = shared.value != 0, [np.empty(1 << BITS, dtype=np.int32)]
+        for b in batches:
+            out = []
+            for payload, label in zip(b["payload"].to_pylist(), b["label"].to_pylist()):
+                g = grams(zlib.decompress(payload).decode("utf-8", "surrogatepass"), scratch=scratch)
+                out.append((-1, g[keep[g]].astype("<i4").tobytes(), label))
+            yield _rows(out)
+    return run
+
+
+def log_count_ratios(other: np.ndarray, toxic: np.ndarray, class_rows: tuple[int, int]) -> np.ndarray:
+    """Naive Bayes log-count ratios of documents, 0 where they tell nothing."""
+    r = np.log((toxic + 0.5) / (class_rows[1] + 1)) - np.log((other + 0.5) / (class_rows[0] + 1))
+    return np.where((other + toxic >= MIN_DOCS) & (np.abs(r) >= MIN_RATIO), r, 0.0).astype(np.float32)
+
+
 def minimise(fun, x: np.ndarray, iterations: int, memory: int = 7) -> np.ndarray:
     """Limited-memory BFGS with a backtracking line search."""
     f, g = fun(x)
@@ -148,6 +172,9 @@ def fit_weights(ratio: np.ndarray, sample: list[tuple[np.ndarray, int]], class_r
     if n == 0 or not class_rows[0] or not class_rows[1]:
         share = class_rows[1] / n if n else 0.0
         return np.zeros(len(ratio), dtype=np.float32), math.log((share + 1e-12) / (1 - share + 1e-12))
+    if not sum(len(g) for g, _ in sample):
+        return np.zeros(len(ratio), dtype=np.float32), math.log(class_rows[1] / class_rows[0])
+    sample = [(g, t) for g, t in sample if len(g)] + [(np.array([-1], dtype=np.int32), t) for g, t in sample if not len(g)]
     index = np.concatenate([g for g, _ in sample])
     ends = np.cumsum([len(g) for g, _ in sample])
     starts = ends - [len(g) for g, _ in sample]
@@ -155,7 +182,7 @@ def fit_weights(ratio: np.ndarray, sample: list[tuple[np.ndarray, int]], class_r
     # Only buckets of the sample have a gradient: number them densely.
     used, index = np.unique(index, return_inverse=True)
     index = index.astype(np.int32)
-    r = ratio[used].astype(np.float64)
+    r = np.where(used < 0, 0.0, ratio[used]).astype(np.float64)  # -1: a text without features
     taken = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.where(y == 1, class_rows[1] / taken[1], class_rows[0] / taken[0])
     weight *= len(y) / weight.sum()
@@ -172,7 +199,7 @@ def fit_weights(ratio: np.ndarray, sample: list[tuple[np.ndarray, int]], class_r
 
     x = minimise(objective, np.zeros(len(used) + 1), ITERATIONS)
     out = np.zeros(len(ratio), dtype=np.float32)
-    out[used] = x[:-1] * r
+    out[used[used >= 0]] = (x[:-1] * r)[used >= 0]
     return out, float(x[-1])
 
 
@@ -199,11 +226,13 @@ def train(labelled: DataFrame, docs: DataFrame, sample_per_class: int = SAMPLE_P
         total[row["slice"]] += part.reshape(2, -1)
     other, toxic = total.transpose(1, 0, 2).reshape(2, -1)
     class_rows = _class_rows(rows, docs)
-    ratio = np.log((toxic + 1.0) / (toxic + 1.0).sum()) - np.log((other + 1.0) / (other + 1.0).sum())
+    ratio = log_count_ratios(other, toxic, class_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 2 ** BITS floats
+    picked_grams = counted.filter("slice = -1").mapInArrow(_telling_grams(shared), "slice int, payload binary, label int")
     sample = [(np.frombuffer(bytes(r["payload"]), dtype="<i4"), r["label"])
-              for r in counted.filter("slice = -1").collect()]  # bounded by sample_per_class
-    sample.sort(key=lambda x: (x[1], len(x[0]), x[0][:8].tolist()))
-    return fit_weights(ratio.astype(np.float32), sample, class_rows)
+              for r in picked_grams.collect()]  # bounded by sample_per_class
+    sample.sort(key=lambda x: (x[1], len(x[0]), x[0].tolist()))
+    return fit_weights(ratio, sample, class_rows)
 
 
 def _class_rows(rows: DataFrame, docs: DataFrame) -> tuple[int, int]:
@@ -213,7 +242,9 @@ def _class_rows(rows: DataFrame, docs: DataFrame) -> tuple[int, int]:
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """``docs`` (all columns) plus ``score``; every whole text is read."""
+    """``docs`` plus ``score`` (in place of a column of that name); every whole
+    text is read."""
+    docs = docs.drop("score")
     ship_package(docs.sparkSession)
     weights, intercept = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS floats
