@@ -51,13 +51,24 @@ PHONE = (r"(?<![\w+(.-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){
          r"|(?<![\w+(.-])(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_!#$%^*.-]{6,200}"
+SECRET = r"(?<=[=: \"'])(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_!#$%^*.-]{6,200}"
 PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])"
 ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, SECRET, PERSON])
 
+# What every match needs, cheap to look for: most texts hold nothing of it.
+_SIGNS = [*sorted({t[:4] for t in MALE + FEMALE}), "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
+
 PART = "struct<kind:string,norm:string,raw:string,before:string>"
 
 
+def has_entity(text: Column) -> Column:
+    """True for texts with a match; the signs are tried before the patterns."""
+    signs = text.rlike("[0-9@]")
+    for s in _SIGNS:
+        signs = signs | text.contains(s)
+    return F.coalesce(signs & text.rlike(ANY), F.lit(False))
+
+
 def _gender(title: Column) -> Column:
     return F.when(title.isin(MALE), "m").otherwise("f")
 
@@ -199,7 +210,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = No
     """``docs`` with every entity in ``text`` replaced; ``count_col`` names an
     additional column with the number of replaced entities."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").alias("text"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    has = has_entity(F.col("text"))
     hits = staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-hits")
     made = hits.join(entity_map(hits, key), ["kind", "norm"]).select("rk", "pos", "part", F.concat(
         "before", in_format(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("piece"))
