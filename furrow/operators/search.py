@@ -77,15 +77,18 @@ def boolean_match(docs: DataFrame, must: list[str] = (), must_not: list[str] = (
                   should: list[str] = (), text_col: str = "text") -> DataFrame:
     """Documents with every ``must`` term, no ``must_not`` term and (if given)
     at least one ``should`` term. A narrow filter on the token array."""
-    toks = tokens(F.col(text_col))
-    cond = F.lit(True)
-    for t in must:
-        cond = cond & F.array_contains(toks, t.lower())
-    for t in must_not:
-        cond = cond & ~F.array_contains(toks, t.lower())
-    if should:
-        cond = cond & F.arrays_overlap(toks, F.array(*[F.lit(t.lower()) for t in should]))
-    return docs.where(cond)
+    def matches(toks: Column) -> Column:
+        cond = F.lit(True)
+        for t in must:
+            cond = cond & F.array_contains(toks, t.lower())
+        for t in must_not:
+            cond = cond & ~F.array_contains(toks, t.lower())
+        if should:
+            cond = cond & F.arrays_overlap(toks, F.array(*[F.lit(t.lower()) for t in should]))
+        return cond
+
+    # Inside a lambda the tokens are a variable: each text is split once.
+    return docs.where(F.get(F.transform(F.array(tokens(F.col(text_col))), matches), F.lit(0)))
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -158,6 +158,13 @@ def _base_and_changes(spark: SparkSession, sf: str):
     return base, changes
 
 
+def cube_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """R4 with caller filters on the star's columns."""
+    return sales_cube(spark, sf).query(["revenue", "lines"], ["r_name"], "month",
+                                       ["r_name IN ('ASIA', 'EUROPE')", "o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00'"]) \
+        .select("r_name", "month", F.round("revenue", 2).cast("decimal(18,2)").alias("revenue"), F.col("lines").cast("bigint").alias("lines"))
+
+
 def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Base: orders below half the key range (version 1). Change set: the upper
     three quarters with o_orderstatus 'X' (version 2). Latest version wins."""
@@ -187,6 +194,7 @@ QUERIES = {
     "cube_revenue_by_nation_month": cube_revenue_by_nation_month,
     "cube_preagg_reuse": cube_preagg_reuse,
     "cube_rollup": cube_rollup,
+    "cube_filtered": cube_filtered,
     "cube_ratio_by_region_year": cube_ratio_by_region_year,
     "incremental_upsert": incremental_upsert,
     "incremental_full_refresh": incremental_full_refresh,
@@ -250,6 +258,11 @@ ORACLES = {
                round(CAST(sum(rev) AS DOUBLE) / CAST(count(*) AS DOUBLE), 4) AS revenue_per_line,
                CAST(count(*) AS BIGINT) AS lines
         FROM star GROUP BY 1, 2""",
+    "cube_filtered": f"""WITH {_STAR}
+        SELECT r_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+               CAST(round(sum(rev), 2) AS DECIMAL(18,2)) AS revenue, CAST(count(*) AS BIGINT) AS lines
+        FROM star WHERE r_name IN ('ASIA', 'EUROPE') AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'
+        GROUP BY 1, 2""",
     "cube_rollup": f"""WITH {_STAR}
         SELECT r_name, n_name, CAST(grouping_id(r_name, n_name) AS BIGINT) AS gid, CAST(round(sum(rev), 2) AS DECIMAL(18,2)) AS revenue,
                CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers

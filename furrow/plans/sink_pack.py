@@ -107,7 +107,32 @@ def check_constraints(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def table_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """K1, K4-K6: row counts after load, truncate, reload, drop and a new load."""
+    store = K.TableStore(spark, scratch_path(spark, "store-life"), "duckdb")
+    orders, customers = load(spark, sf, "orders"), load(spark, sf, "customer")
+    steps = []
+
+    def note(step: str) -> None:
+        steps.append(store.read("t").agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "n"))
+
+    store.create_if_absent("t", orders.schema)
+    store.insert("t", orders)
+    note("loaded")
+    store.truncate("t")
+    note("truncated")
+    store.insert("t", orders.where("o_orderstatus = 'F'"))
+    note("reloaded")
+    kept = steps[0].unionByName(steps[1]).unionByName(steps[2]).collect()  # three counts, before the files go
+    store.drop("t")
+    store.create_if_absent("t", customers.schema)
+    store.insert("t", customers)
+    note("recreated")
+    return spark.createDataFrame(kept, steps[0].schema).unionByName(steps[3])
+
+
 QUERIES = {
+    "table_lifecycle": table_lifecycle,
     "insert_ignore": insert_ignore,
     "insert_ignore_existing": insert_ignore_existing,
     "seed_report": seed_report,
@@ -127,6 +152,11 @@ _NEW = _FIRST.format(src="""(SELECT * FROM lineitem l WHERE NOT EXISTS (
       SELECT 1 FROM ex WHERE ex.l_orderkey = l.l_orderkey AND ex.l_linenumber = l.l_linenumber))""")
 
 ORACLES = {
+    "table_lifecycle": """
+        SELECT 'loaded' AS step, count(*) AS n FROM orders
+        UNION ALL SELECT 'truncated', 0
+        UNION ALL SELECT 'reloaded', count(*) FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT 'recreated', count(*) FROM customer""",
     "insert_ignore": _FIRST.format(src="lineitem"),
     "insert_ignore_existing": f"WITH ex AS ({_EXISTING}) SELECT * FROM ex UNION ALL ({_NEW})",
     "seed_report": f"""WITH ex AS ({_EXISTING}), nw AS ({_NEW})
