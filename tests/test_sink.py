@@ -158,13 +158,13 @@ def test_concurrent_publish_is_retried_against_new_state(spark):
     st.create_if_absent("t", spark.createDataFrame([], schema).schema)
     real_publish, raced = st._publish, []
 
-    def racing_publish(table, segments, ddl, expect, max_id=None):
+    def racing_publish(table, segments, ddl, expect, max_id=None, extra=None):
         if not raced:                 # a competing writer lands key "b" first
             raced.append(1)
             other = f"{st.root}/{table}/seg-other"
             spark.createDataFrame([(1, "b")], schema).write.parquet(other)
             real_publish(table, [other], ddl, expect, 1)
-        return real_publish(table, segments, ddl, expect, max_id)
+        return real_publish(table, segments, ddl, expect, max_id, extra)
 
     st._publish = racing_publish
     r = st.insert("t", spark.createDataFrame([(None, "a"), (None, "b")], schema),
