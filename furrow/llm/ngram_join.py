@@ -14,11 +14,13 @@ linked when ``den * |A & B| >= num * |A | B|``.
 3. *First links.* Each set is compared with the block hub that it meets most
    often; links form first components. A group of copies costs one comparison
    per copy, not one per pair.
-4. *R-trees.* In blocks that still hold several components, the sets' group
-   counts (``COORDS`` coordinates) are points of an R-tree. The overlap of a
-   set with a page is at most the sum of the smaller coordinate, against the
-   page's upper corner; pages and points below the overlap that a link needs
-   are skipped. Surviving pairs of different components are verified.
+4. *R-trees.* In blocks that still hold several components (blocks with the
+   same members once), the sets' group counts (``COORDS`` coordinates) are
+   points of an R-tree. The overlap of a set with a page is at most the sum of
+   the smaller coordinate, against the page's upper corner; pages and points
+   below the overlap that a link needs are skipped. First only a spanning
+   forest of the surviving pairs, largest bounds first, is verified and joins
+   components; then all surviving pairs that still lie between components.
 5. *Verify.* Sets are intersected exactly; components are joined.
 
 Scale: about a quarter of a set's size in rows (key, node) is shuffled, and the
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import documents, ship_package, shuffle_partitions, staged, text_or_empty
 from furrow.llm.components import components
 
-COORDS = 64
+COORDS = 256
 PAGE = 64
 FANOUT = 16
 CHUNK = 4096
@@ -144,7 +146,17 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return (a - (1 << 64) if a >> 63 else a), (b - (1 << 64) if b >> 63 else b)
 
 
-_INFO = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint, counts array<int>"
+_INFO = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint, counts binary"
+
+
+def pack_counts(s: np.ndarray) -> bytes:
+    """Group counts of a set, two bytes each, or four where that is too few."""
+    c = np.bincount((s & np.uint64(COORDS - 1)).astype(np.int64), minlength=COORDS)
+    return c.astype("<u2" if not len(s) or c.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * COORDS else "<u4").astype(np.int32)
 
 
 def _describe(k: int):
@@ -153,12 +165,10 @@ def _describe(k: int):
         for b in batches:
             sets = [shingler.set_of(t) for t in b["text"].to_pylist()]
             nodes = [_node(s) for s in sets]
-            counts = [np.bincount((s & np.uint64(COORDS - 1)).astype(np.int64), minlength=COORDS) for s in sets]
-            flat = np.concatenate(counts).astype(np.int32) if counts else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDS, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["rk"], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64()), lists],
+                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64()),
+                 pa.array([pack_counts(s) for s in sets], pa.binary())],
                 names=["doc_id", "rk", "n", "node", "other", "counts"])
     return run
 
@@ -248,7 +258,8 @@ class RTree:
         self.n = n
 
     def search(self, sizes: np.ndarray, counts: np.ndarray):
-        """Yield (query positions, point positions) of surviving pairs."""
+        """Yield (query positions, point positions, bound above the needed
+        overlap) of surviving pairs."""
         stack = [(len(self.levels) - 1, 0, np.arange(len(sizes)))]
         while stack:
             level, i, q = stack.pop()
@@ -265,29 +276,60 @@ class RTree:
                 stack += [(level - 1, c, q) for c in range(i * FANOUT, min((i + 1) * FANOUT, below))]
                 continue
             p = np.arange(i * step, min((i + 1) * step, self.n))
-            for part in np.array_split(q, max(1, len(q) // 256)):
+            for part in np.array_split(q, max(1, len(q) // 64)):
                 overlap = np.minimum(counts[part][:, None, :], self.counts[p][None, :, :]).sum(axis=2)
-                a, b = np.nonzero(overlap >= needed(sizes[part][:, None], self.sizes[p][None, :], self.num, self.den))
-                yield part[a], self.order[p[b]]
+                spare = overlap - needed(sizes[part][:, None], self.sizes[p][None, :], self.num, self.den)
+                a, b = np.nonzero(spare >= 0)
+                yield part[a], self.order[p[b]], spare[a, b]
+
+
+def spanning_forest(roots_a: np.ndarray, roots_b: np.ndarray, spare: np.ndarray) -> list[int]:
+    """Positions of pairs that join the given components, largest first."""
+    above: dict[int, int] = {}
+
+    def top(x):
+        while x in above:
+            if above[x] in above:
+                above[x] = above[above[x]]
+            x = above[x]
+        return x
 
+    out = []
+    order = np.argsort(-spare, kind="stable")
+    for i, x, y in zip(order.tolist(), roots_a[order].tolist(), roots_b[order].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
 
-def _tree_pairs(num: int, den: int):
+
+def _tree_pairs(num: int, den: int, forest: bool):
     """Rows of chunk pairs (cell, side, node, root, n, counts) -> node pairs of
-    different components that pass the R-tree's bounds."""
+    different components that pass the R-tree's bounds: all of them, or a
+    spanning forest over the components."""
     def pairs(rows):
         nodes, roots, sizes, side = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 0))
-        counts = np.array([r[4] for r in rows], dtype=np.int32)
+        counts = np.stack([unpack_counts(r[4]) for r in rows])
         here, there = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(here) or not len(there):
             return
         tree = RTree(sizes[there], counts[there], num, den)
-        for q, p in tree.search(sizes[here], counts[here]):
+        found = []
+        for q, p, spare in tree.search(sizes[here], counts[here]):
             a, b = here[q], there[p]
-            keep = roots[a] != roots[b]
-            a, b = a[keep], b[keep]
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(nodes[a], nodes[b])), pa.array(np.minimum(nodes[a], nodes[b]))], names=["u", "v"])
+            keep = (roots[a] != roots[b]) & ((nodes[a] > nodes[b]) | (side[a] != 2))
+            a, b, spare = a[keep], b[keep], spare[keep]
+            if forest:
+                at = spanning_forest(roots[a], roots[b], spare)
+                found.append((a[at], b[at], spare[at]))
+            elif len(a):
+                yield _pair_rows(nodes[a], nodes[b])
+        if found:
+            a, b, spare = (np.concatenate([f[i] for f in found]) for i in range(3))
+            at = spanning_forest(roots[a], roots[b], spare)
+            if at:
+                yield _pair_rows(nodes[a[at]], nodes[b[at]])
 
     def run(batches):
         cell, rows = None, []
@@ -303,13 +345,25 @@ def _tree_pairs(num: int, den: int):
     return run
 
 
-def _residual_pairs(blocks: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _pair_rows(a: np.ndarray, b: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+
+def _distinct_blocks(blocks: DataFrame) -> DataFrame:
+    """(key, node): of blocks with the same members, one."""
+    per = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("a"),
+                                    F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("b"))
+    keep = per.groupBy("m", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return blocks.select("key", "node").join(keep, "key", "left_semi")
+
+
+def _residual_pairs(blocks: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs inside blocks whose nodes are not yet in one component."""
     parts = shuffle_partitions(blocks)
     named = blocks.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_blocks = (named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .filter("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
-    members = named.join(open_blocks, "key").join(classes.select("node", "n", "counts"), "node")
+    members = named.join(open_blocks, "key").join(classes.select("node", "n", "counts").hint("merge"), "node")
     # Chunks i <= j of a block meet in the cell (key, i, j): rows of chunk i on
     # side 0, of j on side 1; a chunk with itself on side 2 (both).
     i = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -317,7 +371,7 @@ def _residual_pairs(blocks: DataFrame, classes: DataFrame, roots: DataFrame, num
              .select(F.concat_ws("/", "key", F.least("i", "j"), F.greatest("i", "j")).alias("cell"),
                      F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"),
                      "node", "root", "n", "counts"))
-    found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_tree_pairs(num, den), "u bigint, v bigint")
+    found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_tree_pairs(num, den, forest), "u bigint, v bigint")
     return found.distinct()
 
 
@@ -363,21 +417,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     hubs = many.select(F.lit(True).alias("first"), F.col("v").alias("hub"), F.col("v").alias("node"),
                        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = partners.unionByName(hubs).join(sets, "node").withColumn("cell", F.concat_ws("/", "hub", "salt"))
+    rows = partners.unionByName(hubs).join(sets.hint("merge"), "node").withColumn("cell", F.concat_ws("/", "hub", "salt"))
     return (rows.select("cell", "first", "hub", "node", "hashes").repartition(parts, "cell")
             .sortWithinPartitions("cell", F.col("first").desc()).mapInArrow(_verify(num, den), "u bigint, v bigint"))
 
 
-def _overlap_bound(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs whose summed coordinate minima are below the needed overlap."""
-    c = classes.select("node", "n", "counts")
-    a = c.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("counts").alias("cu"))
-    b = c.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("counts").alias("cv"))
-    both = pairs.join(a, "u").join(b, "v")
-    bound = F.aggregate(F.zip_with("cu", "cv", lambda x, y: F.least(x, y).cast("bigint")), F.lit(0).cast("bigint"), lambda t, x: t + x)
-    return both.filter((bound * (num + den)) >= (F.col("nu") + F.col("nv")) * num).select("u", "v")
-
-
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, rk (hash of id and text), n (set
     size), node, root (smallest node of its component) and component_id."""
@@ -399,14 +443,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     met = blocks.filter("node <> hub").groupBy("node", "hub").count()
     first = met.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub") / 2)).alias("v"))
     members = blocks.select("node").distinct().join(classes.select("node", "rk"), "node")
-    sets = staged(members.join(texts.select("rk", "text"), "rk").select("node", "text")
+    # merge: nothing joined here has a size bound, so no plan depends on size
+    sets = staged(members.hint("merge").join(texts.select("rk", "text"), "rk").select("node", "text")
                   .mapInArrow(_to_sets(k), "node bigint, hashes binary"), "join-sets")
-    first = _overlap_bound(first.select(F.col("node").alias("u"), "v"), classes, num, den)
-    links = staged(_linked(first, sets, num, den).distinct(), "join-links")
-    roots = staged(components(links), "join-roots")
-    rest = staged(_residual_pairs(blocks, classes, roots, num, den), "join-pairs")
-    more = _linked(rest, sets, num, den)
-    roots = components(links.unionByName(more))
+    links = staged(_linked(first.select(F.col("node").alias("u"), "v"), sets, num, den).distinct(), "join-links")
+    blocks = staged(_distinct_blocks(blocks), "join-distinct")
+    for forest in (True, False):
+        roots = staged(components(links), "join-roots")
+        pairs = staged(_residual_pairs(blocks, classes, roots, num, den, forest), "join-pairs")
+        links = links.unionByName(staged(_linked(pairs, sets, num, den), "join-links"))
+    roots = components(links)
 
     named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -435,3 +481,21 @@ def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard}
+ORACLES = {"op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' ' || len(w)] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b),
+c AS (SELECT a, least(a, min(b)) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""}
