@@ -40,8 +40,8 @@ from furrow.functions.ids import dense_ids
 from furrow.llm.common import ship_package, shuffle_partitions, staged
 from furrow.sources.tables import load
 
-TREE = 4096
-PAGE = 96
+TREE = 16384
+PAGE = 512
 PIVOTS = 256
 BLOCK = 128
 TOP = 5
@@ -112,6 +112,7 @@ class MTree:
         q = np.append(query.astype(np.float64), 0.0)
         qq = float(q @ q)
         slack = 1e-9 * (qq + self.reach) + 1e-3
+        exact = qq * self.reach < 2.0 ** 104  # sums of whole numbers below 2 ** 52
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
         worst = (floor[0], -floor[1]) if floor else None
 
@@ -142,7 +143,7 @@ class MTree:
             leaf = self.child[at] < 0
             if leaf.any():
                 rows = obj[leaf]
-                scores = self.vectors[rows] @ query
+                scores = (self.points[rows] @ q).astype(np.int64) if exact else self.vectors[rows] @ query
                 ids = self.ids[rows]
                 on = ids != own_id
                 if worst is not None:
