@@ -215,7 +215,8 @@ def train(labelled: DataFrame, docs: DataFrame, sample_per_class: int = SAMPLE_P
         picked = some if picked is None else picked.union(some)
     # at most 2 * sample_per_class ids: a documented bound
     rows = rows.join(F.broadcast(picked.distinct().withColumn("sampled", F.lit(True))), "doc_id", "left")
-    joined = rows.join(docs.select("doc_id", "text"), "doc_id").select(
+    # Labels have no size bound, so the plan is the same for few as for many.
+    joined = rows.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select(
         "text", "toxic", F.coalesce("sampled", F.lit(False)).alias("sampled"))
     counted = staged(joined.mapInArrow(_count_and_sample, "slice int, payload binary, label int"), "tox-counts")
     sums = (counted.filter("slice >= 0").repartition(SLICES, "slice")
