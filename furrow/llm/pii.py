@@ -1,7 +1,7 @@
 """Personal data: keyed, type-consistent surrogates.
 
 Entities are found by patterns (e-mail, phone, card, IP, national numbers,
-IBAN, access keys, secrets after a label, and names after a title of address).
+IBAN, access keys, secrets of any length after a label in any case, and names after a title of address).
 Each distinct entity - by its normal form, so that ``+1 (555) 010-9999`` and
 ``+1 555 0109999`` are one - gets a surrogate from a keyed hash:
 
@@ -27,6 +27,9 @@ table gives an empty result; matches do not overlap, the leftmost wins.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +54,13 @@ PHONE = (r"(?<![\w+(.-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){
          r"|(?<![\w+(.-])(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=[=: \"'])(?<=(?:password|passwd|pwd|secret|token|api_key|apikey|api-key) ?[=:] ?[\"']?)[A-Za-z0-9+/_!#$%^*.-]{6,200}"
+LABELS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
+SECRET = rf"(?<=[=: \"'])(?<=(?i:{'|'.join(LABELS)}) ?[=:] ?[\"']?)[A-Za-z0-9+/_!#$%^*.-]{{6,}}+"
 PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])"
 ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, SECRET, PERSON])
 
 # What every match needs, cheap to look for: most texts hold nothing of it.
-_SIGNS = [*sorted({t[:4] for t in MALE + FEMALE}), "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
+_SIGNS = sorted({t[:4] for t in MALE + FEMALE})
 
 PART = "struct<kind:string,norm:string,raw:string,before:string>"
 
@@ -66,6 +70,7 @@ def has_entity(text: Column) -> Column:
     signs = text.rlike("[0-9@]")
     for s in _SIGNS:
         signs = signs | text.contains(s)
+    signs = signs | F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [low.contains(s) for s in LABELS]))
     return F.coalesce(signs & text.rlike(ANY), F.lit(False))
 
 
@@ -100,10 +105,10 @@ def _parts(raw: Column) -> Column:
             .when(raw.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), one("ip", raw))
             .when(raw.rlike(r"^(?:(?:\d{4}[ -]){3}\d{4}|[3-6]\d{14,15})$"), one("card", digits))
             .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), one("national", digits))
-            .when(raw.rlike(r"^[+(]?[\d][\d ().-]+$"), one("phone", digits))
-            .when(raw.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+$") & ~raw.rlike("^(?:AKIA|ASIA)"),
+            .when((F.length(raw) <= 40) & raw.rlike(r"^[+(]?[\d][\d ().-]+$"), one("phone", digits))
+            .when(raw.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"),
                   one("iban", F.replace(raw, F.lit(" "), F.lit(""))))
-            .when(raw.rlike(r"^[0-9a-f]+$"), one("hex", raw))
+            .when(raw.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$") & raw.rlike("[A-Fa-f]"), one("hex", F.lower(raw)))
             .otherwise(one("secret", raw)))
 
 
@@ -131,7 +136,11 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     def block(i):
         return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), F.lit(str(i))), 512)
 
-    stream = F.concat(*[block(i) for i in range(4)])  # 256 bytes
+    # 256 bytes, hashed once and not for each character
+    return F.transform(F.array(F.concat(*[block(i) for i in range(4)])), lambda s: _made(s, kind, norm, attempt))[0]
+
+
+def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     chars = F.split(norm, "")
 
     def letters(c, i):
@@ -156,7 +165,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     phone = F.concat(prefix, mapped(F.substr(norm, F.length(prefix) + 1)))
     iban = F.concat(F.substring(norm, 1, 2), mapped(F.substr(norm, F.lit(3))))
     access = F.concat(F.substring(norm, 1, 4), mapped(F.substr(norm, F.lit(5))))
-    hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, i + 1, 1)), "")
+    hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(512)) + 1, 1)), "")
 
     def syllables(table):
         pool = F.array(*[F.lit(s) for s in table])
@@ -203,6 +212,7 @@ def in_format(raw: Column, made: Column, kind: Column) -> Column:
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(
         F.substring(made, F.length(F.replace(F.substring(raw, 1, i + 1), F.lit(" "), F.lit(""))), 1))), "")
     return (F.when(kind.isin("phone", "card", "national"), spread).when(kind == "email", cased)
+            .when((kind == "hex") & raw.rlike("[A-F]"), F.upper(made))
             .when(kind == "iban", spaced).otherwise(made))
 
 

@@ -86,3 +86,17 @@ def test_edge_rows_and_plan(spark):
     plan = out._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "PythonUDF" not in plan
     assert pii.replace_entities(empty(spark)).collect() == []
+
+
+def test_secrets_of_any_length_after_labels_in_any_case(spark):
+    token, long_hex, digits = "aB3-" * 250, "0123456789abcdef" * 64, "12345678" * 100
+    values = ["9233A8EC9233A8EC", "hunter2hunter", "Zx81Zx81", token, long_hex, digits, "AB12" + "CDEF" * 60 + "x"]
+    labels = ["TOKEN = \"", "Password: ", "API_KEY=", "SECRET='", "pwd=", "Token: ", "Api-Key = "]
+    texts = [f"{a}{v} end" for a, v in zip(labels, values)] + ["token = \"9233a8ec9233a8ec\" end"]
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    new = [m[len(a):-4] for a, m in zip(labels, made)]
+    for a, v, n, m in zip(labels, values, new, made):
+        assert m.startswith(a) and m.endswith(" end") and len(n) == len(v) and n != v
+        assert v[-20:] not in m and v[:6] not in m
+    assert re.fullmatch("[0-9A-F]{16}", new[0]) and made[-1] == f"token = \"{new[0].lower()}\" end"
+    assert re.fullmatch("[0-9a-f]{1024}", new[4]) and new[5].isdigit() and re.fullmatch("([a-z][A-Z][0-9]-){250}", new[3])
