@@ -13,7 +13,9 @@ Each distinct entity - by its normal form, so that ``+1 (555) 010-9999`` and
 
 Collision checks: a surrogate must not equal another entity's surrogate or any
 real entity of its type; those that do are hashed again with the next attempt
-until the whole entity table passes.
+until the whole entity table passes. Where a format has no free value left,
+the entities concerned get surrogates with more characters than their format.
+A run of punctuation after a label (``password: ******``) is not a secret.
 
 Main path: built-in expressions only. Occurrences are one row each; entities
 are grouped with partial aggregation, so one that a third of all texts mention
@@ -28,6 +30,7 @@ table gives an empty result; matches do not overlap, the leftmost wins.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +58,7 @@ PHONE = (r"(?<![\w+(.-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 LABELS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
-SECRET = rf"(?<=[=: \"'])(?<=(?i:{'|'.join(LABELS)}) ?[=:] ?[\"']?)[A-Za-z0-9+/_!#$%^*.-]{{6,}}+"
+SECRET = rf"(?<=[=: \"'])(?<=(?i:{'|'.join(LABELS)}) ?[=:] ?[\"']?)(?=[+/_!#$%^*.-]*+[A-Za-z0-9])[A-Za-z0-9+/_!#$%^*.-]{{6,}}+"
 PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])"
 ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, SECRET, PERSON])
 
@@ -152,20 +155,23 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
     def mapped(text, offset=0):
         return F.array_join(F.transform(F.split(text, ""), lambda c, i: letters(c, i + offset)), "")
 
-    any_char = F.array_join(F.transform(chars, letters), "")
+    # past MAX_ATTEMPTS the format has no free value: each attempt adds a character
+    extra = F.greatest(attempt - F.lit(MAX_ATTEMPTS - 1), F.lit(0))
+    more = mapped(F.repeat(F.lit("0"), extra), 128)
+    any_char = F.concat(F.array_join(F.transform(chars, letters), ""), more)
     tld = F.regexp_extract(norm, r"(\.[a-z]+)$", 1)
-    email = F.concat(mapped(F.regexp_replace(norm, r"\.[a-z]+$", "")), tld)
+    email = F.concat(mapped(F.repeat(F.lit("a"), extra), 128), mapped(F.regexp_replace(norm, r"\.[a-z]+$", "")), tld)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(254)) + 1).cast("string")), ".")
-    body = F.concat(F.substring(norm, 1, 1), mapped(F.substr(norm, F.lit(2), F.length(norm) - 2)))
+    body = F.concat(F.substring(norm, 1, 1), mapped(F.substr(norm, F.lit(2), F.length(norm) - 2)), more)
     valid = luhn_digit(F.substr(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, -1, 1)
     other = mapped(F.substring(norm, -1, 1), 40)
     card = F.concat(body, F.when(valid, luhn_digit(body)).otherwise(other))
     prefix = F.regexp_extract(norm, r"^(\+\d)", 1)
-    phone = F.concat(prefix, mapped(F.substr(norm, F.length(prefix) + 1)))
-    iban = F.concat(F.substring(norm, 1, 2), mapped(F.substr(norm, F.lit(3))))
-    access = F.concat(F.substring(norm, 1, 4), mapped(F.substr(norm, F.lit(5))))
-    hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(512)) + 1, 1)), "")
+    phone = F.concat(prefix, mapped(F.substr(norm, F.length(prefix) + 1)), more)
+    iban = F.concat(F.substring(norm, 1, 2), mapped(F.substr(norm, F.lit(3))), more)
+    access = F.concat(F.substring(norm, 1, 4), mapped(F.substr(norm, F.lit(5))), more)
+    hexed = F.concat(F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(512)) + 1, 1)), ""), more)
 
     def syllables(table):
         pool = F.array(*[F.lit(s) for s in table])
@@ -182,12 +188,14 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
             .when(kind.startswith("given:") | kind.startswith("family:"), name).otherwise(any_char))
 
 
-def entity_map(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """Distinct (kind, norm) -> (kind, norm, surrogate), free of collisions."""
+def entity_map(entities: DataFrame, key: str = KEY, widen: bool = False) -> DataFrame:
+    """Distinct (kind, norm) -> (kind, norm, surrogate), free of collisions.
+    With ``widen``, entities that find no free value of their format in
+    MAX_ATTEMPTS rounds get longer surrogates; else that is an error."""
     real = staged(entities.select("kind", "norm").distinct(), "pii-entities")
     table = staged(real.withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "pii-map")
-    for _ in range(MAX_ATTEMPTS):
+    for _ in count() if widen else range(MAX_ATTEMPTS):
         owner = table.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n"))
         shared = owner.filter("n > 1").select("kind", "surrogate", "owner")
         taken = real.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
@@ -205,12 +213,17 @@ def entity_map(entities: DataFrame, key: str = KEY) -> DataFrame:
 def in_format(raw: Column, made: Column, kind: Column) -> Column:
     """A surrogate of the normal form in the occurrence's own format."""
     digits = F.regexp_replace(made, r"\D", "")
+    own = F.length(F.regexp_replace(raw, r"\D", ""))
     spread = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
         c.rlike(r"\d"), F.substring(digits, F.length(F.regexp_replace(F.substring(raw, 1, i + 1), r"\D", "")), 1)).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
         c.rlike("[A-Z]"), F.upper(F.substring(made, i + 1, 1))).otherwise(F.substring(made, i + 1, 1))), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(
         F.substring(made, F.length(F.replace(F.substring(raw, 1, i + 1), F.lit(" "), F.lit(""))), 1))), "")
+    # a widened surrogate goes on where the occurrence's own format ends
+    spread = F.concat(spread, F.substr(digits, own + 1))
+    cased = F.concat(cased, F.substr(made, F.length(raw) + 1))
+    spaced = F.concat(spaced, F.substr(made, F.length(F.replace(raw, F.lit(" "), F.lit(""))) + 1))
     return (F.when(kind.isin("phone", "card", "national"), spread).when(kind == "email", cased)
             .when((kind == "hex") & raw.rlike("[A-F]"), F.upper(made))
             .when(kind == "iban", spaced).otherwise(made))
@@ -222,7 +235,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = No
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").alias("text"))
     has = has_entity(F.col("text"))
     hits = staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-hits")
-    made = hits.join(entity_map(hits, key), ["kind", "norm"]).select("rk", "pos", "part", F.concat(
+    made = hits.join(entity_map(hits, key, widen=True), ["kind", "norm"]).select("rk", "pos", "part", F.concat(
         "before", in_format(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("piece"))
     by_hit = made.groupBy("rk", "pos").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("piece"))

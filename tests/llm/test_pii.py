@@ -100,3 +100,22 @@ def test_secrets_of_any_length_after_labels_in_any_case(spark):
         assert v[-20:] not in m and v[:6] not in m
     assert re.fullmatch("[0-9A-F]{16}", new[0]) and made[-1] == f"token = \"{new[0].lower()}\" end"
     assert re.fullmatch("[0-9a-f]{1024}", new[4]) and new[5].isdigit() and re.fullmatch("([a-z][A-Z][0-9]-){250}", new[3])
+
+
+def test_masked_secrets_and_full_formats_end_with_a_result(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
+    masked = ["password: ******", "token = --------", "secret: ......", "pwd=\"$$$$$$$$\""]
+    stars = [f"secret: *****{c} end" for c in "0123456789"]
+    mails = ["to _@-.com now"]
+    full = [f"secret: {c}-------- end" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    texts = masked + stars + mails + full
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert made[:4] == masked
+    assert len(set(made[4:])) == len(made[4:]) and not set(made[4:]) & set(texts)
+    assert all(re.fullmatch(r"secret: \*{5}[0-9]{2,} end", m) for m in made[4:14])
+    assert re.fullmatch(r"to [a-z]+_@-\.com now", made[14])
+    assert all(re.fullmatch(r"secret: [A-Z]-{8}[0-9]+ end", m) for m in made[15:])
+    phones = pii.entity_map(spark.createDataFrame([("phone", f"+1{i:03d}") for i in range(1000)], "kind string, norm string"), widen=True).collect()
+    assert len({r.surrogate for r in phones}) == 1000 and not {r.surrogate for r in phones} & {r.norm for r in phones}
+    shown = spark.createDataFrame([("+1 234", "+198765", "phone")], "raw string, made string, kind string")
+    assert shown.select(pii.in_format(F.col("raw"), F.col("made"), F.col("kind"))).first()[0] == "+1 98765"
