@@ -8,8 +8,13 @@ Each distinct entity - by its normal form, so that ``+1 (555) 010-9999`` and
 * letters become letters of the same case and script, digits digits; separators,
   length, top-level domain, country code, card prefix and Luhn validity stay;
 * names become names of the same script, given names of the same gender (that
-  of the title); given and family names are mapped apart, so ``Mrs Anna Weber``
-  and ``Frau Weber`` still share a family name.
+  of the title, if it tells one); given and family names are mapped apart, so
+  ``Mrs Anna Weber`` and ``Frau Weber`` still share a family name. Any number
+  of name words, initials and particles may follow the titles: the last full
+  word is the family name, particles stay, an initial becomes another letter
+  (letters are too few to be kept apart). The names so found are also replaced
+  where they stand in the same text without a title. Names in scripts without
+  capitals, and names without a title anywhere in their text, are not found.
 
 Collision checks: a surrogate must not equal another entity's surrogate or any
 real entity of its type; those that do are hashed again with the next attempt
@@ -29,6 +34,8 @@ table gives an empty result; matches do not overlap, the leftmost wins.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from itertools import count
 from operator import or_
@@ -41,13 +48,34 @@ from furrow.llm.common import documents, staged
 KEY = "furrow-surrogates"
 MAX_ATTEMPTS = 24
 # Titles of address by gender, and syllables of made-up names.
-MALE = ["Mr", "Mister", "Herr", "Herrn", "Señor", "Monsieur", "господин", "Господин", "Signor"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "госпожа", "Госпожа", "Signora"]
+MALE = ["Mr", "Mister", "Herr", "Herrn", "Señor", "Monsieur", "господин", "Господин", "Signor", "Sir"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "госпожа", "Госпожа", "Signora", "Dame", "Lady"]
+NEUTRAL = ["Dr", "Prof", "Doctor", "Doktor", "Docteur", "Professor", "Professeur", "доктор", "Доктор", "профессор", "Профессор"]
+PARTICLES = ["von", "van", "vom", "zu", "zur", "zum", "der", "den", "de", "del", "della", "des", "di", "da", "do", "dos", "das", "du", "la", "le", "las", "los",
+             "y", "e", "af", "av", "ten", "ter", "bin", "ibn", "bint", "al", "el", "фон", "де"]
 LATIN = ["an", "bel", "cor", "da", "el", "fin", "gar", "hal", "is", "jo", "kal", "lem", "mar", "nor", "ol", "per"]
+GREEK = ["αν", "βελ", "γορ", "δα", "ελ", "φιν", "γαρ", "χαλ", "ισ", "κο", "καλ", "λεμ", "μαρ", "νορ", "ολ", "περ"]
 CYRILLIC = ["ан", "бел", "вор", "да", "ель", "жин", "гар", "зал", "ис", "ко", "кал", "лем", "мар", "нор", "ол", "пер"]
 
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.?"
-_NAME = r"\p{Lu}\p{Ll}[\p{Ll}'’]*(?:-\p{Lu}\p{Ll}+)?"
+def _small(script: str) -> list[str]:
+    """16 plain small letters of a cased script, for names made of them."""
+    found = [chr(c) for c in range(0x370, 0x1E944) if unicodedata.category(chr(c)) == "Ll"
+             and re.fullmatch(rf"{script.upper()} SMALL LETTER \w+", unicodedata.name(chr(c), ""))]
+    return found[:16]
+
+
+#: Syllables by script; given names end by gender and family names alike.
+SYLLABLES = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK} | {
+    s: _small(s) for s in ("armenian", "coptic", "glagolitic", "cherokee", "adlam", "osage", "deseret")}
+ENDINGS = {"latin": ("a", "o", "i", "ner"), "cyrillic": ("а", "й", "е", "ко"), "greek": ("α", "ος", "ι", "ης")}
+
+_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
+_END = r"(?![\p{L}\p{M}\p{N}])"
+# A name word ends before "'s"; an initial is one capital, with or without a dot.
+_NAME = rf"(?:\p{{Lu}}['’])?\p{{Lu}}\p{{M}}*\p{{Ll}}[\p{{L}}\p{{M}}]*+(?:['’-](?!s{_END})\p{{L}}[\p{{L}}\p{{M}}]*+)*+{_END}"
+_INITIAL = rf"\p{{Lu}}(?:\.|{_END})"
+_WORD = rf"(?:{_NAME}|{_INITIAL})"
+_GAP = rf"(?: |(?<=\p{{Lu}}\.))(?:(?:{'|'.join(PARTICLES)}) ){{0,4}}(?:[ae]l-|[dl]['’])?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,255}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
@@ -59,11 +87,12 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 LABELS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
 SECRET = rf"(?<=[=: \"'])(?<=(?i:{'|'.join(LABELS)}) ?[=:] ?[\"']?)(?=[+/_!#$%^*.-]*+[A-Za-z0-9])[A-Za-z0-9+/_!#$%^*.-]{{6,}}+"
-PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])"
+_LEAD = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}(?: {_TITLE}(?= ))*+"
+PERSON = rf"{_LEAD}(?:{_GAP}{_WORD})++"
 ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, SECRET, PERSON])
 
 # What every match needs, cheap to look for: most texts hold nothing of it.
-_SIGNS = sorted({t[:4] for t in MALE + FEMALE})
+_SIGNS = sorted({t[:4] for t in MALE + FEMALE + NEUTRAL})
 
 PART = "struct<kind:string,norm:string,raw:string,before:string>"
 
@@ -77,33 +106,50 @@ def has_entity(text: Column) -> Column:
     return F.coalesce(signs & text.rlike(ANY), F.lit(False))
 
 
-def _gender(title: Column) -> Column:
-    return F.when(title.isin(MALE), "m").otherwise("f")
+def _script(name: Column) -> Column:
+    found = F
+    for script in SYLLABLES:
+        if script != "latin":
+            found = found.when(name.rlike(rf"\p{{Is{script.capitalize()}}}"), script)
+    return found.otherwise("latin")
 
 
-def _script(name: Column) -> Column:
-    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def _part(kind: Column, norm: Column, raw: Column, before: Column) -> Column:
+    return F.struct(kind.alias("kind"), norm.alias("norm"), raw.alias("raw"), before.alias("before")).cast(PART)
+
+
+def _name_parts(raw: Column) -> Column:
+    """The words of a titled name as parts: the last full one is the family
+    name; titles, particles and spaces stay as text before them."""
+    lead = F.regexp_extract(raw, f"^{_LEAD}", 0)
+    rest = F.substr(raw, F.length(lead) + 1)
+    def titled(titles):
+        return lead.rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})(?!\p{{L}})")
+
+    gender = F.when(titled(MALE), "m").when(titled(FEMALE), "f").otherwise("n")
+    words, gaps = F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), F.split(rest, _WORD)
+
+    def parts(v):
+        def one(w, i):
+            short = F.length(F.replace(w, F.lit("."), F.lit(""))) == 1
+            kind = (F.when(short, "initial").when(i == v["last"], "family").otherwise(F.concat(F.lit("given:"), v["gender"])))
+            return _part(F.concat_ws(":", kind, _script(w)), F.when(short, F.substring(w, 1, 1)).otherwise(w), w,
+                         F.concat(F.when(i == 0, v["lead"]).otherwise(""), F.get(v["gaps"], i)))
+        return F.transform(v["words"], one)
+
+    full = F.transform(words, lambda w, i: F.when(F.length(F.replace(w, F.lit("."), F.lit(""))) > 1, i).otherwise(-1))
+    held = F.struct(words.alias("words"), gaps.alias("gaps"), lead.alias("lead"), gender.alias("gender"), F.array_max(full).alias("last"))
+    return F.transform(F.array(held), parts)[0]
 
 
 def _parts(raw: Column) -> Column:
     """An occurrence as parts to map: (kind, normal form, raw, text before)."""
-    def part(kind, norm, text=raw, before=F.lit("")):
-        return F.struct(kind.alias("kind") if isinstance(kind, Column) else F.lit(kind).alias("kind"),
-                        norm.alias("norm"), text.alias("raw"), before.alias("before"))
+    def one(kind, norm):
+        return F.array(_part(F.lit(kind), norm, raw, F.lit("")))
 
     digits = F.regexp_replace(raw, r"[^\d+]", "")
-    shape = rf"^({_TITLE} )({_NAME})(?: ({_NAME}))?$"
-    title = F.regexp_replace(F.regexp_extract(raw, shape, 1), r"\.? $", "")
-    first, second = F.regexp_extract(raw, shape, 2), F.regexp_extract(raw, shape, 3)
-    family = F.concat(F.lit("family:"), _script(raw))
-    given = F.concat_ws(":", F.lit("given"), _gender(title), _script(raw))
-    lead = F.regexp_extract(raw, shape, 1)
-    person = F.when(second == "", F.array(part(family, first, first, lead).cast(PART))).otherwise(
-        F.array(part(given, first, first, lead).cast(PART), part(family, second, second, F.lit(" ")).cast(PART)))
-    def one(kind, norm):
-        return F.array(part(kind, norm).cast(PART))
 
-    return (F.when(raw.rlike(shape), person)
+    return (F.when(raw.rlike(f"^{PERSON}$"), _name_parts(raw))
             .when(raw.contains("@"), one("email", F.lower(raw)))
             .when(raw.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), one("ip", raw))
             .when(raw.rlike(r"^(?:(?:\d{4}[ -]){3}\d{4}|[3-6]\d{14,15})$"), one("card", digits))
@@ -115,10 +161,46 @@ def _parts(raw: Column) -> Column:
             .otherwise(one("secret", raw)))
 
 
+def _own_names(text: Column) -> Column:
+    """(norm, kind) of the words of the text's titled names, each once; a
+    gender that a title tells comes before one that it does not."""
+    words = F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), _name_parts)),
+                     lambda p: ~p["kind"].startswith("initial"))
+
+    def once(v):
+        norms = F.transform(v, lambda p: p["norm"])
+        first = F.transform(F.array_distinct(norms), lambda n: F.element_at(v, F.array_position(norms, n).cast("int")))
+        return F.transform(first, lambda p: F.struct(p["norm"].alias("norm"), p["kind"].alias("kind")))
+
+    told = F.transform(F.array(words), lambda w: F.concat(
+        F.filter(w, lambda p: ~p["kind"].startswith("given:n")), F.filter(w, lambda p: p["kind"].startswith("given:n"))))
+    return F.transform(told, once)[0]
+
+
+def with_pattern(texts: DataFrame) -> DataFrame:
+    """Adds ``own``, the names (norm, kind) of each text's titled persons, and
+    ``pattern``: ANY, and those names where they stand without a title."""
+    own = F.when(F.col("text").rlike(PERSON), _own_names(F.col("text"))).otherwise(F.array().cast("array<struct<norm:string,kind:string>>"))
+    longest = F.reverse(F.array_sort(F.transform("own", lambda p: F.struct(F.length(p["norm"]).alias("n"), p["norm"].alias("norm")))))
+    names = F.array_join(F.transform(longest, lambda p: p["norm"]), "|")
+    return texts.withColumn("own", own).withColumn("pattern", F.when(F.size("own") == 0, F.lit(ANY)).otherwise(
+        F.concat(F.lit(ANY + r"|(?<![\p{L}\p{M}\p{N}])(?=\p{Lu})(?:"), names, F.lit(")" + _END))))
+
+
 def occurrences(texts: DataFrame) -> DataFrame:
     """(rk, pos, part, kind, norm, raw, before) of texts (rk, text)."""
-    found = texts.select("rk", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "hit"))
-    return (found.select("rk", "pos", F.posexplode(_parts(F.col("hit"))).alias("part", "p"))
+    found = with_pattern(texts).select("rk", "own", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("hits"))
+    kinds = F.map_from_entries("own")
+
+    def resolved(m):
+        def known(p):
+            k = F.element_at(m, p["norm"])
+            return p.withField("kind", F.when(p["kind"].startswith("given:n") & k.startswith("given:"), k).otherwise(p["kind"]))
+        return F.transform("hits", lambda h: F.when(m[h].isNotNull(), F.array(_part(m[h], h, h, F.lit("")))).otherwise(
+            F.transform(_parts(h), known)))
+
+    parts = F.transform(F.array(kinds), resolved)[0]
+    return (found.select("rk", F.posexplode(parts).alias("pos", "ps")).select("rk", "pos", F.posexplode("ps").alias("part", "p"))
             .select("rk", "pos", "part", "p.kind", "p.norm", "p.raw", "p.before"))
 
 
@@ -179,11 +261,16 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
         return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.element_at(
             pool, (F.pmod(_byte(stream, i), F.lit(16)) + 1).cast("int"))), "")
 
-    latin = F.concat(syllables(LATIN), F.when(kind.startswith("given:f"), "a").when(kind.startswith("given:m"), "o").otherwise("ner"))
-    cyrillic = F.concat(syllables(CYRILLIC), F.when(kind.startswith("given:f"), "а").when(kind.startswith("given:m"), "й").otherwise("ко"))
-    name = F.initcap(F.when(kind.endswith("cyrillic"), cyrillic).otherwise(latin))
+    name, initial = F, F
+    for script, table in SYLLABLES.items():
+        f, m, n, family = ENDINGS.get(script, ("",) * 4)
+        end = F.when(kind.startswith("given:f"), f).when(kind.startswith("given:m"), m).when(kind.startswith("given:n"), n).otherwise(family)
+        name = name.when(kind.endswith(script), F.initcap(F.concat(syllables(table), end)))
+        others = F.filter(F.array_distinct(F.array(*[F.lit(x[0].upper()) for x in table])), lambda x: x != norm)
+        initial = initial.when(kind.endswith(script), F.get(others, F.pmod(_byte(stream, F.lit(0)), F.size(others))))
     return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card)
             .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "hex", hexed)
+            .when(kind.startswith("initial:"), initial)
             .when(norm.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), access)
             .when(kind.startswith("given:") | kind.startswith("family:"), name).otherwise(any_char))
 
@@ -192,7 +279,7 @@ def entity_map(entities: DataFrame, key: str = KEY, widen: bool = False) -> Data
     """Distinct (kind, norm) -> (kind, norm, surrogate), free of collisions.
     With ``widen``, entities that find no free value of their format in
     MAX_ATTEMPTS rounds get longer surrogates; else that is an error."""
-    real = staged(entities.select("kind", "norm").distinct(), "pii-entities")
+    real = staged(entities.filter(~F.col("kind").startswith("initial:")).select("kind", "norm").distinct(), "pii-entities")
     table = staged(real.withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "pii-map")
     for _ in count() if widen else range(MAX_ATTEMPTS):
@@ -226,7 +313,8 @@ def in_format(raw: Column, made: Column, kind: Column) -> Column:
     spaced = F.concat(spaced, F.substr(made, F.length(F.replace(raw, F.lit(" "), F.lit(""))) + 1))
     return (F.when(kind.isin("phone", "card", "national"), spread).when(kind == "email", cased)
             .when((kind == "hex") & raw.rlike("[A-F]"), F.upper(made))
-            .when(kind == "iban", spaced).otherwise(made))
+            .when(kind == "iban", spaced)
+            .when(kind.startswith("initial:") & raw.endswith("."), F.concat(made, F.lit("."))).otherwise(made))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = None) -> DataFrame:
@@ -235,15 +323,17 @@ def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = No
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").alias("text"))
     has = has_entity(F.col("text"))
     hits = staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-hits")
-    made = hits.join(entity_map(hits, key, widen=True), ["kind", "norm"]).select("rk", "pos", "part", F.concat(
+    made = hits.join(entity_map(hits, key, widen=True), ["kind", "norm"], "left").withColumn(
+        "surrogate", F.when(F.col("kind").startswith("initial:"), surrogate(key, F.col("kind"), F.col("norm"), F.lit(0)))
+        .otherwise(F.col("surrogate"))).select("rk", "pos", "part", F.concat(
         "before", in_format(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("piece"))
     by_hit = made.groupBy("rk", "pos").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("piece"))
     by_text = by_hit.groupBy("rk").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]).alias("pieces"))
-    gaps = F.split("text", ANY)
+    gaps = F.split("text", F.col("pattern"))
     woven = F.array_join(F.zip_with(gaps, F.concat("pieces", F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
-    changed = rows.filter(has).join(by_text, "rk").select(
+    changed = with_pattern(rows.filter(has).join(by_text, "rk")).select(
         F.col("_row").withField("text", woven).alias("_row"), F.size("pieces").cast("bigint").alias("_n"))
     same = rows.filter(~has).select("_row", F.lit(0).cast("bigint").alias("_n"))
     out = changed.unionByName(same)

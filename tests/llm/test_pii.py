@@ -119,3 +119,28 @@ def test_masked_secrets_and_full_formats_end_with_a_result(spark, monkeypatch):
     assert len({r.surrogate for r in phones}) == 1000 and not {r.surrogate for r in phones} & {r.norm for r in phones}
     shown = spark.createDataFrame([("+1 234", "+198765", "phone")], "raw string, made string, kind string")
     assert shown.select(pii.in_format(F.col("raw"), F.col("made"), F.col("kind"))).first()[0] == "+1 98765"
+
+
+def test_long_names_titles_scripts_and_untitled_mentions(spark):
+    texts = [
+        "Mrs Anna Maria Weber came. Later Anna Weber left, and Weber's dog too; Annabel stayed.",
+        "Mr John F. Kennedy and Sir J.R.R. Tolkien",
+        "Frau Prof. Dr. Lena Braun, Dr Lena Braun, Prof. Otto",
+        "Herr Ludwig van Beethoven met Mr O'Brien and Mr McDonald.",
+        "Mr Γιώργος Παπαδόπουλος, Mr Արամ Խաչատրյան, господин Иван Иванович Петров; Παπαδόπουλος",
+        "Anna Weber alone",
+    ]
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    w = r"([^\W\d_]+)"
+    a, m, f, a2, f2, f3 = re.fullmatch(rf"Mrs {w} {w} {w} came\. Later {w} {w} left, and {w}'s dog too; Annabel stayed\.", made[0]).groups()
+    assert a == a2 and f == f2 == f3 and a.endswith("a") and m.endswith("a") and not {a, m, f} & {"Anna", "Maria", "Weber"}
+    j, i, k, i1, i2, i3, t = re.fullmatch(rf"Mr {w} (\w)\. {w} and Sir (\w)\.(\w)\.(\w)\. {w}", made[1]).groups()
+    assert j != "John" and i != "F" and k != "Kennedy" and i1 != "J" and i2 == i3 != "R" and t != "Tolkien"
+    g, b, g2, b2, o = re.fullmatch(rf"Frau Prof\. Dr\. {w} {w}, Dr {w} {w}, Prof\. {w}", made[2]).groups()
+    assert g == g2 != "Lena" and b == b2 != "Braun" and o != "Otto" and g.endswith("a")
+    x = re.fullmatch(rf"Herr {w} van {w} met Mr {w} and Mr {w}\.", made[3]).groups()
+    assert not set(x) & {"Ludwig", "Beethoven", "Brien", "McDonald"}
+    y = re.fullmatch(rf"Mr {w} {w}, Mr {w} {w}, господин {w} {w} {w}; {w}", made[4]).groups()
+    assert all("Ͱ" <= c <= "Ͽ" for c in (y[0] + y[1] + y[7]).lower()) and y[1] == y[7] != "Παπαδόπουλος"
+    assert all("԰" <= c <= "֏" for c in y[2] + y[3]) and all("Ѐ" <= c <= "ӿ" for c in y[4] + y[5] + y[6])
+    assert made[5] == texts[5]
