@@ -3,7 +3,8 @@
 Every k-gram of code points is hashed with a rolling hash; of every window of
 ``WINDOW`` consecutive hashes the smallest is kept, the rightmost of equal
 ones, with its position. Two texts that share a passage of at least
-``GRAM + WINDOW - 1`` code points share a kept hash (the match guarantee). A
+``GRAM + WINDOW - 1`` = 15 code points share a kept hash (the match guarantee),
+so a text of 30 code points of which half is kept has a likeness above 0. A
 text shorter than a k-gram is one gram; one with fewer grams than a window is
 one window.
 
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import documents, ship_package, shuffle_partitions, text_or_empty
 
-GRAM = 24
-WINDOW = 40
+GRAM = 8
+WINDOW = 8
+CHUNK = 512  # rows of a result batch
 _BASE = 0x5851F42D4C957F2D | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -106,7 +108,7 @@ def fingerprint_texts(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> D
     schema = docs.select("*", F.lit("").alias("fingerprint")).schema
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
             prints = [encode(*winnow(code_points(t or ""), k, window)) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.string())],
                                              names=[*b.schema.names, "fingerprint"])
@@ -166,7 +168,7 @@ def _pairs(batches):
                     encode(*own), encode(*changed), likeness(own[0], changed[0]), likeness(own[0], follow_print[0])))
 
     closed = None
-    for b in batches:
+    for b in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
         for part, extra, doc_id, text in zip(*(b[c].to_pylist() for c in ("part", "extra", "doc_id", "text"))):
             if closed == part:
                 continue  # equal heads were sent once each; one is enough

@@ -65,3 +65,11 @@ def test_edge_rows(spark):
     assert [(r.doc_id, r.n_chars, r.near_next) for r in only] == [(5, 5, 1.0)]
     out = fp.fingerprint_texts(frame(spark))
     assert out.count() == len(corpus()) and "score" in out.columns
+
+
+def test_half_kept_short_texts_are_alike():
+    rng = random.Random(4)
+    for n in range(30, 121):
+        text, other = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for _ in range(2))
+        edited = fp.edited_with_next(text, other)
+        assert fp.likeness(fp.winnow(fp.code_points(text))[0], fp.winnow(fp.code_points(edited))[0]) > 0
