@@ -14,10 +14,19 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Fixed values of HTML: elements without content, with raw content, inline
 # elements, and the open elements that a start tag closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "iframe", "template", "svg", "math", "object", "audio", "video", "canvas"}
+RAW = {"script", "style", "iframe"}
+# Embedded content is read like any other; a link around it stays open. A start
+# tag of BREAKOUT ends an svg element, unless one of HTML_INSIDE lies between.
+EMBEDDED = {"template", "svg", "object", "audio", "video", "canvas"}
+BREAKOUT = {"blockquote", "body", "center", "dd", "div", "dl", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "li",
+            "menu", "ol", "p", "pre", "table", "ul"}
+HTML_INSIDE = {"foreignobject", "desc", "title"}
+FORMULA = {"math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded",
+           "mphantom", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none",
+           "mtable", "mtr", "mtd", "maction", "semantics", "annotation", "annotation-xml"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font",
           "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
-          "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "sub", "sup", "time", "tt", "u", "var", "wbr"} | FORMULA
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 STOPS = {"ul", "ol", "dl", "table", "body", "html", "div", "section", "article", "main", "aside", "nav", "header",
@@ -61,6 +70,9 @@ def leaf_blocks(source: str) -> list[Block]:
             if anchors:
                 linked += len(raw)
 
+    def embedded():
+        return any(t in EMBEDDED for t, _ in path)
+
     n = len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -80,7 +92,8 @@ def leaf_blocks(source: str) -> list[Block]:
                     anchors -= 1
                 continue
             flush()
-            anchors = 0
+            if not embedded():
+                anchors = 0
             for i in range(len(path) - 1, -1, -1):
                 if path[i][0] == tag:
                     del path[i:]
@@ -89,7 +102,7 @@ def leaf_blocks(source: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 anchors += 1
-            elif tag == "br":
+            elif tag in ("br", "mtr", "mtd"):
                 add(" ")
             continue
         if tag in RAW:
@@ -99,9 +112,19 @@ def leaf_blocks(source: str) -> list[Block]:
             add(" ")
             continue
         flush()
-        anchors = 0
+        if tag in BREAKOUT:
+            for i in range(len(path) - 1, -1, -1):
+                if path[i][0] in HTML_INSIDE:
+                    break
+                if path[i][0] == "svg":
+                    del path[i:]
+                    break
+        if tag not in EMBEDDED and not embedded():
+            anchors = 0
         if tag in VOID:
             continue
+        if (m[3] or "").rstrip().endswith("/") and (tag == "svg" or any(t == "svg" for t, _ in path)):
+            continue
         closing = CLOSES.get(tag, ())
         for i in range(len(path) - 1, -1, -1):
             open_tag = path[i][0]

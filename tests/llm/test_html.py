@@ -69,3 +69,20 @@ def test_frame(spark):
     assert [r.text for r in out] == [text, text, "", ""] and out[0].place == 0
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert he.extract(none).collect() == []
+
+
+def test_formulas_and_embedded_content_are_read():
+    def read(page):
+        return [(b.path[-1][0], b.text) for b in leaf_blocks(page)]
+
+    assert read("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == [("p", "so x=2 holds")]
+    assert read("<article><p>one <math><mi>x</mi></p><p>two</p></article>") == [("p", "one x"), ("p", "two")]
+    assert read("<article><svg><path d='M0'/><text>mark</text><p>one</p><p>two</p></article>") == [
+        ("text", "mark"), ("p", "one"), ("p", "two")]
+    assert [tuple(t for t, _ in b.path) for b in leaf_blocks("<article><svg><g><p>one</p></article>")] == [("article", "p")]
+    for tag in ("object", "canvas", "audio", "video", "template"):
+        assert read(f"<div><{tag}>own text</{tag}><p>after</p></div>") == [(tag, "own text"), ("p", "after")]
+        assert ("p", "after") in read(f"<div><{tag}><p>after</p></div>")
+    linked = leaf_blocks("<li><a href='/'><svg><path/></svg> Home</a></li>")
+    assert [(b.text, b.linked) for b in linked] == [("Home", 4)]
+    assert read("<p>a</p><script>var x = '<p>no</p>'") == [("p", "a")]
