@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints.
 
 Records come in many layouts (prompt/response columns, instruction/input/
-output, message lists). The set of nested field paths that a record really
-fills is hashed; the hash selects a declarative mapping from that layout to
-canonical turns ``array<struct<role, text>>``. The turns are then written with
+output, message lists). Of the nested field paths that some mapping names,
+those that a record really fills are hashed; each mapping knows the hashes of
+its own paths, and the matching one gives canonical turns. Where several match,
+the one with the most filled paths is taken; of equals, the first in the list.
+The turns are of type ``array<struct<role, text>>``. The turns are then written with
 a template that marks them and escapes control strings inside texts, together
 with a loss mask over the assistant texts.
 
@@ -13,7 +15,8 @@ size is bounded by what one formatted text may be.
 
 Defined results: a null text or role is an empty one; a record without any
 filled field, or whose paths match no mapping, has ``layout`` null and no
-turns, and formats to an empty text; extra columns are ignored unless a
+turns, and formats to an empty text (with ``strict``, which the query sets, one
+with filled paths but no mapping is an error); extra columns are ignored unless a
 mapping names them; ties of turn numbers are ordered by role, then text;
 repeated rows are repeated turns; rows without conversation id form one
 conversation; an empty table gives an empty result.
@@ -74,11 +77,15 @@ def _field(name: str):
     return lambda x: x.getField(name)
 
 
-def fingerprint(records: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of the sorted paths that a record fills among ``columns``."""
+def filled_paths(records: DataFrame, columns: list[str], named: set[str]) -> Column:
+    """The sorted paths among ``named`` that a record fills in ``columns``."""
     paths = [p for c in columns for p in field_paths(records.schema[c].dataType, F.col(c), c)]
-    filled = F.array_sort(F.array_compact(F.array(*paths)))
-    return F.sha2(F.array_join(filled, "\n").cast("binary"), 256)
+    return F.filter(F.array_sort(F.array_compact(F.array(*paths))), lambda p: p.isin(*sorted(named)))
+
+
+def fingerprint(paths: Column) -> Column:
+    """SHA-256 of sorted paths."""
+    return F.sha2(F.array_join(paths, "\n").cast("binary"), 256)
 
 
 def _paths(layout: dict) -> tuple[list[str], list[str]]:
@@ -123,18 +130,32 @@ def _turns(layout: dict, have: set[str]) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def canonical_turns(records: DataFrame, layouts: list[dict] = LAYOUTS) -> DataFrame:
+def _matching(paths: Column, layouts: list[dict]) -> Column:
+    """The name of the matching layout with the most filled paths, or null."""
+    def match(i, x):
+        own = F.filter(paths, lambda p: p.isin(*[q for part in _paths(x) for q in part]))
+        found = F.struct(F.size(own).alias("n"), F.lit(-i).alias("first"), F.lit(x["name"]).alias("name"))
+        return F.when(fingerprint(own).isin(*layout_fingerprints(x)), found)
+
+    return F.array_max(F.array(*[match(i, x) for i, x in enumerate(layouts)]))["name"]
+
+
+def canonical_turns(records: DataFrame, layouts: list[dict] = LAYOUTS, strict: bool = False) -> DataFrame:
     """Add ``schema_fingerprint``, ``layout`` and ``turns``."""
     have = set(records.columns)
     usable = [x for x in layouts if set(_columns(x)) - set(x.get("optional", [])) <= have]
     named = list(dict.fromkeys(c for x in layouts for c in _columns(x) if c in have))
+    paths = filled_paths(records, named, {p for x in layouts for part in _paths(x) for p in part}) if named else None
     if not usable:
-        return (records.withColumn("schema_fingerprint", fingerprint(records, named) if named else F.lit(None).cast("string"))
+        return (records.withColumn("schema_fingerprint", fingerprint(paths) if named else F.lit(None).cast("string"))
                 .withColumn("layout", F.lit(None).cast("string"))
                 .withColumn("turns", F.array().cast(TURNS)))
-    known = F.create_map(*[F.lit(v) for x in usable for h in layout_fingerprints(x) for v in (h, x["name"])])
-    out = (records.withColumn("schema_fingerprint", fingerprint(records, named))
-           .withColumn("layout", known[F.col("schema_fingerprint")]))
+    layout = _matching(paths, usable)
+    if strict:
+        refused = F.raise_error(F.concat(F.lit("no mapping for the filled paths "), F.array_join(paths, ", "))).cast("string")
+        layout = F.coalesce(layout, F.when(F.size(paths) > 0, refused))
+    # Both at once, as a column named layout may be in the records.
+    out = records.withColumns({"schema_fingerprint": fingerprint(paths), "layout": layout})
     turns = F.array().cast(TURNS)
     for x in reversed(usable):
         turns = F.when(F.col("layout") == x["name"], _turns(x, have).cast(TURNS)).otherwise(turns)
@@ -222,7 +243,7 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
         F.lit(-7).cast(records.schema["conv_id"].dataType).alias("conv_id"),
         F.array(*[F.struct(F.lit(r).alias("role"), F.lit(same).alias("content"))
                   for r in ("user", "assistant")]).alias("messages"))
-    done = read_back(format_turns(canonical_turns(records.unionByName(extra))))
+    done = read_back(format_turns(canonical_turns(records.unionByName(extra), strict=True)))
     spoken = F.array_join(F.transform("read_turns", lambda t: F.concat(
         t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from furrow.llm import chat
@@ -68,3 +69,19 @@ def test_contract_row(spark):
     text = "</s>[INST] ok [/INST]"
     assert [(r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out] == [
         (2, sha(f"user\n{text}\nassistant\n{text}\n"), len(text), sha(text))]
+
+
+def test_extra_fields_and_several_layouts(spark):
+    schema = ("id int, messages array<struct<role:string,content:string,name:string,weight:double,tool_calls:array<string>>>, "
+              "prompt string, response string, completion string, output string")
+    said = [("user", "hi", "Ann", 1.0, ["f"]), ("assistant", "ho", None, None, None)]
+    rows = [(1, said, None, None, None, None), (2, said, "p", None, None, None), (3, said, "p", "r", None, "o"),
+            (4, None, "p", None, "c", None), (5, None, None, None, None, "o")]
+    df = spark.createDataFrame(rows, schema)
+    out = chat.canonical_turns(df).orderBy("id").collect()
+    turns = [("user", "hi"), ("assistant", "ho")]
+    assert [r.layout for r in out] == ["messages", "messages", "messages", "completion", None]
+    assert [[tuple(t) for t in r.turns] for r in out] == [turns, turns, turns, [("user", "p"), ("assistant", "c")], []]
+    assert chat.canonical_turns(df.filter("id < 5"), strict=True).filter("size(turns) = 2").count() == 4
+    with pytest.raises(Exception, match="no mapping for the filled paths output"):
+        chat.canonical_turns(df, strict=True).collect()
