@@ -6,8 +6,8 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("bpe", "chat", "fingerprints", "html_extract", "mixing", "mtree", "ngram_join", "pii", "suffix_dedup",
-           "toxicity")
+MODULES = ("bag_search", "bpe", "chat", "digest_index", "divergence", "fingerprints", "html_extract", "mixing", "mtree",
+           "ngram_join", "pii", "suffix_dedup", "toxicity")
 
 
 def _modules():
