@@ -49,51 +49,102 @@ WORDS = {"cookie": "cookie", "cookies": "cookie", "privacy": "cookie", "consent"
          "share": "call", "related": "related"}
 
 
-@lru_cache(maxsize=4096)
-def path_features(path: tuple) -> tuple[str, ...]:
-    out, hint, depth = {}, "none", 0
-    for i, (tag, names) in enumerate(reversed(path)):
-        if tag in ("html", "body"):
-            continue
-        out[f"t:{tag}"] = None
-        if i == 0:
-            out[f"last:{tag}"] = None
-        for n in names:
-            out[f"c:{n}"] = None
-        keys = {tag, *names}
-        if hint == "none":
+class PathState:
+    """What the features of a path need of it, each from the parent's state.
+    ``parts`` are the tags and names on the way (those that ``keep`` holds, if
+    given); a state shares them with its parent unless its element adds some."""
+
+    __slots__ = ("parts", "last", "hint", "depth", "inside", "away", "towards")
+
+    def __init__(self, node, above, keep):
+        tag, root = node.tag, node.tag in ("html", "body")
+        self.parts = above.parts if above else frozenset()
+        self.last = None if root else f"last:{tag}"
+        # elements from here to the one that gives the hint, or to the outermost
+        self.inside = min(above.inside + 1, 3) if above and above.inside >= 0 else -1 if root else 0
+        self.hint, self.depth = (above.hint, min(above.depth + 1, 3)) if above else ("none", 0)
+        keys = {tag, *node.names}
+        if not root:
+            own = {f"t:{tag}", *(f"c:{n}" for n in node.names)}
+            own = {f for f in own if (keep is None or f in keep) and f not in self.parts}
+            if own:
+                self.parts = self.parts | own
             if keys & AWAY:
-                hint = "away"
+                self.hint, self.depth = "away", 0
             elif keys & TOWARDS:
-                hint = "towards"
-            depth = i
-    out[f"hint:{hint}"] = None
-    out[f"hint:{hint}:{min(depth, 3)}"] = None
-    every = {k for tag, names in path for k in (tag, *names)}
-    out[f"away:{bool(every & AWAY)}"] = None
-    out[f"towards:{bool(every & TOWARDS)}"] = None
-    return tuple(out)
+                self.hint, self.depth = "towards", 0
+        self.away = bool(keys & AWAY) or bool(above and above.away)
+        self.towards = bool(keys & TOWARDS) or bool(above and above.towards)
+
+    def rest(self) -> tuple:
+        """Features besides ``parts``."""
+        depth = self.depth if self.hint != "none" else max(self.inside, 0)
+        out = (f"hint:{self.hint}", f"hint:{self.hint}:{depth}", f"away:{self.away}", f"towards:{self.towards}")
+        return (self.last, *out) if self.last else out
+
+
+OUTSIDE = ("hint:none", "hint:none:0", "away:False", "towards:False")
+
 
+def path_states(blocks: list[Block], keep=None) -> list[PathState | None]:
+    """The state of each block's innermost element; each element's once."""
+    known: dict = {}
+    for b in blocks:
+        way, node = [], b.node
+        while node is not None and node not in known:
+            way.append(node)
+            node = node.parent
+        for node in reversed(way):
+            known[node] = PathState(node, known.get(node.parent), keep)
+    return [known.get(b.node) for b in blocks]
 
-def text_features(block: Block, i: int, n: int) -> list[str]:
+
+def text_key(block: Block, i: int, n: int) -> tuple:
+    """What the features of a block's own text depend on."""
     t = block.text
     size = len(t)
     linked = block.linked / size
     a = 0 if size < 20 else 1 if size < 60 else 2 if size < 200 else 3
     b = 0 if linked < 0.05 else 1 if linked < 0.5 else 2
-    out = ["one", f"size:{a}", f"linked:{b}", f"size:{a}:linked:{b}", f"end:{t[-1] in '.!?…:;'}",
-           f"commas:{min(t.count(','), 2)}", f"place:{4 * i // n}", f"first:{i == 0}", f"final:{i == n - 1}"]
+    kinds = ()
     if size < 400:
-        for w in set(t.lower().split()):
-            kind = WORDS.get(w.strip(".,:;!"))
-            if kind:
-                out.append(f"w:{kind}")
-    return out
+        kinds = tuple(sorted({k for w in set(t.lower().split()) if (k := WORDS.get(w.strip(".,:;!")))}))
+    return a, b, t[-1] in ".!?…:;", min(t.count(","), 2), 4 * i // n, i == 0, i == n - 1, kinds
+
+
+def text_features(key: tuple) -> list[str]:
+    a, b, end, commas, place, first, final, kinds = key
+    return ["one", f"size:{a}", f"linked:{b}", f"size:{a}:linked:{b}", f"end:{end}", f"commas:{commas}", f"place:{place}",
+            f"first:{first}", f"final:{final}", *(f"w:{k}" for k in kinds)]
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
     n = len(blocks)
-    return [[*path_features(b.path), *text_features(b, i, n)] for i, b in enumerate(blocks)]
+    return [[*(sorted(state.parts) if state else ()), *(state.rest() if state else OUTSIDE), *text_features(text_key(b, i, n))]
+            for i, (b, state) in enumerate(zip(blocks, path_states(blocks)))]
+
+
+def emissions(blocks: list[Block], weights: dict[str, float]) -> list[float]:
+    """What the features of each block add up to. Only features with a weight
+    are kept along a path, so long paths do not make long feature sets."""
+    n, sums, out = len(blocks), {}, []
+
+    def total(key, found) -> float:
+        if key not in sums:
+            sums[key] = sum(weights.get(f, 0.0) for f in found())
+        return sums[key]
+
+    states = path_states(blocks, weights)
+    for i, (b, state) in enumerate(zip(blocks, states)):
+        key = text_key(b, i, n)
+        e = total(key, lambda: text_features(key))
+        if state is None:
+            e += total("outside", lambda: OUTSIDE)
+        else:
+            e += total(id(state.parts), lambda: sorted(state.parts))
+            e += total((state.last, state.hint, state.depth, state.inside, state.away, state.towards), state.rest)
+        out.append(e)
+    return out
 
 
 def _chain_objective(index, page, place, labels, width, pages, longest):
@@ -167,8 +218,7 @@ def decode(blocks: list[Block], model) -> list[int]:
     weights, (t00, t01, t10, t11) = model
     a = b = 0.0
     back = []
-    for i, f in enumerate(features(blocks)):
-        e = sum(weights.get(x, 0.0) for x in f)
+    for i, e in enumerate(emissions(blocks, weights)):
         if i == 0:
             a, b = 0.0, e
             continue

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from furrow.llm import html_extract as he
 from furrow.llm.html_blocks import leaf_blocks
@@ -86,3 +87,51 @@ def test_formulas_and_embedded_content_are_read():
     linked = leaf_blocks("<li><a href='/'><svg><path/></svg> Home</a></li>")
     assert [(b.text, b.linked) for b in linked] == [("Home", 4)]
     assert read("<p>a</p><script>var x = '<p>no</p>'") == [("p", "a")]
+
+
+MEGABYTE = {
+    "nested": "<div>x" * 166_666, "headings": "<h1>x" * 200_000, "unclosed tag": "<b " * 333_333, "odd quote": "<a title='>x" * 83_333,
+    "mixed quotes": "<a \"' >" * 142_857 + "'", "stray end tags": "<div>" * 100_000 + "</x>" * 100_000,
+    "svg": "<svg><desc>" + "<div>" * 200_000, "unclosed script": "<script>" + "</script " * 110_000,
+    "open head": "<head>" * 80_000 + "<p>" * 160_000, "many names": "".join(f"<div class='c{i} k{i}'>x" for i in range(45_000)),
+    "comments": "<!--" * 250_000, "attributes": "<p id" + " id" * 300_000 + ">x", "text": "x < y " * 160_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(MEGABYTE))
+def test_long_pages_take_linear_time_and_memory(name):
+    import time
+    import tracemalloc
+    page, model = MEGABYTE[name], he.train()
+    took = []
+    for part in (page[:len(page) // 8], page):
+        began = time.process_time()
+        he.main_text(part, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 1  # eight times the length; the square would be 64 times
+    tracemalloc.start()
+    leaf_blocks(page)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_paths_and_sums_equal_the_plain_definition():
+    """Shared states against features read off each whole path."""
+    import random
+    rng = random.Random(2)
+    tags = ["html", "body", "div class='nav x'", "article", "p", "li", "ul", "section id=main", "div", "/div", "/ul", "aside"]
+    weights = {f: rng.random() for f in ("t:div", "c:nav", "t:p", "hint:away:1", "hint:towards:3", "hint:none:2", "away:True", "last:p", "size:0")}
+    for _ in range(300):
+        blocks = leaf_blocks("".join(f"<{rng.choice(tags)}>w" for _ in range(rng.randint(1, 14))))
+        for b, f, e in zip(blocks, he.features(blocks), he.emissions(blocks, weights)):
+            inner = [(t, n) for t, n in reversed(b.path)]
+            plain = {x for t, n in inner if t not in ("html", "body") for x in (f"t:{t}", *(f"c:{i}" for i in n))}
+            assert plain <= set(f) and {x for x in f if x[:2] in ("t:", "c:")} == plain
+            place = [i for i, (t, n) in enumerate(inner) if t not in ("html", "body") and {t, *n} & (he.AWAY | he.TOWARDS)]
+            others = [i for i, (t, _) in enumerate(inner) if t not in ("html", "body")]
+            if place:
+                kind = "away" if {inner[place[0]][0], *inner[place[0]][1]} & he.AWAY else "towards"
+                assert f"hint:{kind}:{min(place[0], 3)}" in f
+            else:
+                assert f"hint:none:{min(others[-1], 3) if others else 0}" in f
+            assert e == pytest.approx(sum(weights.get(x, 0) for x in f))
