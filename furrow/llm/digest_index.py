@@ -73,7 +73,8 @@ class DigestIndex:
 
     def new_digests(self, rows: DataFrame) -> DataFrame:
         """(digest, keep_id) of those texts that the index does not hold."""
-        first = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        # written, as Spark would otherwise join before it aggregates
+        first = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "dedup-first")
         return first.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def admit(self, rows: DataFrame, load: str) -> None:
