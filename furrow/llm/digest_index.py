@@ -133,7 +133,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, load: str) -> DataFrame:
     whole = docs.select(text_digest(text_or_empty()).alias("_digest"), F.col("doc_id").cast("bigint").alias("_id"),
                         F.struct(*docs.columns).alias("_row"), text_or_empty().alias("_text"))
     one = whole.groupBy("_digest", "_id").agg(F.min_by("_row", "_text").alias("_row"))
-    return one.join(keep, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi").select("_row.*")
+    # inner, as a semi-join would run before the aggregate; keep has each text once
+    return one.join(keep, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_row.*")
 
 
 def op11_digest_index(spark, sf_dir: str) -> DataFrame:
