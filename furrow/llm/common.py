@@ -44,7 +44,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of ``staged`` frames that nothing reads any more:
+    what was made of them must have been written."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import staged
+from furrow.llm.common import release, staged
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v) of comparable ids -> (node, root), the smallest node of
-    each component; nodes without an edge to another node have no row."""
+    each component; nodes without an edge to another node have no row. The
+    result is a written table (``release`` it); those of the rounds are gone."""
     edges = staged(edges.select("u", "v").filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     seen = None
@@ -38,7 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
         ends = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = staged(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-                       "components")
+        closer = staged(ends.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
+                        "components")
+        release(edges)
+        edges = closer
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = staged(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    release(edges)
+    return out

@@ -45,10 +45,10 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, ship_package, shuffle_partitions, staged, text_or_empty
+from furrow.llm.common import documents, release, ship_package, shuffle_partitions, staged, text_or_empty
 from furrow.llm.components import components
 
 COORDS = 256
@@ -146,7 +146,7 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return (a - (1 << 64) if a >> 63 else a), (b - (1 << 64) if b >> 63 else b)
 
 
-_INFO = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint, counts binary"
+_INFO = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint"
 
 
 def pack_counts(s: np.ndarray) -> bytes:
@@ -167,9 +167,8 @@ def _describe(k: int):
             nodes = [_node(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["rk"], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64()),
-                 pa.array([pack_counts(s) for s in sets], pa.binary())],
-                names=["doc_id", "rk", "n", "node", "other", "counts"])
+                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64())],
+                names=["doc_id", "rk", "n", "node", "other"])
     return run
 
 
@@ -357,13 +356,13 @@ def _distinct_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("key", "node").join(keep, "key", "left_semi")
 
 
-def _residual_pairs(blocks: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+def _residual_pairs(blocks: DataFrame, sets: DataFrame, roots: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs inside blocks whose nodes are not yet in one component."""
     parts = shuffle_partitions(blocks)
     named = blocks.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_blocks = (named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
                    .filter("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")))
-    members = named.join(open_blocks, "key").join(classes.select("node", "n", "counts").hint("merge"), "node")
+    members = named.join(open_blocks, "key").join(sets.select("node", "n", "counts").hint("merge"), "node")
     # Chunks i <= j of a block meet in the cell (key, i, j): rows of chunk i on
     # side 0, of j on side 1; a chunk with itself on side 2 (both).
     i = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -377,10 +376,14 @@ def _residual_pairs(blocks: DataFrame, classes: DataFrame, roots: DataFrame, num
 
 def _to_sets(k: int):
     def run(batches):
-        shingler = Shingler(k)
+        shingler, sent = Shingler(k), set()
         for b in batches:
-            sets = [shingler.set_of(t).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.binary())], names=["node", "hashes"])
+            fresh = [i for i, node in enumerate(b["node"].to_pylist()) if not (node in sent or sent.add(node))]
+            b = b.take(pa.array(fresh, pa.int64()))  # repeated rows have one node
+            sets = [shingler.set_of(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([pack_counts(s) for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "counts", "hashes"])
     return run
 
 
@@ -417,7 +420,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     hubs = many.select(F.lit(True).alias("first"), F.col("v").alias("hub"), F.col("v").alias("node"),
                        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = partners.unionByName(hubs).join(sets.hint("merge"), "node").withColumn("cell", F.concat_ws("/", "hub", "salt"))
+    rows = partners.unionByName(hubs).join(sets.select("node", "hashes").hint("merge"), "node").withColumn("cell", F.concat_ws("/", "hub", "salt"))
     return (rows.select("cell", "first", "hub", "node", "hashes").repartition(parts, "cell")
             .sortWithinPartitions("cell", F.col("first").desc()).mapInArrow(_verify(num, den), "u bigint, v bigint"))
 
@@ -432,27 +435,33 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
                         F.xxhash64("doc_id", text_or_empty()).alias("rk"), text_or_empty().alias("text"))
     info = staged(texts.mapInArrow(_describe(k), _INFO), "join-info")
     classes = staged(info.filter("n > 0").groupBy("node").agg(
-        F.min("rk").alias("rk"), F.min("n").alias("n"), F.first("counts").alias("counts"),
-        (F.min("other") == F.max("other")).alias("one")), "join-classes")
+        F.min("rk").alias("rk"), (F.min("other") == F.max("other")).alias("one")), "join-classes")
     if classes.filter("not one").limit(1).count():
         raise ValueError("two sets share a 64-bit digest")
     keyed = texts.select("text").mapInArrow(_emit_keys(k, num, den), "key bigint, node bigint")
-    blocks = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
-                    .mapInArrow(_shared_blocks, "key bigint, node bigint, hub bigint"), "join-blocks")
+    every = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
+                   .mapInArrow(_shared_blocks, "key bigint, node bigint, hub bigint"), "join-blocks")
 
-    met = blocks.filter("node <> hub").groupBy("node", "hub").count()
-    first = met.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub") / 2)).alias("v"))
-    members = blocks.select("node").distinct().join(classes.select("node", "rk"), "node")
+    met = every.filter("node <> hub").groupBy("node", "hub").count()
+    first = staged(met.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub") / 2)).alias("v")), "join-first")
+    members = every.select("node").distinct().join(classes.select("node", "rk"), "node")
     # merge: nothing joined here has a size bound, so no plan depends on size
     sets = staged(members.hint("merge").join(texts.select("rk", "text"), "rk").select("node", "text")
-                  .mapInArrow(_to_sets(k), "node bigint, hashes binary"), "join-sets")
-    links = staged(_linked(first.select(F.col("node").alias("u"), "v"), sets, num, den).distinct(), "join-links")
-    blocks = staged(_distinct_blocks(blocks), "join-distinct")
+                  .mapInArrow(_to_sets(k), "node bigint, n bigint, counts binary, hashes binary"), "join-sets")
+    blocks = staged(_distinct_blocks(every), "join-distinct")
+    release(every, classes)
+    written = [staged(_linked(first.select(F.col("node").alias("u"), "v"), sets, num, den).distinct(), "join-links")]
+    release(first)
+    links = written[0]
     for forest in (True, False):
-        roots = staged(components(links), "join-roots")
-        pairs = staged(_residual_pairs(blocks, classes, roots, num, den, forest), "join-pairs")
-        links = links.unionByName(staged(_linked(pairs, sets, num, den), "join-links"))
+        roots = components(links)
+        pairs = staged(_residual_pairs(blocks, sets, roots, num, den, forest), "join-pairs")
+        written.append(staged(_linked(pairs, sets, num, den), "join-links"))
+        links = links.unionByName(written[-1])
+        release(roots, pairs)
+    release(sets, blocks)
     roots = components(links)
+    release(*written)
 
     named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -467,12 +476,13 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
     found = jaccard_components(docs, k, num, den)
     best = found.filter("n > 0").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "rk")).alias("b")).select("b.rk")
-    keep = best.unionByName(found.filter("n = 0").select("rk")).distinct().withColumnRenamed("rk", "_rk")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", text_or_empty()).alias("_rk"),
-                       (F.trim(text_or_empty(), F.lit(" \t\n\x0b\x0c\r")) == "").alias("_empty")).join(keep, "_rk")
+    keep = best.withColumnRenamed("rk", "_rk")
+    is_empty = F.trim(text_or_empty(), F.lit(" \t\n\x0b\x0c\r")) == ""
     # Rows that are equal in id and text are one document, unless empty.
-    nth = F.row_number().over(Window.partitionBy("_rk").orderBy("_rk"))
-    return rows.withColumn("_nth", nth).filter("_empty or _nth = 1").select("_row.*")
+    rows = docs.filter(~is_empty).select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", text_or_empty()).alias("_rk"))
+    # inner, as a semi-join would run before the aggregate; keep has each once
+    kept = rows.groupBy("_rk").agg(F.first("_row").alias("_row")).join(keep, "_rk")
+    return kept.select("_row.*").unionByName(docs.filter(is_empty))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
