@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import bpe, mixing, ngram_join, pii, toxicity
-from furrow.llm.common import documents, staged
+from furrow.llm.common import documents, release, staged
 from furrow.sources.tables import load
 
 
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = documents(spark, sf_dir)
+    docs, done = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
