@@ -6,7 +6,7 @@ overuse? All figures follow from how often each kept term occurs in each
 
 1. *Block postings.* A task reads its documents once and counts occurrences and
    documents per group and term in memory. Once it holds ``BLOCK_TERMS``
-   postings it spills them as one run, sorted by lang, term and source.
+   postings it spills them as one run, sorted by term, lang and source.
 2. *Merge.* Runs go to hash shards of (lang, term). There Spark's external sort
    merges them (a heap over sorted runs), and the merge streams: equal keys
    are added up, a term stays when ten documents of its language hold it.
@@ -32,6 +32,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +55,25 @@ _RUN = "lang string, term binary, source string, n bigint, docs bigint"
 
 
 def _run_of(block: dict):
-    """A block's postings as one sorted run. The empty term stands for the
-    group itself, so that groups without terms are known too."""
-    rows = sorted((lang, term, source, n, docs[term]) for (lang, source), (counts, docs) in block.items()
-                  for term, n in counts.items())
-    for i in range(0, len(rows), 1 << 16):
-        part = list(zip(*rows[i:i + (1 << 16)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part[0], pa.string()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.string()),
-             pa.array(part[3], pa.int64()), pa.array(part[4], pa.int64())], names=["lang", "term", "source", "n", "docs"])
+    """A block's postings as one run, sorted by term, lang and source. The
+    empty term stands for the group itself, so that groups without terms are
+    known too."""
+    if not block:
+        return
+    groups = sorted(block)
+    size = [len(block[g][0]) for g in groups]
+    of = np.repeat(np.arange(len(groups), dtype=np.int32), size)
+    terms = pa.array([t for g in groups for t in block[g][0]], pa.binary())
+    n = np.fromiter((x for g in groups for x in block[g][0].values()), dtype=np.int64, count=len(of))
+    docs = np.fromiter((x for g in groups for x in map(block[g][1].__getitem__, block[g][0])), dtype=np.int64, count=len(of))
+    order = pc.sort_indices(pa.table({"term": terms, "of": of}), [("term", "ascending"), ("of", "ascending")])
+    lang, source = (pa.array([g[i] for g in groups], pa.string()) for i in range(2))
+    for i in range(0, len(of), 1 << 16):
+        at = order.slice(i, 1 << 16)
+        here = at.to_numpy()
+        own = pa.array(of[here])
+        yield pa.RecordBatch.from_arrays([lang.take(own), terms.take(at), source.take(own), pa.array(n[here]), pa.array(docs[here])],
+                                         names=["lang", "term", "source", "n", "docs"])
 
 
 def _index(block_terms: int):
@@ -141,8 +152,15 @@ def divergence(p, q):
     return (p - q) * (p - q) // (p + q)
 
 
+@lru_cache(maxsize=256)
+def _pairs(lo: int, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of k places with i in lo .. lo + rows - 1."""
+    i, j = np.triu_indices(rows, 1, k - lo)
+    return i + lo, j + lo
+
+
 def _pair_corrections(pair_rows: int):
-    """Sorted rows (lang, term, source, p, p0) of a shard -> (lang, a, b, value)
+    """Sorted rows (term, lang, source, p, p0) of a shard -> (lang, a, b, value)
     with a < b: for terms that both sources hold, what the corrections of the
     two single sources miss."""
     def run(batches):
@@ -163,48 +181,62 @@ def _pair_corrections(pair_rows: int):
                     [pa.array([names[x][0] for x in a[s]], pa.string()), pa.array([names[x][1] for x in a[s]], pa.string()),
                      pa.array([names[x][1] for x in b[s]], pa.string()), pa.array(total[s])], names=["lang", "a", "b", "value"])
 
-        def term(lang, sources, p, p0):
+        def terms(number, p, p0):
+            """Terms (rows) that k sources (columns) hold each; sources come
+            sorted, so a < b."""
             nonlocal held, count
-            number = np.empty(len(sources), dtype=np.int64)
-            for i, s in enumerate(sources):
-                number[i] = ids.setdefault((lang, s), len(names))
-                if number[i] == len(names):
-                    names.append((lang, s))
-            step = max(1, pair_rows // len(p))
-            for lo in range(0, len(p) - 1, step):  # sources come sorted, so a < b
-                i, j = np.triu_indices(min(step, len(p) - 1 - lo), 1, len(p) - lo)
-                i, j = i + lo, j + lo
-                value = divergence(p[i], p[j]) - divergence(p[i], p0[j]) - divergence(p0[i], p[j]) + divergence(p0[i], p0[j])
-                held.append((number[i] << 32 | number[j], value))
-                count += len(value)
-                if count >= 4 * pair_rows:
-                    held = [add_up()]
-                    count = len(held[0][0])
-                    if count >= 2 * pair_rows:
-                        yield from rows(*held[0])
-                        held, count = [], 0
+            k = p.shape[1]
+            step = max(1, pair_rows // k)
+            for lo in range(0, k - 1, step):
+                i, j = _pairs(lo, min(step, k - 1 - lo), k)
+                block = max(1, pair_rows // len(i))
+                for t in range(0, len(p), block):
+                    a, b, a0, b0 = p[t:t + block, i], p[t:t + block, j], p0[t:t + block, i], p0[t:t + block, j]
+                    value = divergence(a, b) - divergence(a, b0) - divergence(a0, b) + divergence(a0, b0)
+                    held.append(((number[t:t + block, i] << 32 | number[t:t + block, j]).ravel(), value.ravel()))
+                    count += value.size
+                    if count >= 4 * pair_rows:
+                        held = [add_up()]
+                        count = len(held[0][0])
+                        if count >= 2 * pair_rows:
+                            yield from rows(*held[0])
+                            held, count = [], 0
+
+        def closed(b):
+            """The pairs of a batch of whole terms, terms with equally many
+            sources together."""
+            at = np.flatnonzero(_changes([b["lang"], b["term"]]))
+            size = np.diff(np.append(at, b.num_rows))
+            for pair in zip(b["lang"].to_pylist(), b["source"].to_pylist()):
+                if pair not in ids:
+                    ids[pair] = len(names)
+                    names.append(pair)
+            number = np.fromiter((ids[x] for x in zip(b["lang"].to_pylist(), b["source"].to_pylist())), dtype=np.int64, count=b.num_rows)
+            p, p0 = b["p"].to_numpy(), b["p0"].to_numpy()
+            for k in np.unique(size[size > 1]).tolist():
+                where = at[size == k][:, None] + np.arange(k)
+                yield from terms(number[where], p[where], p0[where])
 
         rest = None
         for b in batches:
             b = pa.concat_batches([rest, b.cast(rest.schema)]) if rest is not None else b
             if not b.num_rows:
                 continue
-            at = np.flatnonzero(_changes([b["lang"], b["term"]]))
-            rest = b.slice(int(at[-1]))
-            lang, source, p, p0 = b["lang"].to_pylist(), b["source"].to_pylist(), b["p"].to_numpy(), b["p0"].to_numpy()
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-                if hi - lo > 1:
-                    yield from term(lang[lo], source[lo:hi], p[lo:hi], p0[lo:hi])
-        if rest is not None and rest.num_rows > 1:
-            yield from term(rest["lang"][0].as_py(), rest["source"].to_pylist(), rest["p"].to_numpy(), rest["p0"].to_numpy())
+            last = int(np.flatnonzero(_changes([b["lang"], b["term"]]))[-1])
+            rest = b.slice(last)
+            yield from closed(b.slice(0, last))
+        if rest is not None:
+            yield from closed(rest)
         if held:
             yield from rows(*add_up())
     return run
 
 
 def _share(n: str, total: str) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 V)); null without kept terms."""
-    return F.expr(f"CASE WHEN v > 0 THEN 1 + ({ONE} * cast({n} + 2 as decimal(28,0))) div cast({total} + 2 * v as decimal(28,0)) END")
+    """1 + floor(10^9 (n + 2) / (total + 2 V)); null without kept terms. Where
+    the product passes 64 bits it is a decimal."""
+    return F.expr(f"CASE WHEN v > 0 AND {n} < 9000000000 THEN 1 + ({ONE} * ({n} + 2L)) div ({total} + 2 * v) "
+                  f"WHEN v > 0 THEN 1 + ({ONE} * cast({n} + 2L as decimal(28,0))) div cast({total} + 2 * v as decimal(28,0)) END")
 
 
 def _divergence(p: str, q: str) -> str:
@@ -217,7 +249,7 @@ def frequencies(docs: DataFrame, block_terms: int = BLOCK_TERMS, min_docs: int =
     ship_package(docs.sparkSession)
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     runs = texts.mapInArrow(_index(block_terms), _RUN)
-    shards = runs.repartition(shuffle_partitions(docs), "lang", "term").sortWithinPartitions("lang", "term", "source")
+    shards = runs.repartition(shuffle_partitions(docs), "lang", "term").sortWithinPartitions("term", "lang", "source")
     return staged(shards.mapInArrow(_merge(min_docs), "lang string, term binary, source string, n bigint, total bigint, first bigint")
                   .withColumn("term", F.col("term").cast("string")), "audit-frequencies")
 
@@ -251,7 +283,7 @@ def pair_part(shares: DataFrame, groups: DataFrame, pair_rows: int = PAIR_ROWS)
     counts = shares.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("k"))
     single = counts.join(other, "lang").filter("source <> item").groupBy("lang", "source", "item").agg(
         F.sum(F.expr(f"k * ({_divergence('p', 'q0')} - {none})")).alias("value"))
-    rows = shares.select("lang", "term", "source", "p", "p0").repartition(parts, "lang", "term").sortWithinPartitions("lang", "term", "source")
+    rows = shares.select("lang", "term", "source", "p", "p0").repartition(parts, "lang", "term").sortWithinPartitions("term", "lang", "source")
     both = staged(rows.mapInArrow(_pair_corrections(pair_rows), "lang string, a string, b string, value bigint")
                   .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "audit-both")
     flipped = F.col("item").alias("source"), F.col("source").alias("item")

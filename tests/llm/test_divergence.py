@@ -77,6 +77,13 @@ def test_runs_are_sorted_and_add_up(rows):
     runs = [b.to_pylist() for b in V._index(50)([batch])]
     assert len(runs) > 3
     for r in runs:
-        keys = [(x["lang"], x["term"], x["source"]) for x in r]
+        keys = [(x["term"], x["lang"], x["source"]) for x in r]
         assert keys == sorted(set(keys))
     assert sum(x["docs"] for r in runs for x in r if x["term"] == b"") == len(rows)
+
+
+def test_counts_beyond_64_bit_products(spark):
+    """Shares of counts whose product with 10^9 passes 64 bits are exact."""
+    rows = [(n, 4 * n, 7) for n in (0, 5, 8_999_999_999, 9_000_000_000, 10 ** 13)]
+    got = spark.createDataFrame(rows, "n bigint, total bigint, v bigint").withColumn("p", V._share("n", "total")).collect()
+    assert [r.p for r in got] == [1 + 10 ** 9 * (n + 2) // (total + 2 * v) for n, total, v in rows]
