@@ -26,7 +26,7 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str] | str,
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*cols)
 
 
-def full_refresh(store, table: str, df: DataFrame) -> dict:
-    """Replace a table's contents atomically: readers see the old rows or the
-    new rows, never an empty table in between."""
-    return store.replace(table, df)
+def full_refresh(store, table: str, df: DataFrame) -> None:
+    """The rows of ``df`` replace those of the table, which ``df`` may read: in
+    that case they are written down before the table's files go."""
+    store.replace(table, df)

@@ -120,9 +120,8 @@ class PreAggregate:
     granularity: str | None
 
     def persist(self, store, name: str) -> "PreAggregate":
-        """Write the pre-aggregate to a table store (atomic full refresh) and
-        return one backed by the stored table, so later queries read the
-        small rollup instead of the star join."""
+        """Write the pre-aggregate to a store's table and return one backed by
+        it, so later queries read the small rollup instead of the star join."""
         store.replace(name, self.table)
         return PreAggregate(store.read(name), self.measures, self.dimensions, self.granularity)
 

@@ -1,130 +1,33 @@
-"""Loading into tables (K1-K10) and the store flavours.
+"""Loading into tables (K1-K8).
 
-Semantics of the seed loader, re-expressed on DataFrames:
+A ``Store`` is a folder of Parquet tables that Spark's catalog knows. Spark
+writes, overwrites and commits them; what is added here are the rules of the
+seed loader:
 
-* **insert-ignore** (relational flavours): a row whose unique key already
-  exists - in the table or earlier in the same load - is skipped; rows with a
-  null key are always inserted (SQL ``UNIQUE`` admits many NULLs);
+* **insert-ignore** (relational flavours): see ``conflicts``;
 * **plain append** (search flavour): no key, duplicates kept;
 * ids continue from ``max(id)`` in arrival order;
-* the inserted count is always the true count (the reference's DuckDB path
-  reported the offered count);
-* a load is published atomically: new data is written as a fresh segment and
-  only then becomes visible through a new table version (see ``TableStore``).
+* NOT NULL, UNIQUE and FOREIGN KEY rules and string lengths travel with the
+  table; a load checks them in the job that writes it;
+* the load report (rows offered, inserted, rules broken) is observed in that
+  job too, so no rows are counted again.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from dataclasses import dataclass
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.ids import dense_ids
-
-# ---------------------------------------------------------------- flavours
-
-
-@dataclass(frozen=True)
-class Flavour:
-    name: str
-    supports_normalization: bool
-    on_conflict: str            # "ignore" (unique keys enforced) or "append"
-    whole_seconds: bool         # timestamps stored to the second
-    missing_table_counts_zero: bool
-
-
-FLAVOURS = {
-    "postgres": Flavour("postgres", True, "ignore", False, False),
-    "mysql": Flavour("mysql", True, "ignore", True, False),
-    "duckdb": Flavour("duckdb", True, "ignore", False, False),
-    "elasticsearch": Flavour("elasticsearch", False, "append", False, True),
-}
-# The backend aliases accepted by the reference CLI.
-ALIASES = {"pg": "postgres", "postgresql": "postgres", "es": "elasticsearch",
-           "elastic": "elasticsearch", "duck": "duckdb"}
-
-
-def get_flavour(name: str) -> Flavour:
-    n = ALIASES.get(name.lower(), name.lower())
-    if n not in FLAVOURS:
-        raise ValueError(f"no store flavour {name!r}; choose one of {', '.join(FLAVOURS)}")
-    return FLAVOURS[n]
-
-
-def list_flavours() -> list[tuple[str, bool]]:
-    """(name, supports_normalization) per store flavour."""
-    return [(f.name, f.supports_normalization) for f in FLAVOURS.values()]
-
-
-def resolve_normalize(flavour: Flavour, normalize: bool) -> tuple[bool, str | None]:
-    """Normalising into a store without it falls back to a flat load, with a warning."""
-    if normalize and not flavour.supports_normalization:
-        return False, f"the {flavour.name} flavour keeps no dimensions, so rows are loaded flat"
-    return normalize, None
-
-
-# ---------------------------------------------------------------- row logic
-
-
-def _all_present(keys: list[str]) -> Column:
-    c = F.lit(True)
-    for k in keys:
-        c = c & F.col(k).isNotNull()
-    return c
-
-
-def _first_seen_parts(df: DataFrame, keys: list[str], order_cols: list[str]):
-    others = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(c) for c in order_cols + [o for o in others if o not in order_cols]])
-    packed = F.struct(*[F.col(c) for c in others])
-    best = (df.where(_all_present(keys)).groupBy(*keys)
-            .agg(F.min_by(packed, rank).alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
-            .select(*df.columns))
-    return best, df.where(~_all_present(keys))
-
-
-def first_seen(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """In-load dedup: per non-null key the row that comes first in
-    ``order_cols`` (then by the remaining columns); null-key rows all pass.
-
-    ``min_by`` aggregates partially before the shuffle, so a key holding a
-    third of the load costs one row per map task, not one task of rows.
-    """
-    best, null_keyed = _first_seen_parts(df, keys, order_cols)
-    return best.unionByName(null_keyed)
-
-
-def insert_ignore(existing: DataFrame | None, incoming: DataFrame, keys: list[str] | str,
-                  order_cols: list[str]) -> DataFrame:
-    """Rows of ``incoming`` an insert-ignore load would accept.
-
-    Exactly one unique key per call: with several, the sequential result is a
-    greedy process (a skipped row must not block later ones), not a set
-    operation, so it is rejected rather than approximated. The anti-join
-    reads only the key columns of ``existing``; AQE broadcasts them when their
-    measured size is small and keeps a sort-merge join otherwise.
-    """
-    if isinstance(keys, str):
-        keys = [keys]
-    if not keys:
-        raise ValueError("insert_ignore needs the unique key columns")
-    best, null_keyed = _first_seen_parts(incoming, keys, order_cols)
-    if existing is not None:
-        taken = existing.select(*keys).where(_all_present(keys))
-        best = best.join(taken, keys, "left_anti")
-    return best.unionByName(null_keyed)
-
-
-def reject_multi_key(unique_keys: list[list[str]]) -> None:
-    if len(unique_keys) > 1:
-        raise ValueError("insert-ignore supports one unique key per load; got "
-                         f"{len(unique_keys)} ({unique_keys})")
-
+from furrow.operators.conflicts import all_present, insert_ignore, insert_ignore_any
+from furrow.operators.rules import ForeignKey, Rules, check_constraints
+from furrow.session import materialize, path_exists
+from furrow.sources.flavours import get_flavour
 
 def assign_ids(accepted: DataFrame, order_cols: list[str], start_after: int = 0,
                id_col: str = "id") -> DataFrame:
@@ -150,276 +53,94 @@ def truncate_seconds(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return out
 
 
-def load_report(offered: DataFrame, accepted: DataFrame, total_after: DataFrame) -> DataFrame:
-    """K8: offered / inserted / final total as (metric, value) rows."""
-    def one(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).cast("bigint").alias("value")).select(
-            F.lit(name).alias("metric"), "value")
-    return one(offered, "offered").unionByName(one(accepted, "inserted")).unionByName(
-        one(total_after, "total"))
+def _observed(observation: Observation) -> dict:
+    """The metrics; none if adaptive execution cut the observed part out of the
+    plan, which it does once it finds that part without rows."""
+    try:
+        return {k: int(v) for k, v in observation.get.items()}
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception.toString()):
+            raise
+        return {}
 
 
-def check_constraints(df: DataFrame, table: str, not_null: list[str] = (),
-                      unique: list[list[str]] = (),
-                      foreign_keys: list[tuple[list[str], DataFrame, list[str]]] = ()) -> DataFrame:
-    """K9: declared constraints as a violation table
-    ``(table, constraint, columns, violations)`` (one row per constraint).
+class Store:
+    """Parquet tables below one folder, as a database of Spark's catalog.
 
-    NOT NULL rules share one aggregation pass; UNIQUE is a grouped count of
-    keys seen more than once (null keys exempt); FK is a left-anti join.
+    Each table has a history below ``_history``: its definition and one row per
+    load. A session whose catalog does not keep names (the in-memory one) finds
+    the table again by it. Loads are Spark appends; as with any such table, one
+    load at a time writes it, and a load that fails leaves no rows.
     """
-    parts = []
-    if not_null:
-        agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in not_null])
-        parts.append(agg.unpivot([], list(not_null), "columns", "violations").select(
-            F.lit(table).alias("table"), F.lit("not_null").alias("constraint"), "columns",
-            F.col("violations").cast("bigint").alias("violations")))
-    for cols in unique:
-        dup = (df.where(_all_present(cols)).groupBy(*cols).count().where("count > 1")
-               .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("violations")))
-        parts.append(dup.select(F.lit(table).alias("table"), F.lit("unique").alias("constraint"),
-                                F.lit(",".join(cols)).alias("columns"), "violations"))
-    for cols, parent, pcols in foreign_keys:
-        ref = parent.select(*[F.col(p).alias(c) for p, c in zip(pcols, cols)]).distinct()
-        orphans = df.select(*cols).where(_all_present(cols)).join(ref, cols, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-            F.lit(table).alias("table"), F.lit("foreign_key").alias("constraint"),
-            F.lit(",".join(cols)).alias("columns"), "violations"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-# ---------------------------------------------------------------- the store
-
-
-class _VersionConflict(RuntimeError):
-    """Another writer published the version this one wanted."""
-
-
-class TableStore:
-    """Parquet tables under one root folder with atomic, versioned publishes.
 
-    ``<root>/<table>/seg-<uuid>/`` hold data segments written by Spark;
-    ``<root>/<table>/_versions/<n>.json`` lists the segments of version ``n``.
-    A load writes its segment first, then the whole version file under another
-    name, and renames it without overwriting, so readers see the old or the new
-    table, never a half-written one, and a lost writer leaves only unreferenced
-    files. This needs a file system whose rename is atomic (HDFS and its like);
-    on a local folder two writers in the same instant may not be told apart,
-    and plain object stores are not supported.
+    HISTORY = "event string, definition string, rules string, offered bigint, inserted bigint, last_id bigint"
 
-    Constraints travel with the table: NOT NULL columns and the unique key of
-    the schema are kept with each version; ``insert`` uses the unique key
-    unless told otherwise and refuses rows with a null in a NOT NULL column.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, flavour: str = "duckdb",
-                 id_mode: str = "dense"):
+    def __init__(self, spark: SparkSession, root: str, flavour: str = "duckdb", id_mode: str = "dense"):
         """``id_mode``: ``dense`` numbers the accepted rows (no gaps);
         ``sequence`` behaves like the stores' sequences, where every offered
         row consumes an id and a skipped row leaves a gap."""
         if id_mode not in ("dense", "sequence"):
             raise ValueError("id_mode must be 'dense' or 'sequence'")
-        self.spark, self.root, self.flavour = spark, root.rstrip("/"), get_flavour(flavour)
-        self.id_mode = id_mode
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    # -- metadata
-    def _vdir(self, table: str) -> str:
-        return f"{self.root}/{table}/_versions"
-
-    def _versions(self, table: str) -> list[int]:
-        p = self._Path(self._vdir(table))
-        if not self._fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(p)
-                      if s.getPath().getName().endswith(".json"))
-
-    def _meta(self, table: str) -> dict | None:
-        vs = self._versions(table)
-        if not vs:
-            return None
-        stream = self._fs.open(self._Path(f"{self._vdir(table)}/{vs[-1]:08d}.json"))
-        try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        meta = json.loads(raw)
-        meta["version"] = vs[-1]
-        return meta
-
-    def _publish(self, table: str, segments: list[str], ddl: str, expect: int | None,
-                 max_id: int | None = None, extra: dict | None = None) -> int:
-        """``extra``: what else the version keeps (unique key, offered rows)."""
-        nxt = (expect or 0) + 1
-        path = self._Path(f"{self._vdir(table)}/{nxt:08d}.json")
-        draft = self._Path(f"{self._vdir(table)}/.{uuid.uuid4().hex}.draft")
-        body = {"segments": segments, "schema": ddl, "max_id": max_id, **(extra or {})}
-        out = self._fs.create(draft, False)
-        try:
-            out.write(bytearray(json.dumps(body).encode()))
-        finally:
-            out.close()
-        jvm = self.spark._jvm
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
-        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            files.rename(draft, path, no_overwrite)
-        except Exception as e:  # noqa: BLE001 - py4j wraps FileAlreadyExistsException
-            self._fs.delete(draft, False)
-            if self._fs.exists(path):
-                raise _VersionConflict(f"{table}: version {nxt} was published concurrently") from e
-            raise
-        return nxt
+        self.spark, self.root, self.flavour, self.id_mode = spark, root.rstrip("/"), get_flavour(flavour), id_mode
+        self.database = "furrow_" + hashlib.md5(self.root.encode()).hexdigest()[:16]
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+
+    # -- definition and history
+    def _name(self, table: str) -> str:
+        return f"{self.database}.`{table}`"
+
+    def _history(self, table: str) -> DataFrame | None:
+        path = f"{self.root}/_history/{table}"
+        return self.spark.read.schema(self.HISTORY).parquet(path) if path_exists(self.spark, path) else None
+
+    def _note(self, table: str, rows: list[tuple], mode: str = "append") -> None:
+        self.spark.createDataFrame(rows, self.HISTORY).coalesce(1).write.mode(mode).parquet(f"{self.root}/_history/{table}")
 
-    def max_id(self, table: str) -> int | None:
-        """The largest id recorded in the table's current version (None when
-        the version does not track one)."""
-        meta = self._meta(table)
-        return None if meta is None else meta.get("max_id")
+    def _definition(self, table: str) -> tuple[str, Rules] | None:
+        found = self._history(table)
+        row = found.where("event = 'created'").first() if found is not None else None
+        return (row.definition, Rules.from_json(row.rules)) if row else None
+
+    def _register(self, table: str, definition: str) -> None:
+        where = f"{self.root}/{table}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({definition}) USING parquet LOCATION '{where}'")
 
     def exists(self, table: str) -> bool:
-        return bool(self._versions(table))
+        return self._definition(table) is not None
+
+    def rules(self, table: str) -> Rules:
+        return self._open(table)[1]
+
+    def _open(self, table: str) -> tuple[str, Rules]:
+        known = self._definition(table)
+        if known is None:
+            raise ValueError(f"table {table} does not exist; create it first")
+        self._register(table, known[0])
+        self.spark.catalog.refreshTable(self._name(table))
+        return known
 
     # -- K1
-    def create_if_absent(self, table: str, schema: T.StructType, unique: list[list[str]] | None = None) -> bool:
+    def create_if_absent(self, table: str, schema: T.StructType, unique: list[list[str]] | None = None,
+                         foreign_keys: list[ForeignKey] = ()) -> bool:
         """``unique``: the unique keys; by default each field that its schema
-        declares unique is one."""
+        calls unique is one. Lengths of strings become VARCHAR."""
         if self.exists(table):
             return False
-        keys = unique if unique is not None else [[f.name] for f in schema.fields if f.metadata.get("unique")]
-        try:
-            self._publish(table, [], schema.toDDL(), None, extra={"unique": keys, "offered": 0})
-        except _VersionConflict:  # another writer created it meanwhile
-            return False
-        return True
 
-    def offered(self, table: str) -> int:
-        """Rows offered to the table so far, as its loads recorded them."""
-        meta = self._meta(table)
-        return int((meta or {}).get("offered") or 0)
+        def kind(f):
+            n = f.metadata.get("max_len")
+            return f"VARCHAR({n})" if n and isinstance(f.dataType, T.StringType) else f.dataType.simpleString()
+
+        definition = ", ".join(f"`{f.name}` {kind(f)}" for f in schema.fields)
+        self._register(table, definition)
+        self._note(table, [("created", definition, Rules.of(schema, unique, foreign_keys).to_json(), 0, 0, None)])
+        return True
 
-    # -- read
+    # -- reading, K4
     def read(self, table: str) -> DataFrame:
-        meta = self._meta(table)
-        if meta is None:
-            raise ValueError(f"table {table} does not exist")
-        schema = T.StructType.fromDDL(meta["schema"])
-        if not meta["segments"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*meta["segments"])
-
-    # -- K2a / K2b / K3
-    def insert(self, table: str, df: DataFrame, unique_key: list[str] | None = None,
-               order_cols: list[str] | None = None, id_col: str | None = None,
-               attempts: int = 3, track_max: str | None = None, offered: int | None = None) -> dict:
-        """Load ``df``; returns ``{"offered", "inserted", "total"}``.
-
-        Optimistic concurrency: if another writer published the next version
-        first, the load is recomputed against the new state (its keys may now
-        be taken) and published again, up to ``attempts`` times; a losing
-        attempt leaves only an unreferenced segment behind. ``df`` may be a
-        function (existing rows or None, largest id) -> rows, called anew for
-        each attempt. ``offered`` is the caller's row count, for the report.
-        """
-        for attempt in range(attempts):
-            try:
-                return self._insert_once(table, df, unique_key, order_cols, id_col, track_max, offered)
-            except _VersionConflict:
-                if attempt == attempts - 1:
-                    raise
-        raise AssertionError("unreachable")
-
-    def _insert_once(self, table: str, df, unique_key, order_cols, id_col,
-                     track_max: str | None = None, offered: int | None = None) -> dict:
-        meta = self._meta(table)
-        if meta is None:
-            raise ValueError(f"table {table} does not exist; create it first")
-        existing = self.read(table) if meta["segments"] else None
-        top = meta.get("max_id")
-        if (id_col or track_max) and top is None and existing is not None:
-            # The table's max id is kept in its version metadata, so a load
-            # scans the existing rows for it only where a version lacks it.
-            top = existing.agg(F.max(id_col or track_max)).first()[0]
-        rows = df(existing, int(top or 0)) if callable(df) else df
-        if self.flavour.whole_seconds:
-            rows = truncate_seconds(rows)
-        declared = [k for k in meta.get("unique") or [] if set(k) <= set(rows.columns)]
-        if unique_key is None and self.flavour.on_conflict == "ignore" and declared:
-            reject_multi_key(declared)
-            unique_key = declared[0]
-        arrival = order_cols or unique_key or rows.columns[:1]
-        consumed = None
-        if id_col and self.id_mode == "sequence":
-            # every offered row takes the next sequence value, kept or not
-            rows = assign_ids(rows.drop(id_col) if id_col in rows.columns else rows,
-                              arrival, int(top or 0), id_col)
-            consumed = rows.count()
-        if self.flavour.on_conflict == "ignore" and unique_key:
-            rows = insert_ignore(existing, rows, unique_key, arrival)
-        if id_col and self.id_mode == "dense":
-            rows = assign_ids(rows.drop(id_col) if id_col in rows.columns else rows,
-                              arrival, int(top or 0), id_col)
-        target = T.StructType.fromDDL(meta["schema"])
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in target.fields])
-        seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(seg)
-        written = self.spark.read.parquet(seg)
-        needed = [f.name for f in target.fields if not f.nullable]
-        if needed:
-            missing = written.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first().asDict()
-            if any(missing.values()):
-                raise ValueError(f"{table}: null in NOT NULL columns {sorted(c for c, n in missing.items() if n)}")
-        if id_col:
-            inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(id_col)).first()
-            base = int(top or 0)
-            top = max(base, int(seg_max or 0))
-            if consumed is not None:        # the sequence moved past skipped rows too
-                top = max(top, base + consumed)
-        elif track_max:
-            # ids supplied by the caller: keep their max in the metadata too
-            inserted, seg_max = written.agg(F.count(F.lit(1)), F.max(track_max)).first()
-            top = max(int(top or 0), int(seg_max or 0))
-        else:
-            inserted = written.count()
-        self._publish(table, meta["segments"] + [seg], meta["schema"], meta["version"], top, self._kept(
-            meta, offered=int(meta.get("offered") or 0) + int(offered if offered is not None else inserted)))
-        return {"offered": offered, "inserted": inserted, "total": self.count(table)}
-
-    @staticmethod
-    def _kept(meta: dict, **changed) -> dict:
-        return {"unique": meta.get("unique") or [], "offered": meta.get("offered") or 0, **changed}
-
-    def replace(self, table: str, df: DataFrame) -> dict:
-        """Full refresh: the new data becomes the only segment in one publish."""
-        meta = self._meta(table)
-        if meta is None:
-            self.create_if_absent(table, df.schema)
-            meta = self._meta(table)
-        target = T.StructType.fromDDL(meta["schema"])
-        seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in target.fields]).write.parquet(seg)
-        self._publish(table, [seg], meta["schema"], meta["version"], None, self._kept(meta))
-        return {"inserted": self.spark.read.parquet(seg).count(), "total": self.count(table)}
-
-    def compact(self, table: str, files: int | None = None) -> int:
-        """Rewrite all segments as one (many small loads leave many small
-        segments); published atomically like any load. Returns the version."""
-        meta = self._meta(table)
-        if meta is None or len(meta["segments"]) <= 1:
-            return meta["version"] if meta else 0
-        df = self.read(table)
-        if files:
-            df = df.repartition(files)
-        seg = f"{self.root}/{table}/seg-{uuid.uuid4().hex}"
-        df.write.parquet(seg)
-        return self._publish(table, [seg], meta["schema"], meta["version"], meta.get("max_id"), self._kept(meta))
-
-    # -- K4
+        self._open(table)
+        return self.spark.table(self._name(table))
+
     def count(self, table: str) -> int:
         if not self.exists(table):
             if self.flavour.missing_table_counts_zero:
@@ -427,45 +148,107 @@ class TableStore:
             raise ValueError(f"table {table} does not exist")
         return self.read(table).count()
 
-    # -- K5
+    def offered(self, table: str) -> int:
+        """Rows offered to the table so far, as its loads noted them."""
+        found = self._history(table)
+        return int(found.agg(F.sum("offered")).first()[0] or 0) if found is not None else 0
+
+    def max_id(self, table: str, id_col: str = "id") -> int:
+        """The largest id given so far (0 for none): of the table's rows, and in
+        ``sequence`` mode of skipped rows too."""
+        top = self.read(table).agg(F.max(id_col)).first()[0] or 0
+        if self.id_mode == "sequence":
+            top = max(top, self._history(table).agg(F.max("last_id")).first()[0] or 0)
+        return int(top)
+
+    def violations(self, table: str) -> DataFrame:
+        """K9: the table's own rules, checked over all its rows."""
+        r = self.rules(table)
+        return check_constraints(self.read(table), table, r.not_null, r.unique, [
+            (k.columns, self.read(k.parent), k.parent_columns) for k in r.foreign_keys])
+
+    # -- K2a, K2b, K3, K8
+    def insert(self, table: str, df: DataFrame, unique_key: list[str] | None = None, order_cols: list[str] | None = None,
+               id_col: str | None = None, offered: int | None = None, on_violation: str = "fail") -> dict:
+        """Load ``df``; returns ``{"offered", "inserted", "total", "violations"}``.
+
+        Rows go in by the table's unique keys, or by ``unique_key``. Rows that
+        break a NOT NULL or FOREIGN KEY rule fail the load, or with
+        ``on_violation="report"`` go in and are counted by rule. ``offered``
+        overrides the observed number of rows offered.
+        """
+        definition, rules = self._open(table)
+        keys = [list(unique_key)] if unique_key else [list(k) for k in rules.unique if set(k) <= set(df.columns)]
+        if self.flavour.on_conflict == "append":
+            keys = []
+        rows = truncate_seconds(df) if self.flavour.whole_seconds else df
+        arrival = order_cols or (keys[0] if keys else rows.columns[:1])
+        top = self.max_id(table, id_col) if id_col else None
+        last = None
+        if id_col and self.id_mode == "sequence":
+            rows = assign_ids(rows.drop(id_col), arrival, top, id_col)
+            offered = rows.count() if offered is None else offered
+            last = top + offered
+        seen, written = Observation(), Observation()
+        if len(keys) > 1:  # rows are numbered first, in jobs of their own
+            offered = rows.count() if offered is None else offered
+            rows = insert_ignore_any(self.read(table), rows, keys, arrival)
+        elif keys:
+            rows = insert_ignore(self.read(table), rows.observe(seen, F.count(F.lit(1)).alias("n")), keys[0], arrival)
+        if id_col and self.id_mode == "dense":
+            rows = assign_ids(rows.drop(id_col), arrival, top, id_col)
+        rows, broken = self._checked(rows, rules)
+        measures = [F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"v{i}") for i, c in enumerate(broken.values())]]
+        if on_violation == "fail":
+            for label, c in broken.items():
+                rows = rows.where(F.when(c, F.raise_error(F.lit(f"{table}: {label} is violated")).cast("boolean")).otherwise(True))
+        names = [f.name for f in self.spark.table(self._name(table)).schema.fields]
+        rows.observe(written, *measures).select(*names).write.insertInto(self._name(table))
+        got = _observed(written)
+        inserted = got.get("n", 0)
+        if offered is None:
+            offered = _observed(seen).get("n", 0) if keys else inserted
+        self._note(table, [("load", None, None, int(offered), inserted, last)])
+        return {"offered": int(offered), "inserted": inserted, "total": self.count(table),
+                "violations": {label: got.get(f"v{i}", 0) for i, label in enumerate(broken)}}
+
+    def _checked(self, rows: DataFrame, rules: Rules) -> tuple[DataFrame, dict]:
+        """``rows`` with what the checks need, and the condition of each break."""
+        broken = {f"not null {c}": F.col(c).isNull() for c in rules.not_null if c in rows.columns}
+        for i, k in enumerate(rules.foreign_keys):
+            mark = f"_parent{i}"
+            parent = self.read(k.parent).select(*[F.col(p).alias(c) for p, c in zip(k.parent_columns, k.columns)])
+            parent = parent.where(all_present(list(k.columns))).distinct().withColumn(mark, F.lit(True))
+            rows = rows.join(parent, list(k.columns), "left")
+            broken[f"foreign key {','.join(k.columns)}"] = all_present(list(k.columns)) & F.col(mark).isNull()
+        return rows, broken
+
+    # -- full refresh, K5, K6
+    def replace(self, table: str, df: DataFrame) -> None:
+        """The rows of ``df`` become those of the table, which ``df`` may read."""
+        if not self.create_if_absent(table, df.schema):
+            self._open(table)
+        names = [f.name for f in self.spark.table(self._name(table)).schema.fields]
+        try:
+            df.select(*names).write.insertInto(self._name(table), overwrite=True)
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
+                raise
+            materialize(df.select(*names)).write.insertInto(self._name(table), overwrite=True)
+
     def truncate(self, table: str) -> None:
-        meta = self._meta(table)
-        if meta is not None:
-            self._publish(table, [], meta["schema"], meta["version"], extra=self._kept(meta))
+        if self.exists(table):
+            self.replace(table, self.spark.createDataFrame([], self.read(table).schema))
 
-    # -- K6
     def drop(self, table: str) -> None:
-        p = self._Path(f"{self.root}/{table}")
-        if self._fs.exists(p):
-            self._fs.delete(p, True)
-
-
-# ---------------------------------------------------------------- JDBC
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append",
-               column_types: str | None = None, batch_size: int = 10_000, **props) -> None:
-    """Batched JDBC write, one connection per partition."""
-    w = (df.write.format("jdbc").option("url", url).option("dbtable", table)
-         .option("batchsize", str(batch_size)).mode(mode))
-    if column_types:
-        w = w.option("createTableColumnTypes", column_types)
-    for k, v in props.items():
-        w = w.option(k, v)
-    w.save()
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None,
-              partitions: int = 1, **props) -> DataFrame:
-    """JDBC read. With a numeric ``column`` its range is asked for first and the
-    table is read in that many ``partitions``; without, in one task."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if column and partitions > 1:
-        q = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) b"
-        lo, hi = read_jdbc(spark, url, q, **props).first()
-        if lo is not None:
-            r = (r.option("partitionColumn", column).option("lowerBound", str(lo))
-                 .option("upperBound", str(hi)).option("numPartitions", str(partitions)))
-    for k, v in props.items():
-        r = r.option(k, v)
-    return r.load()
+        if self.exists(table):
+            self.truncate(table)
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+            self._note(table, [], "overwrite")
+
+
+def load_report(spark: SparkSession, report: dict) -> DataFrame:
+    """K8: a load's report as (metric, value) rows."""
+    rows = [(k, int(report[k])) for k in ("offered", "inserted", "total")]
+    rows += [(f"violations of {k}", n) for k, n in report.get("violations", {}).items()]
+    return spark.createDataFrame(rows, "metric string, value bigint")

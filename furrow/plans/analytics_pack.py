@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.operators import incremental as I
 from furrow.operators import metrics as M
 from furrow.operators import timeseries as TS
-from furrow.operators.sink import TableStore
+from furrow.operators.sink import Store
 from furrow.session import scratch_path
 from furrow.sources.tables import load
 
@@ -117,7 +117,7 @@ def cube_revenue_by_nation_month(spark: SparkSession, sf: str) -> DataFrame:
 def cube_preagg_reuse(spark: SparkSession, sf: str) -> DataFrame:
     """Nation x month pre-aggregate is stored once; the nation x year query is
     answered from the stored table (additive measures only)."""
-    store = TableStore(spark, scratch_path(spark, "preagg"), "duckdb")
+    store = Store(spark, scratch_path(spark, "preagg"), "duckdb")
     pre = (sales_cube(spark, sf).preaggregate(["revenue", "lines"], ["n_name"], "month")
            .persist(store, "sales_by_nation_month"))
     q = pre.answer(["revenue", "lines"], ["n_name"], "year")
@@ -129,7 +129,7 @@ def cube_ratio_by_region_year(spark: SparkSession, sf: str) -> DataFrame:
     """A ratio measure (revenue per line) by region and year, answered from
     the persisted region x nation x month pre-aggregate (ratio re-aggregated
     from its summed parts)."""
-    store = TableStore(spark, scratch_path(spark, "preagg"), "duckdb")
+    store = Store(spark, scratch_path(spark, "preagg"), "duckdb")
     pre = (sales_cube(spark, sf)
            .preaggregate(["revenue_per_line", "lines"], ["r_name", "n_name"], "month")
            .persist(store, "sales_by_region_nation_month"))
@@ -176,7 +176,7 @@ def incremental_full_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Full refresh of a model table: the base is published first, then the
     rebuilt model (base upserted with the changes) replaces it atomically."""
     base, changes = _base_and_changes(spark, sf)
-    store = TableStore(spark, scratch_path(spark, "models"), "duckdb")
+    store = Store(spark, scratch_path(spark, "models"), "duckdb")
     I.full_refresh(store, "orders_model", base)
     I.full_refresh(store, "orders_model", I.upsert(store.read("orders_model"), changes,
                                                    "o_orderkey", "version"))

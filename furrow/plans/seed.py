@@ -9,8 +9,7 @@ looked up in the *merged* dimensions. ``clear`` drops the fact table (and the
 dimensions when normalising) before loading.
 
 Everything is distributed: generation is a narrow projection over
-``spark.range``, loads are Spark writes of whole segments published
-atomically. ``batch_size`` is how many rows one generation partition holds; it
+``spark.range``, loads are Spark appends. ``batch_size`` is how many rows one generation partition holds; it
 never loops on the driver. A further run adds rows: row numbers go on after
 those that the table was offered before, so business keys do not repeat.
 """
@@ -23,8 +22,9 @@ import json
 from pyspark.sql import SparkSession
 
 from furrow.operators import normalize as N
+from furrow.operators.sink import Store
 from furrow.session import GENERATION_CONF, conf_scope
-from furrow.operators.sink import TableStore, get_flavour, resolve_normalize
+from furrow.sources.flavours import get_flavour, resolve_normalize
 from furrow.sources.generate import generate
 from furrow.sources.schemas import get_schema
 
@@ -48,7 +48,7 @@ def _seed(spark, root, backend, schema_name, count, batch_size, start, end, norm
     schema = get_schema(schema_name)
     flavour = get_flavour(backend)
     normalize, warning = resolve_normalize(flavour, normalize)
-    store = TableStore(spark, root, flavour.name, id_mode)
+    store = Store(spark, root, flavour.name, id_mode)
     table = f"{schema.table}_normalized" if normalize else schema.table
     if clear:
         store.drop(table)
@@ -85,17 +85,15 @@ def _seed(spark, root, backend, schema_name, count, batch_size, start, end, norm
     return report
 
 
-def _insert(store: TableStore, table: str, rows, unique: list[str], offered: int) -> dict:
+def _insert(store: Store, table: str, rows, unique: list[str], offered: int) -> dict:
     """Insert-ignore on the unique key in arrival (row_id) order, ids from max(id)."""
     return store.insert(table, rows, unique_key=unique or None, order_cols=["row_id"], id_col="id", offered=offered)
 
 
-def _merge_dim(store: TableStore, name: str, candidates, key: str, ddl: str):
+def _merge_dim(store: Store, name: str, candidates, key: str, ddl: str):
     from pyspark.sql.types import StructType
     store.create_if_absent(name, StructType.fromDDL(ddl))
-    # Keys and ids are worked out against the version that the load follows;
-    # if another writer was faster, they are worked out again.
-    store.insert(name, lambda existing, top: N.new_members(existing, candidates, key, top), track_max="id")
+    store.insert(name, N.new_members(store.read(name), candidates, key, store.max_id(name)), unique_key=[key])
     return store.read(name)
 
 

@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.operators.sink import insert_ignore
+from furrow.operators.conflicts import insert_ignore
 from furrow.session import scratch_path
 
 

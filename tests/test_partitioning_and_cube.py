@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.operators import metrics as M
+from furrow.operators import conflicts as C
 from furrow.operators import sink as K
 from furrow.sources.tables import load
 
@@ -22,15 +23,15 @@ def _rest(df):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_insert_ignore_same_for_any_partitioning(spark, parts):
     li = _li(spark)
-    base = K.insert_ignore(None, li.coalesce(1), KEY, _rest(li))
-    other = K.insert_ignore(None, li.repartition(parts), KEY, _rest(li))
+    base = C.insert_ignore(None, li.coalesce(1), KEY, _rest(li))
+    other = C.insert_ignore(None, li.repartition(parts), KEY, _rest(li))
     assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_assign_ids_same_for_any_partitioning(spark, parts):
     li = _li(spark)
-    acc = K.insert_ignore(None, li, KEY, _rest(li))
+    acc = C.insert_ignore(None, li, KEY, _rest(li))
     a = K.assign_ids(acc.coalesce(1), KEY, 10).select("id", *KEY)
     b = K.assign_ids(acc.repartition(parts), KEY, 10).select("id", *KEY)
     assert a.exceptAll(b).count() == 0

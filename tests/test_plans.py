@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from furrow.functions.ids import dense_ids
 from furrow.functions.ordered_window import ordered_window
 from furrow.operators import search as S
-from furrow.operators import sink as K
+from furrow.operators import conflicts as C
 from furrow.operators.joins import range_join
 from furrow.sources.tables import load
 
@@ -22,7 +22,7 @@ def plan(df) -> str:
 def test_insert_ignore_reads_only_key_columns_of_existing(spark):
     li = load(spark, SF, "lineitem")
     existing = load(spark, SF, "lineitem")
-    p = plan(K.insert_ignore(existing.where("l_shipdate < '1996-01-01'"), li,
+    p = plan(C.insert_ignore(existing.where("l_shipdate < '1996-01-01'"), li,
                              ["l_orderkey", "l_linenumber"], ["l_partkey"]))
     scans = [set(c.split(",")) for c in re.findall(r"FileScan parquet \[([^\]]*)\]", p)]
     cols = [{c.split("#")[0] for c in scan} for scan in scans]
@@ -68,5 +68,5 @@ def test_dense_ids_never_funnel_rows_through_one_partition(spark):
 def test_first_seen_aggregates_partially_before_the_shuffle(spark):
     li = load(spark, "/root/testdata/sf0.1", "lineitem")
     # a plain scan, not repartitioned: hot keys collapse below the only exchange
-    p = plan(K.first_seen(li, ["l_orderkey", "l_linenumber"], ["l_partkey"]))
+    p = plan(C.first_seen(li, ["l_orderkey", "l_linenumber"], ["l_partkey"]))
     assert "partial_min_by" in p                             # hot keys collapse map-side

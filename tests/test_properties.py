@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from furrow.functions.quantiles import exact_quantiles
-from furrow.operators import sink as K
+from furrow.operators import conflicts as C
 
 ROWS = st.lists(st.tuples(st.one_of(st.none(), st.sampled_from("abcdef")), st.integers(0, 9)),
                 min_size=0, max_size=40)
@@ -29,7 +29,7 @@ def test_insert_ignore_matches_sequential_load(spark, existing, rows):
     schema = "k string, seq int, v int"
     inc = spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(rows)], schema)
     ex = spark.createDataFrame([(k, -1, 0) for k in existing], schema)
-    got = sorted((tuple(r) for r in K.insert_ignore(ex, inc, "k", ["seq"]).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in C.insert_ignore(ex, inc, "k", ["seq"]).collect()), key=lambda r: r[1])
     assert got == _sequential_insert_ignore(existing, rows)
 
 

@@ -2,12 +2,12 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.ordered_window import ordered_window
 from furrow.operators import normalize as N
+from furrow.operators import conflicts as C
 from furrow.operators import sink as K
 from furrow.operators import timeseries as TS
 from furrow.plans.seed import _merge_dim
@@ -67,7 +67,7 @@ def cands(spark, *emails):
 
 
 def test_dimension_ids_never_restart(spark, tmp_path):
-    store = K.TableStore(spark, str(tmp_path))
+    store = K.Store(spark, str(tmp_path))
     store.create_if_absent("d", T.StructType.fromDDL(DIM))
     store.replace("d", spark.createDataFrame([(1, "a", "a", ""), (2, "b", "b", "")], DIM))
     for emails in (("a", "b"), ("z",), ("y", "z")):
@@ -75,61 +75,13 @@ def test_dimension_ids_never_restart(spark, tmp_path):
     assert sorted((r.id, r.email) for r in store.read("d").collect()) == [(1, "a"), (2, "b"), (3, "z"), (4, "y")]
 
 
-def test_a_faster_writer_is_followed(spark, tmp_path):
-    store, other = K.TableStore(spark, str(tmp_path)), K.TableStore(spark, str(tmp_path))
-    store.create_if_absent("d", T.StructType.fromDDL(DIM))
-    calls = []
-
-    def members(existing, top):
-        new = N.new_members(existing, cands(spark, "x", "w"), "email", top)
-        if not calls:
-            _merge_dim(other, "d", cands(spark, "x", "y"), "email", DIM)
-        calls.append(top)
-        return new
-
-    store.insert("d", members, track_max="id")
-    assert len(calls) == 2
-    assert sorted((r.id, r.email) for r in store.read("d").collect()) == [(1, "x"), (2, "y"), (3, "w")]
-
-
-def test_versions_appear_whole(spark, tmp_path):
-    store = K.TableStore(spark, str(tmp_path))
-    assert store.create_if_absent("t", T.StructType.fromDDL("a int"))
-    (tmp_path / "t" / "_versions" / ".half.draft").write_text("{")  # a writer that died
-    store.insert("t", spark.createDataFrame([(1,)], "a int"))
-    assert store.count("t") == 1 and not store.create_if_absent("t", T.StructType.fromDDL("a int"))
-    meta = store._meta("t")
-    with pytest.raises(K._VersionConflict):
-        store._publish("t", [], meta["schema"], meta["version"] - 1)
-    assert store.count("t") == 1
-
-
-def test_constraints_travel_with_the_table(spark, tmp_path):
-    store = K.TableStore(spark, str(tmp_path), "postgres")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("sku", T.StringType(), False, {"unique": True}),
-                           T.StructField("name", T.StringType(), False)])
-    store.create_if_absent("p", schema)
-    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "sku string, name string")
-    for wanted in (2, 0):
-        report = store.insert("p", rows, order_cols=["sku", "name"], id_col="id", offered=3)
-        assert (report["offered"], report["inserted"], report["total"]) == (3, wanted, 2)
-    assert store.offered("p") == 6
-    with pytest.raises(ValueError, match="NOT NULL"):
-        store.insert("p", spark.createDataFrame([("c", None)], "sku string, name string"), id_col="id")
-    assert store.count("p") == 2
-    two = T.StructType([T.StructField(c, T.StringType(), True, {"unique": True}) for c in "ab"])
-    store.create_if_absent("q", two)
-    with pytest.raises(ValueError, match="one unique key"):
-        store.insert("q", spark.createDataFrame([("1", "2")], "a string, b string"))
-
-
 def test_building_a_plan_runs_no_job(spark):
     feed = orders_feed(spark, SF)  # parquet schemas are read here
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("build-only", "no job expected")
     try:
         c = N.customer_candidates(feed, "o_orderkey")
-        K.insert_ignore(c, K.insert_ignore(None, c, ["email"], ["first_seq"]), ["email"], ["first_seq"])
+        C.insert_ignore(c, C.insert_ignore(None, c, ["email"], ["first_seq"]), ["email"], ["first_seq"])
         assert list(tracker.getJobIdsForGroup("build-only")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -13,8 +13,8 @@ def test_second_run_adds_rows_with_new_keys(spark):
     assert (r1["inserted"], r1["total"]) == (100, 100)
     r2 = seed(spark, root, "duck", "sales_orders", 80, 50, "2024-01-01", "2024-12-31")
     assert (r2["inserted"], r2["total"]) == (80, 180)
-    from furrow.operators.sink import TableStore
-    t = TableStore(spark, root, "duckdb").read(r2["table"])
+    from furrow.operators.sink import Store
+    t = Store(spark, root, "duckdb").read(r2["table"])
     assert t.select("order_number").distinct().count() == 180 and t.select("id").distinct().count() == 180
 
 
@@ -27,12 +27,12 @@ def test_search_flavour_appends_and_refuses_normalisation(spark):
 
 
 def test_normalised_load_and_clear(spark):
-    from furrow.operators.sink import TableStore
+    from furrow.operators.sink import Store
     root = tempfile.mkdtemp(prefix="furrow-seed-n-")
     r = seed(spark, root, "postgres", "manufacturing_orders", 60, 20, "2024-01-01", "2024-12-31",
              normalize=True)
     assert r["table"] == "manufacturing_orders_normalized" and r["inserted"] == 60 and r["products"] == 60
-    st = TableStore(spark, root, "postgres")
+    st = Store(spark, root, "postgres")
     fact = st.read("manufacturing_orders_normalized")
     assert "product_sku" not in fact.columns and fact.where("product_id IS NULL").count() == 0
     r = seed(spark, root, "postgres", "manufacturing_orders", 60, 20, "2024-01-01", "2024-12-31",
@@ -68,13 +68,13 @@ def test_cli(spark, capsys):
 def test_second_normalised_run_continues_dimension_ids(spark):
     from pyspark.sql import functions as F
 
-    from furrow.operators.sink import TableStore
+    from furrow.operators.sink import Store
     root = tempfile.mkdtemp(prefix="furrow-seed-ids-")
     seed(spark, root, "duckdb", "manufacturing_orders", 40, 20, "2024-01-01", "2024-12-31",
          normalize=True, seed_value=1)
     seed(spark, root, "duckdb", "manufacturing_orders", 40, 20, "2024-01-01", "2024-12-31",
          normalize=True, seed_value=2)
-    st = TableStore(spark, root, "duckdb")
+    st = Store(spark, root, "duckdb")
     dim = st.read("dim_product")
     n, top, distinct = dim.agg(F.count("*"), F.max("id"), F.countDistinct("id")).first()
     assert n == top == distinct and st.max_id("dim_product") == top
