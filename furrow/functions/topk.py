@@ -18,7 +18,7 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     """Rows ranked 1..k per group by ``order`` (which must be a total order)."""
     if k <= 0:
         raise ValueError("k must be positive")
-    salt = F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % salts
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt)
              .withColumn("_r", F.row_number().over(w1))

@@ -21,11 +21,18 @@ def _seconds(c: Column) -> Column:
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str,
                width_seconds: int, how: str = "inner", numeric: bool = False) -> DataFrame:
-    """Rows of ``points`` with every range where ``start <= point < end``."""
+    """Rows of ``points`` with every range where ``start <= point < end``.
+
+    ``how``: inner, left, left_semi or left_anti. A range lies in several
+    buckets, so a join that keeps unmatched ranges would repeat them.
+    """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"range_join cannot keep unmatched ranges: how={how!r}")
     conv = (lambda c: c) if numeric else _seconds
     pb = points.withColumn("_bk", F.floor(conv(F.col(point)) / width_seconds).cast("bigint"))
     rb = ranges.withColumn("_bk", F.explode(F.sequence(
         F.floor(conv(F.col(start)) / width_seconds).cast("bigint"),
         F.floor(conv(F.col(end)) / width_seconds).cast("bigint"))))
     cond = (pb["_bk"] == rb["_bk"]) & (pb[point] >= rb[start]) & (pb[point] < rb[end])
-    return pb.join(rb, cond, how).drop(pb["_bk"]).drop(rb["_bk"])
+    out = pb.join(rb, cond, how).drop(pb["_bk"])
+    return out if how in ("left_semi", "left_anti") else out.drop(rb["_bk"])

@@ -107,8 +107,8 @@ def run_suite(df: DataFrame, expectations: list[Expect], mostly: float = 1.0) ->
             parts.append(_foreign_key(df, e))
         elif e.rule not in ROW_RULES:
             raise ValueError(f"unknown rule {e.rule}")
-    out = parts[0]
-    for p in parts[1:]:
+    out = df.sparkSession.createDataFrame([], "rule string, evaluated bigint, unexpected bigint")
+    for p in parts:
         out = out.unionByName(p)
     pct = F.when(F.col("evaluated") > 0,
                  F.round(F.col("unexpected") * 100.0 / F.col("evaluated"), 6)).otherwise(F.lit(0.0))
@@ -152,43 +152,3 @@ def schema_expectations(schema, ordered_after_time_field: bool = True) -> list[E
             if f.sql_type == "TIMESTAMP" and f.name != schema.time_field:
                 out.append(Expect("column_a_le_b", (schema.time_field, f.name)))
     return out
-
-
-def expectation_sql(e: Expect, table: str) -> str:
-    """DuckDB text of one rule (used by the oracle)."""
-    c = e.column
-    if e.rule == "not_null":
-        ev, bad = "count(*)", f"count_if({c} IS NULL)"
-    elif e.rule == "in_set":
-        lits = ", ".join("'" + str(v).replace("'", "''") + "'" for v in e.args)
-        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND {c} NOT IN ({lits}))"
-    elif e.rule == "between":
-        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND {c} NOT BETWEEN {e.args[0]} AND {e.args[1]})"
-    elif e.rule == "matches_regex":
-        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND NOT regexp_matches({c}, '{e.args[0]}'))"
-    elif e.rule == "max_length":
-        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND length({c}) > {e.args[0]})"
-    elif e.rule == "column_a_le_b":
-        a, b = c
-        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
-        ev, bad = f"count_if({both})", f"count_if({both} AND {a} > {b})"
-    elif e.rule == "row_count_between":
-        ev = "count(*)"
-        bad = f"CASE WHEN count(*) < {e.args[0]} OR count(*) > {e.args[1]} THEN count(*) ELSE 0 END"
-    elif e.rule == "unique":
-        return (f"SELECT '{e.name}' AS rule, coalesce(sum(n), 0) AS evaluated, "
-                f"coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS unexpected FROM "
-                f"(SELECT count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})")
-    else:
-        raise ValueError(e.rule)
-    return f"SELECT '{e.name}' AS rule, {ev} AS evaluated, {bad} AS unexpected FROM {table}"
-
-
-def suite_sql(expectations: list[Expect], table: str, mostly: float = 1.0) -> str:
-    """DuckDB text of ``run_suite`` over ``table`` (row and unique rules)."""
-    body = "\n UNION ALL ".join(expectation_sql(e, table) for e in expectations)
-    return f"""SELECT rule, CAST(evaluated AS BIGINT) AS evaluated, CAST(unexpected AS BIGINT) AS unexpected,
-        CASE WHEN evaluated > 0 THEN round(unexpected * 100.0 / evaluated, 6) ELSE 0.0 END AS unexpected_pct,
-        CASE WHEN evaluated > 0 THEN evaluated - unexpected >= {mostly} * evaluated ELSE unexpected = 0 END
-          AS success
-        FROM ({body}) r"""

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import profile as P
-from furrow.operators.quality import (Expect, failing_key_rows, run_suite, schema_expectations,
-                                     suite_sql)
+from furrow.operators.quality import Expect, failing_key_rows, run_suite, schema_expectations
 from furrow.sources.schemas import get_schema
 from furrow.sources.tables import load
 
@@ -51,6 +50,16 @@ def profile_wide_integers(spark: SparkSession, sf: str) -> DataFrame:
     return P.profile_integers(o, "orders")
 
 
+def profile_own_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers and decimals that a double cannot tell apart, profiled in
+    their own types (the exact columns of the profile)."""
+    key = F.col("o_orderkey")
+    o = load(spark, sf, "orders").select((key + (1 << 53)).alias("wide_key"),
+                                         F.when(key % 5 > 0, F.col("o_custkey") + (1 << 60)).alias("wide_cust"),
+                                         (key + F.expr("900719925474099200.00BD")).cast("decimal(25,2)").alias("wide_price"))
+    return P.profile_numeric(o, "orders").select("table", "column", "count", "nulls", "distinct", "min_text", "max_text")
+
+
 def profile_numeric(spark: SparkSession, sf: str) -> DataFrame:
     part = P.profile_numeric(load(spark, sf, "part"), "part", ["p_partkey", "p_size", "p_retailprice"])
     ev = P.profile_numeric(load(spark, sf, "events"), "events", ["event_id", "user_id", "value"])
@@ -74,18 +83,21 @@ QUERIES = {
     "dq_schema_rules": dq_schema_rules,
     "profile_numeric": profile_numeric,
     "profile_wide_integers": profile_wide_integers,
+    "profile_own_types": profile_own_types,
     "profile_topk": profile_topk,
     "profile_corr": profile_corr,
 }
 
 
-def _num_profile_sql(table: str, col: str) -> str:
+def _num_profile_sql(table: str, col: str, whole: bool = False) -> str:
     v = f"CAST({col} AS DOUBLE)"
     return f"""SELECT '{table}' AS "table", '{col}' AS "column", count({v}) AS count,
-        CAST(count_if({v} IS NULL) AS BIGINT) AS nulls, CAST(count(DISTINCT {v}) AS BIGINT) AS "distinct",
+        CAST(count_if({v} IS NULL) AS BIGINT) AS nulls, CAST(count(DISTINCT {col}) AS BIGINT) AS "distinct",
         round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(avg({v}), 6) AS mean,
         round(stddev_samp({v}), 6) AS stddev, round(quantile_cont({v}, 0.25), 6) AS p25,
-        round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95
+        round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95,
+        {f"CAST(min({col}) AS VARCHAR)" if whole else "NULL::VARCHAR"} AS min_text,
+        {f"CAST(max({col}) AS VARCHAR)" if whole else "NULL::VARCHAR"} AS max_text
         FROM {table}"""
 
 
@@ -99,10 +111,54 @@ def _topk_sql(table: str, col: str) -> str:
 _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def _expectation_sql(e: Expect, table: str) -> str:
+    """DuckDB text of one rule."""
+    c = e.column
+    if e.rule == "not_null":
+        ev, bad = "count(*)", f"count_if({c} IS NULL)"
+    elif e.rule == "in_set":
+        lits = ", ".join("'" + str(v).replace("'", "''") + "'" for v in e.args)
+        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND {c} NOT IN ({lits}))"
+    elif e.rule == "between":
+        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND {c} NOT BETWEEN {e.args[0]} AND {e.args[1]})"
+    elif e.rule == "matches_regex":
+        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND NOT regexp_matches({c}, '{e.args[0]}'))"
+    elif e.rule == "max_length":
+        ev, bad = f"count({c})", f"count_if({c} IS NOT NULL AND length({c}) > {e.args[0]})"
+    elif e.rule == "column_a_le_b":
+        a, b = c
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+        ev, bad = f"count_if({both})", f"count_if({both} AND {a} > {b})"
+    elif e.rule == "row_count_between":
+        ev = "count(*)"
+        bad = f"CASE WHEN count(*) < {e.args[0]} OR count(*) > {e.args[1]} THEN count(*) ELSE 0 END"
+    elif e.rule == "unique":
+        return (f"SELECT '{e.name}' AS rule, coalesce(sum(n), 0) AS evaluated, "
+                f"coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS unexpected FROM "
+                f"(SELECT count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})")
+    else:
+        raise ValueError(e.rule)
+    return f"SELECT '{e.name}' AS rule, {ev} AS evaluated, {bad} AS unexpected FROM {table}"
+
+
+def _suite_sql(expectations: list[Expect], table: str, mostly: float = 1.0) -> str:
+    """DuckDB text of ``run_suite`` over ``table`` (row and unique rules)."""
+    body = "\n UNION ALL ".join(_expectation_sql(e, table) for e in expectations)
+    return f"""SELECT rule, CAST(evaluated AS BIGINT) AS evaluated, CAST(unexpected AS BIGINT) AS unexpected,
+        CASE WHEN evaluated > 0 THEN round(unexpected * 100.0 / evaluated, 6) ELSE 0.0 END AS unexpected_pct,
+        CASE WHEN evaluated > 0 THEN evaluated - unexpected >= {mostly} * evaluated ELSE unexpected = 0 END
+          AS success
+        FROM ({body}) r"""
+
+
 def _schema_rules_sql() -> str:
     from furrow.plans.generate_pack import _oracle_gen
-    return f"WITH so AS ({_oracle_gen('sales_orders')}) " + suite_sql(_schema_suite(), "so")
+    return f"WITH so AS ({_oracle_gen('sales_orders')}) " + _suite_sql(_schema_suite(), "so")
+
 
+_WIDE = """SELECT (o_orderkey + 9007199254740992)::BIGINT AS wide_key,
+       (CASE WHEN o_orderkey % 5 > 0 THEN o_custkey + 1152921504606846976 END)::BIGINT AS wide_cust,
+       (o_orderkey::DECIMAL(25,2) + 900719925474099200.00::DECIMAL(25,2))::DECIMAL(25,2) AS wide_price FROM orders"""
 
 ORACLES = {
     "dq_schema_rules": _schema_rules_sql(),
@@ -129,8 +185,12 @@ ORACLES = {
           SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
           GROUP BY 1, 2 HAVING count(*) > 1) d USING (l_orderkey, l_linenumber)""",
     "profile_numeric": " UNION ALL ".join(
-        [_num_profile_sql("part", c) for c in ["p_partkey", "p_size", "p_retailprice"]]
-        + [_num_profile_sql("events", c) for c in ["event_id", "user_id", "value"]]),
+        [_num_profile_sql("part", "p_partkey", True), _num_profile_sql("part", "p_size", True), _num_profile_sql("part", "p_retailprice"),
+         _num_profile_sql("events", "event_id", True), _num_profile_sql("events", "user_id", True), _num_profile_sql("events", "value")]),
+    "profile_own_types": f"""WITH w AS ({_WIDE}) """ + " UNION ALL ".join(
+        f"""SELECT 'orders' AS "table", '{c}' AS "column", count({c}) AS count, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls,
+        count(DISTINCT {c}) AS "distinct", CAST(min({c}) AS VARCHAR) AS min_text, CAST(max({c}) AS VARCHAR) AS max_text FROM w"""
+        for c in ["wide_key", "wide_cust", "wide_price"]),
     "profile_wide_integers": """
         WITH w AS (SELECT o_orderkey + 9007199254740992 AS wide_key,
                           CASE WHEN o_orderkey % 5 > 0 THEN o_custkey + 1152921504606846976 END AS wide_cust FROM orders)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import search as S
+from furrow.operators.postings import PostingIndex
+from furrow.session import scratch_path
 from furrow.sources.tables import load, read_files, table_path
 
 BM25_TERMS = ["the", "und"]
@@ -55,7 +57,39 @@ def facet_products(spark: SparkSession, sf: str) -> DataFrame:
     return S.facets(hits, ["category"])
 
 
+PHRASE = "of the"
+
+
+def _index(spark: SparkSession, sf: str) -> PostingIndex:
+    """All documents, added in two loads, common words spread over cells."""
+    docs = load(spark, sf, "documents")
+    index = PostingIndex(spark, scratch_path(spark, "postings"), buckets=32, slice_docs=2_000)
+    index.add(docs.where("n_chars <= 1000"))
+    index.add(docs.where("n_chars > 1000 OR n_chars IS NULL"))
+    return index
+
+
+def search_index_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking of ``search_bm25`` from stored postings."""
+    return _index(spark, sf).bm25(BM25_TERMS, k=20)
+
+
+def search_index_bool(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits of ``search_bool`` from stored postings."""
+    hits = _index(spark, sf).match(MUST, MUST_NOT)
+    return load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(hits, "doc_id", "left_semi")
+
+
+def search_index_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a phrase, by the positions in the postings."""
+    return _index(spark, sf).phrase(PHRASE).select("doc_id", F.size("starts").cast("bigint").alias("times"),
+                                                   F.array_min("starts").cast("bigint").alias("first_at"))
+
+
 QUERIES = {
+    "search_index_bm25": search_index_bm25,
+    "search_index_bool": search_index_bool,
+    "search_index_phrase": search_index_phrase,
     "search_products": search_products,
     "facet_products": facet_products,
     "search_bm25": search_bm25,
@@ -91,6 +125,12 @@ ORACLES = {
     "scan_parquet": "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000",
 }
 
+ORACLES["search_index_bm25"] = ORACLES["search_bm25"]
+ORACLES["search_index_bool"] = ORACLES["search_bool"]
+ORACLES["search_index_phrase"] = f"""WITH {_TOK},
+      p AS (SELECT doc_id, list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the') AS p FROM toks)
+      SELECT doc_id, len(p) AS times, list_min(p) - 1 AS first_at FROM p WHERE len(p) > 0"""
+
 
 def _bm25_sql(source: str, id_col: str, terms: list[str], k: int = 20) -> str:
     """DuckDB BM25 (k1 1.2, b 0.75) over ``source`` (columns id, text)."""

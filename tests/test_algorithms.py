@@ -110,3 +110,51 @@ def test_profile_approx_mode_close_to_exact(spark):
               profile_numeric(ev, "events", ["user_id", "value"], exact=False).collect()}
     for c in exact:
         assert abs(approx[c] - exact[c]) <= 0.1 * exact[c]
+
+
+def test_quantiles_narrow_until_a_bucket_fits_one_task(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=3000).round(2).tolist() + list(range(2000))
+    df = spark.createDataFrame([("a", float(v)) for v in vals] + [("b", 1.0)] * 50 + [("c", None)], "g string, v double").repartition(5)
+    for limit in (1, 7, 10_000):
+        got = {(r.g, r.p): r.q for r in exact_quantiles(df, "g", "v", [0.0, 0.1, 0.5, 0.99, 1.0], buckets=4, limit=limit).collect()}
+        assert set(got) == {(g, p) for g in "ab" for p in (0.0, 0.1, 0.5, 0.99, 1.0)}
+        for p in (0.0, 0.1, 0.5, 0.99, 1.0):
+            assert abs(got["a", p] - float(np.quantile(vals, p))) < 1e-9 and got["b", p] == 1.0
+
+
+def test_profile_keeps_what_a_double_cannot(spark):
+    from decimal import Decimal
+
+    from furrow.operators.profile import profile_numeric
+    big = 2 ** 53
+    df = spark.createDataFrame([(big + i, Decimal(big) * 1000 + Decimal(i) / 100, i / 2, i) for i in range(4)] + [(None, None, None, None)],
+                               "w bigint, d decimal(22,2), f double, i int").select("w", "d", "f", F.col("i").cast("int"))
+    for exact in (True, False):
+        got = {r["column"]: r for r in profile_numeric(df, "t", exact=exact).collect()}
+        assert all(r["distinct"] == 4 and r["nulls"] == 1 and r["count"] == 4 for r in got.values())
+        assert (got["w"]["min_text"], got["w"]["max_text"]) == (str(big), str(big + 3))
+        assert (got["d"]["min_text"], got["d"]["max_text"]) == (f"{big * 1000}.00", f"{big * 1000}.03")
+        assert got["f"]["min_text"] is None and (got["i"]["min_text"], got["i"]["p50"] in (1.0, 1.5)) == ("0", True)
+
+
+def test_range_join_keeps_only_points(spark):
+    import pytest
+    points = spark.createDataFrame([(1,), (25,), (99,), (None,)], "x int")
+    ranges = spark.createDataFrame([(0, 30, "a"), (20, 40, "b"), (50, 90, "c")], "s int, e int, n string")
+    from furrow.operators.joins import range_join
+    got = {h: sorted((tuple(r) for r in range_join(points, ranges, "x", "s", "e", 7, h, numeric=True).collect()), key=str)
+           for h in ("inner", "left", "left_semi", "left_anti")}
+    assert got["inner"] == [(1, 0, 30, "a"), (25, 0, 30, "a"), (25, 20, 40, "b")]
+    assert len(got["left"]) == 5 and got["left_semi"] == [(1,), (25,)] and got["left_anti"] == [(99,), (None,)]
+    for how in ("right", "full", "outer"):
+        with pytest.raises(ValueError, match="unmatched ranges"):
+            range_join(points, ranges, "x", "s", "e", 7, how, numeric=True)
+
+
+def test_empty_suites_and_the_least_hash(spark):
+    from furrow.operators.quality import run_suite
+    df = spark.range(3)
+    assert run_suite(df, []).collect() == [] and run_suite(df, []).columns == ["rule", "evaluated", "unexpected", "unexpected_pct", "success"]
+    rows = top_k_per_group(spark.range(200).withColumn("g", F.col("id") % 3), ["g"], [F.desc("id")], 2, salts=3).collect()
+    assert sorted((r.g, r.rank, r.id) for r in rows) == [(0, 1, 198), (0, 2, 195), (1, 1, 199), (1, 2, 196), (2, 1, 197), (2, 2, 194)]
