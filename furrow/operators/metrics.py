@@ -6,10 +6,14 @@ caller's ``source`` function), its measures and its dimensions. A query picks
 measures, dimensions, an optional time granularity and filters; the plan is a
 ``where`` -> ``groupBy`` -> ``agg`` that Catalyst prunes and pushes down.
 
-Re-aggregation: only additive measures (``sum``, ``count``) can be answered
-from a pre-aggregate; ``avg`` is answered as sum / count from its parts and
-``ratio`` (sum of one expression over the sum of another) likewise;
-``count_distinct`` is never re-aggregated (it raises instead of being wrong).
+Re-aggregation: additive measures (``sum``, ``count``), ``min`` and ``max`` can
+be answered from a pre-aggregate; ``avg`` is answered as sum / count from its
+parts and ``ratio`` (sum of one expression over the sum of another) likewise.
+``count_distinct`` is never re-aggregated (it raises instead of being wrong);
+``approx_distinct`` and ``approx_quantile`` keep sketches, which coarser
+queries merge. A merged sketch is as good as one built from the rows: with
+``HLL_LOG`` = 14 the relative standard error of a distinct count is 0.8 %, with
+``KLL_K`` = 800 a quantile's rank is off by about 0.4 % of the rows at most.
 """
 
 from __future__ import annotations
@@ -21,16 +25,40 @@ from pyspark.sql import functions as F
 
 from furrow.operators.timeseries import bucket
 
+HLL_LOG, KLL_K = 14, 800
+
 
 @dataclass(frozen=True)
 class Measure:
     name: str
-    kind: str                  # sum | count | count_distinct | avg | ratio
-    expr: str | tuple | None = None   # SQL over the fact; ratio: (numerator, denominator)
+    kind: str                  # one of KINDS
+    expr: str | tuple | None = None   # SQL over the fact; ratio: (numerator, denominator); approx_quantile: (value, share)
+
+    KINDS = ("sum", "count", "count_distinct", "avg", "ratio", "min", "max", "approx_distinct", "approx_quantile")
+
+    def __post_init__(self):
+        if self.kind not in self.KINDS:
+            raise ValueError(f"measure {self.name}: no kind {self.kind!r}")
 
     @property
     def additive(self) -> bool:
-        return self.kind in ("sum", "count", "avg", "ratio")
+        return self.kind != "count_distinct"
+
+    @property
+    def texts(self) -> list[str]:
+        """The SQL that the measure reads."""
+        parts = self.expr if isinstance(self.expr, tuple) else (self.expr,)
+        return [p for p in parts if isinstance(p, str)]
+
+    def _sketch(self) -> Column:
+        if self.kind == "approx_distinct":
+            return F.hll_sketch_agg(F.expr(self.expr), F.lit(HLL_LOG))
+        return F.kll_sketch_agg_double(F.expr(self.expr[0]).cast("double"), F.lit(KLL_K))
+
+    def _estimate(self, sketch: Column) -> Column:
+        if self.kind == "approx_distinct":
+            return F.hll_sketch_estimate(sketch)
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(float(self.expr[1])))
 
     def _ratio(self, num: Column, den: Column) -> Column:
         return num.cast("double") / den.cast("double")
@@ -39,34 +67,43 @@ class Measure:
         if self.kind == "ratio":
             n, d = self.expr
             return self._ratio(F.sum(F.expr(n)), F.sum(F.expr(d)))
+        if self.kind.startswith("approx_"):
+            return self._estimate(self._sketch())
         e = F.expr(self.expr) if self.expr else F.lit(1)
-        if self.kind == "sum":
-            return F.sum(e)
-        if self.kind == "count":
-            return F.count(e)
-        if self.kind == "count_distinct":
-            return F.count_distinct(e)
-        if self.kind == "avg":
-            return F.avg(e)
-        raise ValueError(self.kind)
+        return {"sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "avg": F.avg, "min": F.min, "max": F.max}[self.kind](e)
 
     def parts(self) -> list[tuple[str, Column]]:
         """Additive partial columns kept in a pre-aggregate."""
         if self.kind == "ratio":
             n, d = self.expr
             return [(f"{self.name}__num", F.sum(F.expr(n))), (f"{self.name}__den", F.sum(F.expr(d)))]
+        if self.kind.startswith("approx_"):
+            return [(f"{self.name}__sketch", self._sketch())]
         e = F.expr(self.expr) if self.expr else F.lit(1)
-        if self.kind == "sum":
-            return [(self.name, F.sum(e))]
-        if self.kind == "count":
-            return [(self.name, F.count(e))]
+        if self.kind in ("sum", "count", "min", "max"):
+            return [(self.name, self.column())]
         if self.kind == "avg":
             return [(f"{self.name}__sum", F.sum(e)), (f"{self.name}__n", F.count(e))]
         raise ValueError(f"measure {self.name} ({self.kind}) cannot be pre-aggregated")
 
+    def merged_parts(self) -> list[tuple[str, Column]]:
+        """The parts of a coarser pre-aggregate, from those of a finer one."""
+        if self.kind in ("min", "max"):
+            return [(self.name, self.reaggregate())]
+        if self.kind.startswith("approx_"):
+            merge = F.hll_union_agg if self.kind == "approx_distinct" else F.kll_merge_agg_double
+            return [(f"{self.name}__sketch", merge(f"{self.name}__sketch"))]
+        return [(n, F.sum(n)) for n, _ in self.parts()]
+
     def reaggregate(self) -> Column:
         if self.kind in ("sum", "count"):
             return F.sum(self.name)
+        if self.kind in ("min", "max"):
+            return getattr(F, self.kind)(self.name)
+        if self.kind == "approx_distinct":
+            return self._estimate(F.hll_union_agg(f"{self.name}__sketch"))
+        if self.kind == "approx_quantile":
+            return self._estimate(F.kll_merge_agg_double(f"{self.name}__sketch"))
         if self.kind == "avg":
             return F.sum(f"{self.name}__sum") / F.sum(f"{self.name}__n")
         if self.kind == "ratio":
@@ -112,6 +149,13 @@ COARSER = {"hour": {"day", "week", "month", "year"}, "day": {"week", "month", "y
            "week": set(), "month": {"year"}}
 
 
+def coarser(b: Column, granularity: str) -> Column:
+    """A finer bucket's bucket of a coarser granularity."""
+    if granularity == "year":
+        return F.year(b)
+    return b if granularity == "hour" else F.to_date(F.date_trunc(granularity, b))
+
+
 @dataclass
 class PreAggregate:
     table: DataFrame
@@ -135,7 +179,5 @@ class PreAggregate:
             raise ValueError(f"cannot roll {self.granularity} up to {granularity}")
         keys = [F.col(d) for d in dimensions]
         if granularity:
-            g = F.col(self.granularity)
-            keys.append((F.year(g) if granularity == "year" else F.to_date(F.date_trunc(granularity, g)))
-                        .alias(granularity))
+            keys.append(coarser(F.col(self.granularity), granularity).alias(granularity))
         return self.table.groupBy(*keys).agg(*[self.measures[m].reaggregate().alias(m) for m in measures])

@@ -14,6 +14,7 @@ PACKS = (
     "sink_pack",
     "quality_pack",
     "analytics_pack",
+    "star_pack",
     "search_pack",
     "stream_pack",
     "sql_pack",
