@@ -1,254 +1,170 @@
 """Streaming ingest (R8): the generate -> insert batch loop as Structured Streaming.
 
-* ``SliceFeed`` appends a table to a landing folder in ``n`` slices ordered
-  by a time column, one ``availableNow`` run per slice, which is how
-  scheduled incremental ingestion sees arrivals; micro-batch boundaries are
-  then deterministic, so results can be compared with an oracle.
-* sinks are ``foreachBatch`` writers keyed by batch id: a replayed batch
-  (after a driver or executor loss) finds its segment already published and
-  does nothing, so every sink is idempotent / exactly-once.
-* ``insert_ignore_stream``: per micro-batch, first-seen rows per key that are
-  not in the table yet (in-batch ``min_by`` + anti-join against the keys
-  already written, pruned to the key columns). Exact for unbounded history;
-  the cost per batch grows with the keys written so far (the state-store
-  alternative, ``dropDuplicates``, is cheaper per batch but keeps an
-  arbitrary row per key inside a batch).
-* ``tumbling_counts``: ``window`` aggregation in ``complete`` mode.
+Each function takes a streaming DataFrame and returns a ``DataStreamWriter``;
+the caller gives it a trigger and starts it. Sinks may be handed a micro-batch
+again after a failure and then end in the same state:
+
+* ``insert_ignore`` (``foreachBatch``): first-seen rows per key that the sink
+  does not hold. Exact for unbounded history; a batch costs as much as reading
+  the keys written so far.
+* ``insert_ignore_state`` (``transformWithState``): the same with the keys held
+  in RocksDB state, so a batch costs what it holds. A timer ends each key's
+  state ``horizon`` after its first row, which bounds the state: it holds the
+  keys that began within the horizon. The result is that of the batch load
+  wherever a key does not return after the horizon.
+* ``live_counts``: windowed counts in ``update`` mode. A batch hands over the
+  windows that it changed, and only the days of these are rewritten.
+* ``total_counts``: windowed counts in ``complete`` mode, without a watermark.
 * ``sessions``: ``session_window`` with a watermark in ``append`` mode; only
   closed sessions (end <= watermark) are emitted.
 
-Event-time columns are TIMESTAMP_NTZ in the data. Tumbling windows run on
-them directly (wall-clock windows in any session time zone); watermarks need
-TIMESTAMP, so sessions cast to it and back (a constant zone offset does not
-change gap-based sessions).
+Event-time columns are TIMESTAMP_NTZ in the data. Watermarks need TIMESTAMP:
+wall-clock times are taken as if they were UTC, whatever the session's zone, so
+that days start at midnight and no clock change moves a window.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from furrow.operators.conflicts import insert_ignore
-from furrow.session import scratch_path
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
-
-
-def publish_batch(df: DataFrame, root: str, batch_id: int) -> None:
-    """Write a micro-batch result to ``root/batch=<id>`` exactly once:
-    write to a private staging folder, then rename (atomic on HDFS-like
-    stores); a replayed batch id is skipped."""
-    spark = df.sparkSession
-    final = f"{root}/batch={batch_id:010d}"
-    if _exists(spark, final):
-        return
-    stage = f"{root}/_staging/{batch_id:010d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(stage)
-    src, fs = _fs(spark, stage)
-    dst, _ = _fs(spark, final)
-    if not fs.rename(src, dst) and not fs.exists(dst):
-        raise RuntimeError(f"could not publish {final}")
-
-
-def read_published(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    """Union of every published batch (staging folders excluded)."""
-    if not _exists(spark, root):
-        return None
-    p, fs = _fs(spark, root)
-    dirs = [s.getPath().toString() for s in fs.listStatus(p)
-            if s.getPath().getName().startswith("batch=")]
-    if not dirs:
-        return None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(*dirs)
-
-
-def latest_published(spark: SparkSession, root: str) -> DataFrame | None:
-    """The most recent batch (for complete-mode outputs)."""
-    p, fs = _fs(spark, root)
-    dirs = sorted(s.getPath().toString() for s in fs.listStatus(p)
-                  if s.getPath().getName().startswith("batch="))
-    return spark.read.parquet(dirs[-1]) if dirs else None
-
-
-class SliceFeed:
-    """A landing folder fed in time-ordered slices, with a streaming reader."""
-
-    def __init__(self, spark: SparkSession, df: DataFrame, time_col: str, slices: int = 4,
-                 late_replay: list[int] = ()):
-        """``late_replay``: slice numbers landed once more after the last
-        slice - rows far behind the watermark, which event-time operators
-        must drop."""
-        self.spark, self.df, self.time_col, self.slices = spark, df, time_col, slices
-        self.late_replay = list(late_replay)
-        self.landing = scratch_path(spark, "landing")
-        lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
-        self.bounds = [lo + (hi - lo) * i / slices for i in range(1, slices)] if lo is not None else []
-
-    def _slice(self, i: int) -> DataFrame:
-        c = F.col(self.time_col)
-        cond = F.lit(True)
-        if i > 0:
-            cond = cond & (c >= F.lit(self.bounds[i - 1]))
-        if i < self.slices - 1:
-            cond = cond & (c < F.lit(self.bounds[i]))
-        return self.df.where(cond)
-
-    def stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self.df.schema).parquet(self.landing)
-
-    def run(self, start_query) -> None:
-        """For each slice: land it, then drain the landing folder with one
-        ``availableNow`` run of the query built by ``start_query(stream)``
-        (which must return a started ``StreamingQuery``)."""
-        for i in list(range(self.slices)) + self.late_replay:
-            self._slice(i).write.mode("append").parquet(self.landing)
-            q = start_query(self.stream())
-            q.awaitTermination()
-            if q.exception() is not None:
-                raise RuntimeError(str(q.exception()))
-
-
-def insert_ignore_stream(feed: SliceFeed, keys: list[str], order_cols: list[str]) -> DataFrame:
-    spark = feed.spark
-    out = scratch_path(spark, "sink-insert-ignore")
-    ckpt = scratch_path(spark, "ckpt-insert-ignore")
-    schema = feed.df.schema
+from furrow.operators import conflicts
+from furrow.operators.incremental import merge_partitions, write_partitions
+from furrow.session import path_exists
+
+#: ``insert_ignore_state`` needs this state store (set it on the session).
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def instant(wall: Column) -> Column:
+    """A wall-clock time as the instant at which UTC clocks show it."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall.cast("timestamp_ntz")).cast("timestamp")
+
+
+def wall_clock(at: Column) -> Column:
+    """What UTC clocks show at an instant, as TIMESTAMP_NTZ."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+
+
+def publish(df: DataFrame, root: str, batch_id: int) -> None:
+    """Write a micro-batch's rows as partition ``batch=<id>`` of ``root``; a
+    batch that comes again replaces what it wrote before."""
+    write_partitions(df.withColumn("batch", F.lit(batch_id)), root, ["batch"])
+
+
+def read_published(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rows of all batches."""
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(root).drop("batch")
+
+
+def _appended(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
+    return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda batch, i: publish(batch, out, i)))
+
+
+def insert_ignore(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order_cols: list[str]) -> DataStreamWriter:
+    """``stream``'s rows by first-seen key into ``out``."""
+    spark, schema = stream.sparkSession, stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        existing = read_published(spark, out, schema)
-        accepted = insert_ignore(existing, batch, keys, order_cols)
-        publish_batch(accepted, out, batch_id)
-
-    feed.run(lambda s: s.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start())
-    return read_published(spark, out, schema)
-
-
-def tumbling_counts(feed: SliceFeed, ts: str, keys: list[str], width: str = "1 day",
-                    slide: str | None = None) -> DataFrame:
-    """Counts per time window and key (``complete`` mode). With ``slide``
-    the windows are sliding (each event counts in width / slide windows)."""
-    spark = feed.spark
-    out = scratch_path(spark, "sink-tumbling")
-    ckpt = scratch_path(spark, "ckpt-tumbling")
-
-    def build(s: DataFrame):
-        # Windows over the wall-clock (TIMESTAMP_NTZ) column, so day windows
-        # start at midnight whatever the session time zone; complete mode
-        # needs no watermark.
-        win = F.window(ts, width, slide) if slide else F.window(ts, width)
-        agg = (s.groupBy(win.alias("w"), *keys)
-               .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value_sum")))
-        return (agg.writeStream.outputMode("complete")
-                .foreachBatch(lambda b, i: publish_batch(b, out, i))
-                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-
-    feed.run(build)
-    res = latest_published(spark, out)
-    return res.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys,
-                      "events", "value_sum")
-
-
-def sessions(feed: SliceFeed, ts: str, user: str, gap: str = "30 minutes",
-             delay: str = "1 hour") -> DataFrame:
-    spark = feed.spark
-    out = scratch_path(spark, "sink-sessions")
-    ckpt = scratch_path(spark, "ckpt-sessions")
-
-    def build(s: DataFrame):
-        agg = (s.withColumn("_ts", F.col(ts).cast("timestamp"))
-               .withWatermark("_ts", delay)
-               .groupBy(F.session_window("_ts", gap).alias("s"), user)
-               .agg(F.count(F.lit(1)).alias("events")))
-        return (agg.writeStream.outputMode("append")
-                .foreachBatch(lambda b, i: publish_batch(b, out, i))
-                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-
-    feed.run(build)
-    res = read_published(spark, out)
-    if res is None:
-        return spark.createDataFrame([], f"{user} bigint, session_start timestamp_ntz, "
-                                         "session_end timestamp_ntz, events bigint")
-    return res.select(user, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events")
-
-
-def dedup_within_watermark(feed: SliceFeed, keys: list[str], ts: str, delay: str) -> DataFrame:
+        # what an earlier try of this batch wrote does not count as taken
+        earlier = spark.read.parquet(out).where(F.col("batch") < batch_id) if path_exists(spark, out) else None
+        existing = earlier.select(*schema.names) if earlier is not None else None
+        publish(conflicts.insert_ignore(existing, batch, keys, order_cols), out, batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class FirstRow(StatefulProcessor):
+    """Emits a key's first row and forgets the key ``horizon`` seconds later."""
+
+    def __init__(self, order_col: str, time_col: str, horizon: float):
+        self.order_col, self.time_col, self.horizon = order_col, time_col, horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", StructType([StructField("seen", BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        first = min(rows, key=lambda r: r[self.order_col])
+        self.seen.update((True,))
+        # never before the watermark, where a timer would be refused
+        at = int(first[self.time_col].timestamp() * 1000)
+        self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + int(self.horizon * 1000))
+        yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def insert_ignore_state(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order_col: str, ts: str,
+                        horizon_seconds: float, delay: str = "0 seconds") -> DataStreamWriter:
+    """As ``insert_ignore``, with the keys of the last ``horizon_seconds`` (of
+    event time ``ts``) in state. Rows with a null in the key bypass the state."""
+    present = conflicts.all_present(keys)
+    timed = stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
+    first = timed.where(present).groupBy(*keys).transformWithState(
+        FirstRow(order_col, "_ts", horizon_seconds), timed.schema, "Append", "EventTime")
+    return _appended(first.unionByName(timed.where(~present)).drop("_ts"), out, checkpoint)
+
+
+def _windows(stream: DataFrame, at: Column, keys: list[str], width: str, slide: str | None, measures: dict[str, Column]) -> DataFrame:
+    win = F.window(at, width, slide) if slide else F.window(at, width)
+    return stream.groupBy(win.alias("w"), *keys).agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def live_counts(stream: DataFrame, out: str, checkpoint: str, ts: str, keys: list[str], measures: dict[str, Column],
+                width: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataStreamWriter:
+    """``out``: (day, window_start, keys, measures), partitioned by day."""
+    timed = stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
+    changed = _windows(timed, F.col("_ts"), keys, width, slide, measures)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        start = wall_clock(F.col("w.start")).alias("window_start")
+        rows = batch.select(start, *keys, *measures).withColumn("day", F.to_date("window_start"))
+        merge_partitions(out, rows, ["window_start", *keys], ["day"])
+
+    return changed.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def total_counts(stream: DataFrame, out: str, checkpoint: str, ts: str, keys: list[str], measures: dict[str, Column],
+                 width: str = "1 day", slide: str | None = None) -> DataStreamWriter:
+    """All windows again with each batch (``complete`` mode): no window ever
+    closes, and none is dropped for being late. ``out`` holds the last state."""
+    every = _windows(stream, F.col(ts), keys, width, slide, measures)
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *keys, *measures).write.mode("overwrite").parquet(out)
+
+    return every.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint)
+
+
+def sessions(stream: DataFrame, out: str, checkpoint: str, ts: str, user: str, gap: str = "30 minutes",
+             delay: str = "1 hour") -> DataStreamWriter:
+    """``out``: (user, session_start, session_end, events) of closed sessions."""
+    found = (stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
+             .groupBy(F.session_window("_ts", gap).alias("s"), user).agg(F.count(F.lit(1)).alias("events")))
+    return _appended(found.select(user, wall_clock(F.col("s.start")).alias("session_start"),
+                                  wall_clock(F.col("s.end")).alias("session_end"), "events"), out, checkpoint)
+
+
+def dedup_within_watermark(stream: DataFrame, out: str, checkpoint: str, keys: list[str], ts: str, delay: str) -> DataStreamWriter:
     """Drop repeats of a key that arrive within ``delay`` of its first
     occurrence (``dropDuplicatesWithinWatermark``): bounded state, exact only
-    within the delay; use ``insert_ignore_stream`` for unbounded history."""
-    spark = feed.spark
-    out = scratch_path(spark, "sink-dedup")
-    ckpt = scratch_path(spark, "ckpt-dedup")
-
-    def build(s: DataFrame):
-        d = (s.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-             .dropDuplicatesWithinWatermark(keys).drop("_ts"))
-        return (d.writeStream.outputMode("append")
-                .foreachBatch(lambda b, i: publish_batch(b, out, i))
-                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-
-    feed.run(build)
-    return read_published(spark, out, feed.df.schema)
-
-
-def insert_ignore_stateful(feed: SliceFeed, keys: list[str], order_col: str) -> DataFrame:
-    """Insert-ignore with the key set held in Structured Streaming state.
-
-    ``groupBy(keys).applyInPandasWithState``: per key and micro-batch the
-    rows arrive as one pandas frame; if the key has no state yet, the row
-    with the smallest ``order_col`` is emitted and the state is set, otherwise
-    nothing is. Each batch costs work proportional to the batch (state-store
-    lookups per key), not to the history; the state is checkpointed with the
-    query, so a restarted or replayed batch gives the same answer.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    spark = feed.spark
-    out = scratch_path(spark, "sink-insert-ignore-state")
-    ckpt = scratch_path(spark, "ckpt-insert-ignore-state")
-    schema = feed.df.schema
-
-    def first_unseen(key, frames, state):
-        if state.exists:
-            for _ in frames:
-                pass
-            return
-        best = None
-        for pdf in frames:
-            cand = pdf.nsmallest(1, order_col)
-            if best is None or cand[order_col].iloc[0] < best[order_col].iloc[0]:
-                best = cand
-        if best is not None:
-            state.update((True,))
-            yield best
-
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-
-    def build(s: DataFrame):
-        # NULL keys never conflict (SQL UNIQUE), so those rows bypass the state.
-        q = (s.where(present).groupBy(*keys)
-             .applyInPandasWithState(first_unseen, schema, "seen boolean", "append",
-                                     GroupStateTimeout.NoTimeout)
-             .unionByName(s.where(~present)))
-        return (q.writeStream.outputMode("append")
-                .foreachBatch(lambda b, i: publish_batch(b, out, i))
-                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-
-    feed.run(build)
-    return read_published(spark, out, schema)
+    within the delay, and any row of a batch may stand for its key."""
+    timed = stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
+    return _appended(timed.dropDuplicatesWithinWatermark(keys).drop("_ts"), out, checkpoint)
