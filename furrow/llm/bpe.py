@@ -3,6 +3,9 @@
 1. *Blocks.* Each task cuts its documents into blocks of a bounded size, splits
    the texts into words with the tokenizer's own pattern (special tokens
    first) and numbers the distinct words of a block in order of appearance.
+   Unicode versions differ on what is a letter. The driver asks the library
+   about every code point; a text with one on which our pattern differs is
+   split by the library itself, which is slower.
 2. *Distinct words.* The words go to the bucket of their hash, packed per
    (block, bucket). A bucket merges the words of all blocks and encodes each
    distinct word once.
@@ -27,7 +30,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +55,7 @@ class Vocabulary:
 
     _cache: dict[str, Vocabulary] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: str = ""):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,32 +71,67 @@ class Vocabulary:
         # A special token can begin inside a run of the pattern, so texts that
         # hold one are cut there first.
         self.cut = regex.compile(f"({special})").split if special else None
+        self.odd = re.compile(f"[{odd}]").search if odd else None
         self.path, self._tokenizer = path, None
 
     @classmethod
-    def of(cls, path: str) -> Vocabulary:
-        if path not in cls._cache:
-            cls._cache[path] = cls(path)
-        return cls._cache[path]
+    def of(cls, path: str, odd: str = "") -> Vocabulary:
+        if (path, odd) not in cls._cache:
+            cls._cache[path, odd] = cls(path, odd)
+        return cls._cache[path, odd]
 
-    def words(self, text: str) -> list[str]:
-        if self.cut and any(s in text for s in self.specials):
-            return [w for part in self.cut(text) if part
-                    for w in ([part] if part in self.specials else self.split(part))]
-        return self.split(text)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    @property
+    def tokenizer(self):
         if self._tokenizer is None:
             from tokenizers import Tokenizer
             self._tokenizer = Tokenizer.from_file(self.path)
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
+        return self._tokenizer
+
+    def library_split(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def words(self, text: str) -> list[str]:
+        split = self.library_split if self.odd and not text.isascii() and self.odd(text) else self.split
+        if self.cut and any(s in text for s in self.specials):
+            return [w for part in self.cut(text) if part
+                    for w in ([part] if part in self.specials else split(part))]
+        return split(text)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
         out = []
         for i in range(0, len(words), 4096):
-            out += [e.ids for e in self._tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
         return out
 
 
+@lru_cache(maxsize=4)
+def odd_chars(path: str) -> str:
+    """The code points that our pattern and the library put in different
+    classes, as ranges of a character class. A letter follows a letter without
+    a cut, a digit a digit and any other sign another; white space follows none."""
+    v = Vocabulary.of(path)
+    # later planes hold no letters, digits or spaces in any version
+    every = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    differ = np.zeros(len(every), dtype=bool)
+    for before in "a1!":
+        for lo in range(0, len(every), 1 << 16):
+            text = "".join([before + c for c in every[lo:lo + (1 << 16)]])
+            joined = []
+            for words in (v.split(text), v.library_split(text)):
+                cuts = np.zeros(len(text) + 1, dtype=bool)
+                cuts[np.cumsum([len(w) for w in words])] = True
+                joined.append(~cuts[1:-1:2])
+            differ[lo:lo + (1 << 16)] |= joined[0] != joined[1]
+    at = np.array([ord(c) for c in every])[differ]
+    if not len(at):
+        return ""
+    first = np.concatenate([[True], np.diff(at) > 1])
+    last = np.concatenate([np.diff(at) > 1, [True]])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[first].tolist(), at[last].tolist()))
+
+
 def _byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
     the others, in order, for the characters from U+0100 on."""
@@ -158,9 +198,9 @@ def _unpack_words(payload: bytes) -> tuple[list[str], np.ndarray]:
     return words, numbers
 
 
-def _send_words(path, buckets, block_chars):
+def _send_words(path, odd, buckets, block_chars):
     def run(batches):
-        for block, numbers, _ in _blocks(batches, Vocabulary.of(path), block_chars, False):
+        for block, numbers, _ in _blocks(batches, Vocabulary.of(path, odd), block_chars, False):
             parts: dict[int, tuple[list, list]] = {}
             for w, i in numbers.items():
                 ws, ns = parts.setdefault(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets, ([], []))
@@ -201,9 +241,9 @@ def _encode_buckets(path):
     return run
 
 
-def _send_sequences(path, block_chars):
+def _send_sequences(path, odd, block_chars):
     def run(batches):
-        for block, _, docs in _blocks(batches, Vocabulary.of(path), block_chars, True):
+        for block, _, docs in _blocks(batches, Vocabulary.of(path, odd), block_chars, True):
             for i in range(0, len(docs), 512):
                 yield _back_rows([(block, 1, payload, doc_id, n) for doc_id, n, payload in docs[i:i + 512]])
     return run
@@ -278,12 +318,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHAR
     ship_package(docs.sparkSession)
     if stage_input:
         docs = staged(docs.select("doc_id", "text"), "bpe-input")
-    buckets = shuffle_partitions(docs)
+    buckets, odd = shuffle_partitions(docs), odd_chars(tokenizer)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    words = texts.mapInArrow(_send_words(tokenizer, buckets, block_chars), _WORDS)
+    words = texts.mapInArrow(_send_words(tokenizer, odd, buckets, block_chars), _WORDS)
     table = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _encode_buckets(tokenizer), _BACK)
-    sequences = texts.mapInArrow(_send_sequences(tokenizer, block_chars), _BACK)
+    sequences = texts.mapInArrow(_send_sequences(tokenizer, odd, block_chars), _BACK)
     joined = table.unionByName(sequences).repartition(buckets, "block").sortWithinPartitions("block", "kind")
     return joined.mapInArrow(_assemble(tokenizer), _OUT)
 

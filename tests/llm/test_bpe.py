@@ -9,6 +9,24 @@ from furrow.llm import bpe
 LIBRARY = Tokenizer.from_file(bpe.default_tokenizer())
 
 
+def vocabulary():
+    return bpe.Vocabulary.of(bpe.default_tokenizer(), bpe.odd_chars(bpe.default_tokenizer()))
+
+
+def test_every_code_point_is_split_as_the_library_splits_it():
+    v, points = vocabulary(), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for tail in ("'s", "a 1"):
+        wrong = []
+        for i in range(0, len(points), 5000):
+            text = "\n".join(c + tail for c in points[i:i + 5000])
+            want = [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+            if v.words(text) != want:
+                wrong.append(points[i])
+        assert not wrong
+    alone = [c for c in points[0x500:0x600] + points[0x10900:0x10950] + points[0x323A0:0x323B8]]
+    assert all(v.words(c + "'s") == v.library_split(c + "'s") for c in alone)
+
+
 def library(text):
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
     return ids, LIBRARY.decode(ids, skip_special_tokens=False)
@@ -18,7 +36,7 @@ def library(text):
 @given(st.text(max_size=60) | st.lists(st.sampled_from(
     [" ", "\n", "  ", "'s", "'", "a", "9", "é", "<|endoftext|>", "<|endof", "\x1c", "\x85", " ", "　", "!", "😀", "\t"])).map("".join))
 def test_words_are_the_library_s(text):
-    v = bpe.Vocabulary.of(bpe.default_tokenizer())
+    v = vocabulary()
     words = v.words(text)
     assert "".join(words) == text
     ids = [i for w in v.encode_words(words) for i in w]
