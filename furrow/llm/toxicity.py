@@ -7,12 +7,14 @@ log-count ratio of a bucket scales its feature. Buckets of fewer than
 ``MIN_DOCS`` labelled documents, or with a ratio below ``MIN_RATIO`` either
 way, tell the classes no better than chance and are left out. A logistic
 regression on the scaled features is fitted on a bounded sample of labelled
-documents (``sample_per_class`` of each class, those with the smallest hash of
-the id; weighted back to the classes' true shares), and every whole text is
-scored.
+documents (at most ``sample_per_class`` of each class, those with the smallest
+hash of the id, and of them as many, in the order of a hash, as hold
+``SAMPLE_BYTES`` of features; weighted back to the classes' true shares), and
+every whole text is scored.
 
 Scale: one join of labels and documents; each task adds up its counts in one
-array and ships it as compressed slices, which are summed per slice. What is
+array and ships it as ``SLICES`` compressed slices, which are summed per slice
+(by as many tasks as there are shuffle partitions, or slices). What is
 collected is bounded by parameters: the ratios (2 ** BITS numbers) and the
 sample. Scoring is one narrow pass; the weights (2 ** BITS floats) are
 broadcast. There is no grouping by a data key.
@@ -32,18 +34,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import documents, ship_package, staged
+from furrow.llm.common import documents, ship_package, shuffle_partitions, staged
 from furrow.sources.tables import load
 
 BITS = 20
 ORDERS = (4, 5, 6)
 MIN_DOCS = 6
 MIN_RATIO = 1.5
-SLICES = 16
+SLICES = 256
 SAMPLE_PER_CLASS = 6000
+SAMPLE_BYTES = 48_000_000
 THRESHOLD = 0.3
 L2 = 1.0
 ITERATIONS = 30
@@ -219,7 +222,7 @@ def train(labelled: DataFrame, docs: DataFrame, sample_per_class: int = SAMPLE_P
     joined = rows.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select(
         "text", "toxic", F.coalesce("sampled", F.lit(False)).alias("sampled"))
     counted = staged(joined.mapInArrow(_count_and_sample, "slice int, payload binary, label int"), "tox-counts")
-    sums = (counted.filter("slice >= 0").repartition(SLICES, "slice")
+    sums = (counted.filter("slice >= 0").repartition(min(SLICES, shuffle_partitions(docs)), "slice")
             .mapInArrow(_add_slices, "slice int, payload binary, label int"))
     total = np.zeros((SLICES, 2, (1 << BITS) // SLICES), dtype=np.int64)
     for row in sums.collect():  # 2 ** BITS counts, whatever the corpus
@@ -229,13 +232,25 @@ def train(labelled: DataFrame, docs: DataFrame, sample_per_class: int = SAMPLE_P
     class_rows = _class_rows(rows, docs)
     ratio = log_count_ratios(other, toxic, class_rows)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 2 ** BITS floats
-    picked_grams = counted.filter("slice = -1").mapInArrow(_telling_grams(shared), "slice int, payload binary, label int")
+    picked_grams = staged(counted.filter("slice = -1").mapInArrow(_telling_grams(shared), "slice int, payload binary, label int"),
+                          "tox-sample")
     sample = [(np.frombuffer(bytes(r["payload"]), dtype="<i4"), r["label"])
-              for r in picked_grams.collect()]  # bounded by sample_per_class
+              for r in _within(picked_grams, SAMPLE_BYTES).collect()]  # bounded by rows and by bytes
     sample.sort(key=lambda x: (x[1], len(x[0]), x[0].tolist()))
     return fit_weights(ratio, sample, class_rows)
 
 
+def _within(sample: DataFrame, most: int) -> DataFrame:
+    """Of each class's sampled rows, in the order of a hash, those that together
+    hold at most ``most`` bytes. What is ordered is a few numbers a row, of at
+    most ``sample_per_class`` rows."""
+    keyed = sample.withColumn("k", F.xxhash64("payload"))
+    sizes = keyed.groupBy("label", "k").agg(F.sum(F.octet_length("payload")).alias("size"))
+    running = F.sum("size").over(Window.partitionBy("label").orderBy("k"))
+    kept = sizes.withColumn("upto", running).filter(F.col("upto") <= most).select("label", "k")
+    return keyed.join(kept, ["label", "k"], "left_semi").select("payload", "label")
+
+
 def _class_rows(rows: DataFrame, docs: DataFrame) -> tuple[int, int]:
     known = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
