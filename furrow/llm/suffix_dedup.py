@@ -8,7 +8,10 @@ anywhere else in the corpus. Windows, not documents, decide, on the input.
    same place, so only windows that share an anchor hash can be equal. The
    windows of one anchor are neighbours: their *span* is the text they cover.
 2. *Equal spans.* Spans are shuffled by anchor hash as digests. An anchor seen
-   once is dropped; windows of spans that occur twice are repeated.
+   once is dropped; windows of spans that occur twice are repeated. A task that
+   has sent a span twice knows that its windows are repeated: further
+   occurrences go past the anchors, spread evenly, so a line that a third of
+   all texts hold does not fill one task.
 3. *Suffix arrays.* Anchors with different spans (the edges of a repeated
    passage) send one copy of each span. The spans of an anchor are
    concatenated and their suffixes sorted in two stages: only the suffixes
@@ -37,6 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,7 @@ from furrow.llm.common import documents, ship_package, shuffle_partitions, stage
 WINDOW = 200
 GRAM = 40
 BATCH_BYTES = 4_000_000
+SLOTS = 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _powers: list[np.ndarray] = []
 
@@ -100,9 +105,32 @@ def _unpack(packed):
     return packed >> 24, (packed >> 12) & 0xFFF
 
 
+class SentTwice:
+    """Which (anchor, span) pairs this task has sent twice. One slot per hash:
+    a pair that another one pushes out is sent twice again, which is harmless."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.slots = np.uint64(slots - 1)
+        self.h, self.span = np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64)
+        self.times = np.zeros(slots, dtype=np.int8)
+
+    def add(self, h: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """True for the pairs that need not be sent."""
+        at = ((h.view(np.uint64) ^ span.view(np.uint64)) & self.slots).astype(np.int64)
+        known = (self.h[at] == h) & (self.span[at] == span)
+        times = np.where(known, self.times[at], 0)
+        new = np.flatnonzero(times < 2)
+        _, one = np.unique(at[new], return_index=True)  # one pair for each slot
+        new = new[one]
+        self.h[at[new]], self.span[at[new]], self.times[at[new]] = h[new], span[new], times[new] + 1
+        return times >= 2
+
+
 def _send_anchors(window: int, gram: int):
+    """Rows (deal, past, h, span, node, packed): dealt by anchor, or (past) by
+    text where the span is known to be repeated."""
     def run(batches):
-        sent = set()
+        sent, twice = set(), SentTwice()
         for b in batches:
             out = [[], [], [], []]
             for text, node in zip(b["text"].to_pylist(), b["node"].to_pylist()):
@@ -121,8 +149,11 @@ def _send_anchors(window: int, gram: int):
                 out[2].append(np.full(len(h), node, dtype=np.int64))
                 out[3].append(_pack(first, last, place))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out],
-                                                 names=["h", "span", "node", "packed"])
+                h, span, node, packed = (np.concatenate(x) for x in out)
+                past = np.concatenate([twice.add(x, y) for x, y in zip(out[0], out[1])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (np.where(past, node, h), past, h, span, node, packed)],
+                    names=["deal", "past", "h", "span", "node", "packed"])
     return run
 
 
@@ -133,6 +164,11 @@ def _compare_spans(batches):
     waiting = None  # the last row, while its span has occurred once
     lead = None  # first row of the last span, while it is its anchor's only one
     for b in batches:
+        past = b.filter(b["past"])
+        if past.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(past.num_rows, dtype=np.int32)), past["h"], past["node"], past["packed"]],
+                                             names=["open", "h", "node", "packed"])
+            b = b.filter(pc.invert(b["past"]))
         if not b.num_rows:
             continue
         rows = np.stack([b[c].to_numpy() for c in ("h", "span", "node", "packed")])
@@ -385,8 +421,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                                             (F.min("other") == F.max("other")).alias("one")), "repeat-texts")
     if texts.filter("not one").limit(1).count():
         raise ValueError("two texts share a 64-bit digest")
-    sent = rows.select("text", "node").mapInArrow(_send_anchors(window, gram), "h bigint, span bigint, node bigint, packed bigint")
-    found = staged(sent.repartition(parts, "h").sortWithinPartitions("h", "span", "node", "packed")
+    sent = rows.select("text", "node").mapInArrow(_send_anchors(window, gram), "deal bigint, past boolean, h bigint, span bigint, node bigint, packed bigint")
+    found = staged(sent.repartition(parts, "deal").sortWithinPartitions("past", "h", "span", "node", "packed")
                    .mapInArrow(_compare_spans, "open int, h bigint, node bigint, packed bigint"), "repeat-anchors")
 
     edges = found.filter("open = 1").select("h", "node", "packed")

@@ -90,9 +90,40 @@ def test_spans_stream_over_batches():
     equal = sorted(r for r in distinct if spans[r[:2]] > 1)
     several = {h for h in range(5) if len({s for hh, s in spans if hh == h}) > 1}
     lead = sorted(min(r for r in distinct if r[:2] == s) for s in spans if s[0] in several)
-    for size in (1, 2, 9, 60):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + size]], pa.int64()) for c in range(4)],
-                                              names=["h", "span", "node", "packed"]) for i in range(0, len(rows), size)]
+    past = [(7, 1, 1, 1), (7, 1, 2, 2), (8, 0, 3, 3)]  # known to be repeated: they come last and go through
+    every = [(*r, False) for r in rows] + [(*r, True) for r in past]
+    for size in (1, 2, 9, 60, 63):
+        batches = [pa.RecordBatch.from_arrays(
+            [*(pa.array([r[c] for r in every[i:i + size]], pa.int64()) for c in range(4)), pa.array([r[4] for r in every[i:i + size]])],
+            names=["h", "span", "node", "packed", "past"]) for i in range(0, len(every), size)]
         got = [tuple(x.values()) for b in sd._compare_spans(batches) for x in b.to_pylist()]
-        assert sorted(r[1:] for r in got if r[0] == 0) == sorted((h, n, p) for h, _, n, p in equal)
+        assert sorted(r[1:] for r in got if r[0] == 0) == sorted((h, n, p) for h, _, n, p in equal + past)
         assert sorted(r[1:] for r in got if r[0] == 1) == sorted((h, n, p) for h, _, n, p in lead)
+
+
+def test_a_span_is_sent_twice_before_it_goes_past():
+    rng = np.random.default_rng(1)
+    hashes, spans = rng.integers(-2 ** 62, 2 ** 62, 5), rng.integers(-2 ** 62, 2 ** 62, 4)
+    for slots in (1, 4, 1 << 16):
+        twice, sent = sd.SentTwice(slots), {}
+        for _ in range(300):
+            h, span = rng.choice(hashes, 7), rng.choice(spans, 7)
+            flags = list(zip(zip(h.tolist(), span.tolist()), twice.add(h, span).tolist()))
+            assert all(sent.get(pair, 0) >= 2 for pair, past in flags if past)
+            for pair, past in flags:
+                sent[pair] = sent.get(pair, 0) + (not past)
+        if slots > 4:
+            assert all(twice.add(h, span)) and max(sent.values()) < 15
+
+
+def test_a_hot_line_in_few_tasks_of_many(spark):
+    """One line in every text, once or many times, in one partition and in many."""
+    line = "".join(f"<{i:04d}>" for i in range(60))
+    rows = [(i, f"start {i} " * (i % 5) + line * (1 + i % 3) + f" end {i * 7}" * 9, "en", "s", 0) for i in range(60)]
+    want = None
+    for parts in (1, 7, 40):
+        got = sorted((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in
+                     sd.remove_repeats(frame(spark, rows).repartition(parts)).collect())
+        want = want or got
+        assert got == want
+    assert all(line.encode() not in k for *_, k in want)
