@@ -16,8 +16,8 @@ texts, no window over whole tables.
 
 Defined results: a null text is an empty one; an empty text has the empty
 fingerprint, which is like itself (1.0) and unlike any other (0.0); a null id
-sorts after all others; rows with the same id are ordered by the texts'
-hashes and then texts; repeated rows stay; a single document is its own next;
+sorts after all others; rows with the same id are ordered by two hashes of
+their texts; repeated rows stay; a single document is its own next;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import documents, ship_package, shuffle_partitions, text_or_empty
@@ -116,38 +116,52 @@ def fingerprint_texts(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> D
     return docs.mapInArrow(run, schema)
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not below ``value``: those of whole
+    stretches first, then those of the one stretch in which it lies."""
+    step = max(1, int(len(cuts) ** 0.5))
+    stretches = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    if not stretches:
+        return F.lit(0)
+    ends = F.array(*[F.lit(x[-1]).cast("bigint") for x in stretches])
+    whole = F.array(*[F.array(*[F.lit(c).cast("bigint") for c in x]) for x in stretches])
+    below = F.size(F.filter(ends, lambda e: e < value))  # stretches wholly below
+    inside = F.coalesce(F.size(F.filter(F.get(whole, below), lambda c: c < value)), F.lit(0))
+    return F.lit(len(cuts)) - below * step - F.when(below < len(stretches), inside).otherwise(
+        F.lit(len(cuts) - step * len(stretches)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, extra, doc_id, text): ranges of descending ids, each with
-    the first row after it (``extra``), sorted inside a partition."""
+    the first row after it (``extra``), one range to a task, sorted."""
     parts = shuffle_partitions(docs)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     shares = [i / parts for i in range(1, parts)]
     cuts = (rows.agg(F.percentile_approx("doc_id", shares, 10000)).first()[0] or []) if shares else []
     cuts = sorted(set(cuts))
-    # part: how many cuts are not below the id, so parts run by descending id
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c >= F.col("doc_id"))))
-    rows = rows.withColumn("part", part.cast("int"))
+    # parts run by descending id
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_place(F.col("doc_id"), cuts))
+    rows = rows.select("doc_id", "text", part.cast("int").alias("part"), F.struct(
+        F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"), F.xxhash64("text").alias("a"),
+        F.xxhash64(F.lit(1), "text").alias("b")).alias("rank"))
     # One row per part, at most parts + 1: the row that each part begins with.
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"),
-                    F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"))
-    heads = rows.groupBy("part").agg(F.min(rank).alias("r")).orderBy("part").collect()
-    order = [r["part"] for r in heads]
+    found = {r["part"]: r["rank"] for r in rows.groupBy("part").agg(F.min("rank").alias("rank")).collect()}
+    if not found:
+        return rows.select("part", F.lit(0).alias("extra"), "doc_id", "text")
+    order = sorted(found)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first's goes to the last
-    if not heads:
-        return rows.withColumn("extra", F.lit(0))
-    head = F.create_map(*[F.lit(v) for r in heads for v in (r["part"], r["r"]["s"])])
-    previous = F.create_map(*[F.lit(v) for kv in before.items() for v in kv])
-    is_head = F.sha2("text", 256) == head[F.col("part")]
-    ids = F.create_map(*[x for r in heads for x in (F.lit(r["part"]), F.lit(r["r"]["d"]).cast("bigint"))])
-    is_head = is_head & F.bitwise_not("doc_id").eqNullSafe(ids[F.col("part")])
-    targets = F.when(is_head, F.array(
-        F.struct(F.col("part").alias("part"), F.lit(0).alias("extra")),
-        F.struct(previous[F.col("part")].alias("part"), F.lit(1).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))))
+
+    def of_part(values: dict, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(values.get(p)).cast(kind) for p in range(order[-1] + 1)]), F.col("part"))
+
+    is_head = F.lit(True)
+    for field in ("d", "a", "b"):
+        is_head = is_head & F.col(f"rank.{field}").eqNullSafe(of_part({p: r[field] for p, r in found.items()}, "bigint"))
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
+    targets = F.when(is_head, F.array(own, F.struct(of_part(before, "int").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))
     sent = rows.withColumn("t", F.explode(targets)).select("t.part", "t.extra", "doc_id", "text")
-    return sent.repartition(parts, "part").sortWithinPartitions(
-        "part", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.sha2("text", 256))
+    return sent.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions(
+        "part", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
 
 
 def edited_with_next(text: str, following: str) -> str:
