@@ -23,8 +23,8 @@ linked when ``den * |A & B| >= num * |A | B|``.
    components; then all surviving pairs that still lie between components.
 5. *Verify.* Sets are intersected exactly; components are joined.
 
-Scale: about a quarter of a set's size in rows (key, node) is shuffled, and the
-texts once, of which only members of shared blocks go on. A block is streamed,
+Scale: texts are read once and never shuffled. About a quarter of a set's size
+in rows (key, node) is shuffled, and the sets of members of shared blocks. A block is streamed,
 never gathered: its hub is the first of its sorted rows. Blocks with several
 components are split into chunks of ``CHUNK`` nodes when large; hubs with many
 partners are salted. Nothing but counts reaches the driver.
@@ -146,7 +146,7 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return (a - (1 << 64) if a >> 63 else a), (b - (1 << 64) if b >> 63 else b)
 
 
-_INFO = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint"
+_SETS = "doc_id bigint, rk bigint, n bigint, node bigint, other bigint, hashes binary"
 
 
 def pack_counts(s: np.ndarray) -> bytes:
@@ -159,38 +159,39 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * COORDS else "<u4").astype(np.int32)
 
 
+def _once(batches):
+    """Per batch the rows (node, hashes) of nodes that this task has not met."""
+    sent = set()
+    for b in batches:
+        fresh = [i for i, node in enumerate(b["node"].to_pylist()) if not (node in sent or sent.add(node))]
+        if fresh:
+            b = b.take(pa.array(fresh, pa.int64()))
+            yield b["node"], [np.frombuffer(x, dtype=np.uint64) for x in b["hashes"].to_pylist()]
+
+
 def _describe(k: int):
+    """Rows (doc_id, rk, text) -> their sets; a task writes an equal set once."""
     def run(batches):
-        shingler = Shingler(k)
+        shingler, sent = Shingler(k), set()
         for b in batches:
             sets = [shingler.set_of(t) for t in b["text"].to_pylist()]
             nodes = [_node(s) for s in sets]
+            hashes = [None if x in sent or not len(s) or sent.add(x) else s.tobytes() for (x, _), s in zip(nodes, sets)]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["rk"], pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64())],
-                names=["doc_id", "rk", "n", "node", "other"])
+                 pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64()),
+                 pa.array(hashes, pa.binary())], names=["doc_id", "rk", "n", "node", "other", "hashes"])
     return run
 
 
-def _emit_keys(k: int, num: int, den: int):
+def _emit_keys(num: int, den: int):
     def run(batches):
-        shingler, sent = Shingler(k), set()
-        for b in batches:
-            keys, nodes = [], []
-            for t in b["text"].to_pylist():
-                s = shingler.set_of(t)
-                node = _node(s)[0]
-                if node in sent:  # equal texts of a task speak once
-                    continue
-                sent.add(node)
-                x = block_keys(s, num, den)
-                keys.append(x)
-                nodes.append(np.full(len(x), node, dtype=np.int64))
-            if keys:
-                key, node = np.concatenate(keys), np.concatenate(nodes)
-                for i in range(0, len(key), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i:i + (1 << 18)]), pa.array(node[i:i + (1 << 18)])],
-                                                     names=["key", "node"])
+        for nodes, sets in _once(batches):
+            keys = [block_keys(s, num, den) for s in sets]
+            key, node = np.concatenate(keys), np.repeat(nodes.to_numpy(), [len(x) for x in keys])
+            for i in range(0, len(key), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:i + (1 << 18)]), pa.array(node[i:i + (1 << 18)])],
+                                                 names=["key", "node"])
     return run
 
 
@@ -374,17 +375,11 @@ def _residual_pairs(blocks: DataFrame, sets: DataFrame, roots: DataFrame, num: i
     return found.distinct()
 
 
-def _to_sets(k: int):
-    def run(batches):
-        shingler, sent = Shingler(k), set()
-        for b in batches:
-            fresh = [i for i, node in enumerate(b["node"].to_pylist()) if not (node in sent or sent.add(node))]
-            b = b.take(pa.array(fresh, pa.int64()))  # repeated rows have one node
-            sets = [shingler.set_of(t) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([pack_counts(s) for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "counts", "hashes"])
-    return run
+def _to_sets(batches):
+    for nodes, sets in _once(batches):
+        yield pa.RecordBatch.from_arrays(
+            [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array([pack_counts(s) for s in sets], pa.binary()),
+             pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "counts", "hashes"])
 
 
 def _verify(num: int, den: int):
@@ -433,23 +428,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     parts = shuffle_partitions(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                         F.xxhash64("doc_id", text_or_empty()).alias("rk"), text_or_empty().alias("text"))
-    info = staged(texts.mapInArrow(_describe(k), _INFO), "join-info")
-    classes = staged(info.filter("n > 0").groupBy("node").agg(
-        F.min("rk").alias("rk"), (F.min("other") == F.max("other")).alias("one")), "join-classes")
-    if classes.filter("not one").limit(1).count():
+    every_set = staged(texts.mapInArrow(_describe(k), _SETS), "join-info")
+    info = every_set.select("doc_id", "rk", "n", "node", "other")
+    apart = info.filter("n > 0").groupBy("node").agg((F.min("other") != F.max("other")).alias("two")).filter("two")
+    if apart.limit(1).count():
         raise ValueError("two sets share a 64-bit digest")
-    keyed = texts.select("text").mapInArrow(_emit_keys(k, num, den), "key bigint, node bigint")
+    held = every_set.filter("hashes IS NOT NULL").select("node", "hashes")
+    keyed = held.mapInArrow(_emit_keys(num, den), "key bigint, node bigint")
     every = staged(keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
                    .mapInArrow(_shared_blocks, "key bigint, node bigint, hub bigint"), "join-blocks")
 
     met = every.filter("node <> hub").groupBy("node", "hub").count()
     first = staged(met.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub") / 2)).alias("v")), "join-first")
-    members = every.select("node").distinct().join(classes.select("node", "rk"), "node")
+    members = every.select("node").distinct()
     # merge: nothing joined here has a size bound, so no plan depends on size
-    sets = staged(members.hint("merge").join(texts.select("rk", "text"), "rk").select("node", "text")
-                  .mapInArrow(_to_sets(k), "node bigint, n bigint, counts binary, hashes binary"), "join-sets")
+    sets = staged(held.hint("merge").join(members, "node", "left_semi")
+                  .mapInArrow(_to_sets, "node bigint, n bigint, counts binary, hashes binary"), "join-sets")
     blocks = staged(_distinct_blocks(every), "join-distinct")
-    release(every, classes)
+    release(every)
     written = [staged(_linked(first.select(F.col("node").alias("u"), "v"), sets, num, den).distinct(), "join-links")]
     release(first)
     links = written[0]
@@ -462,8 +458,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     release(sets, blocks)
     roots = components(links)
     release(*written)
+    slim = staged(info, "join-nodes")
+    release(every_set)
 
-    named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "root", "left").select(
         "doc_id", "rk", "n", "node", "root",
