@@ -1,15 +1,19 @@
 """Personal data: keyed, type-consistent surrogates.
 
-Entities are found by patterns (e-mail, phone, card, IP, national numbers,
-IBAN, access keys, secrets of any length after a label in any case, and names after a title of address).
+Entities are found by patterns (e-mail in any script, phone, card, IPv4, national
+numbers, IBAN, access keys, bearer and repository tokens, secrets of any length
+after a label in any case, and names after a title of address). Not found are
+IPv6 addresses, key blocks of several lines, and what stands without a sign of
+its kind; four numbers with dots between them are taken for an address.
 Each distinct entity - by its normal form, so that ``+1 (555) 010-9999`` and
 ``+1 555 0109999`` are one - gets a surrogate from a keyed hash:
 
 * letters become letters of the same case and script, digits digits; separators,
   length, top-level domain, country code, card prefix and Luhn validity stay;
 * names become names of the same script, given names of the same gender (that
-  of the title, if it tells one); given and family names are mapped apart, so
-  ``Mrs Anna Weber`` and ``Frau Weber`` still share a family name. Any number
+  of the title; where it tells none, the gender that the name has elsewhere in
+  the corpus, female before male if it has both); given and family names are
+  mapped apart, so ``Mrs Anna Weber`` and ``Frau Weber`` still share a family name. Any number
   of name words, initials and particles may follow the titles: the last full
   word is the family name, particles stay, an initial becomes another letter
   (letters are too few to be kept apart). The names so found are also replaced
@@ -17,8 +21,8 @@ Each distinct entity - by its normal form, so that ``+1 (555) 010-9999`` and
   capitals, and names without a title anywhere in their text, are not found.
 
 Collision checks: a surrogate must not equal another entity's surrogate or any
-real entity of its type; those that do are hashed again with the next attempt
-until the whole entity table passes. Where a format has no free value left,
+real entity of its type (names of all kinds are one type); those that do are
+hashed again with the next attempt until the whole entity table passes. Where a format has no free value left,
 the entities concerned get surrogates with more characters than their format.
 A run of punctuation after a label (``password: ******``) is not a secret.
 
@@ -45,7 +49,6 @@ from pyspark.sql import functions as F
 
 from furrow.llm.common import documents, staged
 
-KEY = "furrow-surrogates"
 MAX_ATTEMPTS = 24
 # Titles of address by gender, and syllables of made-up names.
 MALE = ["Mr", "Mister", "Herr", "Herrn", "Señor", "Monsieur", "господин", "Господин", "Signor", "Sir"]
@@ -64,6 +67,15 @@ def _small(script: str) -> list[str]:
     return found[:16]
 
 
+def _pool(first: int, last: int) -> str:
+    """The letters between two code points that have no case."""
+    return "".join(chr(c) for c in range(first, last + 1) if unicodedata.category(chr(c)) == "Lo")[:64]
+
+
+# Code points between which a script without case has its common letters.
+UNCASED = {"Han": (0x4E00, 0x4E3F), "Hiragana": (0x3041, 0x3096), "Katakana": (0x30A1, 0x30FA), "Hangul": (0xAC00, 0xAC3F),
+           "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x621, 0x64A), "Devanagari": (0x905, 0x939), "Thai": (0xE01, 0xE2E)}
+
 #: Syllables by script; given names end by gender and family names alike.
 SYLLABLES = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK} | {
     s: _small(s) for s in ("armenian", "coptic", "glagolitic", "cherokee", "adlam", "osage", "deseret")}
@@ -77,7 +89,8 @@ _INITIAL = rf"\p{{Lu}}(?:\.|{_END})"
 _WORD = rf"(?:{_NAME}|{_INITIAL})"
 _GAP = rf"(?: |(?<=\p{{Lu}}\.))(?:(?:{'|'.join(PARTICLES)}) ){{0,4}}(?:[ae]l-|[dl]['’])?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,255}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_SIGN = r"\p{L}\p{M}\p{N}"
+EMAIL = rf"(?<![{_SIGN}._%+-])[{_SIGN}._%+-]{{1,255}}+@(?:[{_SIGN}-]{{1,63}}\.){{1,8}}[\p{{L}}\p{{M}}]{{2,24}}(?![{_SIGN}-])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 CARD = r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.])[3-6]\d{14,15}(?!\d)"
 NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -85,14 +98,16 @@ PHONE = (r"(?<![\w+(.-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){
          r"|(?<![\w+(.-])(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-LABELS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key"]
+REPOSITORY = r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{16,}+"
+BEARER = r"(?<=(?i:\bbearer) )(?=[A-Za-z._~+/-]*+\d)[A-Za-z0-9._~+/-]{12,}+=*+"
+LABELS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key"]
 SECRET = rf"(?<=[=: \"'])(?<=(?i:{'|'.join(LABELS)}) ?[=:] ?[\"']?)(?=[+/_!#$%^*.-]*+[A-Za-z0-9])[A-Za-z0-9+/_!#$%^*.-]{{6,}}+"
 _LEAD = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}(?: {_TITLE}(?= ))*+"
 PERSON = rf"{_LEAD}(?:{_GAP}{_WORD})++"
-ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, SECRET, PERSON])
+ANY = "|".join([EMAIL, IP, CARD, NATIONAL, PHONE, IBAN, ACCESS, REPOSITORY, BEARER, SECRET, PERSON])
 
 # What every match needs, cheap to look for: most texts hold nothing of it.
-_SIGNS = sorted({t[:4] for t in MALE + FEMALE + NEUTRAL})
+_SIGNS = sorted({t[:4] for t in MALE + FEMALE + NEUTRAL} | {f"gh{c}_" for c in "pousr"})
 
 PART = "struct<kind:string,norm:string,raw:string,before:string>"
 
@@ -232,7 +247,23 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
         n = _byte(stream, F.pmod(i, F.lit(256)))
         return (F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
                 .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(n, F.lit(26))))
-                .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(n, F.lit(26)))).otherwise(c))
+                .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(n, F.lit(26))))
+                .when(c.rlike(r"[^\x00-\x7F]"), beyond(c, n)).otherwise(c))
+
+    def one_of(pool: str, n):
+        return F.substring(F.lit(pool), F.pmod(n, F.lit(len(pool))) + 1, 1)
+
+    def beyond(c, n):
+        """A letter of the same case and script, for one beyond ASCII; marks and
+        signs become letters too, so that nothing of the word stays."""
+        out = F
+        for script, table in SYLLABLES.items():
+            pool = "".join(sorted(set("".join(table)))) if script != "latin" else "abcdefghijklmnopqrstuvwxyz"
+            of = c.rlike(rf"\p{{Is{script.capitalize()}}}")
+            out = out.when(of & c.rlike(r"\p{Lu}"), F.upper(one_of(pool, n))).when(of, one_of(pool, n))
+        for script, ends in UNCASED.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), one_of(_pool(*ends), n))
+        return out.when(c.rlike(r"\p{N}"), F.pmod(n, F.lit(10)).cast("string")).otherwise(one_of("abcdefghijklmnopqrstuvwxyz", n))
 
     def mapped(text, offset=0):
         return F.array_join(F.transform(F.split(text, ""), lambda c, i: letters(c, i + offset)), "")
@@ -241,8 +272,8 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
     extra = F.greatest(attempt - F.lit(MAX_ATTEMPTS - 1), F.lit(0))
     more = mapped(F.repeat(F.lit("0"), extra), 128)
     any_char = F.concat(F.array_join(F.transform(chars, letters), ""), more)
-    tld = F.regexp_extract(norm, r"(\.[a-z]+)$", 1)
-    email = F.concat(mapped(F.repeat(F.lit("a"), extra), 128), mapped(F.regexp_replace(norm, r"\.[a-z]+$", "")), tld)
+    tld = F.regexp_extract(norm, r"(\.[^.]+)$", 1)
+    email = F.concat(mapped(F.repeat(F.lit("a"), extra), 128), mapped(F.regexp_replace(norm, r"\.[^.]+$", "")), tld)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
         F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(254)) + 1).cast("string")), ".")
     body = F.concat(F.substring(norm, 1, 1), mapped(F.substr(norm, F.lit(2), F.length(norm) - 2)), more)
@@ -271,11 +302,16 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
     return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card)
             .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "hex", hexed)
             .when(kind.startswith("initial:"), initial)
-            .when(norm.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), access)
+            .when(norm.rlike("^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]+)$"), access)
             .when(kind.startswith("given:") | kind.startswith("family:"), name).otherwise(any_char))
 
 
-def entity_map(entities: DataFrame, key: str = KEY, widen: bool = False) -> DataFrame:
+def _type(kind: Column) -> Column:
+    """What surrogates must differ within: a kind, or all kinds of names."""
+    return F.when(kind.startswith("given:") | kind.startswith("family:"), F.lit("name")).otherwise(kind)
+
+
+def entity_map(entities: DataFrame, key: str, widen: bool = False) -> DataFrame:
     """Distinct (kind, norm) -> (kind, norm, surrogate), free of collisions.
     With ``widen``, entities that find no free value of their format in
     MAX_ATTEMPTS rounds get longer surrogates; else that is an error."""
@@ -283,11 +319,12 @@ def entity_map(entities: DataFrame, key: str = KEY, widen: bool = False) -> Data
     table = staged(real.withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "pii-map")
     for _ in count() if widen else range(MAX_ATTEMPTS):
-        owner = table.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"), F.count(F.lit(1)).alias("n"))
-        shared = owner.filter("n > 1").select("kind", "surrogate", "owner")
-        taken = real.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-        checked = (table.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
-                   .withColumn("again", (F.col("owner").isNotNull() & (F.col("owner") != F.col("norm"))) | F.col("real").isNotNull()))
+        typed = table.withColumn("type", _type(F.col("kind")))
+        owner = typed.groupBy("type", "surrogate").agg(F.min(F.struct("kind", "norm")).alias("owner"), F.count(F.lit(1)).alias("n"))
+        shared = owner.filter("n > 1").select("type", "surrogate", "owner")
+        taken = real.select(_type(F.col("kind")).alias("type"), F.col("norm").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+        checked = (typed.join(shared, ["type", "surrogate"], "left").join(taken, ["type", "surrogate"], "left")
+                   .withColumn("again", (F.col("owner").isNotNull() & (F.col("owner") != F.struct("kind", "norm"))) | F.col("real").isNotNull()))
         if not checked.filter("again").limit(1).count():
             return table.select("kind", "norm", "surrogate")
         attempt = F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt"))
@@ -297,6 +334,17 @@ def entity_map(entities: DataFrame, key: str = KEY, widen: bool = False) -> Data
     raise ValueError("the entities of a kind are too many for surrogates of their format")
 
 
+def with_known_genders(hits: DataFrame) -> DataFrame:
+    """Given names whose title tells no gender take the one that the name has
+    elsewhere, so that a person is one entity in all documents."""
+    given = hits.filter(F.col("kind").startswith("given:"))
+    told = (given.filter(~F.col("kind").startswith("given:n")).groupBy("norm", F.substring_index("kind", ":", -1).alias("script"))
+            .agg(F.min("kind").alias("told")))
+    untold = given.filter(F.col("kind").startswith("given:n")).withColumn("script", F.substring_index("kind", ":", -1))
+    known = untold.join(told, ["norm", "script"], "left").withColumn("kind", F.coalesce("told", "kind")).select(hits.columns)
+    return known.unionByName(hits.filter(~F.col("kind").startswith("given:n")))
+
+
 def in_format(raw: Column, made: Column, kind: Column) -> Column:
     """A surrogate of the normal form in the occurrence's own format."""
     digits = F.regexp_replace(made, r"\D", "")
@@ -304,7 +352,7 @@ def in_format(raw: Column, made: Column, kind: Column) -> Column:
     spread = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
         c.rlike(r"\d"), F.substring(digits, F.length(F.regexp_replace(F.substring(raw, 1, i + 1), r"\D", "")), 1)).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
-        c.rlike("[A-Z]"), F.upper(F.substring(made, i + 1, 1))).otherwise(F.substring(made, i + 1, 1))), "")
+        c.rlike(r"\p{Lu}"), F.upper(F.substring(made, i + 1, 1))).otherwise(F.substring(made, i + 1, 1))), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(
         F.substring(made, F.length(F.replace(F.substring(raw, 1, i + 1), F.lit(" "), F.lit(""))), 1))), "")
     # a widened surrogate goes on where the occurrence's own format ends
@@ -317,12 +365,16 @@ def in_format(raw: Column, made: Column, kind: Column) -> Column:
             .when(kind.startswith("initial:") & raw.endswith("."), F.concat(made, F.lit("."))).otherwise(made))
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = None) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, count_col: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; ``count_col`` names an
-    additional column with the number of replaced entities."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").alias("text"))
+    additional column with the number of replaced entities. ``key`` is the
+    caller's secret: who has it can tell which surrogate stands for a guess."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    rk = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))  # 128 bits
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), rk.alias("rk"), F.col("text").alias("text"))
     has = has_entity(F.col("text"))
-    hits = staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-hits")
+    hits = staged(with_known_genders(staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-found")), "pii-hits")
     made = hits.join(entity_map(hits, key, widen=True), ["kind", "norm"], "left").withColumn(
         "surrogate", F.when(F.col("kind").startswith("initial:"), surrogate(key, F.col("kind"), F.col("norm"), F.lit(0)))
         .otherwise(F.col("surrogate"))).select("rk", "pos", "part", F.concat(
@@ -340,8 +392,12 @@ def replace_entities(docs: DataFrame, key: str = KEY, count_col: str | None = No
     return out.select("_row.*", F.col("_n").alias(count_col)) if count_col else out.select("_row.*")
 
 
+#: For the given tables, whose entities are invented; real data takes a secret.
+DEMO_KEY = "furrow-demo-key"
+
+
 def op1_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_entities(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"), count_col="n_entities")
+    return replace_entities(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"), DEMO_KEY, count_col="n_entities")
 
 
 QUERIES = {"op1_surrogates": op1_surrogates}

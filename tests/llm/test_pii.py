@@ -16,13 +16,14 @@ TEXTS = [
 ]
 
 
+KEY = "a key of the tests"
 MAILS = [f"mail x{i % 3}@example.org and y{i}@example.org" for i in range(30)]
 
 
 @pytest.fixture(scope="module")
 def replaced(spark):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(TEXTS + MAILS)]
-    return [r.text for r in pii.replace_entities(frame(spark, rows)).orderBy("doc_id").collect()]
+    return [r.text for r in pii.replace_entities(frame(spark, rows), KEY).orderBy("doc_id").collect()]
 
 
 def test_replacements(replaced):
@@ -57,12 +58,12 @@ def test_keyed_and_repeatable(spark):
 def test_collisions_are_resolved(spark, monkeypatch):
     # three digits: the space is crowded, so hashing must be repeated
     rows = [("phone", f"{i:03d}") for i in range(150)]
-    made = pii.entity_map(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    made = pii.entity_map(spark.createDataFrame(rows, "kind string, norm string"), KEY).collect()
     assert len({r.surrogate for r in made}) == 150
     assert not {r.surrogate for r in made} & {r.norm for r in made}
     monkeypatch.setattr(pii, "MAX_ATTEMPTS", 2)
     with pytest.raises(ValueError):
-        pii.entity_map(spark.createDataFrame([("phone", str(i)) for i in range(10)], "kind string, norm string"))
+        pii.entity_map(spark.createDataFrame([("phone", str(i)) for i in range(10)], "kind string, norm string"), KEY)
 
 
 def test_coreference_over_documents(replaced):
@@ -75,7 +76,7 @@ def test_coreference_over_documents(replaced):
 
 def test_edge_rows_and_plan(spark):
     docs = frame(spark).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" a@b.cd"))).otherwise(F.col("text")))
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, KEY)
     rows = out.collect()
     assert out.columns == docs.columns and len(rows) == len(corpus())
     before = {r.doc_id: r.text for r in docs.collect()}
@@ -85,7 +86,7 @@ def test_edge_rows_and_plan(spark):
         assert (r.text == want) == (r.doc_id is None or r.doc_id % 3 != 0 or want is None)
     plan = out._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "PythonUDF" not in plan
-    assert pii.replace_entities(empty(spark)).collect() == []
+    assert pii.replace_entities(empty(spark), KEY).collect() == []
 
 
 def test_secrets_of_any_length_after_labels_in_any_case(spark):
@@ -93,7 +94,7 @@ def test_secrets_of_any_length_after_labels_in_any_case(spark):
     values = ["9233A8EC9233A8EC", "hunter2hunter", "Zx81Zx81", token, long_hex, digits, "AB12" + "CDEF" * 60 + "x"]
     labels = ["TOKEN = \"", "Password: ", "API_KEY=", "SECRET='", "pwd=", "Token: ", "Api-Key = "]
     texts = [f"{a}{v} end" for a, v in zip(labels, values)] + ["token = \"9233a8ec9233a8ec\" end"]
-    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), KEY).orderBy("doc_id").collect()]
     new = [m[len(a):-4] for a, m in zip(labels, made)]
     for a, v, n, m in zip(labels, values, new, made):
         assert m.startswith(a) and m.endswith(" end") and len(n) == len(v) and n != v
@@ -109,13 +110,13 @@ def test_masked_secrets_and_full_formats_end_with_a_result(spark, monkeypatch):
     mails = ["to _@-.com now"]
     full = [f"secret: {c}-------- end" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     texts = masked + stars + mails + full
-    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), KEY).orderBy("doc_id").collect()]
     assert made[:4] == masked
     assert len(set(made[4:])) == len(made[4:]) and not set(made[4:]) & set(texts)
     assert all(re.fullmatch(r"secret: \*{5}[0-9]{2,} end", m) for m in made[4:14])
     assert re.fullmatch(r"to [a-z]+_@-\.com now", made[14])
     assert all(re.fullmatch(r"secret: [A-Z]-{8}[0-9]+ end", m) for m in made[15:])
-    phones = pii.entity_map(spark.createDataFrame([("phone", f"+1{i:03d}") for i in range(1000)], "kind string, norm string"), widen=True).collect()
+    phones = pii.entity_map(spark.createDataFrame([("phone", f"+1{i:03d}") for i in range(1000)], "kind string, norm string"), KEY, widen=True).collect()
     assert len({r.surrogate for r in phones}) == 1000 and not {r.surrogate for r in phones} & {r.norm for r in phones}
     shown = spark.createDataFrame([("+1 234", "+198765", "phone")], "raw string, made string, kind string")
     assert shown.select(pii.in_format(F.col("raw"), F.col("made"), F.col("kind"))).first()[0] == "+1 98765"
@@ -130,7 +131,7 @@ def test_long_names_titles_scripts_and_untitled_mentions(spark):
         "Mr Γιώργος Παπαδόπουλος, Mr Արամ Խաչատրյան, господин Иван Иванович Петров; Παπαδόπουλος",
         "Anna Weber alone",
     ]
-    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    made = [r.text for r in pii.replace_entities(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), KEY).orderBy("doc_id").collect()]
     w = r"([^\W\d_]+)"
     a, m, f, a2, f2, f3 = re.fullmatch(rf"Mrs {w} {w} {w} came\. Later {w} {w} left, and {w}'s dog too; Annabel stayed\.", made[0]).groups()
     assert a == a2 and f == f2 == f3 and a.endswith("a") and m.endswith("a") and not {a, m, f} & {"Anna", "Maria", "Weber"}
@@ -144,3 +145,53 @@ def test_long_names_titles_scripts_and_untitled_mentions(spark):
     assert all("Ͱ" <= c <= "Ͽ" for c in (y[0] + y[1] + y[7]).lower()) and y[1] == y[7] != "Παπαδόπουλος"
     assert all("԰" <= c <= "֏" for c in y[2] + y[3]) and all("Ѐ" <= c <= "ӿ" for c in y[4] + y[5] + y[6])
     assert made[5] == texts[5]
+
+
+def made(spark, texts):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    return [r.text for r in pii.replace_entities(frame(spark, rows), KEY).orderBy("doc_id").collect()]
+
+
+def test_a_key_is_demanded(spark):
+    for key in ("", None):
+        with pytest.raises(ValueError, match="need a key"):
+            pii.replace_entities(frame(spark), key)
+
+
+def test_addresses_in_any_script(spark):
+    names = ["jörg.müller@firma.de", "Éloïse.Šimon@exámple.org", "иван.петров@почта.рф", "Ελένη.Παππά@παράδειγμα.gr", "田中.太郎@例え.jp",
+             "김철수@example.kr", "דוד.לוי@example.co.il", "e\u0301mile@example.fr", "x٣@example.org", "JÖRG.MÜLLER@firma.de"]
+    out = made(spark, [f"mail {n} now" for n in names])
+    for name, text in zip(names, out):
+        assert text.startswith("mail ") and text.endswith(" now")
+        got = text[5:-4]
+        local, host = got.split("@")
+        assert len(got) == len(name) and got.split(".")[-1] == name.split(".")[-1] and got != name
+        for word in re.findall(r"\w{4,}", name.rsplit(".", 1)[0]):
+            assert word.lower() not in got.lower()
+        assert [c.isupper() for c in got] == [c.isupper() for c in name] or not name.isascii()
+    assert out[0][5:-4].lower() == out[9][5:-4].lower()  # one entity in two spellings
+    assert re.fullmatch(r"mail [а-я.]+@[а-я]+\.рф now", out[2])
+
+
+def test_one_person_in_many_documents(spark):
+    out = made(spark, ["Mr Kim Weber came", "Dr Kim Weber left", "Prof. Kim Weber stayed", "Mrs Robin Lang", "Dr Robin Lang", "Dr Sam Ode", "Dr Sam Ode"])
+    first = [re.findall(r"[A-Z][a-z]+", t)[1:] for t in out]
+    assert first[0][:2] == first[1][:2] == first[2][:2] and first[0][0].endswith("o")
+    assert first[3] == first[4] and first[3][0].endswith("a") and first[5] == first[6]
+
+
+def test_names_of_all_kinds_are_kept_apart(spark):
+    kinds = [f"{k}:armenian" for k in ("given:m", "given:f", "given:n", "family")]
+    rows = [(k, f"{chr(0x531 + i % 30)}{chr(0x561 + i // 30)}{j}") for j, k in enumerate(kinds) for i in range(200)]
+    found = pii.entity_map(spark.createDataFrame(rows, "kind string, norm string"), KEY, widen=True).collect()
+    assert len(found) == 800 and len({r.surrogate for r in found}) == 800
+
+
+def test_more_secrets(spark):
+    token = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5"
+    bearer = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    out = made(spark, [f"use {token} here", f"Authorization: Bearer {bearer}", "passphrase = correct-horse-battery", "the bearer of good news"])
+    assert re.fullmatch(r"use ghp_[A-Za-z0-9]{36} here", out[0]) and token not in out[0]
+    assert bearer not in out[1] and bearer.split(".")[1] not in out[1] and out[1].startswith("Authorization: Bearer ")
+    assert "correct" not in out[2] and out[3] == "the bearer of good news"
