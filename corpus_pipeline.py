@@ -3,6 +3,14 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is
 written as Parquet and read again as the next stage's ``docs``. All stages but
 the last return the columns of ``documents``.
+
+Defined results, in every stage: a null text is an empty one and stays null
+where the stage keeps its row; empty texts are no near duplicates of one
+another, hold no entities, have size 0 in the mix (where each stays once) and
+no tokens; rows equal in id and text are one document to the near-duplicate
+stage and rows of their own to all others; a null id is carried along (and
+comes last where ids decide); other columns, whatever their names, are carried
+along by all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities get surrogates; ``n_chars`` follows the new text."""
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, pii.DEMO_KEY)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
