@@ -17,6 +17,7 @@ PACKS = (
     "star_pack",
     "search_pack",
     "stream_pack",
+    "file_pack",
     "sql_pack",
 )
 

@@ -1,7 +1,7 @@
 """Synthetic table generation (G1-G10) as one distributed column-expression job.
 
 Every field is a pure SQL expression of ``row_id``: randomness comes from md5
-slices of ``seed|schema|field|row_id`` (four 32-bit draws per md5), so a row's
+slices of ``seed|schema|field|row_id`` (four 30-bit draws per md5), so a row's
 values never depend on partitioning, task order or retries, and the same text
 (rendered in the DuckDB dialect) reproduces the table in the oracle. No Python
 runs per row; the generated projection stays inside whole-stage codegen.
@@ -68,15 +68,21 @@ class Dialect:
         self.name = name
 
     def draw(self, key_sql: str, k: int) -> str:
-        """k-th unsigned 32-bit slice (k = 0..3) of md5(key_sql)."""
-        return self.draw_hex(f"md5({key_sql})", k)
+        """Draw k (0..3) of md5(key_sql)."""
+        return self.draw_of(self.number(f"md5({key_sql})", k // 2), k)
 
-    def draw_hex(self, hex_sql: str, k: int) -> str:
-        sl = f"substr({hex_sql}, {1 + 8 * k}, 8)"
+    def number(self, hex_sql: str, half: int) -> str:
+        """60 bits of a digest: its hex digits 1 to 15, or 16 to 30. Reading
+        digits as a number is the dear step, so two draws share it."""
+        sl = f"substr({hex_sql}, {1 + 15 * half}, 15)"
         if self.name == "spark":
             return f"cast(conv({sl}, 16, 10) as bigint)"
         return f"CAST(('0x' || {sl}) AS BIGINT)"
 
+    def draw_of(self, number: str, k: int) -> str:
+        """The lower or the upper 30 bits of a number."""
+        return f"({number} & {(1 << 30) - 1})" if k % 2 == 0 else self.shr(number, 30)
+
     def pick(self, values: list[str], h: str) -> str:
         lits = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
         if self.name == "spark":
@@ -145,7 +151,7 @@ class _Ctx:
         # projection (``_m0``, ``_m1``, ...) and draws read slices of it.
         self.shared = shared
         self.hashes: dict[str, str] = {}
-        self.draws: dict[tuple[str, int], str] = {}   # (hash column, k) -> draw column
+        self.numbers: dict[tuple[str, int], str] = {}   # (hash column, half) -> number column
         self.slots: dict[tuple[str, int], int] = {}
 
     def key(self, group: str, extra: str | None = None) -> str:
@@ -164,12 +170,15 @@ class _Ctx:
         key = self.key(group, extra)
         if self.shared and (extra is None or extra.isdigit()):
             col = self.hashes.setdefault(key, f"_m{len(self.hashes)}")
-            return self.draws.setdefault((col, k), f"_d{len(self.draws)}")
+            return self.d.draw_of(self.numbers.setdefault((col, k // 2), f"_n{len(self.numbers)}"), k)
         return self.d.draw(key, k)
 
     def time(self) -> str:
         span = int((self.end - self.start).total_seconds())
-        off = f"{self.h(self.schema.time_field)} % {max(span, 1)}"
+        draw = self.h(self.schema.time_field)
+        if span > 1 << 30:  # more seconds than one draw can tell apart
+            draw = f"({draw} * {1 << 30} + {self.h(self.schema.time_field, 9)})"
+        off = f"{draw} % {max(span, 1)}"
         return self.d.add_seconds(self.d.ts(self.start), off)
 
 
@@ -294,8 +303,8 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     """G1 over given row ids: one generated row per input row (a narrow
     projection over the splits of ``ids``).
 
-    Three projections: each distinct md5 once per row, then each draw (a
-    32-bit slice of an md5, as bigint) once per row, then the fields from the
+    Three projections: each distinct md5 once per row, then each number (60
+    bits of an md5, as bigint) once per row, then the fields from the numbers'
     draws. Catalyst keeps them apart because md5 and conv are not cheap
     expressions to duplicate, so no string-to-number conversion is repeated.
     """
@@ -304,8 +313,8 @@ def generate_for(spark: SparkSession, schema_name: str, ids: DataFrame, seed: in
     ids = ids.select(F.col(row_id).cast("bigint").alias("row_id"))
     hashed = ids.select("row_id",
                         *[F.expr(f"md5({k})").alias(a) for k, a in ctx.hashes.items()])
-    drawn = hashed.select("row_id", *[F.expr(SPARK.draw_hex(col, k)).alias(name)
-                                      for (col, k), name in ctx.draws.items()])
+    drawn = hashed.select("row_id", *[F.expr(SPARK.number(col, half)).alias(name)
+                                      for (col, half), name in ctx.numbers.items()])
     out = drawn.select("row_id", *[F.expr(e).alias(n) for n, e in fields])
     if overrides:
         # Caller-supplied field generators: any Column (or SQL text) over

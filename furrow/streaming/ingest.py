@@ -9,8 +9,8 @@ again after a failure and then end in the same state:
   the keys written so far.
 * ``insert_ignore_state`` (``transformWithState``): the same with the keys held
   in RocksDB state, so a batch costs what it holds. A timer ends each key's
-  state ``horizon`` after its first row, which bounds the state: it holds the
-  keys that began within the horizon. The result is that of the batch load
+  state once the watermark is ``horizon`` past its first row, which bounds the
+  state: it holds the keys that began within the horizon. The result is that of the batch load
   wherever a key does not return after the horizon.
 * ``live_counts``: windowed counts in ``update`` mode. A batch hands over the
   windows that it changed, and only the days of these are rewritten.
