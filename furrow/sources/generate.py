@@ -359,3 +359,12 @@ def batch_plan(total: int, batch_size: int) -> list[int]:
         return []
     full, rest = divmod(total, batch_size)
     return [batch_size] * full + ([rest] if rest else [])
+
+
+def batches(spark: SparkSession, total: int, batch_size: int) -> DataFrame:
+    """``batch_plan`` as rows (batch_no from 0, rows), for any number of batches."""
+    if batch_size <= 0:
+        raise ValueError("batch_size must be > 0")
+    n = -(-max(total, 0) // batch_size)
+    left = F.lit(total) - F.col("id") * batch_size
+    return spark.range(n).select(F.col("id").alias("batch_no"), F.least(F.lit(batch_size), left).cast("bigint").alias("rows"))

@@ -79,3 +79,10 @@ def test_field_overrides(spark):
     assert df.schema["total"].dataType.simpleString() == "decimal(12,2)"
     with pytest.raises(ValueError):
         G.generate(spark, "contacts", 5, overrides={"nope": F.lit(1)})
+
+
+def test_batches_as_rows(spark):
+    from furrow.sources.generate import batch_plan, batches
+    for total, size in ((25, 10), (30, 10), (1, 10), (0, 10), (-3, 10), (7, 1)):
+        rows = batches(spark, total, size).orderBy("batch_no").collect()
+        assert [r.rows for r in rows] == batch_plan(total, size) and [r.batch_no for r in rows] == list(range(len(rows)))
