@@ -444,6 +444,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     # merge: nothing joined here has a size bound, so no plan depends on size
     sets = staged(held.hint("merge").join(members, "node", "left_semi")
                   .mapInArrow(_to_sets, "node bigint, n bigint, counts binary, hashes binary"), "join-sets")
+    info = staged(info, "join-nodes")
+    release(every_set)
     blocks = staged(_distinct_blocks(every), "join-distinct")
     release(every)
     written = [staged(_linked(first.select(F.col("node").alias("u"), "v"), sets, num, den).distinct(), "join-links")]
@@ -458,10 +460,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     release(sets, blocks)
     roots = components(links)
     release(*written)
-    slim = staged(info, "join-nodes")
-    release(every_set)
 
-    named = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "root", "left").select(
         "doc_id", "rk", "n", "node", "root",
