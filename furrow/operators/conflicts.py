@@ -60,22 +60,22 @@ def first_seen(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFra
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
 
 
+def not_taken(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key ``existing`` lacks; only its key columns are read. It is
+    joined from the outside, as an anti-join would be moved below the aggregate
+    that made ``rows``, where a frequent key is not yet one row per task."""
+    taken = existing.select(*keys).where(all_present(keys)).distinct().withColumn("_taken", F.lit(True))
+    return rows.join(taken, keys, "left").where("_taken IS NULL").select(*rows.columns)
+
+
 def insert_ignore(existing: DataFrame | None, incoming: DataFrame, keys: list[str] | str,
                   order_cols: list[str]) -> DataFrame:
-    """K2a with one unique key: rows of ``incoming`` that the load accepts.
-
-    Only the key columns of ``existing`` are read. They are joined from the
-    outside, as an anti-join would be moved below the aggregate, where a
-    frequent key is not yet one row per task.
-    """
+    """K2a with one unique key: rows of ``incoming`` that the load accepts."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
         raise ValueError("insert_ignore needs the unique key columns")
     best = first_seen(incoming, keys, order_cols)
-    if existing is None:
-        return best
-    taken = existing.select(*keys).where(all_present(keys)).distinct().withColumn("_taken", F.lit(True))
-    return best.join(taken, keys, "left").where("_taken IS NULL").select(*incoming.columns)
+    return best if existing is None else not_taken(best, existing, keys)
 
 
 def _in_order(m: int):

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.ids import dense_ids
+from furrow.operators.conflicts import not_taken
 
 CUSTOMER_SCHEMAS = ("sales_orders", "invoices")
 PRODUCT_SCHEMAS = ("manufacturing_orders",)
@@ -119,15 +120,18 @@ def new_members(existing: DataFrame | None, candidates: DataFrame, key: str, max
     from ``max_id + 1`` on."""
     out_cols = ["id", *[c for c in candidates.columns if c != "first_seq"]]
     if existing is not None:
-        candidates = candidates.join(existing.select(key), key, "left_anti")
+        candidates = not_taken(candidates, existing, [key])
     return _number(candidates, key, max_id + 1).select(*out_cols)
 
 
 def _rewrite(feed: DataFrame, key: Column, dim: DataFrame, dim_key: str,
              fk: str, drop: tuple[str, ...]) -> DataFrame:
+    """Rows without a key get a probe of their own that no dimension row has,
+    so that they are spread over all tasks of the join and match nothing."""
     lookup = dim.select(F.col(dim_key).alias("_key"), F.col("id").alias(fk))
     keep = [c for c in feed.columns if c not in drop]
-    return (feed.withColumn("_key", key)
+    probe = F.when(_present(key), key).otherwise(F.concat(F.lit("\u0000"), F.xxhash64(*feed.columns).cast("string")))
+    return (feed.withColumn("_key", probe)
             .join(lookup, "_key", "left")
             .select(*keep, fk))
 
