@@ -8,7 +8,8 @@ again after a failure and then end in the same state:
   does not hold. Exact for unbounded history; a batch costs as much as reading
   the keys written so far.
 * ``insert_ignore_state`` (``transformWithState``): the same with the keys held
-  in RocksDB state, so a batch costs what it holds. A timer ends each key's
+  in RocksDB state, in slots of many keys, of which a batch reads those that it
+  has rows for. A timer ends a key's
   state once the watermark is ``horizon`` past its first row, which bounds the
   state: it holds the keys that began within the horizon. The result is that of the batch load
   wherever a key does not return after the horizon.
@@ -25,13 +26,14 @@ that days start at midnight and no clock change moves a window.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from furrow.operators import conflicts
 from furrow.operators.incremental import merge_partitions, write_partitions
@@ -83,43 +85,85 @@ def insert_ignore(stream: DataFrame, out: str, checkpoint: str, keys: list[str],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-class FirstRow(StatefulProcessor):
-    """Emits a key's first row and forgets the key ``horizon`` seconds later."""
+def _comparable(value):
+    """``value`` as a part of a dictionary key: equal where Spark groups."""
+    if isinstance(value, (list, tuple)):
+        return tuple(_comparable(v) for v in value)
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return "NaN" if value != value else value
 
-    def __init__(self, order_col: str, time_col: str, horizon: float):
-        self.order_col, self.time_col, self.horizon = order_col, time_col, horizon
+
+class FirstRows(StatefulProcessor):
+    """Emits each key's first row and forgets the key ``horizon`` seconds later.
+
+    Spark groups by slot, a share of the keys. A slot's state is one value, the
+    time at which each of its keys ends, with one timer at the first of these:
+    state is asked once per slot and batch, not several times per key.
+    """
+
+    def __init__(self, keys: list[str], order_col: str, time_col: str, horizon: float):
+        self.keys, self.order_col, self.time_col, self.horizon = keys, order_col, time_col, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", StructType([StructField("seen", BooleanType())]))
+        self.seen = handle.getValueState("seen", StructType([StructField("ends", BinaryType())]))
+
+    def _load(self) -> tuple[int | None, dict]:
+        """The slot's timer and, per key, when it ends."""
+        return pickle.loads(self.seen.get()[0]) if self.seen.exists() else (None, {})
+
+    def _store(self, timer: int | None, ends: dict) -> None:
+        first = min(ends.values())
+        if timer is None or first < timer:
+            timer = first
+            self.handle.registerTimer(timer)
+        self.seen.update((pickle.dumps((timer, ends)),))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.seen.exists():
+        timer, ends = self._load()
+        first: dict = {}
+        for r in rows:
+            k = tuple([_comparable(r[c]) for c in self.keys])
+            if k not in ends and (k not in first or r[self.order_col] < first[k][self.order_col]):
+                first[k] = r
+        if not first:
             return
-        first = min(rows, key=lambda r: r[self.order_col])
-        self.seen.update((True,))
-        # never before the watermark, where a timer would be refused
-        at = int(first[self.time_col].timestamp() * 1000)
-        self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + int(self.horizon * 1000))
-        yield first
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for k, r in first.items():
+            # never before the watermark, where a timer would be refused
+            ends[k] = max(int(r[self.time_col].timestamp() * 1000), watermark) + int(self.horizon * 1000)
+        self._store(timer, ends)
+        yield from first.values()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        _, ends = self._load()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        left = {k: end for k, end in ends.items() if end >= watermark}
+        if left:
+            self._store(None, left)
+        else:
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+#: Slots of the keys in state; a checkpoint keeps the number it began with.
+SLOTS = 1024
+
+
 def insert_ignore_state(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order_col: str, ts: str,
-                        horizon_seconds: float, delay: str = "0 seconds") -> DataStreamWriter:
+                        horizon_seconds: float, delay: str = "0 seconds", slots: int = SLOTS) -> DataStreamWriter:
     """As ``insert_ignore``, with the keys of the last ``horizon_seconds`` (of
     event time ``ts``) in state. Rows with a null in the key bypass the state."""
     present = conflicts.all_present(keys)
-    timed = stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
-    first = timed.where(present).groupBy(*keys).transformWithState(
-        FirstRow(order_col, "_ts", horizon_seconds), timed.schema, "Append", "EventTime")
-    return _appended(first.unionByName(timed.where(~present)).drop("_ts"), out, checkpoint)
+    timed = (stream.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
+             .withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(slots))))
+    first = timed.where(present).groupBy("_slot").transformWithState(
+        FirstRows(keys, order_col, "_ts", horizon_seconds), timed.schema, "Append", "EventTime")
+    return _appended(first.unionByName(timed.where(~present)).drop("_ts", "_slot"), out, checkpoint)
 
 
 def _windows(stream: DataFrame, at: Column, keys: list[str], width: str, slide: str | None, measures: dict[str, Column]) -> DataFrame:
