@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import conf_scope, scratch_path
+from furrow.session import staged  # noqa: F401 (the operators take it from here)
 from furrow.sources.tables import load
 
 #: Words are runs of anything but ASCII white space.
@@ -39,19 +39,6 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder below the shared checkpoint folder and
-    read it back: lineage is cut, and a lost executor costs no recomputation.
-    The shuffle files of the write go with its end, not when the driver
-    happens to collect its garbage."""
-    path = scratch_path(df.sparkSession, name)
-    with conf_scope(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-        df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
 def release(*frames: DataFrame) -> None:
     """Delete the folders of ``staged`` frames that nothing reads any more:
     what was made of them must have been written."""

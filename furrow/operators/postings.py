@@ -28,15 +28,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.search import B, K1, TOKEN_SPLIT, tokens
-from furrow.session import materialize
+from furrow.session import staged
 
 SLICE_DOCS = 1_000_000
+#: Postings that one task sorts and writes.
+PIECE_ROWS = 2_000_000
 
 
 def _cell(term: Column, part: Column) -> Column:
     return F.concat_ws("\u0001", term, part.cast("string"))
 
 
+def _words(terms: Column) -> Column:
+    """(term, positions) of each word of a text: its (term, position) pairs are
+    sorted and cut where another term begins."""
+    def cut(pairs):
+        starts = F.filter(F.transform(pairs, lambda p, i: F.when((i == 0) | (F.get(pairs, i - 1)["term"] != p["term"]), i)),
+                          lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda start, j: F.struct(
+            F.get(pairs, start)["term"].alias("term"),
+            F.transform(F.slice(pairs, start + 1, F.coalesce(F.get(at, j + 1), F.size(pairs)) - start),
+                        lambda p: p["pos"]).alias("positions")))), F.lit(0))
+
+    pairs = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    # inside a lambda the pairs are a variable: they are sorted once
+    return F.get(F.transform(F.array(pairs), cut), F.lit(0))
+
+
 def _earlier(by: int):
     return lambda position: position - by
 
@@ -63,30 +81,48 @@ class PostingIndex:
         self.spark.catalog.refreshTable(self.names[name])
         return self.spark.table(self.names[name])
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _append(self, name: str, rows: DataFrame, pieces: int = 1) -> None:
+        """Each bucket is written by ``pieces`` tasks: a row's bucket is its
+        hash modulo the buckets, so a multiple of their number keeps buckets apart."""
         columns = [f.name for f in self.spark.table(self.names[name]).schema.fields]
-        rows.select(*columns).repartition(self.buckets, self.TABLES[name][1]).write.insertInto(self.names[name])
+        rows = rows.repartition(self.buckets * pieces, self.TABLES[name][1])
+        if name == "postings":  # what follows from other columns is not shuffled
+            rows = rows.withColumn("term", F.substring_index("cell", "\u0001", 1)).withColumn("tf", F.size("positions"))
+        rows.select(*columns).write.insertInto(self.names[name])
 
     # -- building
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Index ``docs``. Texts are split once; the words of a text meet again
-        in their own task, before anything is shuffled."""
+        """Index ``docs``. Texts are split once, and the positions of a text's
+        words are found in its own row; postings are shuffled once, to their
+        buckets. Repeated rows (equal id and length) are one document."""
         split = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                             tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-        words = split.select("doc_id", F.size("_t").alias("length"), F.posexplode_outer("_t").alias("pos", "term"))
-        found = materialize(words.groupBy("doc_id", "term", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions")))
-        held = found.where("term IS NOT NULL")
-        terms = materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                            .withColumn("cells", F.ceil(F.col("df") / self.slice_docs).cast("int")))
+        found = staged(split.select("doc_id", F.size("_t").alias("length"), _words(F.col("_t")).alias("words")), "postings-found")
+        counted = staged(found.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n")), "postings-documents")
+        held = self._held(found, counted.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("length").alias("_length")))
+        terms = staged(held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                       .withColumn("cells", F.ceil(F.col("df") / self.slice_docs).cast("int")), "postings-terms")
         # only terms of several cells are looked up: at most postings / slice_docs
         common = terms.where("cells > 1").select("term", "cells")
         part = F.when(F.col("cells").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cells")))
-        rows = held.join(common, "term", "left").withColumn("cell", _cell(F.col("term"), part)).withColumn("tf", F.size("positions"))
-        self._append("postings", rows)
-        self._append("documents", found.select("doc_id", "length").distinct())
+        rows = held.join(common, "term", "left").select(_cell(F.col("term"), part).alias("cell"), "doc_id", "positions", "length")
+        total = terms.agg(F.sum("df")).first()[0] or 0
+        self._append("postings", rows, max(1, math.ceil(total / self.buckets / PIECE_ROWS)))
+        self._append("documents", counted.select("doc_id", "length"))
         self._append("terms", terms)
 
+    def _held(self, found: DataFrame, repeated: DataFrame) -> DataFrame:
+        """(doc_id, length, term, positions) of all words; those of repeated
+        rows are put together."""
+        every = found.select("doc_id", "length", F.inline("words"))
+        if repeated.isEmpty():
+            return every
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("length") == F.col("_length"))
+        merged = (every.join(repeated, same, "left_semi").groupBy("doc_id", "length", "term")
+                  .agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")))
+        return found.join(repeated, same, "left_anti").select("doc_id", "length", F.inline("words")).unionByName(merged)
+
     # -- reading
 
     def lookup(self, terms: list[str]) -> dict[str, tuple[int, int]]:
