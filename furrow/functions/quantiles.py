@@ -4,7 +4,10 @@ without gathering a group's values in one task.
 1. ``histogram``: distinct (group, value) with multiplicity ``_w`` (partial
    aggregation, so a value repeated a billion times is one row per map task).
 2. Per group, ``percentile_approx`` over the distinct values gives ``B - 1``
-   cut points: equi-depth buckets of distinct values.
+   cut points: equi-depth buckets of distinct values. They are a few hundred
+   numbers per group, so they are broadcast: joined by the group, all values
+   of a column would meet in one task. A value finds its bucket in two steps,
+   among every ``STEP``-th cut and then among the cuts between two of these.
 3. Bucket weights -> running start rank per bucket (``B`` rows per group). Of
    the buckets only those that hold a wanted rank are kept.
 4. While a kept bucket has more than ``limit`` distinct values, steps 2 and 3
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from furrow.session import materialize
 
 BUCKETS = 256
+STEP = 16
 #: Distinct values of a bucket that one task may order.
 LIMIT = 1_000_000
 
@@ -39,8 +43,17 @@ def _cut(values: DataFrame, g: str, v: str, buckets: int) -> DataFrame:
     """``values`` (group, _at, ...) with the bucket ``_b`` of each value."""
     cut_probs = [i / buckets for i in range(1, buckets)]
     cuts = values.groupBy(g, "_at").agg(F.percentile_approx(v, cut_probs, 10 * buckets).alias("_cuts"))
-    return (values.join(cuts, [g, "_at"])
-            .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v)))).drop("_cuts"))
+    # every STEP-th cut, and as many lists of the cuts that follow each of them
+    coarse = F.filter("_cuts", lambda c, i: i % STEP == STEP - 1)
+    fine = F.transform(F.sequence(F.lit(0), F.floor(F.size("_cuts") / STEP).cast("int")),
+                       lambda i: F.slice("_cuts", i * STEP + 1, STEP - 1))
+    cuts = cuts.select(g, "_at", coarse.alias("_coarse"), fine.alias("_fine"))
+
+    def below(cut_points):
+        return F.size(F.filter(cut_points, lambda c: c < F.col(v)))
+
+    found = values.join(F.broadcast(cuts), [g, "_at"]).withColumn("_c", below("_coarse"))
+    return found.withColumn("_b", F.col("_c") * STEP + below(F.get("_fine", F.col("_c")))).drop("_coarse", "_fine", "_c")
 
 
 def histogram_quantiles(hist: DataFrame, group_col: str, value_col: str, probs: list[float], tie: str | None = None,
@@ -68,7 +81,7 @@ def histogram_quantiles(hist: DataFrame, group_col: str, value_col: str, probs:
         need = materialize(need.join(totals, [g, "_at"]).where((here >= F.col("_start")) & (here < F.col("_end")))
                            .select(g, "p", "_frac", inside.alias("_at"), "_r", (F.col("_base") + F.col("_start")).alias("_base"), "_values"))
         values = (binned.withColumn("_at", inside).drop("_b")
-                  .join(need.select(g, "_at").distinct(), [g, "_at"], "left_semi"))
+                  .join(F.broadcast(need.select(g, "_at").distinct()), [g, "_at"], "left_semi"))
         most = need.agg(F.max("_values")).first()[0] or 0
         need = need.drop("_values")
         if most <= limit or most == before:  # equal doubles cannot be cut further
