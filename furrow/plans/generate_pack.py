@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.ids import dense_ids
 from furrow.operators.nested import line_item_totals
+from furrow.session import materialize
 from furrow.sources import generate as G
 from furrow.sources.tables import load
 
@@ -25,9 +26,13 @@ DRIVERS = {
 
 
 def generated(spark: SparkSession, sf: str, schema: str) -> DataFrame:
+    """A generated row costs far more than its key, and a file of keys may be a
+    single split: the keys are dealt out and written down before rows are made
+    of them (a filter on the rows would move below a mere repartition)."""
     table, key = DRIVERS[schema]
     ids = load(spark, sf, table).select(F.col(key).alias("row_id"))
-    return G.generate_for(spark, schema, ids, SEED, START, END)
+    dealt = materialize(ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return G.generate_for(spark, schema, dealt, SEED, START, END)
 
 
 def _gen_query(schema: str):
