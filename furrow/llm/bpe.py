@@ -50,6 +50,42 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
+@lru_cache(maxsize=1)
+def _patterns():
+    """PATTERN for ASCII texts, for texts without later planes and for all,
+    with the classes of ``regex`` written out for ``re``, which is faster."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def written(letters: str, digits: str):
+        return re.compile(PATTERN.replace(r"\p{L}\p{N}]", f"{letters}{digits}]").replace(r"\p{L}", f"[{letters}]")
+                          .replace(r"\p{N}", f"[{digits}]")).findall
+
+    def ranges(of: str) -> str:
+        return "".join(f"\\u{ord(r[0]):04x}-\\u{ord(r[-1]):04x}" for r in regex.findall(f"{of}+", plane))
+
+    return (written("A-Za-z", "0-9"), written(ranges(r"\p{L}"), ranges(r"\p{N}")),
+            regex.compile(PATTERN).findall, re.compile("[\U00010000-\U0010ffff]").search)
+
+
+def split_words(text: str) -> list[str]:
+    plain, first_plane, every, beyond = _patterns()
+    if text.isascii():
+        return plain(text)
+    return every(text) if beyond(text) else first_plane(text)
+
+
+def _search(odd: str):
+    """A search for the ranges of ``odd``; those of later planes, which make it
+    slow, are looked for only in texts that reach them."""
+    if not odd:
+        return None
+    bounds = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", odd)]
+    near = "".join(f"\\u{a:04x}-\\u{min(b, 0xFFFF):04x}" for a, b in bounds if a <= 0xFFFF)
+    beyond, every = _patterns()[-1], re.compile(f"[{odd}]").search
+    first = re.compile(f"[{near}]").search if near else lambda text: None
+    return lambda text: every(text) if beyond(text) else first(text)
+
+
 class Vocabulary:
     """What a task needs of a tokenizer file."""
 
@@ -67,11 +103,11 @@ class Vocabulary:
             plain = token in self.specials
             self.pieces[i] = token.encode() if plain else bytes(to_byte[c] for c in token)
         special = "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))
-        self.split = regex.compile(PATTERN).findall
+        self.split = split_words
         # A special token can begin inside a run of the pattern, so texts that
         # hold one are cut there first.
         self.cut = regex.compile(f"({special})").split if special else None
-        self.odd = re.compile(f"[{odd}]").search if odd else None
+        self.odd = _search(odd)
         self.path, self._tokenizer = path, None
 
     @classmethod
@@ -145,29 +181,46 @@ _BACK = "block string, kind int, payload binary, doc_id bigint, n bigint"
 
 
 def _blocks(batches, vocabulary: Vocabulary, block_chars: int, want_sequences: bool):
-    """Yield (block, {word: number}, [(doc_id, numbers)]). A block is named by
-    the digest of its words in order, so both scans agree on what it holds."""
-    numbers: dict[str, int] = {}
-    docs, chars = [], 0
+    """Yield (block, distinct words by number, as Arrow strings, [(doc_id, n,
+    numbers)]). A block is named by the digest of its words in order, so both
+    scans agree on what it holds."""
+    chunks, waiting, docs, chars = [], [], [], 0
+
+    def numbered():
+        chunks.append(pa.array(waiting, pa.large_string()))
+        coded = pa.concat_arrays(chunks).dictionary_encode()
+        at, out = 0, []
+        if want_sequences:
+            numbers = coded.indices.to_numpy().astype("<u4")
+            for doc_id, n in docs:
+                out.append((doc_id, n, zlib.compress(_narrow(numbers[at:at + n]), 1)))
+                at += n
+        return _name(coded.dictionary), coded.dictionary, out
+
     for b in batches:
         for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
             words = vocabulary.words(text)
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers)
-            if want_sequences:
-                seq = np.fromiter(map(numbers.__getitem__, words), dtype="<u4", count=len(words))
-                docs.append((doc_id, len(words), zlib.compress(_narrow(seq), 1)))
+            waiting += words
+            docs.append((doc_id, len(words)))
+            if len(waiting) >= 1 << 16:
+                chunks.append(pa.array(waiting, pa.large_string()))
+                waiting = []
             chars += len(text)
             if chars >= block_chars:
-                yield _name(numbers), numbers, docs
-                numbers, docs, chars = {}, [], 0
-    if numbers or docs:
-        yield _name(numbers), numbers, docs
+                yield numbered()
+                chunks, waiting, docs, chars = [], [], [], 0
+    if docs:
+        yield numbered()
 
 
-def _name(numbers: dict[str, int]) -> str:
-    return xxhash.xxh128_hexdigest("\0".join(numbers).encode("utf-8", "surrogatepass"))
+def _name(words: pa.LargeStringArray) -> str:
+    if not len(words):
+        return ""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, dtype="<i8", count=len(words) + 1)
+    digest = xxhash.xxh128(ends.tobytes())
+    digest.update(memoryview(data)[:int(ends[-1])])
+    return digest.hexdigest()
 
 
 def _narrow(seq: np.ndarray) -> bytes:
@@ -200,9 +253,9 @@ def _unpack_words(payload: bytes) -> tuple[list[str], np.ndarray]:
 
 def _send_words(path, odd, buckets, block_chars):
     def run(batches):
-        for block, numbers, _ in _blocks(batches, Vocabulary.of(path, odd), block_chars, False):
+        for block, distinct, _ in _blocks(batches, Vocabulary.of(path, odd), block_chars, False):
             parts: dict[int, tuple[list, list]] = {}
-            for w, i in numbers.items():
+            for i, w in enumerate(distinct.to_numpy(zero_copy_only=False).tolist()):
                 ws, ns = parts.setdefault(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % buckets, ([], []))
                 ws.append(w)
                 ns.append(i)

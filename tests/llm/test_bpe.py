@@ -1,4 +1,9 @@
+import re
+import zlib
+
 import numpy as np
+import pyarrow as pa
+import regex
 from helpers import corpus, empty, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +60,30 @@ def test_encode_decode(spark):
 
 def test_empty(spark):
     assert bpe.encode_decode(empty(spark), bpe.default_tokenizer()).collect() == []
+
+
+def test_written_out_classes_split_as_the_pattern_does():
+    pattern, points = regex.compile(bpe.PATTERN).findall, [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for between in ("", "a", "1", "!", " ", "'s"):
+        for i in range(0, len(points), 3000):
+            text = between.join(points[i:i + 3000])
+            assert bpe.split_words(text) == pattern(text)
+    v = vocabulary()
+    for i in range(0, len(points), 37):
+        text = "".join(points[i:i + 37])
+        assert v.odd is None or bool(v.odd(text)) == bool(re.search(f"[{bpe.odd_chars(v.path)}]", text))
+
+
+def test_blocks_number_words_in_order_of_appearance():
+    texts, v = ["b a b", "", "😀 é b", None, "a" * 70000 + " a" * 70000], vocabulary()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, None, 4, 5], "text": [t or "" for t in texts]})
+    for chars in (1, 10, 10 ** 9):
+        plain, full = (list(bpe._blocks([batch], v, chars, want)) for want in (False, True))
+        assert [(n, w.to_pylist()) for n, w, _ in plain] == [(n, w.to_pylist()) for n, w, _ in full]
+        back = []
+        for _, words, docs in full:
+            words = words.to_pylist()
+            numbers = [bpe._widen(zlib.decompress(z), n).tolist() for _, n, z in docs]
+            assert words == list(dict.fromkeys(words[i] for ns in numbers for i in ns))
+            back += [(d, "".join(words[i] for i in ns)) for (d, _, _), ns in zip(docs, numbers)]
+        assert back == list(zip([1, 2, None, 4, 5], [t or "" for t in texts]))
