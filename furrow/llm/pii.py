@@ -231,18 +231,54 @@ def luhn_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """Surrogate of a normal form; equal inputs give equal outputs."""
+def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """The 256 bytes, in hex, that a surrogate is made of."""
     def block(i):
         return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), F.lit(str(i))), 512)
 
-    # 256 bytes, hashed once and not for each character
-    return F.transform(F.array(F.concat(*[block(i) for i in range(4)])), lambda s: _made(s, kind, norm, attempt))[0]
+    return F.concat(*[block(i) for i in range(4)])
 
 
-def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column:
-    chars = F.split(norm, "")
+def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """Surrogate of a normal form; equal inputs give equal outputs."""
+    # hashed once and not for each character
+    return F.transform(F.array(_stream(key, kind, norm, attempt)), lambda s: _made(s, kind, norm, attempt))[0]
+
+
+def initial_surrogate(key: str, kind: Column, norm: Column) -> Column:
+    """``surrogate`` of an initial at its only attempt, without what other kinds need."""
+    return _initial(_stream(key, kind, norm, F.lit(0)), kind, norm)
+
 
+def _by_script(kind: Column, of) -> Column:
+    """``of(script)`` for the script that ends a kind of names."""
+    out = F
+    for script in SYLLABLES:
+        out = out.when(kind.endswith(script), of(script))
+    return out
+
+
+def _initial(stream: Column, kind: Column, norm: Column) -> Column:
+    capitals = _by_script(kind, lambda s: F.split(F.lit(" ".join(dict.fromkeys(x[0].upper() for x in SYLLABLES[s]))), " "))
+    others = F.filter(capitals, lambda x: x != norm)
+    return F.transform(F.array(others), lambda o: F.get(o, F.pmod(_byte(stream, F.lit(0)), F.size(o))))[0]
+
+
+def _name(stream: Column, kind: Column, attempt: Column) -> Column:
+    def end(script):
+        f, m, n, family = ENDINGS.get(script, ("",) * 4)
+        return F.when(kind.startswith("given:f"), f).when(kind.startswith("given:m"), m).when(kind.startswith("given:n"), n).otherwise(family)
+
+    def syllables(pool):
+        count = F.least(F.lit(2) + attempt, F.lit(8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.element_at(
+            pool, (F.pmod(_byte(stream, i), F.lit(16)) + 1).cast("int"))), "")
+
+    pool = _by_script(kind, lambda s: F.split(F.lit(" ".join(SYLLABLES[s])), " "))
+    return F.initcap(F.concat(F.transform(F.array(pool), syllables)[0], _by_script(kind, end)))
+
+
+def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     def letters(c, i):
         n = _byte(stream, F.pmod(i, F.lit(256)))
         return (F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
@@ -265,45 +301,44 @@ def _made(stream: Column, kind: Column, norm: Column, attempt: Column) -> Column
             out = out.when(c.rlike(rf"\p{{Is{script}}}"), one_of(_pool(*ends), n))
         return out.when(c.rlike(r"\p{N}"), F.pmod(n, F.lit(10)).cast("string")).otherwise(one_of("abcdefghijklmnopqrstuvwxyz", n))
 
-    def mapped(text, offset=0):
-        return F.array_join(F.transform(F.split(text, ""), lambda c, i: letters(c, i + offset)), "")
+    def mapped(p):
+        return F.array_join(F.transform(F.split(p["text"], ""), lambda c, i: letters(c, i + p["offset"])), "")
 
+    def piece(text, offset):
+        return F.struct(text.alias("text"), F.lit(offset).alias("offset"))
+
+    named = kind.startswith("given:") | kind.startswith("family:")
+    access = norm.rlike("^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]+)$")
+    prefix = F.regexp_extract(norm, r"^(\+\d)", 1)
+    # what is mapped of each kind; the rest of its normal form is kept or made otherwise
+    main = (F.when(kind == "email", F.regexp_replace(norm, r"\.[^.]+$", ""))
+            .when(kind == "card", F.substr(norm, F.lit(2), F.length(norm) - 2))
+            .when(kind == "phone", F.substr(norm, F.length(prefix) + 1)).when(kind == "iban", F.substr(norm, F.lit(3)))
+            .when(kind.isin("ip", "hex") | kind.startswith("initial:"), "")
+            .when(access, F.substr(norm, F.lit(5))).when(named, "").otherwise(norm))
     # past MAX_ATTEMPTS the format has no free value: each attempt adds a character
     extra = F.greatest(attempt - F.lit(MAX_ATTEMPTS - 1), F.lit(0))
-    more = mapped(F.repeat(F.lit("0"), extra), 128)
-    any_char = F.concat(F.array_join(F.transform(chars, letters), ""), more)
-    tld = F.regexp_extract(norm, r"(\.[^.]+)$", 1)
-    email = F.concat(mapped(F.repeat(F.lit("a"), extra), 128), mapped(F.regexp_replace(norm, r"\.[^.]+$", "")), tld)
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
-        F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(254)) + 1).cast("string")), ".")
-    body = F.concat(F.substring(norm, 1, 1), mapped(F.substr(norm, F.lit(2), F.length(norm) - 2)), more)
-    valid = luhn_digit(F.substr(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, -1, 1)
-    other = mapped(F.substring(norm, -1, 1), 40)
-    card = F.concat(body, F.when(valid, luhn_digit(body)).otherwise(other))
-    prefix = F.regexp_extract(norm, r"^(\+\d)", 1)
-    phone = F.concat(prefix, mapped(F.substr(norm, F.length(prefix) + 1)), more)
-    iban = F.concat(F.substring(norm, 1, 2), mapped(F.substr(norm, F.lit(3))), more)
-    access = F.concat(F.substring(norm, 1, 4), mapped(F.substr(norm, F.lit(5))), more)
-    hexed = F.concat(F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(512)) + 1, 1)), ""), more)
-
-    def syllables(table):
-        pool = F.array(*[F.lit(s) for s in table])
-        count = F.least(F.lit(2) + attempt, F.lit(8))
-        return F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.element_at(
-            pool, (F.pmod(_byte(stream, i), F.lit(16)) + 1).cast("int"))), "")
-
-    name, initial = F, F
-    for script, table in SYLLABLES.items():
-        f, m, n, family = ENDINGS.get(script, ("",) * 4)
-        end = F.when(kind.startswith("given:f"), f).when(kind.startswith("given:m"), m).when(kind.startswith("given:n"), n).otherwise(family)
-        name = name.when(kind.endswith(script), F.initcap(F.concat(syllables(table), end)))
-        others = F.filter(F.array_distinct(F.array(*[F.lit(x[0].upper()) for x in table])), lambda x: x != norm)
-        initial = initial.when(kind.endswith(script), F.get(others, F.pmod(_byte(stream, F.lit(0)), F.size(others))))
-    return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", card)
-            .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "hex", hexed)
-            .when(kind.startswith("initial:"), initial)
-            .when(norm.rlike("^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]+)$"), access)
-            .when(kind.startswith("given:") | kind.startswith("family:"), name).otherwise(any_char))
+    added = F.repeat(F.when(kind == "email", "a").otherwise("0"), extra)
+    last = F.when(kind == "card", F.substring(norm, -1, 1)).otherwise("")
+
+    def whole(m):
+        plain, more, other = m[0], m[1], m[2]
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
+            F.pmod(_byte(stream, i * 2) * 256 + _byte(stream, i * 2 + 1), F.lit(254)) + 1).cast("string")), ".")
+        body = F.concat(F.substring(norm, 1, 1), plain, more)
+        valid = luhn_digit(F.substr(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, -1, 1)
+        hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.substring(stream, F.pmod(i, F.lit(512)) + 1, 1)), "")
+        return (F.when(kind == "email", F.concat(more, plain, F.regexp_extract(norm, r"(\.[^.]+)$", 1))).when(kind == "ip", octets)
+                .when(kind == "card", F.concat(body, F.when(valid, luhn_digit(body)).otherwise(other)))
+                .when(kind == "phone", F.concat(prefix, plain, more)).when(kind == "iban", F.concat(F.substring(norm, 1, 2), plain, more))
+                .when(kind == "hex", F.concat(hexed, more))
+                .when(kind.startswith("initial:"), _initial(stream, kind, norm))
+                .when(access, F.concat(F.substring(norm, 1, 4), plain, more))
+                .when(named, _name(stream, kind, attempt)).otherwise(F.concat(plain, more)))
+
+    # one expression maps all pieces: a copy for each kind makes plans that fill the driver
+    pieces = F.transform(F.array(piece(main, 0), piece(added, 128), piece(last, 40)), mapped)
+    return F.transform(F.array(pieces), whole)[0]
 
 
 def _type(kind: Column) -> Column:
@@ -376,7 +411,7 @@ def replace_entities(docs: DataFrame, key: str, count_col: str | None = None) ->
     has = has_entity(F.col("text"))
     hits = staged(with_known_genders(staged(occurrences(rows.filter(has).select("rk", "text").dropDuplicates(["rk"])), "pii-found")), "pii-hits")
     made = hits.join(entity_map(hits, key, widen=True), ["kind", "norm"], "left").withColumn(
-        "surrogate", F.when(F.col("kind").startswith("initial:"), surrogate(key, F.col("kind"), F.col("norm"), F.lit(0)))
+        "surrogate", F.when(F.col("kind").startswith("initial:"), initial_surrogate(key, F.col("kind"), F.col("norm")))
         .otherwise(F.col("surrogate"))).select("rk", "pos", "part", F.concat(
         "before", in_format(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("piece"))
     by_hit = made.groupBy("rk", "pos").agg(F.array_join(F.transform(
