@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -91,3 +92,52 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0], 0, "t", 1), (3, [2.0], 0, "t", 1)], SCHEMA)
     assert [tuple(r) for r in mtree.top_products(df, lambda i: i % 50 == 0).collect()] == [(0, 1, 3, 256 * 512)]
     assert mtree.top_products(spark.createDataFrame([], SCHEMA), lambda i: i % 50 == 0).collect() == []
+
+
+def test_many_queries_at_once_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for n, page, spread, k in ((1, 4, 9, 5), (300, 5, 3, 5), (400, 16, 1 << 20, 3), (400, 16, 1 << 29, 5), (500, 4, 40, 1), (300, 8, 0, 5)):
+        vectors = rng.integers(-spread, spread + 1, size=(n, 6)).astype(np.int64)
+        vectors[: n // 3] = vectors[0]
+        ids = rng.integers(0, n, n).astype(np.int64)  # some come twice
+        half = rng.random(n) < 0.5
+        best = mtree.Best(n, k)
+        for part in (half, ~half):  # floors go from one tree to the next
+            tree = pickle.loads(pickle.dumps(mtree.MTree(ids[part], vectors[part], page)))
+            tree.search_all(vectors, ids, best)
+        for i in range(n):
+            on = best.kind[i] == 2
+            assert list(zip(best.scores[i, on].tolist(), best.ids[i, on].tolist())) == brute(ids, vectors, vectors[i], ids[i], k)
+
+
+def test_a_stored_tree_is_little_more_than_its_vectors():
+    rng = np.random.default_rng(9)
+    tree = mtree.MTree(np.arange(2000), rng.integers(-90, 90, size=(2000, 64)).astype(np.int16))
+    assert len(pickle.dumps(tree)) < 2 * 2000 * 64 * 2  # before: six times as much
+
+
+def shuffled(df):
+    """Bytes that the exchanges of an executed frame were given."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [
+            node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_queries_are_copied_once_a_group_of_trees(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE", 10)
+    monkeypatch.setattr(mtree, "GROUPS", 2, raising=False)
+    monkeypatch.setattr(mtree, "COMPONENTS", 100 * 16, raising=False)  # several chunks
+    rng = np.random.default_rng(10)
+    m = rng.integers(-200, 200, size=(600, 16))
+    rows = [(i, [float(x) / 256 for x in m[i]], 0, "t", 1) for i in range(600)]
+    got = mtree.top_products(spark.createDataFrame(rows, SCHEMA), lambda i: i % 2 == 0)
+    want = {(i, r + 1, v, s) for i in range(0, 600, 2) for r, (s, v) in enumerate(brute(np.arange(600), m, m[i], i, 5))}
+    out = got.collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out} == want and len(out) == len(want)
+    assert shuffled(got) < 1_500_000  # before: every query to each of about a hundred trees
