@@ -51,9 +51,13 @@ PIVOTS = 256
 GROUPS = 32
 #: Trees that one task builds, about.
 BUILT = 16
-#: Components of the queries in a task, rows of one matrix product.
-COMPONENTS = 1 << 23
+#: Bytes of the queries in a task, components of those in one search, rows of
+#: one matrix product.
+QUERY_BYTES = 1 << 26
+STRIP = 1 << 21
 ROWS = 2048
+#: Copies of the trees that are made for more tasks.
+COPIES = 3
 TOP = 5
 SCALE = 256.0
 
@@ -175,7 +179,7 @@ class MTree:
         leaves = pages[self.child[self.first[:-1]] < 0]
         number = np.zeros(len(pages), dtype=np.int64)
         number[leaves] = np.arange(len(leaves))
-        strip = min(1 << 15, max(128, (1 << 22) // len(leaves)))
+        strip = max(128, STRIP // max(64, queries.shape[1], len(leaves) // 2))
         for a in range(0, len(rows), strip):
             part = rows[a:a + strip]
             _Search(self, queries[part], own_ids[part], best, part).run(leaves, number)
@@ -484,8 +488,10 @@ def top_products(vectors: DataFrame, query_ids, k: int = TOP, id_col: str = "vec
     first = asked.select("query", F.col("vec_id").alias("query_id"), F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
     groups = max(1, min(total, GROUPS))
     queries = asked.count()
-    # Chunks fit a task's memory, and there are enough of them for all tasks.
-    chunks = max(1, -(-queries * width // COMPONENTS), min(-(-parts // groups), -(-queries // ROWS)))
+    # Chunks fit a task's memory; with few trees there are some more, for the
+    # sake of tasks. All trees are copied to each.
+    size = width * np.dtype(kind).itemsize + 24 * k
+    chunks = max(1, -(-queries * size // QUERY_BYTES), min(COPIES, -(-parts // groups), -(-queries // ROWS)))
     slots = groups * chunks
     # Every chunk goes to every group of trees: the stated query set against
     # all rows.

@@ -132,7 +132,7 @@ def shuffled(df):
 def test_queries_are_copied_once_a_group_of_trees(spark, monkeypatch):
     monkeypatch.setattr(mtree, "TREE", 10)
     monkeypatch.setattr(mtree, "GROUPS", 2, raising=False)
-    monkeypatch.setattr(mtree, "COMPONENTS", 100 * 16, raising=False)  # several chunks
+    monkeypatch.setattr(mtree, "QUERY_BYTES", 100 * 152, raising=False)  # several chunks
     rng = np.random.default_rng(10)
     m = rng.integers(-200, 200, size=(600, 16))
     rows = [(i, [float(x) / 256 for x in m[i]], 0, "t", 1) for i in range(600)]
